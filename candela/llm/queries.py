@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import minhash, substring_dedup, suffix_dedup
 from .stage import table
 
 
@@ -14,12 +14,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digest(table(spark, sf_dir, "documents"), length=13)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=5, share=75, of=100)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"), length=200)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_minhash_near_dedup, op8_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
