@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, substring_dedup, suffix_dedup
+from . import bpe, minhash, packing, substring_dedup, suffix_dedup
 from .stage import table
 
 
@@ -14,16 +15,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digest(table(spark, sf_dir, "documents"), length=13)
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=5, share=75, of=100)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"), length=200)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_minhash_near_dedup, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_bpe_codec, op5_minhash_near_dedup, op7_best_fit_packing, op8_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -80,3 +80,42 @@ def crc(ids):
     import struct
 
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def op3(rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = []
+    for d, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        out.append((d, len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
+    return sorted(out)
+
+
+def op7(rows, cap=4096):
+    """The pieces, without their places."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = []
+    for d, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        out += [(d, i // cap, i, len(ids[i : i + cap]), crc(ids[i : i + cap])) for i in range(0, len(ids), cap)]
+    return sorted(out)
+
+
+def bins_are_sound(placed, cap=4096):
+    """placed: rows of op7. Gapless from 0 and at most cap long."""
+    by = defaultdict(list)
+    for r in placed:
+        by[r[5]].append((r[6], r[3]))
+    for v in by.values():
+        at = 0
+        for o, n in sorted(v):
+            assert o == at
+            at += n
+        assert at <= cap
+    return len(by)
