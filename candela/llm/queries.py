@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, substring_dedup, suffix_dedup
+from . import bpe, minhash, packing, quality, substring_dedup, suffix_dedup, toxicity
 from .stage import table
 
 
@@ -31,8 +31,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"), length=200)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_bpe_codec, op5_minhash_near_dedup, op7_best_fit_packing, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_bpe_codec, op5_minhash_near_dedup, op7_best_fit_packing, op8_suffix_dedup, op9_quality_classifier, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 A phrase is a window of consecutive words. The job
 
-1. screens: content-defined anchors (the least 5-word gram of any 9 in a row) are
+1. screens: content-defined anchors (the least 7-word gram of any 7 in a row) are
    counted over all documents; a phrase can recur only where its first anchor does;
 2. confirms: the stretch of words around each recurring anchor (a cell, at most
    length + 8 words) is made distinct with the least and greatest doc_id that has it;
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import RollingHash, Words, cells, covered, text_chunks
-from .stage import id_and_text, stage
+from .kernels import RollingHash, Words, cells, covered, mix, text_chunks
+from .stage import discard, id_and_text, stage
 
-GRAM = 5
+GRAM = 7
 #: Distinct cells of a shard's automaton, and of one anchor before it is dealt out by phrase.
 SHARD_CELLS = 16_000
 HOT_ANCHOR_CELLS = 2_000
@@ -45,81 +45,72 @@ def _cells(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at, grams[at], first, last + length
 
 
-def _emit_anchors(length: int):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in text_chunks(batch.column(1)):
-                words = Words(data, off)
-                at, grams, _, _ = _cells(words, length)
-                doc = np.searchsorted(words.off, at, side="right") - 1
-                yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((at - words.off[doc]).astype(np.int32))], names=["anchor", "doc_id", "pos"])
-
-    return run
-
-
 def _emit_cells(length: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            wanted = batch.column(2)
             for lo, hi, data, off in text_chunks(batch.column(1)):
                 words = Words(data, off)
                 at, grams, start, stop = _cells(words, length)
-                part = wanted.slice(lo, hi - lo)
-                sizes = np.diff(part.offsets.to_numpy())
-                flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.off[:-1], sizes)
-                recurring = np.zeros(len(words.start) + 1, bool)
-                recurring[flat[flat < len(words.start)]] = True
-                keep = recurring[at]
-                at, grams, start, stop = at[keep], grams[keep], start[keep], stop[keep]
                 doc = np.searchsorted(words.off, at, side="right") - 1
-                joined, w0, w1 = words.joined()
-                hashed = RollingHash(words.hashes()).of(start, stop, seed=11)
-                text = [joined[a:b] for a, b in zip(w0[start].tolist(), w1[stop - 1].tolist())] if len(at) else []
+                cell = RollingHash(words.hashes()).of(start, stop, seed=11)
                 yield pa.record_batch(
-                    [pa.array(grams.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(text, pa.binary()).cast(pa.string()), pa.array(ids[lo:hi][doc]), pa.array((start - words.off[doc]).astype(np.int32))],
-                    names=["anchor", "cell", "words", "doc_id", "start"],
+                    [pa.array(grams.view(np.int64)), pa.array(cell.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((start - words.off[doc]).astype(np.int32)), pa.array((stop - start).astype(np.int32))],
+                    names=["anchor", "cell", "doc_id", "start", "n"],
                 )
 
     return run
 
 
+def _emit_words(batches):
+    """The words of each document's wanted cells, joined by one space."""
+    for batch in batches:
+        for lo, hi, data, off in text_chunks(batch.column(0)):
+            words = Words(data, off)
+            part = batch.column(1).slice(lo, hi - lo)
+            doc = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
+            flat = part.flatten()
+            start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + words.off[doc]
+            stop = start + flat.field("n").to_numpy(zero_copy_only=False)
+            flat = flat.filter(pa.array(stop <= words.off[doc + 1]))
+            fits = stop <= words.off[doc + 1]
+            joined, w0, w1 = words.joined()
+            text = [joined[a:b] for a, b in zip(w0[start[fits]].tolist(), w1[stop[fits] - 1].tolist())]
+            yield pa.record_batch([flat.field(c) for c in ("anchor", "cell", "lo", "hi", "n_cells")] + [pa.array(text, pa.binary()).cast(pa.string())], names=["anchor", "cell", "lo", "hi", "n_cells", "words"])
+
+
 def _automaton(length: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """One shard: its phrases seen in two documents as an automaton, its cells through it."""
         numbers: dict[str, int] = {}
-        cells = [tuple([numbers.setdefault(w, len(numbers)) for w in text.split(" ")]) for text in rows["words"]]
-        least: dict[tuple, int] = {}
-        shared = set()
-        for cell, lo, hi in zip(cells, rows["lo"].tolist(), rows["hi"].tolist()):
-            for j in range(len(cell) - length + 1):
-                phrase = cell[j : j + length]
-                was = least.get(phrase)
-                if was is None:
-                    least[phrase] = lo
-                    if lo != hi:
-                        shared.add(phrase)
-                else:
-                    if lo != was or hi != was:
-                        shared.add(phrase)
-                    if lo < was:
-                        least[phrase] = lo
+        cells_ = [tuple([numbers.setdefault(w, len(numbers)) for w in text.split(" ")]) for text in rows["words"]]
+        size = np.array([len(c) for c in cells_], np.int64)
+        flat = np.fromiter((x for c in cells_ for x in c), np.int64, int(size.sum()))
+        begin = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(size)), size - length + 1)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1) + begin[of]
+        code = RollingHash(mix(flat.astype(np.uint64) + np.uint64(1))).of(at, at + length)
+        order = np.argsort(code, kind="stable")
+        code, of, at = code[order], of[order], at[order]
+        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        least = np.minimum.reduceat(rows["lo"].to_numpy()[of], new)
+        most = np.maximum.reduceat(rows["hi"].to_numpy()[of], new)
+        confirmed = least < most
         found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        owners = []
-        for phrase in shared:
-            found.add_word(phrase, len(owners))
-            owners.append(least[phrase])
-        del least, shared
-        offsets, values = [], []
+        for number, (cell, j) in enumerate(zip(of[new[confirmed]].tolist(), (at - begin[of])[new[confirmed]].tolist())):
+            found.add_word(cells_[cell][j : j + length], number)
+        owners = least[confirmed].tolist()
+        keep, offsets, values = [], [], []
         if owners:
             found.make_automaton()
-        for cell, base in zip(cells, rows["base"].tolist()):
-            hits = [(base + end - length + 1, owners[v]) for end, v in found.iter(cell)] if owners else []
-            offsets.append([h[0] for h in hits])
-            values.append([h[1] for h in hits])
-        out = pd.DataFrame({"anchor": rows["anchor"], "cell": rows["cell"], "offsets": offsets, "owners": values})
-        return out[out["offsets"].map(len) > 0]
+            last = length - 1
+            for i, (cell, base, hi) in enumerate(zip(cells_, rows["base"].tolist(), rows["hi"].tolist())):
+                hits = [(base + end - last, owners[v]) for end, v in found.iter(cell) if owners[v] < hi]
+                if hits:
+                    keep.append(i)
+                    offsets.append([h[0] for h in hits])
+                    values.append([h[1] for h in hits])
+        return pd.DataFrame({"anchor": rows["anchor"].iloc[keep], "cell": rows["cell"].iloc[keep], "offsets": offsets, "owners": values})
 
     return run
 
@@ -131,28 +122,30 @@ def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     docs: doc_id long not null, text string not null. Words are runs of anything but space
     and \\t to \\r. Rows that repeat a doc_id must repeat its text; they count once."""
     here = docs.select("doc_id", "text")
-    occurrences = here.mapInArrow(_emit_anchors(length), "anchor long, doc_id long, pos int")
-    recurring = occurrences.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    candidates = stage(occurrences.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted")), "phrase-anchors")
-    cells = stage(
-        here.join(candidates, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_cells(length), "anchor long, cell long, words string, doc_id long, start int"),
-        "phrase-cells",
+    found = here.mapInArrow(_emit_cells(length), "anchor long, cell long, doc_id long, start int, n int")
+    recurring = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    cells_ = stage(found.join(recurring, "anchor"), "phrase-cells")
+    kinds = stage(cells_.groupBy("anchor", "cell").agg(F.min(F.struct("doc_id", "start", "n")).alias("least"), F.max("doc_id").alias("hi")), "phrase-kinds")
+    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("n_cells"), F.min("least.doc_id").alias("a_lo"), F.max("hi").alias("a_hi")).where("a_lo < a_hi")
+    wanted = kinds.join(per_anchor, "anchor").select(
+        F.col("least.doc_id").alias("doc_id"),
+        F.struct("anchor", "cell", F.col("least.start").alias("start"), F.col("least.n").alias("n"), F.col("least.doc_id").alias("lo"), "hi", "n_cells").alias("part"),
     )
-    distinct = stage(cells.groupBy("anchor", "cell").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("words").alias("words")), "phrase-distinct")
-    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n_cells"), F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi"))
-    live = distinct.join(per_anchor.where("n_cells > 1 or a_lo < a_hi"), "anchor").where("n_cells > 1 or lo < hi")
-    shards = max(1, -(-distinct.count() // SHARD_CELLS))
-    split = F.split("words", " ", -1)
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    live = stage(here.join(wanted, "doc_id").select("text", "parts").mapInArrow(_emit_words, "anchor long, cell long, lo long, hi long, n_cells long, words string"), "phrase-words")
+    discard(kinds)
+    shards = max(1, -(-live.count() // SHARD_CELLS))
     hot = (
         live.where(F.col("n_cells") > HOT_ANCHOR_CELLS)
-        .withColumn("w", split)
+        .withColumn("w", F.split("words", " ", -1))
         .select("anchor", "cell", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {length}), j -> array_join(slice(w, j + 1, {length}), ' '))")).alias("base", "words"))
         .withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
     )
     cool = live.where(F.col("n_cells") <= HOT_ANCHOR_CELLS).select("anchor", "cell", "lo", "hi", F.lit(0).alias("base"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     located = stage(cool.unionByName(hot).groupBy("shard").applyInPandas(_automaton(length), "anchor long, cell long, offsets array<int>, owners array<long>"), "phrase-located")
+    discard(live)
     return (
-        cells.select("anchor", "cell", "doc_id", "start")
+        cells_.select("anchor", "cell", "doc_id", "start")
         .join(located, ["anchor", "cell"])
         .select("doc_id", F.expr("transform(filter(arrays_zip(offsets, owners), x -> x.owners < doc_id), x -> start + x.offsets)").alias("s"))
         .where(F.size("s") > 0)

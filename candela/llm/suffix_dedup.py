@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import RollingHash, byte_codes, cells, spans_of, text_chunks
-from .stage import id_and_text, stage
+from .stage import discard, id_and_text, stage
 
 GRAM = 16
-PREFIX = 32
+PREFIX = 64
 
 
 def _windows(length: int) -> tuple[int, list[int]]:
@@ -38,7 +38,7 @@ def _windows(length: int) -> tuple[int, list[int]]:
 
     The anchor starts in the first half of its strings at the latest, so that every
     string has at least half its bytes after it."""
-    sizes = [min(PREFIX, max(1, length // 4))]
+    sizes = [min(PREFIX, max(1, length // 3))]
     w = max(1, min(length - GRAM + 1, length // 3 + 5))
     while sizes[-1] * 2 <= length - w + 1:
         sizes.append(sizes[-1] * 2)
@@ -140,10 +140,12 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     names = [f"name{i}" for i in range(len(sizes) - 1)]
     schema = "rank long, cell long, " + "".join(f"{x} long, " for x in names) + "doc_id long, start int, n_strings int"
     ranked = stage(here.join(candidates, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_cells(length), schema), "suffix-ranks-0")
+    discard(candidates)
     for i, name in enumerate(names):
         pairs = ranked.groupBy("rank", name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("least")).where("n > 1")
         pairs = pairs.select("rank", name, F.xxhash64("least.doc_id", "least.start", "rank", name).alias("next_rank"))
-        ranked = stage(ranked.join(pairs, ["rank", name]).drop("rank", name).withColumnRenamed("next_rank", "rank"), f"suffix-ranks-{i + 1}")
+        was, ranked = ranked, stage(ranked.join(pairs, ["rank", name]).drop("rank", name).withColumnRenamed("next_rank", "rank"), f"suffix-ranks-{i + 1}")
+        discard(was)
     kinds = stage(ranked.groupBy("rank", "cell").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_strings")).alias("least")), "suffix-kinds")
     per_rank = kinds.groupBy("rank").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("n_all")).where("n_all > 1")
     whole_runs = ranked.join(kinds.where("n > 1").select("rank", "cell"), ["rank", "cell"]).select("doc_id", "start", F.col("n_strings").alias("count"))
