@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, minhash, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 from .stage import table
 
 
@@ -15,6 +15,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digest(table(spark, sf_dir, "documents"), length=13)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,8 +44,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_bpe_codec, op5_minhash_near_dedup, op7_best_fit_packing, op8_suffix_dedup, op9_quality_classifier, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_bpe_codec, op5_minhash_near_dedup, op7_best_fit_packing, op8_suffix_dedup, op9_quality_classifier, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filter.SQL}
