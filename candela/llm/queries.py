@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import bpe, hnsw, minhash, packing, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 from .stage import table
 
 
@@ -23,6 +24,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=5, share=75, of=100)
 
@@ -44,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_bpe_codec, op5_minhash_near_dedup, op7_best_fit_packing, op8_suffix_dedup, op9_quality_classifier, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_bpe_codec, op4_nearest_neighbours, op5_minhash_near_dedup, op7_best_fit_packing, op8_suffix_dedup, op9_quality_classifier, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
