@@ -21,8 +21,9 @@ from .components import components
 from .kernels import LOWER, RollingHash, U, Words, mix, text_chunks
 from .stage import id_and_text, stage
 
-BANDS, ROWS = 24, 3
-FIRST_LEADERS, LEADER_GROWTH = 1, 8
+#: A pair at the threshold of 0.75 shares no band with a chance of 2e-6.
+BANDS, ROWS = 48, 5
+FIRST_LEADERS, LEADER_GROWTH = 1, 32
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -127,7 +128,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100,
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     bodies = stage(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "minhash-texts")
 
-    links, known, leaders_n = None, None, FIRST_LEADERS
+    known, leaders_n = None, FIRST_LEADERS  # known: (rep, comp) of what is linked so far
     open_ = buckets.withColumn("comp", F.col("rep"))
     while True:
         undone = open_.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
@@ -135,30 +136,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100,
         if open_.isEmpty():
             break
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
-        leaders = stage(open_.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= leaders_n).select("bucket", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca"), "rn"), "minhash-leaders")
+        leaders = stage(open_.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= leaders_n).select("bucket", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca")), "minhash-leaders")
         pairs = (
             open_.join(leaders, "bucket")
             .where("comp <> ca")
             .where(of * F.least("na", "n_shingles") >= share * F.greatest("na", "n_shingles"))
-            .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+            .select("a", F.col("rep").alias("b"), "ca", F.col("comp").alias("cb"))
             .distinct()
         )
         checked = (
             pairs.join(bodies.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
             .join(bodies.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", "ta", "tb")
+            .select("ca", "cb", "ta", "tb")
             .mapInArrow(_verify(k, share, of), "a long, b long")
         )
-        new = stage(checked, "minhash-links")
-        links = new if links is None else links.unionByName(new)
-        known = components(links)
+        merged = stage(components(checked), "minhash-merged")  # between what was connected before
+        if known is None:
+            known = merged.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+        else:
+            step = merged.select(F.col("node").alias("comp"), "component")
+            fresh = merged.join(known.select(F.col("rep").alias("node")), "node", "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+            known = stage(known.join(step, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")).unionByName(fresh), "minhash-known")
         rest = open_.join(leaders.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").drop("comp")
-        open_ = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+        open_ = rest.join(known, "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
         leaders_n *= LEADER_GROWTH
     out = sketches.select("doc_id", "n_shingles").join(members.distinct(), "doc_id", "left")
     if known is not None:
-        out = out.join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        out = out.join(known, "rep", "left")
     else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "rep", "doc_id")
+        out = out.withColumn("comp", F.lit(None).cast("long"))
+    component = F.coalesce("comp", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
