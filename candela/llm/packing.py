@@ -11,19 +11,21 @@ from their number among the pieces of their length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stage import id_and_text, stage
 
-REMEMBERED = 400_000
+REMEMBERED, REMEMBERED_WORDS = 600_000, 500_000
 LONGEST_REMEMBERED = 64
 
 
@@ -81,26 +83,69 @@ def _places(plan: list[tuple[Counter, int]]) -> dict[int, list[np.ndarray]]:
     return {k: list(np.array(v, np.int64).T) for k, v in out.items()}
 
 
+_STOPS = frozenset(".,;:!?")
+
+
 class ChunkTokens:
-    """Ids of texts by white-space chunks, as little-endian bytes; no token crosses one."""
+    """Ids of texts by white-space chunks, as little-endian bytes; no token crosses one.
+
+    A new chunk of plain Latin letters, digits and marks is normalised and cut into words
+    here, so that the tokenizer sees each new word once; any other goes to it whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.model, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for m in (self.model, self.plain):
+            m.no_truncation()
+            m.no_padding()
+        form = json.loads(self.model.to_str())
+        steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        split = ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.cut = None
+        if steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert"):
+            self.cut = regex.compile(split["pattern"]["Regex"]).findall
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.special = [t["content"] for t in form["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _words(self, chunk: str) -> list[str] | None:
+        """The words of a chunk of Latin up to U+024F, which is composed already and whose
+        lower case does not depend on neighbours; None for any other."""
+        if not (chunk.isascii() or max(chunk) < "\u0250"):
+            return None
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
+            return [chunk[:-1].lower(), chunk[-1]]
+        return None if any(t in chunk for t in self.special) else self.cut(chunk.lower())
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        words = self.words
+        easy = {c: w for c in new if (w := self._words(c)) is not None} if self.cut else {}
+        hard = [c for c in new if c not in easy]
+        out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(hard, self.model.encode_batch_fast(hard, add_special_tokens=False))}
+        unseen = list({w for ws in easy.values() for w in ws if w not in words})
+        if len(words) + len(unseen) > REMEMBERED_WORDS:
+            words.clear()
+            unseen = list({w for ws in easy.values() for w in ws})
+        for lo in range(0, len(unseen), 1000):
+            e = self.plain.encode(unseen[lo : lo + 1000], is_pretokenized=True, add_special_tokens=False)
+            ids, at = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(min(1000, len(unseen) - lo) + 1)).tolist()
+            words.update((w, ids[a:b].tobytes()) for w, a, b in zip(unseen[lo : lo + 1000], at[:-1], at[1:]))
+        out.update((c, b"".join([words[w] for w in ws])) for c, ws in easy.items())
+        return out
 
     def ids(self, text: str) -> bytes:
         for c in "\n\t\r":
             text = text.replace(c, " ")
         chunks, known = text.split(" "), self.known
-        got = [known.get(c) for c in chunks]
+        got = list(map(known.get, chunks))
         if None in got:
-            new = list({c for c, g in zip(chunks, got) if g is None})
-            fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False))}
+            fresh = self._learn({c for c, g in zip(chunks, got) if g is None})
             got = [fresh[c] if g is None else g for c, g in zip(chunks, got)]
             if len(known) >= REMEMBERED:
                 known.clear()
