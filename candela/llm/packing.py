@@ -117,11 +117,12 @@ class ChunkTokens:
         lower case does not depend on neighbours; None for any other."""
         if not (chunk.isascii() or max(chunk) < "\u0250"):
             return None
-        if chunk.isalpha():
-            return [chunk.lower()]
-        if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
-            return [chunk[:-1].lower(), chunk[-1]]
-        return None if any(t in chunk for t in self.special) else self.cut(chunk.lower())
+        low = chunk.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1:] in _STOPS and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return None if any(t in chunk for t in self.special) else self.cut(low)
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         words = self.words
