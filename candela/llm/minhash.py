@@ -3,18 +3,19 @@
 Two permutations of the 64-bit ring give all coordinates: shingles go through the first
 once, and coordinate k is the least image under the second shifted circularly by k.
 
-Documents with equal shingle sets are one from the start. Buckets of equal bands are then
-resolved in rounds: leaders of a bucket are verified against its members that are not
-known to be connected with them, and leave the bucket. The number of leaders grows by
-round, so every pair of a bucket is either verified or connected through others, and a
-group of copies costs pairs in proportion to its size.
+Documents with equal shingle sets are one from the start. Two rounds then try each document
+with one leader of its buckets, so that a group of copies costs pairs in proportion to its
+size. What buckets still hold of unconnected documents meets in blocks of bounded size,
+blocks of one component never with one another; signatures choose there the pairs whose
+full sets are compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -23,7 +24,9 @@ from .stage import id_and_text, stage
 
 #: A pair at the threshold of 0.75 shares no band with a chance of 2e-6.
 BANDS, ROWS = 48, 5
-FIRST_LEADERS, LEADER_GROWTH = 1, 32
+ROUNDS, BLOCK = 2, 512
+#: Coordinates that a pair may agree in less than the threshold says, in standard deviations.
+SLACK = 5.0
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -68,7 +71,7 @@ def _sketch(k: int, bands: int, rows: int):
                 size = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(size)
                 set_a, set_b = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
-                lists = [None] * (hi - lo)
+                lists, signs = [None] * (hi - lo), [None] * (hi - lo)
                 if len(some):
                     flat = np.concatenate([sets[i] for i in some])
                     begin = np.cumsum(size[some]) - size[some]
@@ -79,9 +82,10 @@ def _sketch(k: int, bands: int, rows: int):
                     for r in range(rows):
                         keys = mix(keys * U(0x9E3779B97F4A7C15) ^ signature[:, :, r])
                     keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
-                    for i, row in zip(some.tolist(), keys):
-                        lists[i] = row
-                yield pa.record_batch([pa.array(ids[lo:hi]), pa.array(size), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                    short = (signature & U(255)).astype(np.uint8).reshape(len(some), -1)
+                    for i, row, sign in zip(some.tolist(), keys, short):
+                        lists[i], signs[i] = row, sign.tobytes()
+                yield pa.record_batch([pa.array(ids[lo:hi]), pa.array(size), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sign"])
 
     return run
 
@@ -105,6 +109,68 @@ def _verify(k: int, share: int, of: int):
     return run
 
 
+_CELL = ["bucket", "c1", "t1", "c2", "t2"]
+
+
+def _likely(k: int, share: int, of: int):
+    """Pairs of the cells, sorted and whole in a task, that may reach the threshold."""
+    p = share / of
+    least = int(np.floor(k * p - SLACK * np.sqrt(k * p * (1 - p))))
+
+    def pairs(cell: pd.DataFrame) -> pd.DataFrame:
+        sides = [cell[cell["side"] == i] for i in (0, 1)]
+        inside = not len(sides[1])
+        x, y = sides[0], sides[0] if inside else sides[1]
+        sx, sy = (np.frombuffer(b"".join(z["sign"]), np.uint8).reshape(len(z), k) for z in (x, y))
+        nx, ny, cx, cy = x["n_shingles"].to_numpy(), y["n_shingles"].to_numpy(), x["comp"].to_numpy(), y["comp"].to_numpy()
+        rx, ry = x["rep"].to_numpy(), y["rep"].to_numpy()
+        out = []
+        for lo in range(0, len(x), 64):
+            part = slice(lo, lo + 64)
+            may = (cx[part, None] != cy[None, :]) & (of * np.minimum(nx[part, None], ny[None, :]) >= share * np.maximum(nx[part, None], ny[None, :]))
+            if inside:
+                may &= rx[part, None] < ry[None, :]
+            i, j = np.nonzero(may)
+            for at in range(0, len(i), 50_000):
+                ii, jj = i[at : at + 50_000] + lo, j[at : at + 50_000]
+                ok = (sx[ii] == sy[jj]).sum(1) >= least
+                out.append(np.stack([rx[ii[ok]], ry[jj[ok]], cx[ii[ok]], cy[jj[ok]]], 1))
+        return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+    def run(frames):
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            keys = frame[_CELL].to_numpy()
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            edges = [0, *cut.tolist()]
+            got = [pairs(frame.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            rest = frame.iloc[edges[-1] :]
+            if got:
+                yield pd.DataFrame(np.concatenate(got), columns=["a", "b", "ca", "cb"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(pairs(rest), columns=["a", "b", "ca", "cb"])
+
+    return run
+
+
+def _cells(open_: DataFrame) -> DataFrame:
+    """The members of open buckets in block cells: (bucket, c1, t1, c2, t2, side, ...). A component
+    of over half a block in a bucket has blocks of its own, which meet all but one another."""
+    sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    large = F.col("n") > BLOCK // 2
+    small = sizes.where(~large).groupBy("bucket").agg(F.sum("n").alias("n_small"))
+    of = lambda n: F.ceil(F.col(n) / BLOCK)
+    placed = open_.join(sizes, ["bucket", "comp"]).join(small, "bucket", "left")
+    placed = placed.select("bucket", "rep", "comp", "n_shingles", F.when(large, F.col("comp")).otherwise(-1).alias("c"), F.pmod(F.xxhash64("rep"), F.when(large, of("n")).otherwise(of("n_small"))).cast("int").alias("t"))
+    blocks = placed.select("bucket", "c", "t").distinct()
+    one, two = (blocks.select("bucket", F.col("c").alias(f"c{i}"), F.col("t").alias(f"t{i}")) for i in (1, 2))
+    cells = stage(one.join(two, "bucket").where("(c1 < c2 or (c1 = c2 and t1 <= t2)) and (c1 <> c2 or c1 = -1)"), "minhash-cells")
+    left = placed.join(cells.withColumns({"c": F.col("c1"), "t": F.col("t1"), "side": F.lit(0)}), ["bucket", "c", "t"])
+    right = placed.join(cells.where("c1 <> c2 or t1 <> t2").withColumns({"c": F.col("c2"), "t": F.col("t2"), "side": F.lit(1)}), ["bucket", "c", "t"])
+    return left.unionByName(right).drop("c", "t")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked where
     of * |A and B| >= share * |A or B| for their sets of k-word shingles.
@@ -114,7 +180,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100,
     nothing. Rows without an id take no part, repeated rows each give a row, other columns
     are ignored. component_id is the least doc_id reachable; kept marks that document."""
     texts = id_and_text(docs, id_col, text_col)
-    sketches = stage(texts.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "minhash-sketches")
+    sketches = stage(texts.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sign binary"), "minhash-sketches")
     same = ["n_shingles", "set_a", "set_b"]
     reps = sketches.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     key = F.explode("bands").alias("bucket")
@@ -128,22 +194,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100,
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     bodies = stage(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "minhash-texts")
 
-    known, leaders_n = None, FIRST_LEADERS  # known: (rep, comp) of what is linked so far
+    known = None  # (rep, comp) of what is linked so far
     open_ = buckets.withColumn("comp", F.col("rep"))
-    while True:
+    for turn in range(ROUNDS + 1):
         undone = open_.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
         open_ = stage(open_.join(undone, "bucket", "left_semi"), "minhash-open")
-        if open_.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
-        leaders = stage(open_.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= leaders_n).select("bucket", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca")), "minhash-leaders")
-        pairs = (
-            open_.join(leaders, "bucket")
-            .where("comp <> ca")
-            .where(of * F.least("na", "n_shingles") >= share * F.greatest("na", "n_shingles"))
-            .select("a", F.col("rep").alias("b"), "ca", F.col("comp").alias("cb"))
-            .distinct()
-        )
+        if turn < ROUNDS:  # every document with the first leader, by a hash, of its buckets
+            first = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca"))).alias("lead"))
+            tried = open_.join(first, "bucket").where("comp <> lead.ca").groupBy("rep", "n_shingles", "comp").agg(F.min("lead").alias("lead"))
+            pairs = tried.where(of * F.least("lead.na", "n_shingles") >= share * F.greatest("lead.na", "n_shingles")).select("lead.a", F.col("rep").alias("b"), "lead.ca", F.col("comp").alias("cb"))
+        else:
+            signed = _cells(open_).join(rep_rows.select(F.col("doc_id").alias("rep"), "sign"), "rep")
+            dealt = signed.repartition(*_CELL).sortWithinPartitions(*_CELL, "side")
+            pairs = dealt.select(*_CELL, "side", "rep", "comp", "n_shingles", "sign").mapInPandas(_likely(bands * rows, share, of), "a long, b long, ca long, cb long").distinct()
         checked = (
             pairs.join(bodies.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
             .join(bodies.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
@@ -157,13 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75, of: int = 100,
             step = merged.select(F.col("node").alias("comp"), "component")
             fresh = merged.join(known.select(F.col("rep").alias("node")), "node", "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
             known = stage(known.join(step, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")).unionByName(fresh), "minhash-known")
-        rest = open_.join(leaders.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").drop("comp")
-        open_ = rest.join(known, "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
-        leaders_n *= LEADER_GROWTH
+        open_ = open_.drop("comp").join(known, "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     out = sketches.select("doc_id", "n_shingles").join(members.distinct(), "doc_id", "left")
-    if known is not None:
-        out = out.join(known, "rep", "left")
-    else:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
+    out = out.join(known, "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
