@@ -175,10 +175,12 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Units of n that lie in some window of the given length."""
-    starts = starts[(starts >= 0) & (starts + length <= n)]
+def covered(start: np.ndarray, count: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Units of n that lie in some window of the runs: count windows of the given length
+    from each start. Runs that do not fit are left out."""
+    fits = (start >= 0) & (start + count - 1 + length <= n)
+    start, count = start[fits], count[fits]
     mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + length, -1)
+    np.add.at(mark, start, 1)
+    np.add.at(mark, start + count - 1 + length, -1)
     return np.cumsum(mark)[:n] > 0

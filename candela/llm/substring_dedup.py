@@ -31,7 +31,7 @@ from .stage import discard, id_and_text, stage
 
 GRAM = 7
 #: Distinct cells of a shard's automaton, and of one anchor before it is dealt out by phrase.
-SHARD_CELLS = 16_000
+SHARD_CELLS = 4_000
 HOT_ANCHOR_CELLS = 2_000
 
 
@@ -81,43 +81,66 @@ def _emit_words(batches):
 
 def _automaton(length: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """One shard: its phrases seen in two documents as an automaton, its cells through it."""
+        """One shard: its passages seen in two documents as an automaton, its cells through it.
+
+        The passage of an anchor with one cell is that cell; otherwise each phrase is one. A
+        word is two letters, its number's digits in a base about the root of the vocabulary,
+        each digit with letters of its own: no node of the automaton has many children, and
+        matches keep to whole words. Gives runs of phrases: offset, count, owner."""
         numbers: dict[str, int] = {}
-        cells_ = [tuple([numbers.setdefault(w, len(numbers)) for w in text.split(" ")]) for text in rows["words"]]
-        size = np.array([len(c) for c in cells_], np.int64)
-        flat = np.fromiter((x for c in cells_ for x in c), np.int64, int(size.sum()))
+        split = [text.split(" ") for text in rows["words"]]
+        size = np.array([len(c) for c in split], np.int64)
+        flat = np.array([numbers.setdefault(w, len(numbers)) for c in split for w in c], np.int64)
+        digits = int(np.sqrt(len(numbers))) + 1
+        text = (256 + np.stack([flat // digits, digits + flat % digits], 1).ravel()).astype("<u4").tobytes().decode("utf-32-le")
         begin = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(size)), size - length + 1)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1) + begin[of]
+        lo, hi, base = rows["lo"].to_numpy(), rows["hi"].to_numpy(), rows["base"].tolist()
+        many = rows["n_cells"].to_numpy() > 1
+        windows = np.where(many, size - length + 1, 0)
+        of = np.repeat(np.arange(len(size)), windows)
+        at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
         code = RollingHash(mix(flat.astype(np.uint64) + np.uint64(1))).of(at, at + length)
         order = np.argsort(code, kind="stable")
         code, of, at = code[order], of[order], at[order]
-        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        least = np.minimum.reduceat(rows["lo"].to_numpy()[of], new)
-        most = np.maximum.reduceat(rows["hi"].to_numpy()[of], new)
+        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        least, most = (np.minimum.reduceat(lo[of], new), np.maximum.reduceat(hi[of], new)) if len(new) else (lo[:0], hi[:0])
         confirmed = least < most
-        found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for number, (cell, j) in enumerate(zip(of[new[confirmed]].tolist(), (at - begin[of])[new[confirmed]].tolist())):
-            found.add_word(cells_[cell][j : j + length], number)
-        owners = least[confirmed].tolist()
-        keep, offsets, values = [], [], []
+        whole = np.flatnonzero(~many & (lo < hi))
+        starts = np.concatenate([at[new[confirmed]], begin[whole]]).tolist()
+        lengths = np.concatenate([np.full(int(confirmed.sum()), length), size[whole]]).tolist()
+        owners = np.concatenate([least[confirmed], lo[whole]]).tolist()
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for number, (a, n) in enumerate(zip(starts, lengths)):
+            found.add_word(text[2 * a : 2 * (a + n)], number)
+        keep, offsets, counts, values = [], [], [], []
         if owners:
             found.make_automaton()
-            last = length - 1
-            for i, (cell, base, hi) in enumerate(zip(cells_, rows["base"].tolist(), rows["hi"].tolist())):
-                hits = [(base + end - last, owners[v]) for end, v in found.iter(cell) if owners[v] < hi]
-                if hits:
+            for i, (a, n, b, top) in enumerate(zip(begin.tolist(), size.tolist(), base, hi.tolist())):
+                o, c, v = [], [], []
+                for end, number in found.iter(text[2 * a : 2 * (a + n)]):
+                    owner = owners[number]
+                    if owner < top:
+                        size_ = lengths[number]
+                        first = b + end // 2 - size_ + 1
+                        if o and v[-1] == owner and o[-1] + c[-1] == first:
+                            c[-1] += size_ - length + 1
+                        else:
+                            o.append(first)
+                            c.append(size_ - length + 1)
+                            v.append(owner)
+                if o:
                     keep.append(i)
-                    offsets.append([h[0] for h in hits])
-                    values.append([h[1] for h in hits])
-        return pd.DataFrame({"anchor": rows["anchor"].iloc[keep], "cell": rows["cell"].iloc[keep], "offsets": offsets, "owners": values})
+                    offsets.append(o)
+                    counts.append(c)
+                    values.append(v)
+        return pd.DataFrame({"anchor": rows["anchor"].iloc[keep], "cell": rows["cell"].iloc[keep], "offsets": offsets, "counts": counts, "owners": values})
 
     return run
 
 
 def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
-    """(doc_id, starts array<int>): the word windows of each document whose words also start
-    a window in a document with a smaller doc_id. Documents without any are left out.
+    """(doc_id, runs array<struct<start,count>>): the word windows of each document whose words
+    also start a window in a document with a smaller doc_id. Documents without any are left out.
 
     docs: doc_id long not null, text string not null. Words are runs of anything but space
     and \\t to \\r. Rows that repeat a doc_id must repeat its text; they count once."""
@@ -138,60 +161,50 @@ def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     hot = (
         live.where(F.col("n_cells") > HOT_ANCHOR_CELLS)
         .withColumn("w", F.split("words", " ", -1))
-        .select("anchor", "cell", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {length}), j -> array_join(slice(w, j + 1, {length}), ' '))")).alias("base", "words"))
+        .select("anchor", "cell", "n_cells", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {length}), j -> array_join(slice(w, j + 1, {length}), ' '))")).alias("base", "words"))
         .withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
     )
-    cool = live.where(F.col("n_cells") <= HOT_ANCHOR_CELLS).select("anchor", "cell", "lo", "hi", F.lit(0).alias("base"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    located = stage(cool.unionByName(hot).groupBy("shard").applyInPandas(_automaton(length), "anchor long, cell long, offsets array<int>, owners array<long>"), "phrase-located")
+    cool = live.where(F.col("n_cells") <= HOT_ANCHOR_CELLS).select("anchor", "cell", "n_cells", "lo", "hi", F.lit(0).alias("base"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    located = stage(cool.unionByName(hot).groupBy("shard").applyInPandas(_automaton(length), "anchor long, cell long, offsets array<int>, counts array<int>, owners array<long>"), "phrase-located")
     discard(live)
     return (
         cells_.select("anchor", "cell", "doc_id", "start")
         .join(located, ["anchor", "cell"])
-        .select("doc_id", F.expr("transform(filter(arrays_zip(offsets, owners), x -> x.owners < doc_id), x -> start + x.offsets)").alias("s"))
+        .select("doc_id", F.expr("transform(filter(arrays_zip(offsets, counts, owners), x -> x.owners < doc_id), x -> struct(start + x.offsets as start, x.counts as count))").alias("s"))
         .where(F.size("s") > 0)
         .groupBy("doc_id")
-        .agg(F.flatten(F.collect_list("s")).alias("starts"))
+        .agg(F.flatten(F.collect_list("s")).alias("runs"))
     )
 
 
-def _digest(length: int):
-    def run(batches):
-        for batch in batches:
-            texts, starts = batch.column(1), batch.column(2)
-            ids, words_n, gone_n, sha = batch.column(0).to_pylist(), [], [], []
-            for i in range(batch.num_rows):
-                words = (texts[i].as_py() or "").encode().split()
-                at = starts[i].values if starts[i].is_valid else None
-                if at is not None and len(at):
-                    gone = covered(np.unique(at.to_numpy()).astype(np.int64), length, len(words))
-                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    kept = words
-                words_n.append(len(words))
-                gone_n.append(len(words) - len(kept))
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return run
+def _kept(text: str, runs, length: int) -> tuple[int, list[bytes]]:
+    """Number of words, and those that no window of the runs covers."""
+    words = text.encode().split()
+    if runs is None or not len(runs):
+        return len(words), words
+    start, count = (runs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "count"))
+    gone = covered(start, count, length, len(words)).tolist()
+    return len(words), [w for w, g in zip(words, gone) if not g]
 
 
-def _kept_text(length: int):
+def _finish(length: int, digest: bool):
     def run(batches):
         for batch in batches:
-            texts, starts, out = batch.column(1), batch.column(2), []
+            texts, runs, total, left, out = batch.column(1), batch.column(2), [], [], []
             for i in range(batch.num_rows):
-                words = (texts[i].as_py() or "").encode().split()
-                if starts[i].is_valid and len(starts[i].values):
-                    gone = covered(np.unique(starts[i].values.to_numpy()).astype(np.int64), length, len(words))
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                out.append(b" ".join(words).decode())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+                n, kept = _kept(texts[i].as_py() or "", runs[i].values if runs[i].is_valid else None, length)
+                body = b" ".join(kept)
+                total.append(n)
+                left.append(n - len(kept))
+                out.append(hashlib.sha256(body).hexdigest() if digest else body.decode())
+            columns = {"doc_id": batch.column(0), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(left, pa.int64())}
+            yield pa.record_batch({**columns, "kept_sha256": pa.array(out, pa.string())} if digest else {"doc_id": batch.column(0), "text": pa.array(out, pa.string())})
 
     return run
 
 
-def _with_starts(docs: DataFrame, length: int) -> DataFrame:
-    return docs.join(find_repeats(docs, length), "doc_id", "left").select("doc_id", "text", "starts")
+def _with_runs(docs: DataFrame, length: int) -> DataFrame:
+    return docs.join(find_repeats(docs, length), "doc_id", "left").select("doc_id", "text", "runs")
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,9 +213,9 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
 
     Null text counts as empty; rows without an id take no part; rows that repeat an id
     must repeat its text and each give a row; other columns are ignored."""
-    return _with_starts(id_and_text(docs, id_col, text_col), length).mapInArrow(_kept_text(length), "doc_id long, text string")
+    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, False), "doc_id long, text string")
 
 
 def repeat_digest(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of what remove_repeats keeps."""
-    return _with_starts(id_and_text(docs, id_col, text_col), length).mapInArrow(_digest(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import RollingHash, byte_codes, cells, spans_of, text_chunks
+from .kernels import RollingHash, byte_codes, cells, covered, spans_of, text_chunks
 from .stage import discard, id_and_text, stage
 
 GRAM = 16
@@ -161,13 +161,8 @@ def _gone(data: bytes, runs, length: int) -> np.ndarray:
     """Mask of removed bytes."""
     if not runs.is_valid or not len(runs.values):
         return np.zeros(len(data), bool)
-    start = runs.values.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-    count = runs.values.field("count").to_numpy(zero_copy_only=False).astype(np.int64)
-    fits = start + count - 1 + length <= len(data)
-    mark = np.zeros(len(data) + 1, np.int64)
-    np.add.at(mark, start[fits], 1)
-    np.add.at(mark, start[fits] + count[fits] - 1 + length, -1)
-    return np.cumsum(mark)[: len(data)] > 0
+    start, count = (runs.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "count"))
+    return covered(start, count, length, len(data))
 
 
 def _digest(length: int):
