@@ -11,7 +11,8 @@ positions are ranked, about one byte in thirty.
    ones leave, until the rank covers every byte that all strings of the position share.
 2. What is left is past that threshold. A position's cell spans all the strings that it
    anchors: where a whole cell recurs, all its strings do. Where cells of one rank differ,
-   one of each kind gives its single strings, which are ranked the same way.
+   one of each kind gives blocks of strings; where what a block's strings share recurs, they
+   are ranked one by one.
 
 Ranks come from sums grouped before the shuffle, so a passage in a third of all
 documents is one group of a few partial rows.
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import RollingHash, byte_codes, cells, covered, spans_of, text_chunks
+from .kernels import RollingHash, byte_codes, cells, covered, mix, spans_of, text_chunks
 from .stage import discard, id_and_text, stage
 
 GRAM = 16
 PREFIX = 64
+BLOCK = 8
 
 
 def _windows(length: int) -> tuple[int, list[int]]:
@@ -91,15 +93,17 @@ def _emit_cells(length: int):
                 columns = {"rank": rolling.of(at, at + sizes[0]), "cell": rolling.of(start, stop, seed=3)}
                 columns |= {f"name{i}": x for i, x in enumerate(names)}
                 yield pa.record_batch(
-                    [pa.array(x.view(np.int64)) for x in columns.values()] + [pa.array(ids[lo:hi][doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array((stop - start - length + 1).astype(np.int32))],
-                    names=[*columns, "doc_id", "start", "n_strings"],
+                    [pa.array(x.view(np.int64)) for x in columns.values()] + [pa.array(ids[lo:hi][doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array((stop - start - length + 1).astype(np.int32)), pa.array((at - start).astype(np.int32))],
+                    names=[*columns, "doc_id", "start", "n_strings", "lead"],
                 )
 
     return run
 
 
 def _emit_strings(length: int):
-    """The single strings of cells: their fingerprints, and where they start."""
+    """The strings of cells in blocks counted back from the anchor: the fingerprint of what
+    all strings of a whole block share, and those of the strings."""
+    block = min(BLOCK, length)
 
     def run(batches):
         for batch in batches:
@@ -107,22 +111,22 @@ def _emit_strings(length: int):
             for lo, hi, data, off in text_chunks(batch.column(1)):
                 rolling = RollingHash(byte_codes(data))
                 part = batch.column(2).slice(lo, hi - lo)
-                sizes = np.diff(part.offsets.to_numpy())
+                doc = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
                 flat = part.flatten()
-                first = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-                count = flat.field("n_strings").to_numpy(zero_copy_only=False).astype(np.int64)
-                doc = np.repeat(np.arange(hi - lo), sizes)
-                doc = np.repeat(doc, count)
-                begin = np.repeat(np.cumsum(count) - count, count)
-                pos = np.repeat(first, count) + np.arange(len(doc)) - begin
-                rank = np.repeat(flat.field("rank").to_numpy(zero_copy_only=False), count)
-                fits = off[doc] + pos + length <= off[doc + 1]
-                doc, pos, rank = doc[fits], pos[fits], rank[fits]
-                at = off[doc] + pos
-                yield pa.record_batch(
-                    [pa.array(rank), pa.array(rolling.of(at, at + length, seed=3).view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(pos.astype(np.int32))],
-                    names=["rank", "string", "doc_id", "pos"],
-                )
+                start, count, lead, rank = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n_strings", "lead", "rank"))
+                fits = off[doc] + start + count - 1 + length <= off[doc + 1]
+                doc, start, count, lead, rank = doc[fits], start[fits], count[fits], lead[fits], rank[fits]
+                cell = np.repeat(np.arange(len(doc)), count)
+                step = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+                at = off[doc[cell]] + start[cell] + step
+                back = (lead[cell] - step) // block
+                new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (back[1:] != back[:-1])])) if len(cell) else np.zeros(0, np.int64)
+                own = cell[new]
+                near = off[doc[own]] + start[own] + lead[own] - block * back[new]  # where the block's last string starts
+                core = rolling.of(near, near + length - block + 1, seed=7) + mix(back[new].astype(np.uint64))
+                strings = rolling.of(at, at + length, seed=3).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(cell)).astype(np.int32)), pa.array(strings))
+                yield pa.record_batch([pa.array(rank[own]), pa.array(core.view(np.int64)), lists, pa.array(ids[lo:hi][doc[own]]), pa.array((start[own] + step[new]).astype(np.int32))], names=["rank", "core", "strings", "doc_id", "start"])
 
     return run
 
@@ -138,7 +142,7 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     repeated = positions.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
     candidates = stage(positions.join(repeated, "rank").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted")), "suffix-positions")
     names = [f"name{i}" for i in range(len(sizes) - 1)]
-    schema = "rank long, cell long, " + "".join(f"{x} long, " for x in names) + "doc_id long, start int, n_strings int"
+    schema = "rank long, cell long, " + "".join(f"{x} long, " for x in names) + "doc_id long, start int, n_strings int, lead int"
     ranked = stage(here.join(candidates, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_cells(length), schema), "suffix-ranks-0")
     discard(candidates)
     for i, name in enumerate(names):
@@ -146,14 +150,17 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         pairs = pairs.select("rank", name, F.xxhash64("least.doc_id", "least.start", "rank", name).alias("next_rank"))
         was, ranked = ranked, stage(ranked.join(pairs, ["rank", name]).drop("rank", name).withColumnRenamed("next_rank", "rank"), f"suffix-ranks-{i + 1}")
         discard(was)
-    kinds = stage(ranked.groupBy("rank", "cell").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_strings")).alias("least")), "suffix-kinds")
+    kinds = stage(ranked.groupBy("rank", "cell").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_strings", "lead")).alias("least")), "suffix-kinds")
     per_rank = kinds.groupBy("rank").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("n_all")).where("n_all > 1")
     whole_runs = ranked.join(kinds.where("n > 1").select("rank", "cell"), ["rank", "cell"]).select("doc_id", "start", F.col("n_strings").alias("count"))
-    samples = kinds.join(per_rank.where("n_kinds > 1").select("rank"), "rank").select("least.doc_id", F.struct("least.start", "least.n_strings", "rank").alias("part"))
+    samples = kinds.join(per_rank.where("n_kinds > 1").select("rank"), "rank").select("least.doc_id", F.struct("least.start", "least.n_strings", "least.lead", "rank").alias("part"))
     sampled = samples.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
-    strings = stage(here.join(sampled, "doc_id").select("doc_id", "text", "parts").mapInArrow(_emit_strings(length), "rank long, string long, doc_id long, pos int"), "suffix-strings")
+    blocks = stage(here.join(sampled, "doc_id").select("doc_id", "text", "parts").mapInArrow(_emit_strings(length), "rank long, core long, strings array<long>, doc_id long, start int"), "suffix-blocks")
+    cores = blocks.groupBy("rank", "core").agg(F.count("*").alias("n")).where("n > 1").select("rank", "core")
+    strings = stage(blocks.join(cores, ["rank", "core"]).select("rank", "doc_id", "start", F.posexplode("strings").alias("i", "string")), "suffix-strings")
+    discard(blocks)
     seen = strings.groupBy("rank", "string").agg(F.count("*").alias("n")).where("n > 1").select("rank", "string")
-    single_runs = strings.join(seen, ["rank", "string"]).select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("count"))
+    single_runs = strings.join(seen, ["rank", "string"]).select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("count"))
     return whole_runs.unionByName(single_runs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
 
 
