@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import true_midranks
-from .scoring import fused_scores, meet, scaler, view_scores, weights, distance
+from .scoring import distance, fused_scores, meet, scaler, view_scores, weights
 
 CONFIG = ("mode", "mode_order", "n_views", "h")
 
@@ -48,13 +48,11 @@ def fold_training_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame
 def selection_audit(training: DataFrame, digits: int = 12) -> DataFrame:
     """Fold x configuration with the selected one marked: best rank-1 rate, then mean log
     rank, fewer views, smaller h, mode order."""
-    rows = summarize_configurations(training.withColumn("_", F.lit(0)), digits) if "fold" not in training.columns else None
-    if rows is None:
-        hit = lambda k: F.count_if(F.coalesce(F.col("true_rank") <= k, F.lit(False)))
-        rows = training.groupBy("fold", *CONFIG).agg(F.count("*").alias("training_n"), (hit(1) / F.count("*")).alias("rank1_rate"), (hit(5) / F.count("*")).alias("rank5_rate"), (hit(10) / F.count("*")).alias("rank10_rate"), F.round(F.avg(F.ln("true_rank")), digits).alias("mean_log_rank"))
+    hit = lambda k: F.count_if(F.coalesce(F.col("true_rank") <= k, F.lit(False)))
+    rows = training.groupBy("fold", *CONFIG).agg(F.count("*").alias("training_n"), (hit(1) / F.count("*")).alias("rank1_rate"), (hit(5) / F.count("*")).alias("rank5_rate"), (hit(10) / F.count("*")).alias("rank10_rate"), F.round(F.avg(F.ln("true_rank")), digits).alias("mean_log_rank"))
     key = F.struct(-F.col("rank1_rate"), "mean_log_rank", "n_views", "h", "mode_order")
-    best = rows.groupBy("fold").agg(F.min_by(F.struct("mode", "h"), key).alias("best"))
-    return rows.join(best, "fold").withColumn("selected", (F.col("mode") == F.col("best.mode")) & (F.col("h") == F.col("best.h"))).drop("best")
+    # a fold has one row a configuration, so a window over it is small
+    return rows.withColumn("selected", F.row_number().over(Window.partitionBy("fold").orderBy(key)) == 1)
 
 
 def held_out_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, audit: DataFrame, digits: int | None = None) -> DataFrame:
@@ -70,15 +68,17 @@ def tie_stages(audit: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """By fold: how many configurations each criterion leaves and which one decides. The two
     float criteria allow the tolerance. resolved_mode and resolved_h repeat the choice."""
     out = audit.select("fold", *CONFIG, "rank1_rate", "mean_log_rank", "selected")
+    within, best = Window.partitionBy("fold"), F.lit(True)
     steps = (("rank1_rate", F.max, tolerance), ("mean_log_rank", F.min, tolerance), ("n_views", F.min, 0.0), ("h", F.min, 0.0), ("mode_order", F.min, 0.0))
-    counts = None
-    for i, (column, extreme, slack) in enumerate(steps):
-        best = out.groupBy("fold").agg(extreme(column).alias("best"))
-        out = out.join(best, "fold").where(F.abs(F.col(column) - F.col("best")) <= slack).drop("best")
-        n = out.groupBy("fold").agg(F.count("*").alias(f"left_{i}"))
-        counts = n if counts is None else counts.join(n, "fold")
+    for i, (column, extreme, slack) in enumerate(steps):  # one sort by fold serves all windows
+        top = extreme(F.when(best, F.col(column))).over(within)
+        out = out.withColumn(f"in_{i}", best & (F.abs(F.col(column) - top) <= slack))
+        best = F.col(f"in_{i}")
+    left = [F.count_if(F.col(f"in_{i}")).alias(f"left_{i}") for i in range(len(steps))]
+    winner = F.max_by(F.struct(F.col("mode").alias("resolved_mode"), F.col("h").alias("resolved_h"), F.col("selected").alias("agrees")), F.col("in_4").cast("int")).alias("w")
+    counts = out.groupBy("fold").agg(*left, winner)
     stage = F.when(F.col("left_0") == 1, "rank1_rate").when(F.col("left_1") == 1, "mean_log_rank").when(F.col("left_2") == 1, "n_views").when(F.col("left_3") == 1, "h").otherwise("mode_order")
-    return counts.join(out.select("fold", F.col("mode").alias("resolved_mode"), F.col("h").alias("resolved_h"), F.col("selected").alias("agrees")), "fold").withColumn("stage", stage)
+    return counts.select("fold", *[f"left_{i}" for i in range(len(steps))], "w.*", stage.alias("stage"))
 
 
 def require_complete_audit(audit: DataFrame) -> None:

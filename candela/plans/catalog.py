@@ -154,8 +154,9 @@ def tie_stage_summary(spark, sf_dir):
 
 
 def deviating_folds(spark, sf_dir):
+    q, g = queries_and_gallery(spark, sf_dir)
     audit = crossfit_selection_audit(spark, sf_dir).persist()
-    return crossfit.deviating_folds(audit, crossfit_true_rank(spark, sf_dir), _fixed(spark, sf_dir))
+    return crossfit.deviating_folds(audit, crossfit.held_out_ranks(q, g, _modes(spark), audit, DIGITS), _fixed(spark, sf_dir))
 
 
 def _ranks(spark, sf_dir):
