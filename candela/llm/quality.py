@@ -16,6 +16,18 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def model(docs: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS):
+    """The model of the labelled rows that are not held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~held_out())
+    return subword.learn(docs, known, settings)
+
+
+def keep(docs: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, threshold: float = THRESHOLD, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that are predicted to be good, as they are; rows without an id too."""
+    scored = subword.with_score(docs, model(docs if learn_from is None else learn_from, labels, settings), settings, name="_score")
+    return scored.where(F.col("_score") >= threshold).drop("_score")
+
+
 def classify(docs: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, threshold: float = THRESHOLD, learn_from: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted): the chance that labels.quality marks a document
     with 1, learnt from the rows that are not held out, with the texts of learn_from (docs, if none).
@@ -23,6 +35,5 @@ def classify(docs: DataFrame, labels: DataFrame, settings: subword.Settings = SE
     Only texts are inputs. Null and empty texts get the score of no tokens; without labels
     of both classes every score is their share of 1, or one half without any. Rows without
     an id take no part, repeated rows each give a row, other columns are ignored."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~held_out())
-    scored = subword.score(docs, subword.learn(docs if learn_from is None else learn_from, known, settings), settings)
+    scored = subword.score(docs, model(docs if learn_from is None else learn_from, labels, settings), settings)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .kernels import LOWER, SEPARATOR, U, Words, text_chunks
 from .stage import id_and_text
@@ -220,3 +221,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settin
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(score_chunk(data, off, weights, bias, lower))], names=["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def with_score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settings(), text_col: str = "text", name: str = "score") -> DataFrame:
+    """All rows and columns of docs with the score of their texts beside them; no shuffle."""
+    shared, lower, at = docs.sparkSession.sparkContext.broadcast(model), s.lower, docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+
+    def run(batches):
+        weights, bias = shared.value
+        for batch in batches:
+            got = [score_chunk(data, off, weights, bias, lower) for _, _, data, off in text_chunks(batch.column(at), 1 << 18)]
+            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
