@@ -17,14 +17,12 @@ from candela.llm.stage import DOCUMENT_COLUMNS, shared_dir, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
-    return docs.join(judged.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_semi").select(*DOCUMENT_COLUMNS)
+    return quality.keep(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't predict to be toxic."""
-    judged = toxicity.classify(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
-    return docs.join(judged.where("predicted = 0").select("doc_id").distinct(), "doc_id", "left_semi").select(*DOCUMENT_COLUMNS)
+    return toxicity.keep(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
