@@ -29,20 +29,41 @@ def summarize_configurations(ranks: DataFrame, digits: int = 12) -> DataFrame:
 
 def fold_training_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None) -> DataFrame:
     """(fold, query_case, query_person, configuration, true_rank): for each held-out query
-    person all other queries, ranked in the gallery without that person, scaled without it."""
+    person all other queries, ranked in the gallery without that person, scaled without it.
+
+    A row of the scoring join holds all views of one h and the query's genuine reference, so
+    each configuration is two counters of one aggregation and no score is shuffled."""
+    own = sorted({(r["mode_order"], r["mode"], r["n_views"]) for r in modes.collect()})
+    parts = {m: sorted(r["view"] for r in modes.where(F.col("mode") == m).collect()) for _, m, _ in own}
+    views = sorted({v for p in parts.values() for v in p})
+    side_by_side = lambda df, keys, value, prefix: df.groupBy(*keys).agg(*[F.first(F.when(F.col("view") == v, value), ignorenulls=True).alias(f"{prefix}_{v}") for v in views])
     folds = queries.select(F.col("person_id").alias("fold")).distinct()
     fit = scaler(folds.withColumnRenamed("fold", "person_id"), gallery).withColumnRenamed("person_id", "fold")
-    asked = queries.select(F.col("case_id").alias("query_case"), F.col("person_id").alias("query_person"), "view", "h", F.col("f").alias("q"))
-    held = gallery.select(F.col("case_id").alias("db_case"), F.col("person_id").alias("db_person"), "view", "h", F.col("f").alias("r"))
-    scaled = asked.join(fit, ["view", "h"]).where("fold <> query_person").select("fold", "query_case", "query_person", "view", "h", "q", weights(F.col("lo"), F.col("hi")).alias("w"))
-    n = queries.count()
-    pairs = meet(scaled, held, n * folds.count(), gallery.count(), on=("view", "h"), block_rows=8192).where("db_person <> fold")
-    d = distance(F.col("q"), F.col("r"), F.col("w"))
-    pairs = pairs.withColumn("distance", d if digits is None else F.round(d, digits))
-    s = 1.0 / (1.0 + F.col("distance"))
-    views = pairs.select("fold", "query_case", "query_person", "db_case", "db_person", "view", "h", "distance", (s if digits is None else F.round(s, digits)).alias("score"), F.size("q").alias("n_features"))
-    scores = fused_scores(views, modes, ("fold", "query_case", "query_person", "db_case", "db_person"), digits)
-    return true_midranks(scores, ("fold", "query_case", "query_person", *CONFIG))
+    fit = side_by_side(fit, ("fold", "h"), weights(F.col("lo"), F.col("hi")), "w")
+    asked = side_by_side(queries, ("case_id", "person_id", "h"), F.col("f"), "q").withColumnsRenamed({"case_id": "query_case", "person_id": "query_person"})
+    held = side_by_side(gallery, ("case_id", "person_id", "h"), F.col("f"), "r").withColumnsRenamed({"case_id": "db_case", "person_id": "db_person"})
+    several = F.when(F.count("*") > 1, F.raise_error(F.lit("a query has several genuine references")).cast("int")).alias("_n")
+    genuine = held.groupBy(F.col("db_person").alias("query_person"), "h").agg(several, *[F.first(f"r_{v}").alias(f"g_{v}") for v in views])
+    scaled = asked.join(fit, "h").where("fold <> query_person").join(genuine, ["query_person", "h"], "left")
+    pairs = meet(scaled, held, queries.select("case_id").distinct().count() ** 2, gallery.select("case_id").distinct().count(), on=("h",), block_rows=8192).where("db_person <> fold")
+
+    def score(other: str, view: str):
+        d = distance(F.col(f"q_{view}"), F.col(f"{other}_{view}"), F.col(f"w_{view}"))
+        s = 1.0 / (1.0 + (d if digits is None else F.round(d, digits)))
+        return s if digits is None else F.round(s, digits)
+
+    def fused(other: str, mode: str):
+        each = [F.col(f"{other}s_{v}") for v in parts[mode]]
+        mean = sum(each[1:], each[0]) / len(each)
+        return each[0] if len(each) == 1 else mean if digits is None else F.round(mean, digits + 3)
+
+    keys = ["fold", "query_case", "query_person", "h"]
+    scored = pairs.select(*keys, *[score(o, v).alias(f"{o}s_{v}") for o in "rg" for v in views])
+    compared = scored.select(*keys, *[x.alias(f"{n}_{i}") for i, m, _ in own for n, x in (("s", fused("r", m)), ("g", fused("g", m)))])
+    counts = compared.groupBy(*keys).agg(*[x.alias(f"{n}_{i}") for i, _, _ in own for n, x in (("b", F.count_if(F.col(f"s_{i}") > F.col(f"g_{i}"))), ("e", F.count_if(F.col(f"s_{i}") == F.col(f"g_{i}"))))])
+    rank = lambda i: F.when(F.col(f"e_{i}") > 0, 1.0 + F.col(f"b_{i}") + 0.5 * (F.col(f"e_{i}") - 1))
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(i).alias("mode_order"), F.lit(n).alias("n_views"), rank(i).alias("true_rank")) for i, m, n in own])
+    return counts.select(*keys, F.explode(rows).alias("x")).select("fold", "query_case", "query_person", "x.mode", "x.mode_order", "x.n_views", "h", "x.true_rank")
 
 
 def selection_audit(training: DataFrame, digits: int = 12) -> DataFrame:
