@@ -5,47 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import true_midranks
-from .scoring import distance, fused_scores, meet, scaler, view_scores, weights
+from .scoring import distance, meet, scaler, weights
 
 CONFIG = ("mode", "mode_order", "n_views", "h")
 
 
-def fixed_configurations(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None) -> DataFrame:
-    """True mid-rank of every query under every configuration, each scaled without its person."""
-    scores = fused_scores(view_scores(queries, gallery, digits=digits), modes, digits=digits)
-    return true_midranks(scores, ("query_case", "query_person", *CONFIG))
+def _side_by_side(df: DataFrame, keys, views, value, prefix: str) -> DataFrame:
+    """One row a key with a column for each view."""
+    return df.groupBy(*keys).agg(*[F.first(F.when(F.col("view") == v, value), ignorenulls=True).alias(f"{prefix}_{v}") for v in views])
 
 
-def summarize_configurations(ranks: DataFrame, digits: int = 12) -> DataFrame:
-    """By configuration: counts and rates at 1, 5 and 10, median and mean rank, mean log rank."""
-    hit = lambda k: F.count_if(F.coalesce(F.col("true_rank") <= k, F.lit(False)))
-    out = ranks.groupBy(*CONFIG).agg(
-        F.count("*").alias("n"), *[hit(k).alias(f"rank{k}_count") for k in (1, 5, 10)],
-        F.median("true_rank").alias("median_rank"), F.round(F.avg("true_rank"), digits).alias("mean_rank"), F.round(F.avg(F.ln("true_rank")), digits).alias("mean_log_rank"),
-    )
-    return out.withColumns({f"rank{k}_rate": F.col(f"rank{k}_count") / F.col("n") for k in (1, 5, 10)})
-
-
-def fold_training_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None) -> DataFrame:
-    """(fold, query_case, query_person, configuration, true_rank): for each held-out query
-    person all other queries, ranked in the gallery without that person, scaled without it.
+def _ranks(asked: DataFrame, gallery: DataFrame, modes: DataFrame, keys: list[str], asked_rows: int, digits: int | None, leave_out: str | None = None) -> DataFrame:
+    """True mid-ranks by keys and configuration of asked rows: keys, h, and for each
+    view the features q_ and weights w_.
 
     A row of the scoring join holds all views of one h and the query's genuine reference, so
     each configuration is two counters of one aggregation and no score is shuffled."""
-    own = sorted({(r["mode_order"], r["mode"], r["n_views"]) for r in modes.collect()})
+    own = sorted({(r["mode_order"], r["mode"], r["n_views"]) for r in modes.collect()})  # a few rows
     parts = {m: sorted(r["view"] for r in modes.where(F.col("mode") == m).collect()) for _, m, _ in own}
     views = sorted({v for p in parts.values() for v in p})
-    side_by_side = lambda df, keys, value, prefix: df.groupBy(*keys).agg(*[F.first(F.when(F.col("view") == v, value), ignorenulls=True).alias(f"{prefix}_{v}") for v in views])
-    folds = queries.select(F.col("person_id").alias("fold")).distinct()
-    fit = scaler(folds.withColumnRenamed("fold", "person_id"), gallery).withColumnRenamed("person_id", "fold")
-    fit = side_by_side(fit, ("fold", "h"), weights(F.col("lo"), F.col("hi")), "w")
-    asked = side_by_side(queries, ("case_id", "person_id", "h"), F.col("f"), "q").withColumnsRenamed({"case_id": "query_case", "person_id": "query_person"})
-    held = side_by_side(gallery, ("case_id", "person_id", "h"), F.col("f"), "r").withColumnsRenamed({"case_id": "db_case", "person_id": "db_person"})
+    held = _side_by_side(gallery, ("case_id", "person_id", "h"), views, F.col("f"), "r").withColumnsRenamed({"case_id": "db_case", "person_id": "db_person"})
     several = F.when(F.count("*") > 1, F.raise_error(F.lit("a query has several genuine references")).cast("int")).alias("_n")
     genuine = held.groupBy(F.col("db_person").alias("query_person"), "h").agg(several, *[F.first(f"r_{v}").alias(f"g_{v}") for v in views])
-    scaled = asked.join(fit, "h").where("fold <> query_person").join(genuine, ["query_person", "h"], "left")
-    pairs = meet(scaled, held, queries.select("case_id").distinct().count() ** 2, gallery.select("case_id").distinct().count(), on=("h",), block_rows=8192).where("db_person <> fold")
+    pairs = meet(asked.join(genuine, ["query_person", "h"], "left"), held, asked_rows, gallery.select("case_id").distinct().count(), on=("h",), block_rows=8192)
+    if leave_out:
+        pairs = pairs.where(F.col("db_person") != F.col(leave_out))
 
     def score(other: str, view: str):
         d = distance(F.col(f"q_{view}"), F.col(f"{other}_{view}"), F.col(f"w_{view}"))
@@ -57,13 +41,46 @@ def fold_training_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame
         mean = sum(each[1:], each[0]) / len(each)
         return each[0] if len(each) == 1 else mean if digits is None else F.round(mean, digits + 3)
 
-    keys = ["fold", "query_case", "query_person", "h"]
+    keys = [*keys, "h"]
     scored = pairs.select(*keys, *[score(o, v).alias(f"{o}s_{v}") for o in "rg" for v in views])
     compared = scored.select(*keys, *[x.alias(f"{n}_{i}") for i, m, _ in own for n, x in (("s", fused("r", m)), ("g", fused("g", m)))])
-    counts = compared.groupBy(*keys).agg(*[x.alias(f"{n}_{i}") for i, _, _ in own for n, x in (("b", F.count_if(F.col(f"s_{i}") > F.col(f"g_{i}"))), ("e", F.count_if(F.col(f"s_{i}") == F.col(f"g_{i}"))))])
-    rank = lambda i: F.when(F.col(f"e_{i}") > 0, 1.0 + F.col(f"b_{i}") + 0.5 * (F.col(f"e_{i}") - 1))
-    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(i).alias("mode_order"), F.lit(n).alias("n_views"), rank(i).alias("true_rank")) for i, m, n in own])
-    return counts.select(*keys, F.explode(rows).alias("x")).select("fold", "query_case", "query_person", "x.mode", "x.mode_order", "x.n_views", "h", "x.true_rank")
+    counts = compared.groupBy(*keys).agg(F.count("*").alias("n_gallery"), *[x.alias(f"{n}_{i}") for i, _, _ in own for n, x in (("b", F.count_if(F.col(f"s_{i}") > F.col(f"g_{i}"))), ("e", F.count_if(F.col(f"s_{i}") == F.col(f"g_{i}"))))])
+    found = lambda i, x: F.when(F.col(f"e_{i}") > 0, x)
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(i).alias("mode_order"), F.lit(n).alias("n_views"), found(i, 1.0 + F.col(f"b_{i}") + 0.5 * (F.col(f"e_{i}") - 1)).alias("true_rank"), found(i, F.col(f"e_{i}") - 1).alias("n_ties")) for i, m, n in own])
+    return counts.select(*keys, "n_gallery", F.explode(rows).alias("x")).select(*keys, "x.*", "n_gallery")
+
+
+def _asked(queries: DataFrame, views) -> DataFrame:
+    return _side_by_side(queries, ("case_id", "person_id", "h"), views, F.col("f"), "q").withColumnsRenamed({"case_id": "query_case", "person_id": "query_person"})
+
+
+def fixed_configurations(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None) -> DataFrame:
+    """True mid-rank of every query under every configuration, each scaled without its person."""
+    views = sorted(r[0] for r in modes.select("view").distinct().collect())
+    fit = _side_by_side(scaler(queries.select("person_id").distinct(), gallery), ("person_id", "h"), views, weights(F.col("lo"), F.col("hi")), "w")
+    asked = _asked(queries, views).join(fit.withColumnRenamed("person_id", "query_person"), ["query_person", "h"])
+    return _ranks(asked, gallery, modes, ["query_case", "query_person"], queries.select("case_id").distinct().count(), digits)
+
+
+def summarize_configurations(ranks: DataFrame, digits: int = 12) -> DataFrame:
+    """By configuration: counts and rates at 1, 5 and 10, median and mean rank, mean log rank."""
+    hit = lambda k: F.count_if(F.coalesce(F.col("true_rank") <= k, F.lit(False)))
+    out = ranks.groupBy(*CONFIG).agg(
+        F.count("*").alias("n"), *[hit(k).alias(f"rank{k}_count") for k in (1, 5, 10)],
+        F.median("true_rank").alias("median_rank"), F.round(F.avg("true_rank"), digits).alias("mean_rank"), F.round(F.avg(F.ln("true_rank")), digits).alias("mean_log_rank"),
+    )
+    return out.withColumns({f"rank{k}_rate": F.col(f"rank{k}_count") / F.col("n") for k in (1, 5, 10)})
+
+
+def fold_training_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None) -> DataFrame:
+    """(fold, query_case, query_person, configuration, true_rank): for each held-out query
+    person all other queries, ranked in the gallery without that person, scaled without it."""
+    views = sorted(r[0] for r in modes.select("view").distinct().collect())
+    fit = scaler(queries.select("person_id").distinct(), gallery).withColumnRenamed("person_id", "fold")
+    fit = _side_by_side(fit, ("fold", "h"), views, weights(F.col("lo"), F.col("hi")), "w")
+    asked = _asked(queries, views).join(fit, "h").where("fold <> query_person")
+    n = queries.select("case_id").distinct().count()
+    return _ranks(asked, gallery, modes, ["fold", "query_case", "query_person"], n * n, digits, leave_out="fold")
 
 
 def selection_audit(training: DataFrame, digits: int = 12) -> DataFrame:
@@ -80,8 +97,7 @@ def held_out_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, aud
     """Each query against the whole gallery under its fold's configuration, the scaler still
     without its person: true mid-rank and the flags at 1, 5 and 10."""
     chosen = audit.where("selected").select(F.col("fold").alias("query_person"), "mode", "h")
-    scores = fused_scores(view_scores(queries, gallery, digits=digits), modes, digits=digits).join(chosen, ["query_person", "mode", "h"])
-    ranks = true_midranks(scores, ("query_case", "query_person", *CONFIG))
+    ranks = fixed_configurations(queries, gallery, modes, digits).join(chosen, ["query_person", "mode", "h"])
     return ranks.withColumns({f"rank_{k}": F.coalesce(F.col("true_rank") <= k, F.lit(False)) for k in (1, 5, 10)})
 
 

@@ -79,3 +79,15 @@ def test_crossfit_selects_the_smallest_of_equals(spark):
     assert {(r["mode"], r["h"]) for r in audit.where("selected").collect()} == {("cor", 5)} and audit.count() == 3 * 14
     assert [r["true_rank"] for r in crossfit.held_out_ranks(q, g, modes, audit).collect()] == [1.0, 1.0, 1.0]
     assert {(r["stage"], r["agrees"]) for r in crossfit.tie_stages(audit).collect()} == {("mode_order", True)}
+
+
+def test_counters_equal_the_fused_scores(spark):
+    rng = random.Random(9)
+    schema = "case_id string, person_id string, view string, h int, f array<double>"
+    rows = lambda tag, people: spark.createDataFrame([(f"{tag}{p}", p, v, h, [float(rng.randint(0, 3)), float(rng.randint(0, 3))]) for p in people for v in scoring.VIEWS for h in (2, 4)], schema)
+    q, g, modes = rows("q", "ABCDZ"), rows("r", "ABCDEFGH"), scoring.modes_table(spark)
+    by = ["query_case", "query_person", *crossfit.CONFIG]
+    want = ranking.true_midranks(scoring.fused_scores(scoring.view_scores(q, g, digits=9), modes, digits=9), tuple(by))
+    got = crossfit.fixed_configurations(q, g, modes, 9)
+    pick = lambda df: sorted((tuple(r[c] for c in by), r["true_rank"], r["n_ties"], r["n_gallery"]) for r in df.collect())
+    assert pick(got) == pick(want) and any(r["true_rank"] is None for r in got.collect())
