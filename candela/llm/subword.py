@@ -80,12 +80,12 @@ def token_buckets(data: np.ndarray, off: np.ndarray, log2: int, lower: bool = Tr
 
 
 def document_features(data: np.ndarray, off: np.ndarray, log2: int, lower: bool = True):
-    """For each document the distinct buckets and their counts."""
+    """For each document the distinct buckets and their counts, at most 32767."""
     doc, bucket = token_buckets(data, off, log2, lower)
     key, count = np.unique(doc.astype(np.int64) << log2 | bucket, return_counts=True)
     cut = np.searchsorted(key >> log2, np.arange(len(off)))
     key &= (1 << log2) - 1
-    return [(key[a:b].astype(np.int32), count[a:b].astype(np.float32)) for a, b in zip(cut[:-1], cut[1:])]
+    return [(key[a:b].astype(np.int32), np.minimum(count[a:b], 32767).astype(np.int16)) for a, b in zip(cut[:-1], cut[1:])]
 
 
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, float]:
@@ -107,8 +107,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
     seen = np.zeros(1 << s.buckets_log2, np.int32)
     for ids, _ in features:
         seen[ids] += 1
-    vectors[seen < s.min_docs] = 0
-    features = [(ids[k], count[k]) for ids, count in features for k in [seen[ids] >= s.min_docs]]
+    rare = seen < s.min_docs  # these stay at zero: they count as tokens and say nothing
+    vectors[rare] = 0
     for epoch in range(s.epochs):
         order = rng.permutation(n)
         step = 1.0 - 0.9 * epoch / max(1, s.epochs - 1)
@@ -117,7 +117,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
             if not rows:
                 continue
             ids = np.concatenate([features[i][0] for i in rows])
-            share = np.concatenate([features[i][1] / features[i][1].sum() for i in rows])
+            share = np.concatenate([(features[i][1] / features[i][1].sum()).astype(np.float32) for i in rows])
             size = np.array([len(features[i][0]) for i in rows])
             mean = np.add.reduceat(vectors[ids] * share[:, None], np.cumsum(size) - size, axis=0)
             logits = mean @ out + bias
@@ -127,7 +127,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
             delta = p[:, 1]  # the two errors are opposite, so every vector moves along one direction
             direction = out[:, 1] - out[:, 0]
             pull = np.bincount(ids, np.repeat(delta, size) * share, 1 << s.buckets_log2).astype(np.float32)
-            hit = np.flatnonzero(pull)
+            hit = np.flatnonzero((pull != 0) & ~rare)
             squares[hit] += pull[hit] ** 2
             vectors[hit] -= (s.rate * step * pull[hit] / np.sqrt(squares[hit]))[:, None] * direction[None, :]
             out -= s.weight_rate * step * (mean.T @ p) / len(rows)
@@ -181,7 +181,7 @@ def _features(log2: int, lower: bool):
             for lo, hi, data, off in text_chunks(batch.column(1)):
                 found = document_features(data, off, log2, lower)
                 part = batch.slice(lo, hi - lo)
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["doc_id", "label", "ids", "counts"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int16()))], names=["doc_id", "label", "ids", "counts"])
 
     return run
 
@@ -195,14 +195,14 @@ def learn(docs: DataFrame, labelled: DataFrame, s: Settings = Settings()) -> tup
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     some = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows) for c in (0, 1)]
     chosen = some[0].unionByName(some[1])  # at most 2 * sample_rows ids, so it can be broadcast
-    taken = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_features(s.buckets_log2, s.lower), "doc_id long, label int, ids array<int>, counts array<float>")
-    got = taken.toArrow().combine_chunks().sort_by("doc_id")
-    ids, counts = got["ids"].combine_chunks(), got["counts"].combine_chunks()
-    ids, counts = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, counts))
-    cut = ids.offsets.to_numpy() if len(got) else np.zeros(1, np.int32)
-    flat_ids, flat_counts = ids.values.to_numpy(zero_copy_only=False), counts.values.to_numpy(zero_copy_only=False)
-    features = [(flat_ids[a:b], flat_counts[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-    labels = np.array(got["label"].to_pylist(), np.int64)
+    taken = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_features(s.buckets_log2, s.lower), "doc_id long, label int, ids array<int>, counts array<smallint>")
+    rows_ = []
+    for batch in taken.toArrow().to_batches():  # views, not copies
+        ids, counts = batch.column(2), batch.column(3)
+        cut, flat_ids, flat_counts = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), counts.values.to_numpy(zero_copy_only=False)
+        rows_ += [(d, y, (flat_ids[a:b], flat_counts[a:b])) for d, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cut[:-1], cut[1:])]
+    rows_.sort(key=lambda r: r[0])
+    features, labels = [r[2] for r in rows_], np.array([r[1] for r in rows_], np.int64)
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     return fit(features, labels, share, s)
 
