@@ -1,5 +1,5 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one warm-up each, then timed into
-a noop sink; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS], after one warm-up query, timed into
+a noop sink with the cache cleared before each; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -29,6 +29,7 @@ def main() -> None:
     every, took = catalog.queries(), {}
     every["case_contract_audit"](spark, sf).write.format("noop").mode("overwrite").save()
     for name in NAMES:
+        spark.catalog.clearCache()
         start = time.perf_counter()
         every[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)

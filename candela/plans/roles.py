@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a (user, half) with all feature columns; one aggregation of events."""
+    """One row a (user, half) with all feature columns; one aggregation of events, kept by
+    Spark (on disk where memory is short), as scaler, queries and gallery all read it."""
     e = table(spark, sf_dir, "events").where("user_id is not null and ts is not null")
     flag = (F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz")).cast("int")
     r = lambda c: F.round(c, 9)
@@ -34,7 +35,7 @@ def wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.concat(F.lit("U"), "user_id", F.when(F.col("pre_0_post_1") == 1, "_POST").otherwise("_PRE")).alias("case_id"), F.concat(F.lit("U"), "user_id").alias("person_id"),
         F.col("pre_0_post_1").cast("byte").alias("pre_0_post_1"), F.when(F.col("user_id") % 2 == 0, "institutional").otherwise("distractor").alias("dataset"), *[c for c in out.columns if c not in ("user_id", "pre_0_post_1")],
-    )
+    ).persist()
 
 
 BLOCKS = {
