@@ -11,8 +11,10 @@ A phrase is a window of consecutive words. The job
 4. streams every cell through its shard's automaton, which locates every phrase, and
    brings what was found back to every document.
 
-A hot passage stays one distinct cell however many documents hold it; an anchor with
-very many different cells is dealt out again by phrase.
+Inside a hot passage a cell stays one distinct cell however many documents hold it. At its
+edges cells also span the neighbouring words, so they differ by document: the phrases of an
+anchor with very many cells are made distinct by an aggregate, one row of each goes to the
+automata, and a join on the phrase brings the owners back to the cells.
 """
 
 from __future__ import annotations
@@ -86,7 +88,8 @@ def _automaton(length: int):
         The passage of an anchor with one cell is that cell; otherwise each phrase is one. A
         word is two letters, its number's digits in a base about the root of the vocabulary,
         each digit with letters of its own: no node of the automaton has many children, and
-        matches keep to whole words. Gives runs of phrases: offset, count, owner."""
+        matches keep to whole words. Gives runs of phrases: offset, count, owner. Rows with a
+        phrase are one phrase of a hot anchor, known by its words alone."""
         numbers: dict[str, int] = {}
         split = [text.split(" ") for text in rows["words"]]
         size = np.array([len(c) for c in split], np.int64)
@@ -133,11 +136,18 @@ def _automaton(length: int):
                     offsets.append(o)
                     counts.append(c)
                     values.append(v)
-        return pd.DataFrame({"anchor": rows["anchor"].iloc[keep], "cell": rows["cell"].iloc[keep], "offsets": offsets, "counts": counts, "owners": values})
+        return pd.DataFrame({"anchor": rows["anchor"].iloc[keep], "cell": rows["cell"].iloc[keep], "offsets": offsets, "counts": counts, "owners": values, "phrase": rows["phrase"].iloc[keep]})
 
     return run
 
 
+def _phrases(cells_: DataFrame, length: int) -> DataFrame:
+    """(anchor, cell, lo, hi, base, phrase): a row for each phrase of each cell, by its words."""
+    return cells_.withColumn("w", F.split("words", " ", -1)).select(
+        "anchor", "cell", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {length}), j -> array_join(slice(w, j + 1, {length}), ' '))")).alias("base", "phrase")
+    )
+
+
 def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     """(doc_id, runs array<struct<start,count>>): the word windows of each document whose words
     also start a window in a document with a smaller doc_id. Documents without any are left out.
@@ -157,16 +167,20 @@ def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
     live = stage(here.join(wanted, "doc_id").select("text", "parts").mapInArrow(_emit_words, "anchor long, cell long, lo long, hi long, n_cells long, words string"), "phrase-words")
     discard(kinds)
-    shards = max(1, -(-live.count() // SHARD_CELLS))
-    hot = (
-        live.where(F.col("n_cells") > HOT_ANCHOR_CELLS)
-        .withColumn("w", F.split("words", " ", -1))
-        .select("anchor", "cell", "n_cells", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {length}), j -> array_join(slice(w, j + 1, {length}), ' '))")).alias("base", "words"))
-        .withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
-    )
-    cool = live.where(F.col("n_cells") <= HOT_ANCHOR_CELLS).select("anchor", "cell", "n_cells", "lo", "hi", F.lit(0).alias("base"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    located = stage(cool.unionByName(hot).groupBy("shard").applyInPandas(_automaton(length), "anchor long, cell long, offsets array<int>, counts array<int>, owners array<long>"), "phrase-located")
-    discard(live)
+    hot = _phrases(live.where(F.col("n_cells") > HOT_ANCHOR_CELLS), length)
+    # minima and maxima combine before the shuffle: a phrase of any number of cells is a few rows
+    distinct = stage(hot.groupBy("phrase").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi"), "phrase-hot")
+    cool = live.where(F.col("n_cells") <= HOT_ANCHOR_CELLS)
+    shards = max(1, -(-(cool.count() + distinct.count()) // SHARD_CELLS))
+    cool = cool.select("anchor", "cell", "n_cells", "lo", "hi", F.lit(0).alias("base"), "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.lit(None).cast("string").alias("phrase"))
+    no = F.lit(0).cast("long")  # not null: pandas would make the shard's keys floats
+    once = distinct.select(no.alias("anchor"), no.alias("cell"), F.lit(2).cast("long").alias("n_cells"), "lo", "hi", F.lit(0).alias("base"), F.col("phrase").alias("words"), F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard"), "phrase")
+    runs = "offsets array<int>, counts array<int>, owners array<long>"
+    matched = stage(cool.unionByName(once).groupBy("shard").applyInPandas(_automaton(length), f"anchor long, cell long, {runs}, phrase string"), "phrase-matched")
+    owners = matched.where("phrase is not null").select("phrase", F.col("owners")[0].alias("owner"))
+    hot = hot.join(owners, "phrase").where("owner < hi").select("anchor", "cell", F.array("base").alias("offsets"), F.array(F.lit(1)).alias("counts"), F.array("owner").alias("owners"))
+    located = matched.where("phrase is null").drop("phrase").unionByName(stage(hot, "phrase-located"))
+    discard(live, distinct)
     return (
         cells_.select("anchor", "cell", "doc_id", "start")
         .join(located, ["anchor", "cell"])

@@ -57,6 +57,29 @@ def test_op1_hot_anchor(docs, monkeypatch):
     assert tuples(substring_dedup.repeat_digest(docs)) == brute.op1(ROWS)
 
 
+def test_op1_hot_phrase_is_one_row(spark, monkeypatch):
+    # a passage between words that differ by document: its edge cells differ, too
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(30))
+    near = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(20))
+    rows = [(i, f"{near()} {passage} {near()}") for i in range(80)]
+    inner = substring_dedup._automaton
+
+    def checked(length):
+        run = inner(length)
+
+        def once(rows):
+            if not rows["words"].is_unique:
+                raise ValueError("a phrase came to a shard more than once")
+            return run(rows)
+
+        return once
+
+    monkeypatch.setattr(substring_dedup, "_automaton", checked)
+    monkeypatch.setattr(substring_dedup, "HOT_ANCHOR_CELLS", 10)
+    assert tuples(substring_dedup.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.op1(rows)
+
+
 def test_op1_texts(docs):
     kept = dict(tuples(substring_dedup.remove_repeats(docs)))
     assert {d: brute.sha(t) for d, t in kept.items()} == {r[0]: r[3] for r in brute.op1(ROWS)}
