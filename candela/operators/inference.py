@@ -59,22 +59,27 @@ def boot_indices(n: int, replicates: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, n, size=(replicates, n))
 
 
-def bootstrap_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 10_000, seed: int = 42, methods=("true_rank",), block: int = 500, max_rows: int = 100_000) -> DataFrame:
+def bootstrap_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 10_000, seed: int = 42, methods=("true_rank",), block: int = 500) -> DataFrame:
     """(replicate, method, k, rate): people drawn with replacement, the same draw for every
-    method. Blocks of replicates are tasks, each with its own generator, seeded by its number;
-    the ranks go to every task, so more than max_rows people fail."""
+    method. People with the same hits count alike, so they are counted by hit pattern in Spark,
+    at most (len(ks) + 1) ** len(methods) rows for any number of people, and a replicate is one
+    multinomial draw of the patterns. Blocks of replicates are tasks, each with its own
+    generator, seeded by its number."""
     spark = ranks.sparkSession
-    rows = ranks.select("query_person", *methods).orderBy("query_person").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} people; use block_rates")
-    hits = spark.sparkContext.broadcast(np.array([[[r[m] is not None and r[m] <= k for k in ks] for m in methods] for r in rows], float))
+    names = [f"h{i}_{j}" for i in range(len(methods)) for j in range(len(ks))]
+    hit = [F.coalesce(F.col(m) <= k, F.lit(False)).alias(f"h{i}_{j}") for i, m in enumerate(methods) for j, k in enumerate(ks)]
+    rows = sorted(tuple(r) for r in ranks.select(*hit).groupBy(*names).agg(F.count("*").alias("n")).collect())
+    patterns = spark.sparkContext.broadcast((np.array([r[:-1] for r in rows], float), np.array([r[-1] for r in rows], np.int64)))
 
     def run(frames):
         for frame in frames:
             for b in frame["id"]:
-                own, size = hits.value, min(block, replicates - b * block)
-                draws = np.random.default_rng([seed, int(b)]).integers(0, len(own), size=(size, len(own)))
-                rate = np.stack([own[d].mean(0) for d in draws]) if len(own) else np.full((size, len(methods), len(ks)), np.nan)
+                (hits, count), size = patterns.value, min(block, replicates - b * block)
+                if len(count):
+                    draws = np.random.default_rng([seed, int(b)]).multinomial(count.sum(), count / count.sum(), size)
+                    rate = (draws @ hits / count.sum()).reshape(size, len(methods), len(ks))
+                else:
+                    rate = np.full((size, len(methods), len(ks)), np.nan)
                 i, m, j = np.indices(rate.shape)
                 yield pd.DataFrame({"replicate": (b * block + i).ravel(), "method": np.array(methods)[m.ravel()], "k": np.array(ks)[j.ravel()], "rate": rate.ravel()})
 
@@ -115,28 +120,33 @@ def auc(pairs: DataFrame, by=()) -> DataFrame:
     return sums.withColumn("auc", area).drop("_s")
 
 
-def sign_flip_p(differences: DataFrame, column: str = "difference", permutations: int = 100_000, seed: int = 43, block: int = 10_000, max_rows: int = 100_000) -> float:
+def sign_flip_p(differences: DataFrame, column: str = "difference", permutations: int = 100_000, seed: int = 43, block: int = 10_000) -> float:
     """Monte-Carlo p of a zero mean under random signs, (extreme + 1) / (permutations + 1);
-    1 where all differences are 0. Blocks of permutations are tasks."""
-    spark = differences.sparkSession
-    d = np.array([r[0] for r in differences.select(column).orderBy(column).limit(max_rows + 1).collect()], float)
-    if len(d) > max_rows:
-        raise ValueError(f"more than {max_rows} differences")
-    if not len(d) or not d.any():
+    1 where all differences are 0. Null differences are skipped.
+
+    Equal sizes are counted, and a permutation draws how many of them are positive. The draws
+    of a size are seeded by its bits, so they do not depend on the partitions; tasks give
+    partial sums by permutation for any number of differences."""
+    d = differences.select(F.col(column).cast("double").alias("d")).where("d is not null")
+    total = d.agg(F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.abs("d")).alias("a")).first()
+    if not total["n"] or total["a"] == 0:
         return 1.0
-    shared, seen = spark.sparkContext.broadcast(d), abs(d.mean())
+    # sums of the same terms differ by their order in the last digits
+    seen = abs(total["s"]) - max(1e-15 * total["n"], 1e-12 * total["a"])
+    sizes = d.where("d != 0").groupBy(F.abs("d").alias("d")).agg(F.count("*").alias("n"))
 
     def run(frames):
+        out = np.zeros(permutations)
         for frame in frames:
-            for b in frame["id"]:
-                rng, size, extreme = np.random.default_rng([seed, int(b)]), min(block, permutations - b * block), 0
-                for lo in range(0, size, 1000):
-                    signs = rng.integers(0, 2, (min(1000, size - lo), len(shared.value))) * 2 - 1
-                    extreme += int((np.abs(signs @ shared.value) / len(shared.value) >= seen - 1e-15).sum())
-                yield pd.DataFrame({"extreme": [extreme]})
-
-    total = spark.range(0, -(-permutations // block)).mapInPandas(run, "extreme long").agg(F.sum("extreme")).first()[0]
-    return (total + 1) / (permutations + 1)
+            for value, n in zip(frame["d"].to_numpy(float), frame["n"].tolist()):
+                key = int(np.float64(value).view(np.uint64))
+                for lo in range(0, permutations, block):
+                    rng, hi = np.random.default_rng([seed, key >> 32, key & 0xFFFFFFFF, lo // block]), min(lo + block, permutations)
+                    out[lo:hi] += value * (2.0 * rng.binomial(n, 0.5, hi - lo) - n)
+        yield pd.DataFrame({"permutation": np.arange(permutations), "s": out})
+
+    sums = sizes.mapInPandas(run, "permutation long, s double").groupBy("permutation").agg(F.sum("s").alias("s"))
+    return (sums.where(F.abs("s") >= seen).count() + 1) / (permutations + 1)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

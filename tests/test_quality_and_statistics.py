@@ -84,6 +84,31 @@ def test_statistics(spark):
     assert {r["k"]: r["p_holm"] for r in holm.collect()} == pytest.approx({1: 0.03, 5: 0.06, 10: 0.06})
 
 
+def test_resampling_has_no_row_cap(spark):
+    n = 120_000  # more people than were once allowed
+    ranks = spark.range(n).select(F.col("id").cast("string").alias("query_person"), F.when(F.col("id") % 4 == 0, 1.0).when(F.col("id") % 4 == 1, 7.0).alias("a"), F.when(F.col("id") % 4 == 0, 1.0).when(F.col("id") % 4 == 2, 2.0).alias("b"))
+    boot = inference.bootstrap_rates(ranks, replicates=2000, methods=("a", "b"))
+    got = {(r["method"], r["k"]): (r["m"], r["s"]) for r in boot.groupBy("method", "k").agg(F.avg("rate").alias("m"), F.stddev_pop("rate").alias("s")).collect()}
+    want = {("a", 1): 0.25, ("a", 5): 0.25, ("a", 10): 0.5, ("b", 1): 0.25, ("b", 5): 0.5, ("b", 10): 0.5}
+    assert got.keys() == want.keys()
+    for key, p in want.items():
+        assert got[key][0] == pytest.approx(p, abs=2e-4) and got[key][1] == pytest.approx(math.sqrt(p * (1 - p) / n), rel=0.1)
+    # paired draws: both methods hit the same people at 1
+    assert inference.paired_differences(boot, "a", "b").where("k = 1").agg(F.max(F.abs("rate"))).first()[0] == 0
+    even = spark.range(n).select(F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0).alias("difference"))
+    assert inference.sign_flip_p(even, permutations=2000) == 1.0
+    shifted = spark.range(n).select(F.when(F.col("id") < 60_346, 1.0).otherwise(-1.0).alias("difference"))  # two deviations from 0
+    assert inference.sign_flip_p(shifted, permutations=5000) == pytest.approx(0.0455, abs=0.012)
+
+
+def test_sign_flips_do_not_depend_on_partitions(spark):
+    d = spark.createDataFrame([(0.1 * i,) for i in (3, -1, 4, 1, -5, 9, 2, 6)], "difference double")
+    signs = np.array(np.meshgrid(*[[-1, 1]] * 8)).reshape(8, -1).T
+    x = np.array([3, -1, 4, 1, -5, 9, 2, 6])
+    got = {inference.sign_flip_p(d.repartition(k), permutations=20_000) for k in (1, 3)}
+    assert len(got) == 1 and got.pop() == pytest.approx((np.abs(signs @ x) >= abs(x.sum())).mean(), abs=0.01)
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)] + [(float("nan"),)], "v double")
     r = summaries.quartiles(df, "v").first()
