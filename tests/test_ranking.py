@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,23 @@ def test_midranks_sum(spark):
     assert all(r["s"] == 40 * 41 / 2 for r in sums)
 
 
+def test_midranks_without_groups_are_sorted_by_range(spark):
+    rng = random.Random(4)
+    values = [float(rng.randint(0, 300)) for _ in range(500)] + [7.0] * 200 + [float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    out = ranking.midranks_within(df, "v")
+    key = lambda v: (v != v, v)  # noqa: E731, NaN is greatest
+    got = sorted(((r["v"], r["midrank"]) for r in out.collect()), key=lambda x: key(x[0]))
+    order = sorted(values, key=key)
+    less = {repr(v): sum(key(w) < key(v) for w in order[:-1]) for v in set(order)}
+    # the null row counts below all values, as it did with one window
+    want = [1 + less[repr(v)] + 0.5 * (max(1, order.count(v)) + 1) for v in order]
+    assert [m for _, m in got] == want
+    specs = re.findall(r"windowspecdefinition\(([^()]*)v#", out._jdf.queryExecution().analyzed().toString())
+    assert specs and all("_range#" in x for x in specs)
+    assert out.select("midrank").agg(F.max("midrank")).first()[0] == len(values) + 1
+
+
 def arrays(spark, rows):
     return spark.createDataFrame([(f"{p}_{i}", p, "cor", 5, [float(x) for x in v]) for i, (p, v) in enumerate(rows)], "case_id string, person_id string, view string, h int, f array<double>")
 
