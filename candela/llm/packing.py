@@ -27,6 +27,8 @@ from .stage import id_and_text, stage
 
 REMEMBERED, REMEMBERED_WORDS = 600_000, 500_000
 LONGEST_REMEMBERED = 64
+#: Characters of text that are cut and learnt at once.
+BATCH_CHARS = 1 << 20
 
 
 def fullest(first: int, counts: dict[int, int], lengths: list[int], capacity: int) -> list[int]:
@@ -84,13 +86,112 @@ def _places(plan: list[tuple[Counter, int]]) -> dict[int, list[np.ndarray]]:
 
 
 _STOPS = frozenset(".,;:!?")
+_NONE = np.int32(1 << 30)
+
+
+class MergeTable:
+    """The merges of a byte-level BPE model with an end-of-word suffix, and words in bulk.
+
+    Words of up to WIDTH bytes are rows of a matrix: every round merges the leftmost
+    lowest-ranked pair of each row that still has one, for all rows at once."""
+
+    WIDTH = 32
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        letters = _byte_letters()
+        self.inner = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + suffix] for c in letters], np.int32)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        # open addressing with four slots a pair at least; -1 is an empty slot
+        self.bits = int(len(pairs) * 4).bit_length()
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int32)
+        for rank, key in enumerate((left << 32 | right).tolist()):
+            at = self._slot(key)
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.ranks[at] = key, rank
+
+    def _slot(self, key):
+        return (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, _NONE without a merge or where an id is negative."""
+        key = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.keys[at]
+        out = np.where(found == key, self.ranks[at], _NONE)
+        todo = np.flatnonzero((found != key) & (found >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[todo]]
+            hit = found == key[todo]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        out[(left < 0) | (right < 0)] = _NONE
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of 1 to WIDTH bytes, as little-endian 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(size, kind="stable")
+        for lo in range(0, len(order), 8192):
+            rows = order[lo : lo + 8192]
+            ids, count = self._rows([words[i] for i in rows.tolist()], size[rows])
+            flat, end = ids.tobytes(), (4 * np.cumsum(count)).tolist()
+            for i, a, b in zip(rows.tolist(), [0, *end], end):
+                out[i] = flat[a:b]
+        return out
+
+    def _rows(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, width = len(words), int(size.max()) + 1  # the last column is a sentinel
+        ids = np.full((n, width), -1, np.int32)
+        inside = np.arange(width)[None, :] < size[:, None]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids[inside] = self.inner[data]
+        ids[np.arange(n), size - 1] = self.last[data[np.cumsum(size) - 1]]
+        rank = np.full((n, width), _NONE, np.int32)
+        rank[:, :-1] = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
+        flat, ranks, nxt, prv = ids.reshape(-1), rank.reshape(-1), after.reshape(-1), before.reshape(-1)
+        live = np.arange(n)
+        while len(live):
+            at = rank[live].argmin(1)
+            base = live * width
+            best = ranks[base + at]
+            some = best < _NONE
+            live, at, base, best = live[some], at[some], base[some], best[some]
+            if not len(live):
+                break
+            here, gone = base + at, base + nxt[base + at]
+            follow = nxt[gone]
+            flat[here], nxt[here] = self.made[best], follow
+            flat[gone], ranks[gone] = -1, _NONE
+            prv[base + np.minimum(follow, width - 1)] = at
+            ranks[here] = self.rank(flat[here], flat[base + np.minimum(follow, width - 1)])
+            led = prv[here]
+            has = led >= 0
+            ahead = base[has] + led[has]
+            ranks[ahead] = self.rank(flat[ahead], flat[here[has]])
+        alive = ids >= 0
+        return ids[alive].astype("<u4"), alive.sum(1)
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level models use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return [other.get(b, chr(b)) for b in range(256)]
 
 
 class ChunkTokens:
     """Ids of texts by white-space chunks, as little-endian bytes; no token crosses one.
 
     A new chunk of plain Latin letters, digits and marks is normalised and cut into words
-    here, so that the tokenizer sees each new word once; any other goes to it whole."""
+    here, so that each new word is merged once; any other goes to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,11 +204,16 @@ class ChunkTokens:
         form = json.loads(self.model.to_str())
         steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
         split = ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        self.cut = None
+        self.cut = self.merges = None
         if steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert"):
             self.cut = regex.compile(split["pattern"]["Regex"]).findall
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            model = form["model"]
+            if model["type"] == "BPE" and model["end_of_word_suffix"] and not (model["dropout"] or model["continuing_subword_prefix"] or model["byte_fallback"] or model.get("ignore_merges")):
+                suffix = model["end_of_word_suffix"]
+                if all(c in model["vocab"] and c + suffix in model["vocab"] for c in _byte_letters()):
+                    self.merges = MergeTable(model["vocab"], model["merges"], suffix)
         self.special = [t["content"] for t in form["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -124,62 +230,107 @@ class ChunkTokens:
             return [low[:-1], low[-1]]
         return None if any(t in chunk for t in self.special) else self.cut(low)
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        words = self.words
-        easy = {c: w for c in new if (w := self._words(c)) is not None} if self.cut else {}
-        hard = [c for c in new if c not in easy]
-        out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(hard, self.model.encode_batch_fast(hard, add_special_tokens=False))}
-        unseen = list({w for ws in easy.values() for w in ws if w not in words})
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        if self.merges is not None and max(map(len, raw), default=0) <= MergeTable.WIDTH:
+            return self.merges.encode(raw)
+        out: list[bytes] = [b""] * len(words)
+        fits = [i for i, w in enumerate(raw) if self.merges is not None and len(w) <= MergeTable.WIDTH]
+        for i, ids in zip(fits, self.merges.encode([raw[i] for i in fits]) if fits else []):
+            out[i] = ids
+        rest = [i for i, w in enumerate(raw) if self.merges is None or len(w) > MergeTable.WIDTH]
+        for lo in range(0, len(rest), 1000):
+            part = rest[lo : lo + 1000]
+            e = self.plain.encode([words[i] for i in part], is_pretokenized=True, add_special_tokens=False)
+            ids, at = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            for i, a, b in zip(part, at[:-1], at[1:]):
+                out[i] = ids[a:b].tobytes()
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new chunks into known. words holds those of the words met, within a bound."""
+        known, words = self.known, self.words
+        cut = list(map(self._words, new)) if self.cut else [None] * len(new)
+        hard = [c for c, ws in zip(new, cut) if ws is None]
+        known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(hard, self.model.encode_batch_fast(hard, add_special_tokens=False)))
+        unseen = {w for ws in cut if ws is not None for w in ws}.difference(words)
         if len(words) + len(unseen) > REMEMBERED_WORDS:
             words.clear()
-            unseen = list({w for ws in easy.values() for w in ws})
-        for lo in range(0, len(unseen), 1000):
-            e = self.plain.encode(unseen[lo : lo + 1000], is_pretokenized=True, add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(min(1000, len(unseen) - lo) + 1)).tolist()
-            words.update((w, ids[a:b].tobytes()) for w, a, b in zip(unseen[lo : lo + 1000], at[:-1], at[1:]))
-        out.update((c, b"".join([words[w] for w in ws])) for c, ws in easy.items())
+            unseen = {w for ws in cut if ws is not None for w in ws}
+        names = list(unseen)
+        words.update(zip(names, self._encode_words(names)))
+        for c, ws in zip(new, cut):
+            if ws is not None:
+                known[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. What is remembered is bounded; a batch of texts is learnt at once."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        known, fresh = self.known, set()
+        for chunks in split:
+            fresh |= set(chunks).difference(known)
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = set().union(*split)
+        self._learn(list(fresh))
+        get = known.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in split]
+        for c in [c for c in fresh if len(c) > LONGEST_REMEMBERED]:
+            del known[c]
         return out
 
-    def ids(self, text: str) -> bytes:
-        for c in "\n\t\r":
-            text = text.replace(c, " ")
-        chunks, known = text.split(" "), self.known
-        got = list(map(known.get, chunks))
-        if None in got:
-            fresh = self._learn({c for c, g in zip(chunks, got) if g is None})
-            got = [fresh[c] if g is None else g for c, g in zip(chunks, got)]
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known.update((c, b) for c, b in fresh.items() if len(c) <= LONGEST_REMEMBERED)
-        return b"".join(got)
-
 
 _models: dict[str, ChunkTokens] = {}
 
 
+def _slices(column: pa.Array, limit: int):
+    """(first row, texts) for runs of rows of about limit characters."""
+    rows, size, lo = [], 0, 0
+    for i, text in enumerate(column):
+        text = text.as_py() or ""
+        rows.append(text)
+        size += len(text)
+        if size >= limit:
+            yield lo, rows
+            rows, size, lo = [], 0, i + 1
+    if rows:
+        yield lo, rows
+
+
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
         if path not in _models:
             _models[path] = ChunkTokens(path)
         model = _models[path]
-        part, seen = TaskContext.get().partitionId(), Counter()
-        end = np.array([end_id], "<u4").tobytes()
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        end, step = np.array([end_id], "<u4").tobytes(), capacity * 4
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = model.ids(text.as_py() or "") + end
-                for piece, lo in enumerate(range(0, len(ids), capacity * 4)):
-                    own = ids[lo : lo + capacity * 4]
-                    n = len(own) // 4
-                    rows.append((doc, piece, lo // 4, n, zlib.crc32(own), part, seen[n]))
-                    seen[n] += 1
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE_TYPES)] if rows else [pa.array([], t) for t in _PIECE_TYPES], names=_PIECE_NAMES)
+            docs = batch.column(0)
+            for first, texts in _slices(batch.column(1), BATCH_CHARS):
+                bodies = [ids + end for ids in model.ids(texts)]
+                total = np.array([len(b) // 4 for b in bodies], np.int64)
+                pieces = -(-total // capacity)
+                of = np.repeat(np.arange(len(bodies)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(total[of] - piece * capacity, capacity)
+                crc = [zlib.crc32(b) if len(b) <= step else zlib.crc32(b[i * step : (i + 1) * step]) for b, n in zip(bodies, pieces.tolist()) for i in range(n)]
+                # the number of each piece among those of its length in this task
+                order = np.argsort(length, kind="stable")
+                ranked = length[order]
+                new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                times = np.diff(np.append(new, len(ranked)))
+                number = np.empty(len(of), np.int64)
+                number[order] = np.arange(len(of)) - np.repeat(new, times) + seen[ranked]
+                seen[ranked[new]] += times
+                yield pa.record_batch(
+                    [docs.take(pa.array(first + of)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(of), part, np.int32)), pa.array(number)],
+                    names=_PIECE_NAMES,
+                )
 
     return run
 
 
 _PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "in_part"]
-_PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
 
 def _place(places: dict[int, list[np.ndarray]]):
