@@ -1,6 +1,6 @@
 """Vectorised text kernels used inside Arrow tasks.
 
-Texts are processed as UTF-8 byte buffers, about a megabyte of whole documents at
+Texts are processed as UTF-8 byte buffers, about half a megabyte of whole documents at
 a time, so memory follows the longest document and not the batch.
 """
 
@@ -11,13 +11,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
-_MULT = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULT, -1, 1 << 64)
-_BYTE_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = []
+CHUNK_BYTES = 1 << 19
+_SPREAD, _ODD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: The low bytes of a little-endian number that belong to a word of so many bytes.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Words beyond so many bytes are hashed one by one.
+LONG_WORD = 64
 
 #: space and \t \n \v \f \r
 SEPARATOR = np.zeros(256, bool)
@@ -26,19 +28,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the rolling multiplier and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
-        out = []
-        for base in (_MULT, _INVERSE):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers[:] = out
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(33))
     x *= U(0xFF51AFD7ED558CCD)
@@ -48,30 +37,90 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class RollingHash:
-    """64-bit fingerprints of any slices of a sequence, from one prefix sum."""
+def join(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A hash of two: multiplied, rotated, added and mixed, so that no algebra of sums is left
+    in which structured strings could cancel out."""
+    y = h * _SPREAD
+    y = (y << U(27)) | (y >> U(37))
+    y += x
+    return mix(y)
 
-    def __init__(self, codes: np.ndarray):
-        pw, self._inv = powers(len(codes) + 1)
-        self._sum = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * pw[: len(codes)], out=self._sum[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        raw = (self._sum[end] - self._sum[start]) * self._inv[start]
-        raw += (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)
-        return mix(raw ^ U(seed)) if seed else mix(raw)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,)).copy()
 
-    def fixed(self, k: int) -> np.ndarray:
-        """Fingerprint of every slice of length k."""
-        n = len(self._sum) - 1 - k
-        if n < 0:
-            return np.zeros(0, np.uint64)
-        raw = (self._sum[k:] - self._sum[: n + 1]) * self._inv[: n + 1]
-        return mix(raw + U((k * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
 
+class SliceHash:
+    """64-bit fingerprints of slices of a sequence, by chained mixing of its windows.
+
+    codes[i] stands for the `unit` elements from i on: the numbers of elements themselves, or
+    eight bytes at a time."""
 
-def byte_codes(data: np.ndarray) -> np.ndarray:
-    return _BYTE_CODES[data]
+    def __init__(self, codes: np.ndarray, unit: int = 1, step: int = 4):
+        self._levels, self._unit, self.step, self._n = {unit: codes}, unit, step, len(codes)
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray) -> "SliceHash":
+        return cls(eights(data)[: max(0, len(data) - 7)], 8, 16)
+
+    def fixed(self, k: int) -> np.ndarray:
+        """Fingerprint of every slice of length k; k is at least the unit."""
+        if k in self._levels:
+            return self._levels[k]
+        half = self._unit
+        while half * 2 < k:
+            half *= 2
+        low = self.fixed(half)  # two windows of a power of two that overlap, if they must
+        n = max(0, len(low) - (k - half))
+        self._levels[k] = join(low[:n] + U(k), low[k - half : k - half + n])
+        return self._levels[k]
+
+    def of(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Fingerprints of any slices, from their windows of `step` elements."""
+        size = end - start
+        out = mix((size.astype(np.uint64) + U(seed)) * _ODD)
+        step = self.step
+        window = self.fixed(step)
+        at = start.astype(np.int64)
+        todo = np.flatnonzero(size >= step)
+        offset = 0
+        while len(todo):
+            last = np.minimum(at[todo] + offset, end[todo] - step)
+            out[todo] = join(out[todo], window[last])
+            offset += step
+            todo = todo[at[todo] + offset < end[todo]]
+        short = np.flatnonzero((size < step) & (size > 0))
+        if len(short):
+            out[short] = self._short(start[short], end[short], out[short])
+        return out
+
+    def _short(self, start: np.ndarray, end: np.ndarray, out: np.ndarray) -> np.ndarray:
+        unit = self._levels[self._unit]
+        if self._unit > 1:
+            raise ValueError(f"slices of bytes have at least {self.step}")
+        for i in range(self.step - 1):
+            todo = np.flatnonzero(start + i < end)
+            out[todo] = join(out[todo], unit[start[todo] + i])
+        return out
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time; long words by xxhash."""
+    size = end - start
+    eight = eights(data)
+    out = mix(((eight[start] & _LOW[np.minimum(size, 8)]) ^ U(0x5851F42D4C957F2D)) + size.astype(np.uint64) * _ODD)
+    todo, offset = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(todo):
+        left = np.minimum(size[todo] - offset, 8)
+        out[todo] = join(out[todo], eight[start[todo] + offset] & _LOW[left])
+        offset += 8
+        todo = todo[size[todo] > offset]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), 0x27D4EB2F)
+    return out
 
 
 def whole(column: pa.Array) -> pa.Array:
@@ -122,7 +171,7 @@ class Words:
         self.count = np.diff(self.off)
 
     def hashes(self) -> np.ndarray:
-        return RollingHash(byte_codes(self.data)).of(self.start, self.end)
+        return word_hashes(self.data, self.start, self.end)
 
     def doc_end(self) -> np.ndarray:
         """For each word, where its document's words end."""

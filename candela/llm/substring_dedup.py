@@ -14,7 +14,8 @@ A phrase is a window of consecutive words. The job
 Inside a hot passage a cell stays one distinct cell however many documents hold it. At its
 edges cells also span the neighbouring words, so they differ by document: the phrases of an
 anchor with very many cells are made distinct by an aggregate, one row of each goes to the
-automata, and a join on the phrase brings the owners back to the cells.
+automata, and a join on the phrase brings the owners back to the cells. A document's own words
+are fingerprinted again before any is removed.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import RollingHash, Words, cells, covered, mix, text_chunks
+from .kernels import SEPARATOR, SliceHash, Words, cells, covered, mix, text_chunks
 from .stage import discard, id_and_text, stage
 
 GRAM = 7
@@ -37,25 +39,40 @@ SHARD_CELLS = 4_000
 HOT_ANCHOR_CELLS = 2_000
 
 
-def _cells(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: What tells cells of equal words from others, beside the anchor's fingerprint.
+_CELL_SEED = 11
+
+
+def _cells(words: Words, slices: SliceHash, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors, their gram fingerprints, and the words (start, stop) of all windows that each anchors."""
-    codes = words.hashes()
-    grams = np.zeros(len(codes), np.uint64)
-    fixed = RollingHash(codes).fixed(GRAM)
+    grams = np.zeros(len(words.start), np.uint64)
+    fixed = slices.fixed(GRAM)
     grams[: len(fixed)] = fixed
     at, first, last = cells(grams, words.doc_end(), length - GRAM + 1, GRAM)
     return at, grams[at], first, last + length
 
 
+def _own(words: Words, slices: SliceHash, parts: pa.StructArray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, start, stop) of the parts that are cells of these very words: another row may
+    have the same doc_id and other words."""
+    start = parts.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + words.off[doc]
+    stop = start + parts.field("n").to_numpy(zero_copy_only=False)
+    fits = np.flatnonzero(stop <= words.off[doc + 1])
+    same = slices.of(start[fits], stop[fits], _CELL_SEED).view(np.int64) == parts.field("cell").to_numpy(zero_copy_only=False)[fits]
+    fits = fits[same]
+    return fits, start[fits], stop[fits]
+
+
 def _emit_cells(length: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in text_chunks(batch.column(1)):
                 words = Words(data, off)
-                at, grams, start, stop = _cells(words, length)
+                slices = SliceHash(words.hashes())
+                at, grams, start, stop = _cells(words, slices, length)
                 doc = np.searchsorted(words.off, at, side="right") - 1
-                cell = RollingHash(words.hashes()).of(start, stop, seed=11)
+                cell = slices.of(start, stop, _CELL_SEED)
                 yield pa.record_batch(
                     [pa.array(grams.view(np.int64)), pa.array(cell.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((start - words.off[doc]).astype(np.int32)), pa.array((stop - start).astype(np.int32))],
                     names=["anchor", "cell", "doc_id", "start", "n"],
@@ -72,12 +89,10 @@ def _emit_words(batches):
             part = batch.column(1).slice(lo, hi - lo)
             doc = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
             flat = part.flatten()
-            start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + words.off[doc]
-            stop = start + flat.field("n").to_numpy(zero_copy_only=False)
-            flat = flat.filter(pa.array(stop <= words.off[doc + 1]))
-            fits = stop <= words.off[doc + 1]
+            keep, start, stop = _own(words, SliceHash(words.hashes()), flat, doc)
+            flat = flat.take(pa.array(keep))
             joined, w0, w1 = words.joined()
-            text = [joined[a:b] for a, b in zip(w0[start[fits]].tolist(), w1[stop[fits] - 1].tolist())]
+            text = [joined[a:b] for a, b in zip(w0[start].tolist(), w1[stop - 1].tolist())]
             yield pa.record_batch([flat.field(c) for c in ("anchor", "cell", "lo", "hi", "n_cells")] + [pa.array(text, pa.binary()).cast(pa.string())], names=["anchor", "cell", "lo", "hi", "n_cells", "words"])
 
 
@@ -102,7 +117,7 @@ def _automaton(length: int):
         windows = np.where(many, size - length + 1, 0)
         of = np.repeat(np.arange(len(size)), windows)
         at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        code = RollingHash(mix(flat.astype(np.uint64) + np.uint64(1))).of(at, at + length)
+        code = SliceHash(mix(flat.astype(np.uint64) + np.uint64(1))).fixed(length)[at]
         order = np.argsort(code, kind="stable")
         code, of, at = code[order], of[order], at[order]
         new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
@@ -149,15 +164,18 @@ def _phrases(cells_: DataFrame, length: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
-    """(doc_id, runs array<struct<start,count>>): the word windows of each document whose words
-    also start a window in a document with a smaller doc_id. Documents without any are left out.
+    """(doc_id, parts array<struct<start,n,cell,offsets,counts,owners>>): stretches of words of
+    each document (start, n) that hold phrases; phrases start there at the offsets, as runs of
+    counts, and their words start first in the document `owners`. The fingerprint `cell` tells
+    whether a row has the words meant. Documents without any are left out.
 
     docs: doc_id long not null, text string not null. Words are runs of anything but space
-    and \\t to \\r. Rows that repeat a doc_id must repeat its text; they count once."""
+    and \\t to \\r."""
     here = docs.select("doc_id", "text")
     found = here.mapInArrow(_emit_cells(length), "anchor long, cell long, doc_id long, start int, n int")
-    recurring = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    recurring = stage(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "phrase-anchors")  # staged, so that a hot anchor's rows can be split
     cells_ = stage(found.join(recurring, "anchor"), "phrase-cells")
+    discard(recurring)
     kinds = stage(cells_.groupBy("anchor", "cell").agg(F.min(F.struct("doc_id", "start", "n")).alias("least"), F.max("doc_id").alias("hi")), "phrase-kinds")
     per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("n_cells"), F.min("least.doc_id").alias("a_lo"), F.max("hi").alias("a_hi")).where("a_lo < a_hi")
     wanted = kinds.join(per_anchor, "anchor").select(
@@ -181,55 +199,66 @@ def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     hot = hot.join(owners, "phrase").where("owner < hi").select("anchor", "cell", F.array("base").alias("offsets"), F.array(F.lit(1)).alias("counts"), F.array("owner").alias("owners"))
     located = matched.where("phrase is null").drop("phrase").unionByName(stage(hot, "phrase-located"))
     discard(live, distinct)
-    return (
-        cells_.select("anchor", "cell", "doc_id", "start")
-        .join(located, ["anchor", "cell"])
-        .select("doc_id", F.expr("transform(filter(arrays_zip(offsets, counts, owners), x -> x.owners < doc_id), x -> struct(start + x.offsets as start, x.counts as count))").alias("s"))
-        .where(F.size("s") > 0)
-        .groupBy("doc_id")
-        .agg(F.flatten(F.collect_list("s")).alias("runs"))
-    )
+    parts = cells_.join(located, ["anchor", "cell"]).where(F.array_min("owners") < F.col("doc_id"))
+    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "cell", "offsets", "counts", "owners")).alias("parts"))
 
 
-def _kept(text: str, runs, length: int) -> tuple[int, list[bytes]]:
-    """Number of words, and those that no window of the runs covers."""
-    words = text.encode().split()
-    if runs is None or not len(runs):
-        return len(words), words
-    start, count = (runs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "count"))
-    gone = covered(start, count, length, len(words)).tolist()
-    return len(words), [w for w, g in zip(words, gone) if not g]
+def _gone(words: Words, parts: pa.Array, ids: np.ndarray, length: int) -> np.ndarray:
+    """Mask of the words of a chunk that are removed; ids: doc_id of each document."""
+    sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    doc, flat = np.repeat(np.arange(len(parts)), sizes), parts.flatten()
+    keep, start, _ = _own(words, SliceHash(words.hashes()), flat, doc)
+    flat, doc = flat.take(pa.array(keep)), doc[keep]
+    lists = [flat.field(c) for c in ("offsets", "counts", "owners")]
+    each = np.repeat(np.arange(len(keep)), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+    offset, count, owner = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+    earlier = owner < ids[doc[each]]
+    return covered((start[each] + offset)[earlier], count[earlier], length, len(words.start))
 
 
 def _finish(length: int, digest: bool):
     def run(batches):
         for batch in batches:
-            texts, runs, total, left, out = batch.column(1), batch.column(2), [], [], []
-            for i in range(batch.num_rows):
-                n, kept = _kept(texts[i].as_py() or "", runs[i].values if runs[i].is_valid else None, length)
-                body = b" ".join(kept)
-                total.append(n)
-                left.append(n - len(kept))
-                out.append(hashlib.sha256(body).hexdigest() if digest else body.decode())
-            columns = {"doc_id": batch.column(0), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(left, pa.int64())}
-            yield pa.record_batch({**columns, "kept_sha256": pa.array(out, pa.string())} if digest else {"doc_id": batch.column(0), "text": pa.array(out, pa.string())})
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in text_chunks(batch.column(1)):
+                words = Words(data, off)
+                keep = ~_gone(words, batch.column(2).slice(lo, hi - lo), ids[lo:hi], length)
+                size = words.end - words.start
+                # the kept words with one space after each
+                inside = np.repeat(keep, size)
+                end = np.cumsum(np.where(keep, size + 1, 0))
+                out = np.full(int(end[-1]) if len(end) else 0, 32, np.uint8)
+                letters = np.ones(len(out), bool)
+                letters[end[keep] - 1] = False
+                out[letters] = data[~SEPARATOR[data]][inside]
+                joined, edge = out.tobytes(), np.concatenate([[0], end])[words.off].tolist()
+                bodies = [joined[a : max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:])]
+                kept = np.diff(np.concatenate([[0], np.cumsum(keep)])[words.off])
+                doc_id = batch.column(0).slice(lo, hi - lo)
+                if digest:
+                    yield pa.record_batch([doc_id, pa.array(words.count.astype(np.int64)), pa.array((words.count - kept).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                else:
+                    yield pa.record_batch([doc_id, pa.array(bodies, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
     return run
 
 
-def _with_runs(docs: DataFrame, length: int) -> DataFrame:
-    return docs.join(find_repeats(docs, length), "doc_id", "left").select("doc_id", "text", "runs")
+def _with_parts(docs: DataFrame, length: int) -> DataFrame:
+    if length < GRAM:
+        raise ValueError(f"a phrase has at least {GRAM} words")
+    return docs.join(find_repeats(docs, length), "doc_id", "left").select("doc_id", "text", "parts")
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): each document's words without those covered by a window of `length`
     words that also starts in a document with a smaller id, joined by one space.
 
-    Null text counts as empty; rows without an id take no part; rows that repeat an id
-    must repeat its text and each give a row; other columns are ignored."""
-    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, False), "doc_id long, text string")
+    Null text counts as empty; rows without an id take no part; rows that share an id each
+    give a row of their own words, and none of them counts as earlier than another; other
+    columns are ignored."""
+    return _with_parts(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, False), "doc_id long, text string")
 
 
 def repeat_digest(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of what remove_repeats keeps."""
-    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_parts(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")

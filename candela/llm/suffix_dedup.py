@@ -24,15 +24,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import RollingHash, byte_codes, cells, covered, mix, spans_of, text_chunks
+from .kernels import SliceHash, cells, covered, mix, text_chunks
 from .stage import discard, id_and_text, stage
 
 GRAM = 16
 PREFIX = 64
 BLOCK = 8
+_CELL_SEED = 3
+#: So that anchors and prefixes have the bytes that fingerprints take at least.
+LEAST_LENGTH = 48
 
 
 def _windows(length: int) -> tuple[int, list[int]]:
@@ -48,7 +52,7 @@ def _windows(length: int) -> tuple[int, list[int]]:
 
 
 def _cells_of(data: np.ndarray, off: np.ndarray, length: int):
-    rolling = RollingHash(byte_codes(data))
+    rolling = SliceHash.of_bytes(data)
     w, sizes = _windows(length)
     k = min(GRAM, length - w + 1)
     grams = np.zeros(len(data), np.uint64)
@@ -90,7 +94,7 @@ def _emit_cells(length: int):
                 at, start, stop = at[keep], start[keep], stop[keep]
                 doc = np.searchsorted(off, at, side="right") - 1
                 names = [rolling.of(at + s, at + 2 * s) for s in sizes[:-1]]
-                columns = {"rank": rolling.of(at, at + sizes[0]), "cell": rolling.of(start, stop, seed=3)}
+                columns = {"rank": rolling.of(at, at + sizes[0]), "cell": rolling.of(start, stop, _CELL_SEED)}
                 columns |= {f"name{i}": x for i, x in enumerate(names)}
                 yield pa.record_batch(
                     [pa.array(x.view(np.int64)) for x in columns.values()] + [pa.array(ids[lo:hi][doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array((stop - start - length + 1).astype(np.int32)), pa.array((at - start).astype(np.int32))],
@@ -100,6 +104,14 @@ def _emit_cells(length: int):
     return run
 
 
+def _same(rolling: SliceHash, off: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, name: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the cells that are what their fingerprint says: another row may have the same
+    doc_id and other bytes. start: within the document."""
+    fits = np.flatnonzero(off[doc] + start + count - 1 + length <= off[doc + 1])
+    begin = off[doc[fits]] + start[fits]
+    return fits[rolling.of(begin, begin + count[fits] - 1 + length, _CELL_SEED).view(np.int64) == name[fits]]
+
+
 def _emit_strings(length: int):
     """The strings of cells in blocks counted back from the anchor: the fingerprint of what
     all strings of a whole block share, and those of the strings."""
@@ -109,13 +121,13 @@ def _emit_strings(length: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in text_chunks(batch.column(1)):
-                rolling = RollingHash(byte_codes(data))
+                rolling = SliceHash.of_bytes(data)
                 part = batch.column(2).slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
                 flat = part.flatten()
-                start, count, lead, rank = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n_strings", "lead", "rank"))
-                fits = off[doc] + start + count - 1 + length <= off[doc + 1]
-                doc, start, count, lead, rank = doc[fits], start[fits], count[fits], lead[fits], rank[fits]
+                start, count, lead, rank, name = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n_strings", "lead", "rank", "cell"))
+                own = _same(rolling, off, doc, start, count, name, length)
+                doc, start, count, lead, rank = doc[own], start[own], count[own], lead[own], rank[own]
                 cell = np.repeat(np.arange(len(doc)), count)
                 step = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
                 at = off[doc[cell]] + start[cell] + step
@@ -123,8 +135,8 @@ def _emit_strings(length: int):
                 new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (back[1:] != back[:-1])])) if len(cell) else np.zeros(0, np.int64)
                 own = cell[new]
                 near = off[doc[own]] + start[own] + lead[own] - block * back[new]  # where the block's last string starts
-                core = rolling.of(near, near + length - block + 1, seed=7) + mix(back[new].astype(np.uint64))
-                strings = rolling.of(at, at + length, seed=3).view(np.int64)
+                core = mix(rolling.fixed(length - block + 1)[near] + back[new].astype(np.uint64))
+                strings = rolling.fixed(length)[at].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(cell)).astype(np.int32)), pa.array(strings))
                 yield pa.record_batch([pa.array(rank[own]), pa.array(core.view(np.int64)), lists, pa.array(ids[lo:hi][doc[own]]), pa.array((start[own] + step[new]).astype(np.int32))], names=["rank", "core", "strings", "doc_id", "start"])
 
@@ -132,19 +144,21 @@ def _emit_strings(length: int):
 
 
 def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, runs array<struct<start,count>>): where strings of `length` bytes start that
-    also start anywhere else, as runs of starts. Documents without any are left out.
+    """(doc_id, runs array<struct<start,count,name,whole>>): where strings of `length` bytes start
+    that also start anywhere else, as runs of starts; the fingerprint `name`, of the whole
+    run or of the single string, tells whether a row has the bytes meant. Documents without
+    any are left out.
 
     docs: doc_id long not null, text string not null."""
     here = docs.select("doc_id", "text")
     _, sizes = _windows(length)
     positions = here.mapInArrow(_emit_ranks(length), "rank long, doc_id long, pos int")
-    repeated = positions.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    repeated = stage(positions.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "suffix-prefixes")  # staged, so that a hot rank's rows can be split
     candidates = stage(positions.join(repeated, "rank").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted")), "suffix-positions")
     names = [f"name{i}" for i in range(len(sizes) - 1)]
     schema = "rank long, cell long, " + "".join(f"{x} long, " for x in names) + "doc_id long, start int, n_strings int, lead int"
     ranked = stage(here.join(candidates, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_cells(length), schema), "suffix-ranks-0")
-    discard(candidates)
+    discard(candidates, repeated)
     for i, name in enumerate(names):
         pairs = ranked.groupBy("rank", name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("least")).where("n > 1")
         pairs = pairs.select("rank", name, F.xxhash64("least.doc_id", "least.start", "rank", name).alias("next_rank"))
@@ -152,55 +166,61 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         discard(was)
     kinds = stage(ranked.groupBy("rank", "cell").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_strings", "lead")).alias("least")), "suffix-kinds")
     per_rank = kinds.groupBy("rank").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("n_all")).where("n_all > 1")
-    whole_runs = ranked.join(kinds.where("n > 1").select("rank", "cell"), ["rank", "cell"]).select("doc_id", "start", F.col("n_strings").alias("count"))
-    samples = kinds.join(per_rank.where("n_kinds > 1").select("rank"), "rank").select("least.doc_id", F.struct("least.start", "least.n_strings", "least.lead", "rank").alias("part"))
+    whole_runs = ranked.join(kinds.where("n > 1").select("rank", "cell"), ["rank", "cell"]).select("doc_id", "start", F.col("n_strings").alias("count"), F.col("cell").alias("name"), F.lit(True).alias("whole"))
+    samples = kinds.join(per_rank.where("n_kinds > 1").select("rank"), "rank").select("least.doc_id", F.struct("least.start", "least.n_strings", "least.lead", "rank", "cell").alias("part"))
     sampled = samples.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
     blocks = stage(here.join(sampled, "doc_id").select("doc_id", "text", "parts").mapInArrow(_emit_strings(length), "rank long, core long, strings array<long>, doc_id long, start int"), "suffix-blocks")
     cores = blocks.groupBy("rank", "core").agg(F.count("*").alias("n")).where("n > 1").select("rank", "core")
     strings = stage(blocks.join(cores, ["rank", "core"]).select("rank", "doc_id", "start", F.posexplode("strings").alias("i", "string")), "suffix-strings")
     discard(blocks)
     seen = strings.groupBy("rank", "string").agg(F.count("*").alias("n")).where("n > 1").select("rank", "string")
-    single_runs = strings.join(seen, ["rank", "string"]).select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("count"))
-    return whole_runs.unionByName(single_runs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    single_runs = strings.join(seen, ["rank", "string"]).select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("count"), F.col("string").alias("name"), F.lit(False).alias("whole"))
+    return whole_runs.unionByName(single_runs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "name", "whole")).alias("runs"))
 
 
-def _gone(data: bytes, runs, length: int) -> np.ndarray:
-    """Mask of removed bytes."""
-    if not runs.is_valid or not len(runs.values):
+def _gone(data: np.ndarray, off: np.ndarray, runs: pa.Array, length: int) -> np.ndarray:
+    """Mask of the bytes of a chunk that are removed."""
+    sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+    doc, flat = np.repeat(np.arange(len(runs)), sizes), runs.flatten()
+    if not len(flat):
         return np.zeros(len(data), bool)
-    start, count = (runs.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "count"))
-    return covered(start, count, length, len(data))
-
-
-def _digest(length: int):
+    start, count, name = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "count", "name"))
+    whole = flat.field("whole").to_numpy(zero_copy_only=False)
+    rolling = SliceHash.of_bytes(data)
+    cell = np.flatnonzero(whole)
+    cell = cell[_same(rolling, off, doc[cell], start[cell], count[cell], name[cell], length)]
+    single = np.flatnonzero(~whole & (off[doc] + start + length <= off[doc + 1]))
+    if len(single):
+        single = single[rolling.fixed(length)[off[doc[single]] + start[single]].view(np.int64) == name[single]]
+    keep = np.concatenate([cell, single])
+    return covered(off[doc[keep]] + start[keep], count[keep], length, len(data))
+
+
+def _finish(length: int, digest: bool):
     def run(batches):
         for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                data = (batch.column(1)[i].as_py() or "").encode()
-                gone = _gone(data, batch.column(2)[i], length)
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if gone.any() else data
-                rows.append((len(data), len(data) - len(kept), len(spans_of(gone)[0]) if len(kept) < len(data) else 0, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.record_batch([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return run
-
-
-def _kept_text(length: int):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                data = (batch.column(1)[i].as_py() or "").encode()
-                gone = _gone(data, batch.column(2)[i], length)
-                out.append((np.frombuffer(data, np.uint8)[~gone].tobytes() if gone.any() else data).decode(errors="ignore"))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+            for lo, hi, data, off in text_chunks(batch.column(1)):
+                gone = _gone(data, off, batch.column(2).slice(lo, hi - lo), length)
+                rest = data[~gone].tobytes()
+                edge = (off - np.concatenate([[0], np.cumsum(gone)])[off]).tolist()
+                bodies = [rest[a:b] for a, b in zip(edge[:-1], edge[1:])]
+                doc_id = batch.column(0).slice(lo, hi - lo)
+                if not digest:
+                    yield pa.record_batch([doc_id, pa.array([x.decode(errors="ignore") for x in bodies], pa.string())], names=["doc_id", "text"])
+                    continue
+                first = gone.copy()
+                first[1:] &= ~gone[:-1]
+                starts = off[:-1][off[:-1] < off[1:]]
+                first[starts] = gone[starts]
+                spans, size = np.diff(np.concatenate([[0], np.cumsum(first)])[off]), np.diff(off)
+                yield pa.record_batch([doc_id, pa.array(size), pa.array(size - np.diff(edge)), pa.array(spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
+    if length < LEAST_LENGTH:
+        raise ValueError(f"a string has at least {LEAST_LENGTH} bytes")
     return docs.join(find_repeats(docs, length), "doc_id", "left").select("doc_id", "text", "runs")
 
 
@@ -208,11 +228,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """(doc_id, text): the texts without every byte that lies in a string of `length` bytes
     that also starts anywhere else in the corpus; a character cut apart goes whole.
 
-    Null text counts as empty; rows without an id take no part; repeated rows count as
-    copies of one another, so they repeat each other; other columns are ignored."""
-    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_kept_text(length), "doc_id long, text string")
+    Null text counts as empty; rows without an id take no part; rows that share an id each
+    give a row of their own bytes, and equal ones repeat each other; other columns are
+    ignored."""
+    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, False), "doc_id long, text string")
 
 
 def repeat_digest(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of what remove_repeats keeps, in bytes."""
-    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
