@@ -80,12 +80,12 @@ def token_buckets(data: np.ndarray, off: np.ndarray, log2: int, lower: bool = Tr
 
 
 def document_features(data: np.ndarray, off: np.ndarray, log2: int, lower: bool = True):
-    """For each document the distinct buckets and their counts, at most 32767."""
+    """For each document the distinct buckets and their counts."""
     doc, bucket = token_buckets(data, off, log2, lower)
     key, count = np.unique(doc.astype(np.int64) << log2 | bucket, return_counts=True)
     cut = np.searchsorted(key >> log2, np.arange(len(off)))
     key &= (1 << log2) - 1
-    return [(key[a:b].astype(np.int32), np.minimum(count[a:b], 32767).astype(np.int16)) for a, b in zip(cut[:-1], cut[1:])]
+    return [(key[a:b].astype(np.int32), count[a:b].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:])]
 
 
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, float]:
@@ -175,13 +175,18 @@ def score_chunk(data: np.ndarray, off: np.ndarray, weights: np.ndarray, bias: fl
     return 1.0 / (1.0 + np.exp(-(total / np.maximum(count, 1) + bias)))
 
 
-def _features(log2: int, lower: bool):
+def _fit(share: float, s: Settings):
+    """The labelled rows, all in one task, to one row: the weights and the bias."""
+
     def run(batches):
+        rows = []
         for batch in batches:
-            for lo, hi, data, off in text_chunks(batch.column(1)):
-                found = document_features(data, off, log2, lower)
-                part = batch.slice(lo, hi - lo)
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int16()))], names=["doc_id", "label", "ids", "counts"])
+            ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for lo, hi, data, off in text_chunks(batch.column(1), 1 << 18):
+                rows += zip(ids[lo:hi], labels[lo:hi], document_features(data, off, s.buckets_log2, s.lower))
+        rows.sort(key=lambda r: (r[0], len(r[2][0]), r[2][0].tobytes()))  # rows may share an id
+        weights, bias = fit([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), share, s)
+        yield pa.record_batch([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
     return run
 
@@ -190,21 +195,18 @@ def learn(docs: DataFrame, labelled: DataFrame, s: Settings = Settings()) -> tup
     """Fit on labelled (doc_id, label 0 or 1) rows. Rows with a null or other label are no
     label; of several rows of one doc_id the greatest label counts.
 
-    The driver gets the features of at most 2 * sample_rows documents."""
+    One task of the cluster gets the texts of at most 2 * sample_rows ids and trains; the
+    driver gets the weights, 4 * 2**buckets_log2 bytes."""
     rows = labelled.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     some = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows) for c in (0, 1)]
     chosen = some[0].unionByName(some[1])  # at most 2 * sample_rows ids, so it can be broadcast
-    taken = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_features(s.buckets_log2, s.lower), "doc_id long, label int, ids array<int>, counts array<smallint>")
-    rows_ = []
-    for batch in taken.toArrow().to_batches():  # views, not copies
-        ids, counts = batch.column(2), batch.column(3)
-        cut, flat_ids, flat_counts = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), counts.values.to_numpy(zero_copy_only=False)
-        rows_ += [(d, y, (flat_ids[a:b], flat_counts[a:b])) for d, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cut[:-1], cut[1:])]
-    rows_.sort(key=lambda r: r[0])
-    features, labels = [r[2] for r in rows_], np.array([r[1] for r in rows_], np.int64)
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    return fit(features, labels, share, s)
+    taken = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    got = taken.repartition(1).mapInArrow(_fit(share, s), "weights binary, bias double").collect()
+    if not got:  # a plan over no rows at all may have no task
+        return fit([], np.zeros(0, np.int64), share, s)
+    return np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,12 @@
 """A training corpus from raw documents, in five stages.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller writes and
-rereads as the next one's docs. All but the last return the columns of documents."""
+rereads as the next one's docs. All but the last return the columns of documents.
+
+Rows without a doc_id go in the first stage, as nothing later could name them. Null and empty
+texts are judged by the classifiers as texts without tokens; they link with nothing and repeat
+nothing. Rows that share a doc_id are judged each by its text; the minhash stage takes them for
+versions of one document and keeps one row, the one with the least text by hash."""
 
 from __future__ import annotations
 
@@ -17,7 +22,7 @@ from candela.llm.stage import DOCUMENT_COLUMNS, shared_dir, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
-    return quality.keep(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
+    return quality.keep(docs.select(*DOCUMENT_COLUMNS).where("doc_id is not null"), table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +33,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS)
+    rest = F.struct(F.xxhash64("text").alias("at"), *DOCUMENT_COLUMNS)
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("row"))
+    return rows.select("row.*").select(*DOCUMENT_COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
