@@ -1,12 +1,15 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, merged.
 
-Distinct vectors are dealt to shards of bounded size. Each shard builds a hierarchical
-graph, kept as flat arrays of neighbours, one row a shard in a staged table. Query blocks
-meet every shard; inside, a block moves through the graph in lockstep, so numpy handles
+Distinct vectors are dealt to shards of bounded size. Each shard builds hierarchical
+graphs, kept as flat arrays of neighbours, one row a shard in a staged table. Query blocks
+meet every shard; inside, a block moves through a graph in lockstep, so numpy handles
 all its queries at once. Shard results are merged by score.
 
-Nearness is the inner product. Vectors get one more component that evens their lengths,
-which turns it into plain distance for the graph.
+Nearness is the inner product. A graph holds the vectors of a shard whose lengths are
+within a factor of 2**0.5 of one another, and one more component evens them, which turns the
+product into plain distance; so a few long vectors don't blur the rest. Groups of few
+vectors are compared one by one. Groups go from long to short, and a group is left out where
+its length times the query's is below what the query has found already.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stage import stage
-from .vectors import copies, usable
+from .vectors import copies, one_each, usable
 
 SHARD_ROWS = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
+#: Groups of so many vectors of like length have no graph.
+PLAIN_ROWS = 256
 LINKS = 16
 EF_BUILD, EF_SEARCH = 96, 160
 
@@ -96,8 +101,9 @@ def diverse(v: np.ndarray, base: np.ndarray, ids: np.ndarray, keep: int) -> np.n
     """For each base node up to `keep` of its candidates: nearest first, those first that are
     nearer to the base than to any taken before, then the nearest of the others."""
     out = np.full((len(base), keep), -1, np.int64)
-    for lo in range(0, len(base), 512):
-        b, c = base[lo : lo + 512], ids[lo : lo + 512]
+    step = max(1, min(512, 5_000_000 // max(1, ids.shape[1]) ** 2))
+    for lo in range(0, len(base), step):
+        b, c = base[lo : lo + step], ids[lo : lo + step]
         s = np.matmul(v[c], v[b][:, :, None])[:, :, 0]
         s[c < 0] = -np.inf
         order = np.argsort(-s, axis=1)
@@ -111,7 +117,7 @@ def diverse(v: np.ndarray, base: np.ndarray, ids: np.ndarray, keep: int) -> np.n
         rank = np.where(c < 0, 2, np.where(taken, 0, 1))
         first = np.argsort(rank, axis=1, kind="stable")[:, :keep]
         got = np.take_along_axis(c, first, 1)
-        out[lo : lo + 512, : got.shape[1]] = got
+        out[lo : lo + step, : got.shape[1]] = got
     return out
 
 
@@ -126,7 +132,7 @@ def build(v: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = 3)
     so far, linked to what their search found and to one another."""
     n = len(v)
     rng = np.random.default_rng(seed)
-    level_of = np.minimum((-np.log(1 - rng.random(n)) / np.log(links)).astype(int), 6)
+    level_of = (-np.log(1 - rng.random(n)) / np.log(links)).astype(int)
     order = np.argsort(-level_of, kind="stable")  # high levels first, so the entry is at the top
     top = int(level_of[order[0]])
     g = Graph(v, [np.full((n + 1, 2 * links if k == 0 else links), -1, np.int32) for k in range(top + 1)], int(order[0]))
@@ -167,7 +173,6 @@ def build(v: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = 3)
             nodes = dst[start]
             back = np.full((len(nodes), int(count.max()) if len(count) else 0), -1, np.int64)
             back[np.repeat(np.arange(len(nodes)), count), np.arange(len(dst)) - np.repeat(start, count)] = src
-            back = back[:, :96] if back.shape[1] > 96 else back
             all_ = np.sort(np.concatenate([g.links[level][nodes].astype(np.int64), back], 1), axis=1)
             all_[:, 1:][all_[:, 1:] == all_[:, :-1]] = -1
             all_ = -np.sort(-all_, axis=1)
@@ -179,18 +184,37 @@ def build(v: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = 3)
     return g
 
 
+def lengths(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(part, power): the length of each vector is part * 2.0**power, part from 0.5 on; no
+    component is too large or small to square."""
+    top = np.frexp(np.abs(v).max(1))[1]
+    part, power = np.frexp(np.sqrt((np.ldexp(v, -top[:, None]) ** 2).sum(1)))
+    return part, power + top
+
+
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("rep")
     raw = np.stack(rows["v"].to_numpy()).astype(np.float64)
-    g = build(even_lengths(raw))
-    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "n": [len(raw)], "entry": [g.entry], "reps": [rows["rep"].to_numpy(np.int64).tobytes()], "raw": [raw.tobytes()], "links": [[x.tobytes() for x in g.links]]})
+    part, power = lengths(raw)
+    group = 2 * power + (part >= 0.5**0.5)
+    order = np.argsort(-group, kind="stable")  # long ones first
+    raw, group, power = raw[order], group[order], power[order]
+    cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(raw)]
+    groups = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        if b - a <= PLAIN_ROWS:
+            groups.append({"n": b - a, "power": int(power[a]), "entry": -1, "links": []})
+        else:
+            g = build(even_lengths(np.ldexp(raw[a:b], -int(power[a]))))
+            groups.append({"n": b - a, "power": int(power[a]), "entry": g.entry, "links": [x.tobytes() for x in g.links]})
+    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "reps": [rows["rep"].to_numpy(np.int64)[order].tobytes()], "raw": [raw.tobytes()], "groups": [groups]})
 
 
-GRAPH_SCHEMA = "shard int, n int, entry int, reps binary, raw binary, links array<binary>"
+GRAPH_SCHEMA = "shard int, reps binary, raw binary, groups array<struct<n int, power int, entry int, links array<binary>>>"
 
 
 def index(reps: DataFrame, shards: int) -> DataFrame:
-    """One row a shard: its vectors and its graph as flat arrays. reps: (rep, v)."""
+    """One row a shard: its vectors, and by length its graphs as flat arrays. reps: (rep, v)."""
     dealt = reps.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
     return stage(dealt.groupBy("shard").applyInPandas(_build_shard, GRAPH_SCHEMA), "hnsw-graphs")
 
@@ -200,23 +224,44 @@ def _search_block(k: int, ef: int):
         empty = pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(graphs) or not len(queries):
             return empty
-        row, n = graphs.iloc[0], int(graphs.iloc[0]["n"])
-        raw = np.frombuffer(row["raw"]).reshape(n, -1)
+        row = graphs.iloc[0]
         reps = np.frombuffer(row["reps"], np.int64)
-        g = Graph(even_lengths(raw), [np.frombuffer(x, np.int32).reshape(n + 1, -1) for x in row["links"]], int(row["entry"]))
-        q = np.stack(queries["v"].to_numpy()).astype(np.float64)
+        raw = np.frombuffer(row["raw"]).reshape(len(reps), -1)
+        parts, at = [], 0
+        for x in row["groups"]:
+            v = raw[at : at + x["n"]]
+            g = None
+            if x["entry"] >= 0:
+                g = Graph(even_lengths(np.ldexp(v, -x["power"])), [np.frombuffer(y, np.int32).reshape(x["n"] + 1, -1) for y in x["links"]], x["entry"])
+            parts.append((at, v, g, x["power"]))
+            at += x["n"]
+        every = np.stack(queries["v"].to_numpy()).astype(np.float64)
         names, out = queries["query"].to_numpy(np.int64), []
-        flat = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-        for lo in range(0, len(q), 512):
-            ids, _ = g.search(flat[lo : lo + 512], min(ef, n))
-            ids = ids[:, : 2 * k]
-            score = np.matmul(raw[ids], q[lo : lo + 512][:, :, None])[:, :, 0]  # double precision, original vectors
-            score[ids < 0] = -np.inf
-            best = np.lexsort((reps[ids], -score), axis=1)[:, :k]
-            r = np.repeat(np.arange(len(ids)), best.shape[1])
-            got, s = np.take_along_axis(ids, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()
-            ok = got >= 0
-            out.append(pd.DataFrame({"query": names[lo : lo + 512][r[ok]], "rep": reps[got[ok]], "score": s[ok]}))
+        for lo in range(0, len(every), 512):
+            q = every[lo : lo + 512]
+            part, power = lengths(q)
+            best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
+            for begin, v, g, top in parts:
+                # no vector here is as long as 2.0**top
+                with np.errstate(over="ignore"):
+                    may = np.flatnonzero(~(np.ldexp(part, power + top) < best_s[:, -1]))
+                if not len(may):
+                    continue
+                own = q[may]
+                if g is None:
+                    ids = np.broadcast_to(np.arange(len(v)), (len(own), len(v)))
+                    score = own @ v.T  # double precision, original vectors
+                else:
+                    flat = np.concatenate([np.ldexp(own, -power[may][:, None]), np.zeros((len(own), 1))], 1).astype(np.float32)
+                    ids, _ = g.search(flat, min(ef, len(v)))
+                    score = np.matmul(v[ids], own[:, :, None])[:, :, 0]
+                    score[ids < 0] = -np.inf
+                ids = np.where(ids >= 0, ids + begin, -1)
+                score, ids = np.concatenate([best_s[may], score], 1), np.concatenate([best_i[may], ids], 1)
+                best = np.lexsort((reps[ids], -score), axis=1)[:, :k]
+                best_s[may], best_i[may] = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
+            r, c = np.nonzero(best_i >= 0)
+            out.append(pd.DataFrame({"query": names[lo : lo + 512][r], "rep": reps[best_i[r, c]], "score": best_s[r, c]}))
         return pd.concat(out) if out else empty
 
     return run
@@ -227,14 +272,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SE
     vectors found, by inner product in double precision, ties to the smaller id.
 
     Both tables have the same columns. Unusable vectors (see vectors.usable) neither ask nor
-    answer; a query with fewer candidates gets them all; rows that repeat an id with its
-    vector count once; other columns are ignored."""
-    good = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id"])
+    answer; a query with fewer candidates gets them all; of rows that share an id the least
+    vector counts; other columns are ignored."""
+    good = one_each(usable(vectors, id_col, vector_col))
     known = stage(copies(good, k + 1), "hnsw-vectors")
     n = known.count()
     shards = max(1, -(-n // shard_rows))
     graphs = index(known, shards)
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
+    asked = one_each(usable(queries, id_col, vector_col))
     asking = stage(asked.groupBy("v").agg(F.min("vec_id").alias("query")), "hnsw-queries")  # equal queries search once
     blocks = max(1, -(-asking.count() // QUERY_BLOCK))
     placed = asking.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

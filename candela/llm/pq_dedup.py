@@ -1,15 +1,16 @@
 """Embedding near-dedup by product quantisation.
 
 Unit vectors are put into coarse inverted lists and their residuals coded in subspaces; the
-error of each reconstruction is kept. A query goes to every list that can hold a vector
-within the angle: angle(query, centroid) <= angle of the threshold + the list's greatest
-angle. There table lookups give the product with each reconstruction, whose error bounds
-the true product; what the bound lets through is decided by the exact cosine. So probes and
-filter lose no link; the codes only save exact products.
+error of each reconstruction is kept. A query goes to its nearest lists, as many as find the
+list of a neighbour just at the threshold in all but one of a thousand cases: that number is
+measured on neighbours made from the sample, so it follows the data and not a guess. In a
+list, table lookups give the product with each reconstruction, whose error bounds the true
+product; what the bound lets through is decided by the exact cosine. So the codes lose no
+link, and probing loses few, as most links are above the threshold.
 
 Equal vectors are one from the start. Lists and their queries meet in blocks of bounded
 size; a block gives counts a vector and the links that connect it, never all its pairs.
-Centroids and codebooks come from a bounded sample; they decide speed, not results.
+Centroids and codebooks come from a bounded sample.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .stage import stage
-from .vectors import copies, usable
+from .vectors import copies, one_each, usable
 
 #: Vectors that training sees, the least by hash of id.
-SAMPLE_ROWS = 16_384
+SAMPLE_ROWS = 65_536
+#: Of neighbours at the threshold, the share whose list is not among those probed.
+MISSED = 1e-3
 BLOCK_ROWS = 4096
 CODES = 256
 SLACK = 1e-5
@@ -62,15 +65,19 @@ class Codebook:
         return np.einsum("qsw,scw->qsc", self._split(q), self.books).astype(np.float32)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """The centre of each x, in blocks of rows."""
+    return np.concatenate([(x[lo : lo + 4096] @ c.T - half).argmax(1) for lo in range(0, len(x), 4096)])
+
+
 def _centres(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
-        count = np.bincount(near, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c)
+        near = _nearest(x, c, 0.5 * (c**2).sum(1))
+        order = np.argsort(near, kind="stable")
+        kinds, first, count = np.unique(near[order], return_index=True, return_counts=True)
+        c[kinds] = np.add.reduceat(x[order], first, axis=0) / count[:, None]
     return c
 
 
@@ -83,7 +90,7 @@ def train(sample: np.ndarray, lists: int, subspaces: int = 16, seed: int = 9) ->
     m = min(subspaces, dim)
     width = -(-dim // m)
     book = Codebook(c, np.zeros((m, 1, width)), dim)
-    rest = book._split(sample - c[(sample @ c.T).argmax(1)])
+    rest = book._split((sample - c[_nearest(sample, c, np.zeros(len(c)))])[:16_384])
     books = np.zeros((m, CODES, width))
     for s in range(m):
         got = _centres(rest[:, s], CODES, rng, 6)
@@ -92,7 +99,32 @@ def train(sample: np.ndarray, lists: int, subspaces: int = 16, seed: int = 9) ->
     return Codebook(c, books, dim)
 
 
+def probes(sample: np.ndarray, book: Codebook, least: float, missed: float = MISSED, seed: int = 4) -> int:
+    """How many lists a query goes to: vectors of the sample get a neighbour with the cosine
+    `least`, turned towards another vector of the sample, and the number is how far down the
+    neighbour's order of lists the vector's own list is, but for a share `missed` of them."""
+    rng = np.random.default_rng(seed)
+    ranks = []
+    for _ in range(max(1, min(8, 32_768 // len(sample)))):
+        m, x = sample[:4096], sample[rng.permutation(len(sample))[: min(4096, len(sample))]]
+        aside = x - (x * m).sum(1)[:, None] * m
+        size = np.linalg.norm(aside, axis=1)
+        some = size > 1e-6
+        q = least * m[some] + np.sqrt(1 - least * least) * aside[some] / size[some][:, None]
+        own = (m[some] @ book.centroids.T).argmax(1)
+        near = q @ book.centroids.T
+        ranks.append((near > near[np.arange(len(q)), own][:, None]).sum(1))
+    ranks = np.concatenate(ranks)
+    return min(len(book.centroids), 2 + int(np.quantile(ranks, 1 - missed, method="higher"))) if len(ranks) else len(book.centroids)
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two, so that their squares neither vanish nor overflow."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
+    v = _scaled(v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -101,32 +133,36 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _slices(batches, rows: int = 2048):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _encode(shared):
     def run(batches):
         book = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             u = _unit(_matrix(batch.column(1)))
             to, codes, error = book.encode(u)
-            angle = np.arccos(np.clip((u * book.centroids[to]).sum(1), -1, 1))
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(to.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(angle)], names=["rep", "v", "n", "list", "codes", "error", "angle"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(to.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["rep", "v", "n", "list", "codes", "error"])
 
     return run
 
 
-def _probe(shared, radius: np.ndarray, reach: float, blocks: np.ndarray):
-    """Queries to every list from their own on that can hold a link, once for each of its blocks."""
+def _probe(shared, count: int, blocks: np.ndarray):
+    """Queries to those of their nearest lists that come after their own or are it, so that a
+    pair meets once; one row for each block of the list."""
 
     def run(batches):
         book = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             own = batch.column(3).to_numpy(zero_copy_only=False)
-            angle = np.arccos(np.clip(_unit(_matrix(batch.column(1))) @ book.centroids.T, -1, 1))
-            lists = np.arange(len(radius))
-            row, to = np.nonzero((angle <= reach + radius[None, :]) & (lists[None, :] >= own[:, None]) & (blocks[None, :] > 0))
+            near = _unit(_matrix(batch.column(1))) @ book.centroids.T
+            near[np.arange(len(own)), own] = np.inf
+            lists = np.argpartition(-near, min(count, near.shape[1]) - 1, axis=1)[:, :count]
+            row, at = np.nonzero((lists >= own[:, None]) & (blocks[lists] > 0))
+            to = lists[row, at]
             times = blocks[to]
             row, to = np.repeat(row, times), np.repeat(to, times)
             block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -145,7 +181,7 @@ def _meet(shared, least: float):
         out = {"rep": [], "links": [], "a": [], "b": []}
         if len(queries) and len(members):
             book, here = shared.value, int(members["list"].iloc[0])
-            mv, qv = np.stack(members["v"].to_numpy()), np.stack(queries["v"].to_numpy())
+            mv, qv = _scaled(np.stack(members["v"].to_numpy())), _scaled(np.stack(queries["v"].to_numpy()))
             m_len, q_len = np.linalg.norm(mv, axis=1), np.linalg.norm(qv, axis=1)
             m_id, q_id = members["rep"].to_numpy(), queries["rep"].to_numpy()
             m_n, q_n, inner = members["n"].to_numpy(), queries["n"].to_numpy(), queries["own"].to_numpy() == here
@@ -193,14 +229,14 @@ def _meet(shared, least: float):
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept): vectors linked by cosine >= least in double
-    precision. n_links counts other rows linked directly, component_id is the least vec_id
-    reachable, kept marks that row.
+    precision, of those that meet in a probed list. n_links counts other rows linked directly,
+    component_id is the least vec_id reachable, kept marks that row.
 
     Unusable vectors (see vectors.usable) link with nothing and each give a row; rows
-    without an id take no part; rows that repeat an id with its vector each give a row and
-    count once; other columns are ignored."""
+    without an id take no part; of rows that share an id the least vector counts, and each
+    gives a row; other columns are ignored."""
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id")).where("vec_id is not null")
-    good = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id"])
+    good = one_each(usable(vectors, id_col, vector_col))
     known = stage(copies(good, 1).select("rep", "v", "n"), "pq-vectors")
     members = stage(good.join(known.select("v", "rep", "n"), "v").select("vec_id", "rep", "n"), "pq-members")
     total = known.count()
@@ -209,17 +245,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample_rows: int = S
     spark = vectors.sparkSession
     sample = known.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).toArrow().sort_by("rep")
     unit = _unit(_matrix(sample["v"].combine_chunks()))
-    shared = spark.sparkContext.broadcast(train(unit, int(np.clip(np.sqrt(total) / 6, 1, 1024))))
-    coded = stage(known.mapInArrow(_encode(shared), "rep long, v array<double>, n long, list int, codes binary, error double, angle double"), "pq-codes")
-    lists = {r["list"]: (r["rows"], r["angle"]) for r in coded.groupBy("list").agg(F.count("*").alias("rows"), F.max("angle").alias("angle")).collect()}  # a row a list
-    k = len(shared.value.centroids)
-    blocks = np.array([-(-lists[i][0] // BLOCK_ROWS) if i in lists else 0 for i in range(k)])
-    radius = np.array([lists[i][1] + SLACK if i in lists else 0.0 for i in range(k)])
-    queries = coded.select("rep", "v", "n", "list").mapInArrow(_probe(shared, radius, float(np.arccos(least)) + SLACK, blocks), "rep long, v array<double>, n long, own int, list int, block int")
+    book = train(unit, int(min(max(1, 2 * np.sqrt(total)), max(1, len(unit) // 4))))  # at most sample_rows / 4 lists
+    shared = spark.sparkContext.broadcast(book)
+    coded = stage(known.mapInArrow(_encode(shared), "rep long, v array<double>, n long, list int, codes binary, error double"), "pq-codes")
+    lists = {r["list"]: r["rows"] for r in coded.groupBy("list").agg(F.count("*").alias("rows")).collect()}  # a row a list
+    blocks = np.array([-(-lists.get(i, 0) // BLOCK_ROWS) for i in range(len(book.centroids))])
+    queries = coded.select("rep", "v", "n", "list").mapInArrow(_probe(shared, probes(unit, book, least), blocks), "rep long, v array<double>, n long, own int, list int, block int")
     queries = stage(queries.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-total // BLOCK_ROWS)))).cast("int")), "pq-queries")
     parts = stage(queries.select("list", "part").distinct(), "pq-parts")
-    of_list = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
-    held = coded.select("rep", "v", "n", "list", "codes", "error", F.pmod(F.xxhash64("rep", F.lit(1)), of_list).cast("int").alias("block")).join(parts, "list")
+    sizes = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks) if b], "list int, n_blocks int")  # a row a list
+    held = coded.join(F.broadcast(sizes), "list").select("rep", "v", "n", "list", "codes", "error", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_blocks")).cast("int").alias("block")).join(parts, "list")
     met = stage(queries.groupBy("list", "block", "part").cogroup(held.groupBy("list", "block", "part")).applyInPandas(_meet(shared, least), "rep long, links long, a long, b long, link boolean"), "pq-links")
     counts = met.where("not link").groupBy("rep").agg(F.sum("links").alias("links"))
     found = components(met.where("link").select("a", "b"))

@@ -16,6 +16,11 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return v.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """One row an id: of rows that share it, the least vector."""
+    return vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def copies(vectors: DataFrame, keep: int) -> DataFrame:
     """(rep, v, ids, n): each distinct vector with its least id, its `keep` least ids and how
     many rows have it. The limit is applied before the shuffle, so a hot vector stays small."""
