@@ -171,12 +171,33 @@ def require_same_keys(a: DataFrame, b: DataFrame, keys, what: str = "tables") ->
         raise ContractError(f"{what} differ: {[r.asDict() for r in odd]}")
 
 
+#: What a feature table tells of its making; not joined.
+NOT_FEATURES = ("status", "error_message", "path", "image_path", "mask_path", "processing_time_seconds")
+
+
+def attach_audit(cohort: DataFrame, features: DataFrame) -> DataFrame:
+    """One row of what breaks the 1:1 join on case_id: all 0 where attach_features works. Only
+    the status success, in any case, counts as done; null does not."""
+    good = F.coalesce(F.lower(F.trim(F.col("status").cast("string"))) == "success", F.lit(False)) if "status" in features.columns else F.lit(True)
+    right = features.select(F.col("case_id").alias("_case_id"), F.col("person_id").alias("_person_id"), F.col("pre_0_post_1").alias("_flag"), good.alias("_good"))
+    n = right.groupBy("_case_id").agg(F.count("*").alias("_n"), F.min("_person_id").alias("_person_id"), F.min("_flag").alias("_flag"), F.min("_good").alias("_good"))
+    both = cohort.select(*CASE).join(n, F.col("case_id") == F.col("_case_id"), "left")
+    return both.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("_case_id").isNull()).alias("missing"),
+        F.count_if(~F.col("_good")).alias("failed"),
+        F.count_if(F.col("person_id") != F.col("_person_id")).alias("other_person"),
+        F.count_if(F.col("pre_0_post_1") != F.col("_flag")).alias("other_flag"),
+        (F.count_if(F.col("_n") > 1) + F.count("*") - F.count_distinct("case_id")).alias("repeated"),
+    )
+
+
 def attach_features(cohort: DataFrame, features: DataFrame, name: str = "features") -> DataFrame:
-    """Left 1:1 join on case_id; missing rows, another person or flag, and failed rows fail."""
+    """Left 1:1 join on case_id; missing rows, another person or flag, and rows that are not a
+    success fail."""
     require_columns(features, CASE, name)
-    drop = [c for c in ("status", "error", "error_message", "image_path", "mask_path", *HASHES) if c in features.columns]
-    good = F.lower(F.trim("status")).isin("success", "ok", "skipped") if "status" in features.columns else F.lit(True)
-    right = features.select(*[F.col(c).alias(f"_{c}") if c in CASE else F.col(c) for c in features.columns if c not in drop], good.alias("_good"))
-    out = cohort.join(right, F.col("case_id") == F.col("_case_id"), "left")
-    _expect(out, name, missing=F.count_if(F.col("_case_id").isNull()), failed=F.count_if(~F.col("_good")), person=F.count_if(F.col("person_id") != F.col("_person_id")), flag=F.count_if(F.col("pre_0_post_1") != F.col("_pre_0_post_1")), repeated=F.count("*") - F.count_distinct("case_id"))
-    return out.drop("_case_id", "_person_id", "_pre_0_post_1", "_good")
+    bad = {k: v for k, v in attach_audit(cohort, features).first().asDict().items() if k != "n_rows" and v}
+    if bad:
+        raise ContractError(f"{name}: " + ", ".join(f"{k} {v}" for k, v in bad.items()))
+    drop = {*NOT_FEATURES, *CASE}
+    return cohort.join(features.select("case_id", *[c for c in features.columns if c not in drop]), "case_id", "left")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scoring import distance, meet, scaler, weights
+from .scoring import extremes, scaler, sound, weights
 
 CONFIG = ("mode", "mode_order", "n_views", "h")
 
@@ -15,51 +19,145 @@ def _side_by_side(df: DataFrame, keys, views, value, prefix: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.first(F.when(F.col("view") == v, value), ignorenulls=True).alias(f"{prefix}_{v}") for v in views])
 
 
-def _ranks(asked: DataFrame, gallery: DataFrame, modes: DataFrame, keys: list[str], asked_rows: int, digits: int | None, leave_out: str | None = None) -> DataFrame:
-    """True mid-ranks by keys and configuration of asked rows: keys, h, and for each
-    view the features q_ and weights w_.
+@dataclass(frozen=True)
+class _Plan:
+    """What the blocks compare: for each mode its order, name, number of views and views."""
+
+    modes: tuple[tuple[int, str, int, tuple[str, ...]], ...]
+    digits: int | None
+
+    @classmethod
+    def of(cls, modes: DataFrame, digits: int | None) -> "_Plan":
+        rows = modes.collect()  # a few rows
+        names = sorted({(r["mode_order"], r["mode"], r["n_views"]) for r in rows})
+        return cls(tuple((i, m, n, tuple(sorted(r["view"] for r in rows if r["mode"] == m))) for i, m, n in names), digits)
+
+    @property
+    def views(self) -> list[str]:
+        return sorted({v for *_, parts in self.modes for v in parts})
+
+    def similarity(self, q: np.ndarray, r: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """1 / (1 + distance) of arrays that broadcast over all but the last axis."""
+        total = np.zeros(np.broadcast_shapes(q.shape[:-1], r.shape[:-1]))
+        for i in range(q.shape[-1]):
+            part = (q[..., i] - r[..., i]) * w[..., i]
+            part *= part
+            total += part
+        d = np.sqrt(total, out=total)
+        s = 1.0 / (1.0 + (d if self.digits is None else np.round(d, self.digits)))
+        return s if self.digits is None else np.round(s, self.digits)
+
+    def fused(self, by_view: dict[str, np.ndarray], parts: tuple[str, ...]) -> np.ndarray:
+        if len(parts) == 1:
+            return by_view[parts[0]]
+        mean = sum((by_view[v] for v in parts[1:]), by_view[parts[0]]) / len(parts)
+        return mean if self.digits is None else np.round(mean, self.digits + 3)
+
+    def blocks(self, asked: pd.DataFrame, held: pd.DataFrame, rows: int = 256):
+        """(slice of asked, mode number, scores, genuine scores) for runs of asked rows."""
+        matrix = lambda df, c: np.stack(df[c].to_numpy()).astype(float)
+        r = {v: matrix(held, f"r_{v}") for v in self.views}
+        known = asked["known"].to_numpy(bool)
+        for lo in range(0, len(asked), rows):
+            part, here = asked.iloc[lo : lo + rows], slice(lo, lo + rows)
+            own, others = {}, {}
+            for v in self.views:
+                q, w = matrix(part, f"q_{v}"), matrix(part, f"w_{v}")
+                g = np.stack([x if k else y for x, y, k in zip(part[f"g_{v}"], q, known[here])]).astype(float)
+                own[v] = self.similarity(q, g, w)
+                others[v] = self.similarity(q[:, None], r[v][None], w[:, None])
+            for n, (*_, parts) in enumerate(self.modes):
+                yield here, n, self.fused(others, parts), self.fused(own, parts)
+
+
+def _codes(*columns) -> list[np.ndarray]:
+    """The values of columns as numbers of their own."""
+    numbers = pd.factorize(np.concatenate([np.asarray(c, object) for c in columns]))[0]
+    return np.split(numbers, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _count(plan: _Plan, keys: list[str], leave_out: str | None):
+    """Counts of better and equal references of a block of asked rows in a block of the gallery."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        k = len(plan.modes)
+        better, equal = np.zeros((len(asked), k), np.int64), np.zeros((len(asked), k), np.int64)
+        n = np.full(len(asked), len(held), np.int64)
+        if len(asked) and len(held):
+            out = None
+            if leave_out:
+                gone, has = _codes(asked[leave_out], held["db_person"])
+                out = gone[:, None] == has[None, :]
+                n -= out.sum(1)
+            for here, m, s, g in plan.blocks(asked, held):
+                if out is not None:
+                    s = np.where(out[here], -1.0, s)
+                better[here, m], equal[here, m] = (s > g[:, None]).sum(1), (s == g[:, None]).sum(1)
+        known = asked["known"].to_numpy(bool)[:, None]
+        frame = asked[keys].copy()
+        frame["n_gallery"], frame["better"], frame["equal"] = n, list(better * known), list(equal * known)
+        return frame
 
-    A row of the scoring join holds all views of one h and the query's genuine reference, so
-    each configuration is two counters of one aggregation and no score is shuffled."""
-    own = sorted({(r["mode_order"], r["mode"], r["n_views"]) for r in modes.collect()})  # a few rows
-    parts = {m: sorted(r["view"] for r in modes.where(F.col("mode") == m).collect()) for _, m, _ in own}
-    views = sorted({v for p in parts.values() for v in p})
-    held = _side_by_side(gallery, ("case_id", "person_id", "h"), views, F.col("f"), "r").withColumnsRenamed({"case_id": "db_case", "person_id": "db_person"})
-    several = F.when(F.count("*") > 1, F.raise_error(F.lit("a query has several genuine references")).cast("int")).alias("_n")
+    return run
+
+
+def _held(gallery: DataFrame, views) -> DataFrame:
+    return _side_by_side(gallery, ("case_id", "person_id", "h"), views, sound(F.col("f"), "gallery"), "r").withColumnsRenamed({"case_id": "db_case", "person_id": "db_person"})
+
+
+def _with_genuine(asked: DataFrame, held: DataFrame, views) -> DataFrame:
+    several = F.when(F.count("*") > 1, F.raise_error(F.lit("a query has several genuine references")).cast("boolean")).otherwise(True).alias("known")
     genuine = held.groupBy(F.col("db_person").alias("query_person"), "h").agg(several, *[F.first(f"r_{v}").alias(f"g_{v}") for v in views])
-    pairs = meet(asked.join(genuine, ["query_person", "h"], "left"), held, asked_rows, gallery.select("case_id").distinct().count(), on=("h",), block_rows=8192)
-    if leave_out:
-        pairs = pairs.where(F.col("db_person") != F.col(leave_out))
+    return asked.join(genuine, ["query_person", "h"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def _dealt(asked: DataFrame, held: DataFrame, asked_rows: int, gallery_rows: int, block_rows: int = 4096):
+    """Both sides dealt to a grid of blocks, cogrouped by cell: neither is broadcast, and a cell
+    holds about a block of each."""
+    a, b = max(1, -(-asked_rows // block_rows)), max(1, -(-gallery_rows // block_rows))
+    place = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c.endswith(("case", "person", "fold"))]), F.lit(n)).cast("int")
+    x = asked.withColumns({"_a": place(asked, a), "_b": F.explode(F.sequence(F.lit(0), F.lit(b - 1)))})
+    y = held.withColumns({"_b": place(held, b), "_a": F.explode(F.sequence(F.lit(0), F.lit(a - 1)))})
+    y = y.select(*[F.col(c).alias(c) for c in y.columns])  # columns of its own: both sides may stem from one table
+    return x.groupBy("_a", "_b", "h").cogroup(y.groupBy("_a", "_b", "h"))
 
-    def score(other: str, view: str):
-        d = distance(F.col(f"q_{view}"), F.col(f"{other}_{view}"), F.col(f"w_{view}"))
-        s = 1.0 / (1.0 + (d if digits is None else F.round(d, digits)))
-        return s if digits is None else F.round(s, digits)
 
-    def fused(other: str, mode: str):
-        each = [F.col(f"{other}s_{v}") for v in parts[mode]]
-        mean = sum(each[1:], each[0]) / len(each)
-        return each[0] if len(each) == 1 else mean if digits is None else F.round(mean, digits + 3)
+def _counts(asked: DataFrame, held: DataFrame, plan: _Plan, keys: list[str], asked_rows: int, gallery_rows: int, leave_out: str | None = None) -> DataFrame:
+    """keys, h, n_gallery and, as arrays over the modes, better and equal. A block compares all
+    views of one h with the query's genuine reference, so no score is shuffled."""
+    every = [*keys, "h"]
+    types = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in every) + ", n_gallery long, better array<long>, equal array<long>"
+    parts = _dealt(_with_genuine(asked, held, plan.views), held, asked_rows, gallery_rows).applyInPandas(_count(plan, every, leave_out), schema)
+    total = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(len(plan.modes))]).alias(c)
+    return parts.groupBy(*every).agg(F.sum("n_gallery").alias("n_gallery"), total("better"), total("equal"))
 
-    keys = [*keys, "h"]
-    scored = pairs.select(*keys, *[score(o, v).alias(f"{o}s_{v}") for o in "rg" for v in views])
-    compared = scored.select(*keys, *[x.alias(f"{n}_{i}") for i, m, _ in own for n, x in (("s", fused("r", m)), ("g", fused("g", m)))])
-    counts = compared.groupBy(*keys).agg(F.count("*").alias("n_gallery"), *[x.alias(f"{n}_{i}") for i, _, _ in own for n, x in (("b", F.count_if(F.col(f"s_{i}") > F.col(f"g_{i}"))), ("e", F.count_if(F.col(f"s_{i}") == F.col(f"g_{i}"))))])
-    found = lambda i, x: F.when(F.col(f"e_{i}") > 0, x)
-    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(i).alias("mode_order"), F.lit(n).alias("n_views"), found(i, 1.0 + F.col(f"b_{i}") + 0.5 * (F.col(f"e_{i}") - 1)).alias("true_rank"), found(i, F.col(f"e_{i}") - 1).alias("n_ties")) for i, m, n in own])
-    return counts.select(*keys, "n_gallery", F.explode(rows).alias("x")).select(*keys, "x.*", "n_gallery")
+
+def _by_mode(counts: DataFrame, plan: _Plan, keys: list[str]) -> DataFrame:
+    def row(n, i, m, views):
+        b, e = F.col("better")[n], F.col("equal")[n]
+        return F.struct(F.lit(m).alias("mode"), F.lit(i).alias("mode_order"), F.lit(views).alias("n_views"), F.when(e > 0, 1.0 + b + 0.5 * (e - 1)).alias("true_rank"), F.when(e > 0, e - 1).alias("n_ties"))
+
+    rows = F.array(*[row(n, i, m, k) for n, (i, m, k, _) in enumerate(plan.modes)])
+    return counts.select(*keys, "h", "n_gallery", F.explode(rows).alias("x")).select(*keys, "h", "x.*", "n_gallery")
 
 
 def _asked(queries: DataFrame, views) -> DataFrame:
-    return _side_by_side(queries, ("case_id", "person_id", "h"), views, F.col("f"), "q").withColumnsRenamed({"case_id": "query_case", "person_id": "query_person"})
+    return _side_by_side(queries, ("case_id", "person_id", "h"), views, sound(F.col("f"), "query"), "q").withColumnsRenamed({"case_id": "query_case", "person_id": "query_person"})
+
+
+def _cases(df: DataFrame) -> int:
+    return df.select("case_id").distinct().count()
 
 
 def fixed_configurations(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None) -> DataFrame:
-    """True mid-rank of every query under every configuration, each scaled without its person."""
-    views = sorted(r[0] for r in modes.select("view").distinct().collect())
-    fit = _side_by_side(scaler(queries.select("person_id").distinct(), gallery), ("person_id", "h"), views, weights(F.col("lo"), F.col("hi")), "w")
-    asked = _asked(queries, views).join(fit.withColumnRenamed("person_id", "query_person"), ["query_person", "h"])
-    return _ranks(asked, gallery, modes, ["query_case", "query_person"], queries.select("case_id").distinct().count(), digits)
+    """True mid-rank of every query under every configuration, each scaled without its person.
+    Features that are not finite and persons without another reference fail."""
+    plan = _Plan.of(modes, digits)
+    fit = _side_by_side(scaler(queries.select("person_id").distinct(), gallery), ("person_id", "h"), plan.views, weights(F.col("lo"), F.col("hi")), "w")
+    asked = _asked(queries, plan.views).join(fit.withColumnRenamed("person_id", "query_person"), ["query_person", "h"])
+    keys = ["query_case", "query_person"]
+    return _by_mode(_counts(asked, _held(gallery, plan.views), plan, keys, _cases(queries), _cases(gallery)), plan, keys)
 
 
 def summarize_configurations(ranks: DataFrame, digits: int = 12) -> DataFrame:
@@ -72,27 +170,115 @@ def summarize_configurations(ranks: DataFrame, digits: int = 12) -> DataFrame:
     return out.withColumns({f"rank{k}_rate": F.col(f"rank{k}_count") / F.col("n") for k in (1, 5, 10)})
 
 
-def fold_training_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None) -> DataFrame:
+def fold_training_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None, folds: DataFrame | None = None) -> DataFrame:
     """(fold, query_case, query_person, configuration, true_rank): for each held-out query
-    person all other queries, ranked in the gallery without that person, scaled without it."""
-    views = sorted(r[0] for r in modes.select("view").distinct().collect())
-    fit = scaler(queries.select("person_id").distinct(), gallery).withColumnRenamed("person_id", "fold")
-    fit = _side_by_side(fit, ("fold", "h"), views, weights(F.col("lo"), F.col("hi")), "w")
-    asked = _asked(queries, views).join(fit, "h").where("fold <> query_person")
-    n = queries.select("case_id").distinct().count()
-    return _ranks(asked, gallery, modes, ["fold", "query_case", "query_person"], n * n, digits, leave_out="fold")
+    person (or those of folds) all other queries, ranked in the gallery without that person,
+    scaled without it. Folds x queries x references; fold_audit needs it for few folds only."""
+    plan = _Plan.of(modes, digits)
+    people = queries.select("person_id").distinct() if folds is None else folds.select("person_id")
+    fit = scaler(people, gallery).withColumnRenamed("person_id", "fold")
+    fit = _side_by_side(fit, ("fold", "h"), plan.views, weights(F.col("lo"), F.col("hi")), "w")
+    asked = _asked(queries, plan.views).join(fit, "h").where("fold <> query_person")
+    keys = ["fold", "query_case", "query_person"]
+    return _by_mode(_counts(asked, _held(gallery, plan.views), plan, keys, people.count() * _cases(queries), _cases(gallery), "fold"), plan, keys)
 
 
-def selection_audit(training: DataFrame, digits: int = 12) -> DataFrame:
-    """Fold x configuration with the selected one marked: best rank-1 rate, then mean log
-    rank, fewer views, smaller h, mode order."""
+_SUMS = ("n", "hit1", "hit5", "hit10", "ranked", "logs")
+
+
+def _sums(rank: np.ndarray) -> np.ndarray:
+    """The sums of a fold's audit for ranks along the first axis; NaN is no match."""
+    known = ~np.isnan(rank)
+    return np.stack([np.ones(rank.shape), *[(rank <= k) & known for k in (1, 5, 10)], known, np.log(np.where(known, rank, 1.0))]).sum(1)
+
+
+def _corrections(plan: _Plan):
+    """What leaving out each reference of a block changes in the sums over a block of queries."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((len(held), len(plan.modes), len(_SUMS)))
+        if len(asked) and len(held):
+            rank = np.stack(asked["ranks"].to_numpy()).astype(float)
+            own, has = _codes(asked["query_person"], held["db_person"])
+            other = own[:, None] != has[None, :]
+            for here, m, s, g in plan.blocks(asked, held):
+                full = rank[here, m][:, None]
+                less = np.where(other[here] & ~np.isnan(full), np.where(s > g[:, None], 1.0, np.where(s == g[:, None], 0.5, 0.0)), 0.0)
+                row, column = np.nonzero(less)
+                was = full[row, 0]
+                now = was - less[row, column]
+                for i, change in enumerate([(now <= k).astype(float) - (was <= k) for k in (1, 5, 10)] + [np.log(now) - np.log(was)]):
+                    out[:, m, (1, 2, 3, 5)[i]] += np.bincount(column, change, len(held))
+        frame = held[["db_person", "h"]].rename(columns={"db_person": "fold"})
+        frame["sums"] = list(out.reshape(len(held), -1))
+        return frame
+
+    return run
+
+
+def fold_audit(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None, out_digits: int = 12) -> DataFrame:
+    """selection_audit of all folds, without ranking every query anew in every fold.
+
+    Only a person that holds an extreme of a feature changes the scaler when left out: at most
+    two a feature, and those folds are ranked as they are. In any other fold a query's rank is its
+    rank in the whole gallery, less what the person's one reference contributes; so one pass
+    ranks the queries and a second sums the corrections by reference, both within blocks."""
+    plan = _Plan.of(modes, digits)
+    views, keys = plan.views, ["query_case", "query_person"]
+    people = queries.select("person_id").distinct()
+    bounds = extremes(gallery)
+    holders = bounds.select(F.explode(F.array_union("lo1_person", "hi1_person")).alias("person_id")).distinct()  # two a feature at most
+    special = people.join(F.broadcast(holders), "person_id", "left_semi")
+    full = _side_by_side(bounds, ("h",), views, weights(F.col("lo1"), F.col("hi1")), "w")
+    asked, held = _asked(queries, views).join(F.broadcast(full), "h"), _held(gallery, views)
+    n_queries, n_gallery = _cases(queries), _cases(gallery)
+    counts = _counts(asked, held, plan, keys, n_queries, n_gallery)
+    ranks = F.array(*[F.when(F.col("equal")[i] > 0, 1.0 + F.col("better")[i] + 0.5 * (F.col("equal")[i] - 1)).otherwise(float("nan")) for i in range(len(plan.modes))])
+    ranked = asked.join(counts.select(*keys, "h", ranks.alias("ranks")), [*keys, "h"]).persist()
+    ordinary = people.join(F.broadcast(special), "person_id", "left_anti").withColumnRenamed("person_id", "fold")
+    left_out = held.join(ordinary.withColumnRenamed("fold", "db_person"), "db_person", "left_semi")
+    sums = F.array(*[F.sum(F.col("sums")[i]) for i in range(len(plan.modes) * len(_SUMS))]).alias("sums")
+    changed = _dealt(_with_genuine(ranked, held, views), left_out, n_queries, n_gallery).applyInPandas(_corrections(plan), "fold string, h int, sums array<double>").groupBy("fold", "h").agg(sums)
+
+    def per_query(frames):
+        for f in frames:
+            if len(f):
+                each = [_sums(np.asarray(r, float)[None]).T.ravel() for r in f["ranks"]]
+                yield pd.DataFrame({"fold": f["query_person"], "h": f["h"], "sums": each})
+
+    own = ranked.select("query_person", "h", "ranks").mapInPandas(per_query, "fold string, h int, sums array<double>").groupBy("fold", "h").agg(sums)
+    total = own.groupBy("h").agg(sums.alias("total"))
+    zero = F.array(*[F.lit(0.0)] * (len(plan.modes) * len(_SUMS)))
+    folds = ordinary.crossJoin(F.broadcast(total)).join(own.withColumnRenamed("sums", "own"), ["fold", "h"], "left").join(changed.withColumnRenamed("sums", "change"), ["fold", "h"], "left")
+    at = lambda n, i: F.col("total")[n * len(_SUMS) + i] - F.coalesce("own", zero)[n * len(_SUMS) + i] + F.coalesce("change", zero)[n * len(_SUMS) + i]
+
+    def row(n, i, m, k):
+        count = F.round(at(n, 0))
+        rate = lambda j: F.round(at(n, j)) / count
+        mean = F.when(F.round(at(n, 4)) > 0, F.round(at(n, 5) / F.round(at(n, 4)), out_digits))
+        return F.struct(F.lit(m).alias("mode"), F.lit(i).alias("mode_order"), F.lit(k).alias("n_views"), count.cast("long").alias("training_n"), rate(1).alias("rank1_rate"), rate(2).alias("rank5_rate"), rate(3).alias("rank10_rate"), mean.alias("mean_log_rank"))
+
+    rows = folds.select("fold", "h", F.explode(F.array(*[row(n, i, m, k) for n, (i, m, k, _) in enumerate(plan.modes)])).alias("x")).where("x.training_n > 0").select("fold", *[f"x.{c}" for c in CONFIG[:3]], "h", *[f"x.{c}" for c in ("training_n", "rank1_rate", "rank5_rate", "rank10_rate", "mean_log_rank")])
+    return _selected(rows.unionByName(_audit_rows(fold_training_ranks(queries, gallery, modes, digits, special), out_digits)))
+
+
+def _audit_rows(training: DataFrame, digits: int) -> DataFrame:
     hit = lambda k: F.count_if(F.coalesce(F.col("true_rank") <= k, F.lit(False)))
-    rows = training.groupBy("fold", *CONFIG).agg(F.count("*").alias("training_n"), (hit(1) / F.count("*")).alias("rank1_rate"), (hit(5) / F.count("*")).alias("rank5_rate"), (hit(10) / F.count("*")).alias("rank10_rate"), F.round(F.avg(F.ln("true_rank")), digits).alias("mean_log_rank"))
+    return training.groupBy("fold", *CONFIG).agg(F.count("*").alias("training_n"), (hit(1) / F.count("*")).alias("rank1_rate"), (hit(5) / F.count("*")).alias("rank5_rate"), (hit(10) / F.count("*")).alias("rank10_rate"), F.round(F.avg(F.ln("true_rank")), digits).alias("mean_log_rank"))
+
+
+def _selected(rows: DataFrame) -> DataFrame:
     key = F.struct(-F.col("rank1_rate"), "mean_log_rank", "n_views", "h", "mode_order")
     # a fold has one row a configuration, so a window over it is small
     return rows.withColumn("selected", F.row_number().over(Window.partitionBy("fold").orderBy(key)) == 1)
 
 
+def selection_audit(training: DataFrame, digits: int = 12) -> DataFrame:
+    """Fold x configuration with the selected one marked: best rank-1 rate, then mean log
+    rank, fewer views, smaller h, mode order."""
+    return _selected(_audit_rows(training, digits))
+
+
 def held_out_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, audit: DataFrame, digits: int | None = None) -> DataFrame:
     """Each query against the whole gallery under its fold's configuration, the scaler still
     without its person: true mid-rank and the flags at 1, 5 and 10."""

@@ -49,14 +49,39 @@ def scaler(persons: DataFrame, gallery: DataFrame, person: str = "person_id") ->
     return persons.select(person).crossJoin(F.broadcast(extremes(gallery))).select(person, "view", "h", pick("lo1", "lo1_person", "lo2").alias("lo"), pick("hi1", "hi1_person", "hi2").alias("hi"))
 
 
-def weights(lo: Column, hi: Column) -> Column:
-    """1 / range of each feature; a constant feature counts with its difference as it is."""
-    return F.transform(F.arrays_zip(lo.alias("lo"), hi.alias("hi")), lambda x: F.when(x["hi"] > x["lo"], 1.0 / (x["hi"] - x["lo"])).otherwise(1.0))
+def sound(f: Column, what: str) -> Column:
+    """The features; a null, NaN or infinite one is an error, as it would rank anywhere."""
+    bad = F.exists(f, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(f.isNull() | bad, F.raise_error(F.lit(f"{what} features are not finite")).cast("array<double>")).otherwise(f)
 
 
-def distance(q: Column, r: Column, w: Column) -> Column:
-    zipped = F.arrays_zip(q.alias("q"), r.alias("r"), w.alias("w"))
-    return F.sqrt(F.aggregate(zipped, F.lit(0.0), lambda acc, x: acc + ((x["q"] - x["r"]) * x["w"]) * ((x["q"] - x["r"]) * x["w"])))
+def weights(lo: Column, hi: Column, spread: bool = False) -> Column:
+    """1 / range of each feature; a constant feature counts with its difference as it is. An
+    empty fit set is an error, and with `spread` one without any feature that varies, as any
+    with fewer than two references is."""
+    each = F.transform(F.arrays_zip(lo.alias("lo"), hi.alias("hi")), lambda x: F.when(x["hi"] > x["lo"], 1.0 / (x["hi"] - x["lo"])).otherwise(1.0))
+    fail = lambda text: F.raise_error(F.lit(text)).cast("array<double>")
+    out = F.when(F.exists(lo, lambda x: x.isNull()), fail("the scaler has no reference but the person's own")).otherwise(each)
+    if not spread:
+        return out
+    flat = ~F.exists(F.arrays_zip(lo.alias("lo"), hi.alias("hi")), lambda x: x["hi"] > x["lo"])
+    return F.when(flat, fail("all features are constant, or a single reference is left, without the person")).otherwise(out)
+
+
+#: So many features are written out as column arithmetic, which Spark compiles.
+WRITTEN_OUT = 64
+
+
+def distance(q: Column, r: Column, w: Column, size: int | None = None) -> Column:
+    """Weighted Euclidean distance of arrays; size bounds their length, where it is known."""
+    if size is None or size > WRITTEN_OUT:
+        zipped = F.arrays_zip(q.alias("q"), r.alias("r"), w.alias("w"))
+        return F.sqrt(F.aggregate(zipped, F.lit(0.0), lambda acc, x: acc + ((x["q"] - x["r"]) * x["w"]) * ((x["q"] - x["r"]) * x["w"])))
+    total = F.lit(0.0)
+    for i in range(size):
+        part = (F.get(q, F.lit(i)) - F.get(r, F.lit(i))) * F.get(w, F.lit(i))
+        total = total + F.coalesce(part * part, F.lit(0.0))  # null beyond the end of a shorter view
+    return F.sqrt(total)
 
 
 def meet(left: DataFrame, right: DataFrame, left_rows: int, right_rows: int, on=(), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -68,18 +93,20 @@ def meet(left: DataFrame, right: DataFrame, left_rows: int, right_rows: int, on=
     return x.join(y, ["_a", "_b", *on]).drop("_a", "_b")
 
 
-def view_scores(queries: DataFrame, gallery: DataFrame, fit: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+def view_scores(queries: DataFrame, gallery: DataFrame, fit: DataFrame | None = None, digits: int | None = None, spread: bool = True) -> DataFrame:
     """(query_case, query_person, db_case, db_person, view, h, distance, score, n_features) of
     every query with the whole gallery; score = 1 / (1 + distance).
 
     The scaler leaves out the query's person; `fit` (person_id, view, h, lo, hi) replaces it.
+    Features that are not finite fail, and so do fit sets as weights says.
     digits rounds distance and score, where another engine must find the same ties."""
     fit = scaler(queries.select("person_id").distinct(), gallery) if fit is None else fit
     asked = queries.join(fit, ["person_id", "view", "h"])
-    asked = asked.select(F.col("case_id").alias("query_case"), F.col("person_id").alias("query_person"), "view", "h", F.col("f").alias("q"), weights(F.col("lo"), F.col("hi")).alias("w"))
-    held = gallery.select(F.col("case_id").alias("db_case"), F.col("person_id").alias("db_person"), "view", "h", F.col("f").alias("r"))
-    pairs = meet(asked, held, queries.count(), gallery.count(), on=("view", "h"))
-    d = distance(F.col("q"), F.col("r"), F.col("w"))
+    asked = asked.select(F.col("case_id").alias("query_case"), F.col("person_id").alias("query_person"), "view", "h", sound(F.col("f"), "query").alias("q"), weights(F.col("lo"), F.col("hi"), spread).alias("w"))
+    held = gallery.select(F.col("case_id").alias("db_case"), F.col("person_id").alias("db_person"), "view", "h", sound(F.col("f"), "gallery").alias("r"))
+    facts = gallery.agg(F.count("*").alias("n"), F.max(F.size("f")).alias("size")).first()
+    pairs = meet(asked, held, queries.count(), facts["n"], on=("view", "h"))
+    d = distance(F.col("q"), F.col("r"), F.col("w"), facts["size"] or 0)
     d = d if digits is None else F.round(d, digits)
     s = 1.0 / (1.0 + F.col("distance"))
     return pairs.withColumn("distance", d).select("query_case", "query_person", "db_case", "db_person", "view", "h", "distance", (s if digits is None else F.round(s, digits)).alias("score"), F.size("q").alias("n_features"))

@@ -141,7 +141,7 @@ def first_scan(spark, sf_dir):
 
 def crossfit_selection_audit(spark, sf_dir):
     q, g = queries_and_gallery(spark, sf_dir)
-    return crossfit.selection_audit(crossfit.fold_training_ranks(q, g, _modes(spark), DIGITS), DIGITS)
+    return crossfit.fold_audit(q, g, _modes(spark), DIGITS, DIGITS)
 
 
 def crossfit_true_rank(spark, sf_dir):
@@ -192,7 +192,7 @@ def poisson_intervals(spark, sf_dir):
 
 
 def per_query_auc(spark, sf_dir):
-    a = inference.auc(ranking.pair_scores(_one_view(spark, sf_dir)), ("query_person",))
+    a = ranking.auc_of_ranks(_ranks(spark, sf_dir))
     return a.select("query_person", "n_genuine", "n_impostor", F.round("auc", 9).alias("auc"))
 
 
