@@ -95,7 +95,9 @@ def _count(plan: _Plan, keys: list[str], leave_out: str | None):
                 better[here, m], equal[here, m] = (s > g[:, None]).sum(1), (s == g[:, None]).sum(1)
         known = asked["known"].to_numpy(bool)[:, None]
         frame = asked[keys].copy()
-        frame["n_gallery"], frame["better"], frame["equal"] = n, list(better * known), list(equal * known)
+        frame["n_gallery"] = n
+        for name, x in (("better", better), ("equal", equal)):
+            frame[name] = pd.Series(list(x * known), index=frame.index, dtype=object)
         return frame
 
     return run
@@ -210,7 +212,7 @@ def _corrections(plan: _Plan):
                 for i, change in enumerate([(now <= k).astype(float) - (was <= k) for k in (1, 5, 10)] + [np.log(now) - np.log(was)]):
                     out[:, m, (1, 2, 3, 5)[i]] += np.bincount(column, change, len(held))
         frame = held[["db_person", "h"]].rename(columns={"db_person": "fold"})
-        frame["sums"] = list(out.reshape(len(held), -1))
+        frame["sums"] = pd.Series(list(out.reshape(len(held), len(plan.modes) * len(_SUMS))), index=frame.index, dtype=object)
         return frame
 
     return run

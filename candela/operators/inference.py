@@ -55,10 +55,6 @@ def rank_distribution(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count("true_rank").alias("n_ranked"), F.avg("true_rank").alias("mean_rank"), F.median("true_rank").alias("median_rank"), F.avg((F.col("n_gallery") - F.col("true_rank")) / (F.col("n_gallery") - 1)).alias("mean_normalised_rank"))
 
 
-def boot_indices(n: int, replicates: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, n, size=(replicates, n))
-
-
 def bootstrap_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 10_000, seed: int = 42, methods=("true_rank",), block: int = 500) -> DataFrame:
     """(replicate, method, k, rate): people drawn with replacement, the same draw for every
     method. People with the same hits count alike, so they are counted by hit pattern in Spark,
@@ -86,19 +82,31 @@ def bootstrap_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 10_000, s
     return spark.range(0, -(-replicates // block), 1, max(1, min(64, -(-replicates // block)))).mapInPandas(run, "replicate long, method string, k long, rate double")
 
 
-def poisson_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 200) -> DataFrame:
-    """(replicate, k, rate) for any number of people: each counts in a replicate as often as a
-    Poisson(1) draw made from the hash of person and replicate, so sums combine before the
-    shuffle and runs repeat."""
+def poisson_rates_of(people: DataFrame, replicates: int) -> DataFrame:
+    """Each person in each replicate with how often it is drawn."""
     edges, total = [], 0.0
     for i in range(12):
         total += math.exp(-1) / math.factorial(i)
         edges.append(total)
     u = (F.pmod(F.xxhash64("query_person", "replicate"), F.lit(1 << 52)) / float(1 << 52)).alias("u")
     times = sum((F.col("u") >= e).cast("int") for e in edges)
-    drawn = ranks.select("query_person", "true_rank", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", u).withColumn("times", times)
+    return people.select(*people.columns, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", u).withColumn("times", times)
+
+
+def poisson_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 200) -> DataFrame:
+    """(replicate, k, rate) for any number of people: each counts in a replicate as often as a
+    Poisson(1) draw made from the hash of person and replicate, so sums combine before the
+    shuffle and runs repeat."""
+    drawn = poisson_rates_of(ranks.select("query_person", "true_rank"), replicates)
     sums = drawn.groupBy("replicate").agg(F.sum("times").alias("n"), *[F.sum(F.col("times") * _hit(k)).alias(f"c{k}") for k in ks])
-    return sums.select("replicate", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"c{k}") / F.col("n")).alias("rate")) for k in ks])).alias("x")).select("replicate", "x.k", "x.rate")
+    return sums.select("replicate", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.try_divide(F.col(f"c{k}"), F.col("n")).alias("rate")) for k in ks])).alias("x")).select("replicate", "x.k", "x.rate")
+
+
+def poisson_means(values: DataFrame, value: str = "auc", person: str = "query_person", replicates: int = 2000) -> DataFrame:
+    """(replicate, mean): the bootstrap of a mean over people, such as of the AUC of each query,
+    drawn as in poisson_rates; null values take no part."""
+    drawn = poisson_rates_of(values.where(F.col(value).isNotNull()).select(F.col(person).alias("query_person"), F.col(value).alias("x")), replicates)
+    return drawn.groupBy("replicate").agg(F.try_divide(F.sum(F.col("times") * F.col("x")), F.sum("times")).alias("mean"))
 
 
 def percentile_interval(samples: DataFrame, by=("method", "k"), value: str = "rate", alpha: float = 0.05) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contracts, crossfit, inference, quality, ranking, scoring, summaries
+from ..operators import contracts, crossfit, inference, quality, ranking, scoring, stages, summaries
 from .roles import BLOCKS, H_VALUES, LONG_SQL, WIDE_SQL, queries_and_gallery, wide_cases
 
 DIGITS = 9
@@ -252,8 +252,86 @@ def tail_diagnostics(spark, sf_dir):
 
 
 def key_differences(spark, sf_dir):
+    """Customers without a large order."""
     c, o = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return contracts.key_differences(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), ("c_custkey",))
+    return contracts.key_differences(c.select("c_custkey"), o.where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), ("c_custkey",))
+
+
+def _broken(spark, sf_dir):
+    """Cases of which some break the contract: blank ids, ids of another case, odd flags."""
+    n = F.col("n_events")
+    return wide_cases(spark, sf_dir).select(
+        F.when(n % 11 == 0, " ").when(n % 13 == 0, "again").otherwise(F.col("case_id")).alias("case_id"), F.when(n % 7 == 0, F.lit(None)).otherwise(F.col("person_id")).alias("person_id"),
+        F.when(n % 5 == 0, 2).otherwise(F.col("pre_0_post_1").cast("int")).alias("pre_0_post_1"), "n_events", "dataset",
+    )
+
+
+def broken_case_audit(spark, sf_dir):
+    return contracts.case_audit(_broken(spark, sf_dir))
+
+
+def broken_attach_audit(spark, sf_dir):
+    """Failed, skipped and null results, other people and missing rows are told apart."""
+    wide, n = wide_cases(spark, sf_dir), F.col("n_events")
+    features = wide.where(n % 17 != 0).select("case_id", F.when(n % 7 == 0, "other").otherwise(F.col("person_id")).alias("person_id"), F.when(n % 11 == 0, 1 - F.col("pre_0_post_1")).otherwise(F.col("pre_0_post_1")).cast("byte").alias("pre_0_post_1"), F.when(n % 5 == 0, "skipped").when(n % 3 == 0, F.lit(None)).otherwise(" SUCCESS").alias("status"))
+    return contracts.attach_audit(wide, features)
+
+
+def candidate_order(spark, sf_dir):
+    return ranking.candidate_order(_one_view(spark, sf_dir))
+
+
+def first_cases(spark, sf_dir):
+    ordered = stages.with_input_order(wide_cases(spark, sf_dir).select("case_id", "person_id"), "case_id")
+    return stages.first_rows(ordered, 25).select("ordinal", "case_id", "person_id")
+
+
+def selected_candidate(spark, sf_dir):
+    """Lines of an order play the files of a case."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    name = F.concat(F.lit("line"), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 3 == 0, "_Eq_1").otherwise(""))
+    rows = lines.select(F.col("l_orderkey").alias("case_id"), name.alias("name"), F.when(F.col("l_quantity") > 45, 4).otherwise(3).alias("ndim"), F.floor(F.col("l_quantity") / 20).cast("long").alias("voxel_count"), F.floor(F.col("l_extendedprice") / 40000).cast("double").alias("volume"))
+    return stages.choose_candidate(rows)
+
+
+def result_completeness(spark, sf_dir):
+    """Results of which some are lost, moved, unknown or without their hashes."""
+    cases = stages.with_input_order(wide_cases(spark, sf_dir).select("case_id", "n_events"), "case_id")
+    n = F.col("n_events")
+    status = F.when(n % 7 == 0, "ERROR").when(n % 19 == 0, "LOST").when(n % 3 == 0, "SKIPPED").otherwise("OK")
+    sha = F.when((n % 7 == 0) & (n % 2 == 0), "").when(n % 10 == 0, "none").otherwise(F.sha2("case_id", 256))
+    results = cases.where(n % 23 != 0).select("ordinal", F.when(n % 29 == 0, "moved").otherwise(F.col("case_id")).alias("case_id"), status.alias("status"), *[sha.alias(c) for c in contracts.HASHES])
+    return stages.result_audit(results, cases)
+
+
+def query_lookup(spark, sf_dir):
+    wide = wide_cases(spark, sf_dir)
+    asked = stages.with_input_order(wide.where("pre_0_post_1 = 1").select("case_id"), "case_id")
+    return stages.lookup_in_order(asked, wide.withColumn("status", F.lit("OK"))).select("ordinal", "case_id", "person_id", "n_events")
+
+
+def review_template(spark, sf_dir):
+    return stages.masked_review_sheet(paired_cases(spark, sf_dir), ("alignment", "field_of_view"))
+
+
+def analysis_roles(spark, sf_dir):
+    """The role of each cohort policy, with the locked configurations and with one less."""
+    locked = [(m, h) for m in scoring.MODES for h in H_VALUES]
+    every = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(h).alias("h")) for m, h in locked])
+    kinds = F.array(*[F.struct(F.lit(len(locked) - k).alias("n_configurations"), F.slice(every, 1, len(locked) - k).alias("c")) for k in (0, 1)])
+    rows = cohort_summary(spark, sf_dir).select("cohort_policy", "n_query", F.explode(kinds).alias("x"))
+    return rows.select("cohort_policy", "n_query", "x.n_configurations", stages.analysis_role(F.col("cohort_policy"), F.lit("area_normalized"), F.col("x.c"), locked).alias("role"))
+
+
+def configured_ranks(spark, sf_dir):
+    """Ranks under the chosen configurations, as a later stage loads them."""
+    q, g = queries_and_gallery(spark, sf_dir)
+    one = crossfit.fixed_configurations(q, g, _modes(spark), DIGITS).where("mode = 'cor_sag' and h = 4")
+    return stages.load_ranks(one.select(F.concat(F.lit(" "), "query_case").alias("query_case"), "query_person", F.col("mode").alias("selected_mode"), F.col("h").cast("string").alias("selected_harmonic"), "true_rank"), configured=True)
+
+
+def mean_auc_interval(spark, sf_dir):
+    return inference.percentile_interval(inference.poisson_means(per_query_auc(spark, sf_dir)).withColumn("k", F.lit(0)), by=("k",), value="mean")
 
 
 QUERIES = [
@@ -261,6 +339,7 @@ QUERIES = [
     hard_failure_flags, mahalanobis_flags, qc_counts, pair_completeness, cohort_audit, cohort_query, cohort_gallery, cohort_summary, paired_cases, first_scan,
     crossfit_selection_audit, crossfit_true_rank, tie_stage_summary, deviating_folds, rank_rates, cmc_curve, rank_distribution, mcnemar_table, bootstrap_intervals, poisson_intervals,
     per_query_auc, pooled_auc, spearman_rho, pca_scores, pose_summary, projection_summary, runtime_quartiles, metric_distribution, review_counts, outlier_crosstab, rank1_crosstab, tail_diagnostics, key_differences,
+    broken_case_audit, broken_attach_audit, candidate_order, first_cases, selected_candidate, result_completeness, query_lookup, review_template, analysis_roles, configured_ranks, mean_auc_interval,
 ]
 
 

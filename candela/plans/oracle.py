@@ -57,6 +57,10 @@ rates as (select fold, mode, mode_order, n_views, h, count(*) as training_n, sum
 audit as (select *, row_number() over (partition by fold order by rank1_rate desc, mean_log_rank, n_views, h, mode_order) = 1 as selected from rates)"""
 CHOSEN = FUSED + ", " + FOLDS[len(LONG_SQL + MODES) + 1 :].replace("scaled as (", "fscaled as (", 1).replace("join scaled s using", "join fscaled s using", 1) + f""", fixed as (select * from {_ranks('fused', BY_CONFIG)}),
 held as (select f.query_case, f.query_person, f.mode, f.h, f.true_rank, true_rank <= 1 as rank_1, true_rank <= 5 as rank_5, true_rank <= 10 as rank_10 from fixed f join audit a on a.selected and a.fold = f.query_person and a.mode = f.mode and a.h = f.h)"""
+#: Which configurations each criterion leaves.
+TIES = """t0 as (select *, rank1_rate >= max(rank1_rate) over (partition by fold) - 1e-12 as i0 from audit), t1 as (select *, i0 and mean_log_rank <= min(mean_log_rank) filter (i0) over (partition by fold) + 1e-12 as i1 from t0),
+  t2 as (select *, i1 and n_views = min(n_views) filter (i1) over (partition by fold) as i2 from t1), t3 as (select *, i2 and h = min(h) filter (i2) over (partition by fold) as i3 from t2), t4 as (select *, i3 and mode_order = min(mode_order) filter (i3) over (partition by fold) as i4 from t3)"""
+BROKEN = """broken as (select case when n_events % 11 = 0 then ' ' when n_events % 13 = 0 then 'again' else case_id end as case_id, case when n_events % 7 = 0 then null else person_id end as person_id, case when n_events % 5 = 0 then 2 else flag end as f from wide)"""
 PEOPLE = "select count(*)::bigint"
 HITS = "unnest(range(1, 11)) as k"
 
@@ -111,5 +115,35 @@ SQL = {
       long as (select o, 'many_clicks' as finding, many_clicks as x from people union all select o, 'few_events', few_events from people), fixed(g, o, finding) as (values ('rank-1', true, 'many_clicks'), ('rank-1', true, 'few_events'), ('not rank-1', false, 'many_clicks'), ('not rank-1', false, 'few_events'))
       select g as "group", f.finding, count(l.o) as n_group, coalesce(sum(x::int), 0)::bigint as n, round(100.0::double * coalesce(sum(x::int), 0) / nullif(count(l.o), 0), 9) as percent from fixed f left join long l on l.o = f.o and l.finding = f.finding group by all""",
     "tail_diagnostics": f"with {RANKS} select query_case, floor(true_rank)::bigint as rank_floor, n_events >= 30 and sag_H4_avg > 20 as all_flags from ranks join wide on wide.case_id = query_case where true_rank > 10",
-    "key_differences": "select c_custkey, 'left' as only_in from (select c_custkey from customer except select o_custkey from orders) union all select o_custkey, 'right' from (select o_custkey from orders except select c_custkey from customer)",
+    "key_differences": "select c_custkey, 'left' as only_in from (select c_custkey from customer except select o_custkey from orders where o_totalprice > 200000) union all select o_custkey, 'right' from (select o_custkey from orders where o_totalprice > 200000 except select c_custkey from customer)",
+    "tie_stage_summary": f"""with {FOLDS}, {TIES} select fold, case when sum(i0::int) = 1 then 'rank1_rate' when sum(i1::int) = 1 then 'mean_log_rank' when sum(i2::int) = 1 then 'n_views' when sum(i3::int) = 1 then 'h' else 'mode_order' end as stage,
+      max(mode) filter (i4) as resolved_mode, max(h) filter (i4) as resolved_h, bool_or(selected) filter (i4) as agrees from t4 group by fold""",
+    "deviating_folds": f"""with {CHOSEN}, chosen as (select fold as query_person, mode, h, mode_order from audit where selected), common as (select mode as common_mode, h as common_h from chosen group by mode, h, mode_order order by count(*) desc, mode_order, h limit 1)
+      select c.query_person, c.mode, c.h, common_mode, common_h, d.true_rank as selected_rank, f.true_rank as common_rank from chosen c cross join common left join held d using (query_person) left join fixed f on f.query_person = c.query_person and f.mode = common_mode and f.h = common_h
+      where c.mode <> common_mode or c.h <> common_h""",
+    "mcnemar_table": f"""with {FIXED}, both_ as (select k::int as k, coalesce(a.true_rank <= k, false) as a, coalesce(b.true_rank <= k, false) as b from fixed a join fixed b using (query_person, h) cross join (values (1), (5), (10)) t(k) where h = 4 and a.mode = 'sag' and b.mode = 'cor_sag_axial'),
+      cells as (select k, sum((a and b)::int)::bigint as n_both, sum((a and not b)::int)::bigint as n01, sum((not a and b)::int)::bigint as n10, sum((not a and not b)::int)::bigint as n_neither from both_ group by k),
+      tails as (select *, case when n01 + n10 = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(2.0))) from range(0, 1 + least(n01, n10)::bigint) r(i))) end as p from cells),
+      raw as (select *, least(1.0, p * (4 - row_number() over (order by p, k))) as q from tails)
+      select k, n_both, n01, n10, n_neither, round(p, 9) as p, round(max(q) over (order by p, k rows unbounded preceding), 9) as p_holm from raw""",
+    "broken_case_audit": f"with {WIDE_SQL}, {BROKEN} select count(*) as n_rows, sum((coalesce(trim(case_id), '') = '')::int)::bigint as blank_case_id, sum((coalesce(trim(person_id), '') = '')::int)::bigint as blank_person_id, count(case_id) - count(distinct trim(case_id)) as repeated_case_id, sum((f not in (0, 1))::int)::bigint as bad_flag from broken",
+    "broken_attach_audit": f"""with {WIDE_SQL} select count(*) as n_rows, sum((n_events % 17 = 0)::int)::bigint as missing, sum((n_events % 17 <> 0 and (n_events % 5 = 0 or n_events % 3 = 0))::int)::bigint as failed,
+      sum((n_events % 17 <> 0 and n_events % 7 = 0)::int)::bigint as other_person, sum((n_events % 17 <> 0 and n_events % 11 = 0)::int)::bigint as other_flag, 0::bigint as repeated from wide""",
+    "candidate_order": f"with {ONE} select query_case, (row_number() over (partition by query_case order by score desc, db_case))::int as display_order, db_case, score from one",
+    "first_cases": f"with {WIDE_SQL} select * from (select row_number() over (order by case_id) - 1 as ordinal, case_id, person_id from wide) where ordinal < 25",
+    "selected_candidate": """with c as (select l_orderkey as case_id, 'line' || l_linenumber || case when l_linenumber % 3 = 0 then '_Eq_1' else '' end as name, l_quantity <= 45 as solid, floor(l_quantity / 20)::bigint as v, floor(l_extendedprice / 40000)::double as m from lineitem),
+      b as (select *, count(*) over (partition by case_id) as n, max(v) filter (solid) over (partition by case_id) as bv from c),
+      d as (select *, max(m) filter (solid and v = bv) over (partition by case_id) as bm from b),
+      t as (select *, coalesce(solid and v = bv and abs(m - bm) <= 1e-3 + 1e-6 * abs(bm), false) as tied from d),
+      g as (select case_id, max(n) as n, min(name) as only_, sum(solid::int) as n_solid, sum(tied::int) as n_tied, min(name) filter (tied) as tied, coalesce(sum(1) filter (tied and contains(lower(name), '_eq')), 0) as n_even, min(name) filter (tied and contains(lower(name), '_eq')) as even from t group by case_id)
+      select case_id, case when n = 1 then only_ when n_tied = 1 then tied when n_even = 1 then even end as name, n as n_candidates, case when n = 1 then 'single_output' else 'largest_3d' end as policy,
+        case when n = 1 or n_tied = 1 or n_even = 1 then '' when n_solid = 0 then 'not_3d' else 'ambiguous' end as error from g""",
+    "result_completeness": f"""with {WIDE_SQL}, r as (select n_events as n, n_events % 23 <> 0 as given, case when n_events % 7 = 0 then 'ERROR' when n_events % 19 = 0 then 'LOST' when n_events % 3 = 0 then 'SKIPPED' else 'OK' end as status,
+        case when n_events % 14 = 0 then '' when n_events % 10 = 0 then 'none' else sha256(case_id) end as sha from wide)
+      select sum((not given)::int)::bigint as missing, 0::bigint as extra, sum((given and n % 29 = 0)::int)::bigint as misplaced, sum((given and status = 'LOST')::int)::bigint as unknown_status,
+        sum((given and status in ('OK', 'SKIPPED') and length(sha) <> 64)::int)::bigint as done_without_hash, sum((given and status = 'ERROR' and sha <> '')::int)::bigint as failed_with_hash from r""",
+    "query_lookup": f"with {WIDE_SQL} select row_number() over (order by case_id) - 1 as ordinal, case_id, person_id, n_events from wide where flag = 1",
+    "review_template": f"with {WIDE_SQL} select person_id, max(case_id) filter (flag = 0) as pre_case_id, max(case_id) filter (flag = 1) as post_case_id, '' as reviewer_id, '' as review_date, '' as alignment, '' as field_of_view from wide group by person_id having count(*) = 2",
+    "analysis_roles": f"with {COHORT} select cohort_policy, sum((role = 'query')::int)::bigint as n_query, n::int as n_configurations, case when cohort_policy = 'primary' and n = 14 then 'primary' else 'sensitivity' end as role from audit cross join (values (14), (13)) t(n) group by cohort_policy, n",
+    "configured_ranks": f"with {FIXED} select query_case, query_person, mode as selected_mode, h as selected_harmonic, true_rank from fixed where mode = 'cor_sag' and h = 4",
 }
