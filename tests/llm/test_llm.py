@@ -141,7 +141,8 @@ def test_op8_repeated_rows(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (substring_dedup.repeat_digest(none), suffix_dedup.repeat_digest(none), minhash.near_duplicates(none), quality.classify(none, labels), packing.pack(none, public_tokenizers.path("word_bpe_49k.json"))):
+    codec = bpe.round_trip_digest(none, public_tokenizers.path("byte_bpe_50k.json"))
+    for df in (substring_dedup.repeat_digest(none), suffix_dedup.repeat_digest(none), minhash.near_duplicates(none), quality.classify(none, labels), toxicity.classify(none, labels), codec, packing.pack(none, public_tokenizers.path("word_bpe_49k.json"))):
         assert df.count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert hnsw.nearest(vectors, vectors).count() == 0 and pq_dedup.near_duplicates(vectors).count() == 0
@@ -229,3 +230,230 @@ def test_classifiers(spark, module, column, mod, out, least):
 def test_training_without_two_classes():
     weights, bias = subword.train([(np.array([1]), np.array([1.0], np.float32))], np.array([1]))
     assert not weights.any() and bias > 0
+
+
+def structured_rows():
+    """Words over two letters that sums of powers modulo 2**64 take for equal."""
+    rows = []
+    for n in (1024, 2048):
+        x = [0]
+        while len(x) < n:
+            x += [1 - v for v in x]
+        a, b = ("".join(pair[v] for v in x) for pair in ("ab", "ba"))
+        base = [f"q{n}w{i}" for i in range(30)]
+        rows += [(n, a), (n + 1, b), (n + 2, " ".join(base[:15] + [a] + base[15:])), (n + 3, " ".join(base[:15] + [b] + base[15:]))]
+    return rows
+
+
+@pytest.mark.parametrize("run, want", [(substring_dedup.repeat_digest, brute.op1), (suffix_dedup.repeat_digest, brute.op8), (minhash.near_duplicates, brute.op5)])
+def test_structured_words_do_not_collide(spark, run, want):
+    rows = structured_rows()
+    assert tuples(run(spark.createDataFrame(rows, "doc_id long, text string"))) == want(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, "c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert tuples(suffix_dedup.repeat_digest(docs)) == brute.op8(rows)
+    assert tuples(substring_dedup.repeat_digest(docs)) == brute.op1(rows)
+    assert [r[2] for r in tuples(minhash.near_duplicates(docs))] == [1] * 5  # versions of one document
+
+
+def test_op5_recall(spark):
+    """Pairs at and above the threshold, each in a cluster of its own, among pairs below it."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        w = [f"v{i}x{j}" for j in range(104)]
+        other = list(w)
+        for at in rng.sample(range(104), rng.choice([1, 2, 3, 4])):
+            other[at] = f"n{i}x{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    want, got = brute.op5(rows), tuples(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    linked = [(x, y) for x, y in zip(want, got) if not x[3]]
+    assert all(not x[3] for x, y in zip(want, got) if not y[3])  # nothing is linked that should not be
+    assert np.mean([x == y for x, y in linked]) >= 0.99
+
+
+def _search_recall(v, k=20, asked=150):
+    import pandas as pd
+
+    graphs = hnsw._build_shard(pd.DataFrame({"rep": np.arange(len(v)), "v": list(v), "shard": 0}))
+    got = hnsw._search_block(k + 1, hnsw.EF_SEARCH)(graphs, pd.DataFrame({"query": np.arange(asked), "v": list(v[:asked])}))
+    hit = 0
+    for i in range(asked):
+        want = [j for j in np.argsort(-(v @ v[i]), kind="stable") if j != i][:k]
+        hit += len(set(want) & set(got[(got["query"] == i) & (got["rep"] != i)]["rep"].tolist()[:k]))
+    return hit / asked / k
+
+
+def test_op4_recall_on_uneven_lengths():
+    rng = np.random.default_rng(0)
+    unit = rng.normal(size=(2500, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert _search_recall(unit * np.exp(rng.normal(size=(2500, 1)))) >= 0.95
+    one = unit.copy()
+    one[7] *= 1e4
+    assert _search_recall(one) >= 0.95
+
+
+def test_op4_few_candidates_and_shared_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in hnsw.nearest(df, df.where("vec_id % 20 = 0"), k=20).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 1.0), (20, 2, 2, 1.0), (20, 3, 3, -0.5)]  # of the two rows 20 the lesser vector
+
+
+def test_op6_lengths_beyond_squares_and_shared_ids(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=8)
+    rows = [(i, [float(c) for c in base + rng.normal(scale=0.05, size=8)]) for i in range(30)]
+    rows += [(90, [1e-200 * float(c) for c in base]), (91, [1e200 * float(c) for c in base]), (92, [1e-200] + [0.0] * 7), (93, [5e-324] + [0.0] * 7)]
+    got = {r["vec_id"]: r for r in pq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i]["component_id"] == 0 and got[i]["n_links"] == 31 for i in [*range(30), 90, 91])
+    assert (got[92]["n_links"], got[92]["component_id"], got[93]["component_id"]) == (1, 92, 92)
+    twice = tuples(pq_dedup.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")))
+    assert twice == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_op6_probes_find_what_is_linked(spark):
+    """Many lists, of which a query goes to some: links against brute force."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(3000, 24))
+    for i in range(0, 3000, 3):
+        v[i + 1] = v[i] + rng.normal(scale=0.3, size=24) * np.linalg.norm(v[i]) / 5
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = pq_dedup._unit(v)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in pq_dedup.near_duplicates(df).collect()}
+    assert all(got[i] <= w for i, w in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum() > 500
+    book = pq_dedup.train(u, 108)
+    assert pq_dedup.probes(u, book, 0.9) < 60
+
+
+M = (1 << 64) - 1
+
+
+def _mix(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & M
+    x ^= x >> 29
+    x = x * 0xC4CEB9FE1A85EC53 & M
+    return x ^ x >> 32
+
+
+def _word_hash(w):
+    import xxhash
+
+    if len(w) > 64:
+        return xxhash.xxh3_64_intdigest(w, 0x27D4EB2F)
+    h = _mix(((int.from_bytes(w[:8], "little") ^ 0x5851F42D4C957F2D) + len(w) * 0xD6E8FEB86659FD93) & M)
+    for i in range(8, len(w), 8):
+        y = h * 0x9E3779B97F4A7C15 & M
+        y = ((y << 27 | y >> 37) + int.from_bytes(w[i : i + 8], "little")) & M
+        h = _mix(y)
+    return h
+
+
+def _naive_buckets(text, log2, lower):
+    import re
+
+    data = text.encode()
+    data = bytes(c + 32 if lower and 65 <= c <= 90 else c for c in data)
+    out, before = [], None
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
+        h = _word_hash(w)
+        out.append((h * 0x9E3779B97F4A7C15 & M) >> (64 - log2))
+        if w == before:
+            out.append(0xB5297A4D >> (32 - log2))
+        before = w
+    padded = b" " + re.sub(rb"[\x09-\x0D]", b" ", data) + b" "
+    for size in (3, 4, 5, 6):
+        for i in range(len(padded) - size + 1):
+            gram = padded[i : i + size]
+            if b" " not in gram[1:-1]:
+                out.append(((int.from_bytes(gram, "big") + (size << 56)) * 0x9E3779B97F4A7C15 & M) >> (64 - log2))
+    return sorted(out)
+
+
+def _as_chunk(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+@pytest.mark.parametrize("lower", [True, False])
+def test_features_and_scores_against_plain_python(lower):
+    texts = ["", "  ", "A bad bad BAD word", "xyzzyxyzzy \t plugh", "é" * 5, "w" * 70 + " w", "a\nb", "q" * 40_000 + " idiot " * 3000]
+    data, off = _as_chunk(texts)
+    doc, bucket = subword.token_buckets(data, off, 12, lower)
+    for i, t in enumerate(texts):
+        assert sorted(bucket[doc == i].tolist()) == _naive_buckets(t, 12, lower)
+    features = subword.document_features(data, off, 12, lower)
+    assert features[-1][1].sum() == len(_naive_buckets(texts[-1], 12, lower)) and features[-1][1].max() >= 39_990  # counts are not capped
+    weights = np.random.default_rng(0).normal(size=1 << 12).astype(np.float32)
+    got = subword.score_chunk(data, off, weights, 0.25, lower)
+    for i, t in enumerate(texts):
+        b = _naive_buckets(t, 12, lower)
+        mean = sum(float(weights[x]) for x in b) / max(1, len(b))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(mean + 0.25))), abs=1e-9)
+
+
+def test_calibration_is_the_damped_optimum():
+    rng = np.random.default_rng(3)
+    y = (rng.random(200) < 0.5).astype(int)
+    x = rng.normal(size=200) + y
+    scale, offset = subword.calibrate(x, y, 0.2)
+    weight = np.where(y == 1, 0.2 / y.mean(), 0.8 / (1 - y.mean()))
+
+    def loss(a, b):
+        z = a * x + b
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).sum() + 5e-3 * ((a - 1) ** 2 + b**2))
+
+    assert all(loss(scale, offset) <= loss(scale + da, offset + db) for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+
+
+@pytest.mark.parametrize("module, column", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifier_edges(spark, module, column):
+    rows = [(i, f"good words here {i}" if i % 2 else f"odd junk zzz {i}", "x") for i in range(60)] + [(100, None, "x"), (101, "", "x"), (102, "long " * 60_000, "x"), (1, "good words here 1", "x"), (None, "lost", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], f"doc_id long, {column} int")
+    got = module.classify(docs, labels).collect()
+    assert len(got) == 64 and all(0 <= r["score"] <= 1 for r in got)
+    again = {(r["doc_id"], r["score"]) for r in module.classify(docs, labels).collect()}
+    assert again == {(r["doc_id"], r["score"]) for r in got}
+    edge = got[0]["score"]  # a score that is the threshold counts as reached
+    at = {r["doc_id"]: r["predicted"] for r in module.classify(docs, labels, threshold=edge).collect()}
+    assert at[got[0]["doc_id"]] == 1
+    kept = module.keep(docs, labels, threshold=edge)
+    assert kept.columns == docs.columns
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    from candela.llm import stage
+
+    class Away:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class getConf:
+                get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        stage.shared_dir(Away)
+
+
+def test_op7_long_words_and_marks(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    alphabet = "abcdefghiorst'.,!?-0123 éßñÜİ日本ñ̃ǅͅ\u200b\xa0\x85_$|<>A\n\t\r"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(1500)] + ["<|endoftext|> x<|startoftext|>y", "it's we'LL don't", "x" * 3000, "é" * 300, "z" * 32, "z" * 33, "", " "]
+    got = packing.ChunkTokens(path).ids(texts)
+    assert all(np.frombuffer(g, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids for x, g in zip(texts, got))

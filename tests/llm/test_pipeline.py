@@ -36,3 +36,33 @@ def test_stages(spark, tmp_path):
         else:
             assert now.columns == docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs = now
+
+
+def test_run_is_the_stages_one_after_the_other(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    whole = p.run(spark, SF)
+    plain = lambda df: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert whole.columns == docs.columns and plain(whole) == plain(docs)
+
+
+def test_rows_that_share_an_id_and_nulls(spark):
+    import corpus_pipeline as p
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.limit(3).collect()
+    rows = [*map(tuple, some), (some[0]["doc_id"], "another text", "en", "s", 12), (None, "no id", "en", "s", 5), (987654, None, None, None, None)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    stages = dict(p.STAGES)
+    kept = stages["quality"](spark, odd, SF)
+    assert kept.where("doc_id is null").count() == 0 and kept.columns == docs.columns
+    one = stages["minhash"](spark, odd.where("doc_id is not null"), SF)
+    assert one.count() == one.select("doc_id").distinct().count() and one.columns == docs.columns
+    assert stages["suffix"](spark, odd.where("doc_id is not null"), SF).columns == docs.columns
+    assert labels.count() > 0
