@@ -161,20 +161,23 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     discard(candidates, repeated)
     for i, name in enumerate(names):
         pairs = ranked.groupBy("rank", name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("least")).where("n > 1")
-        pairs = pairs.select("rank", name, F.xxhash64("least.doc_id", "least.start", "rank", name).alias("next_rank"))
+        pairs = stage(pairs.select("rank", name, F.xxhash64("least.doc_id", "least.start", "rank", name).alias("next_rank")), "suffix-pairs")  # staged as repeated is
         was, ranked = ranked, stage(ranked.join(pairs, ["rank", name]).drop("rank", name).withColumnRenamed("next_rank", "rank"), f"suffix-ranks-{i + 1}")
-        discard(was)
+        discard(was, pairs)
     kinds = stage(ranked.groupBy("rank", "cell").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_strings", "lead")).alias("least")), "suffix-kinds")
     per_rank = kinds.groupBy("rank").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("n_all")).where("n_all > 1")
-    whole_runs = ranked.join(kinds.where("n > 1").select("rank", "cell"), ["rank", "cell"]).select("doc_id", "start", F.col("n_strings").alias("count"), F.col("cell").alias("name"), F.lit(True).alias("whole"))
+    again = stage(kinds.where("n > 1").select("rank", "cell"), "suffix-again")
+    whole_runs = stage(ranked.join(again, ["rank", "cell"]).select("doc_id", "start", F.col("n_strings").alias("count"), F.col("cell").alias("name"), F.lit(True).alias("whole")), "suffix-whole")
+    discard(ranked, again)
     samples = kinds.join(per_rank.where("n_kinds > 1").select("rank"), "rank").select("least.doc_id", F.struct("least.start", "least.n_strings", "least.lead", "rank", "cell").alias("part"))
     sampled = samples.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
     blocks = stage(here.join(sampled, "doc_id").select("doc_id", "text", "parts").mapInArrow(_emit_strings(length), "rank long, core long, strings array<long>, doc_id long, start int"), "suffix-blocks")
     cores = blocks.groupBy("rank", "core").agg(F.count("*").alias("n")).where("n > 1").select("rank", "core")
     strings = stage(blocks.join(cores, ["rank", "core"]).select("rank", "doc_id", "start", F.posexplode("strings").alias("i", "string")), "suffix-strings")
-    discard(blocks)
+    discard(blocks, kinds)
     seen = strings.groupBy("rank", "string").agg(F.count("*").alias("n")).where("n > 1").select("rank", "string")
-    single_runs = strings.join(seen, ["rank", "string"]).select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("count"), F.col("string").alias("name"), F.lit(False).alias("whole"))
+    single_runs = stage(strings.join(seen, ["rank", "string"]).select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("count"), F.col("string").alias("name"), F.lit(False).alias("whole")), "suffix-single")
+    discard(strings)
     return whole_runs.unionByName(single_runs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "name", "whole")).alias("runs"))
 
 
