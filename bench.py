@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from candela.plans import catalog  # noqa: E402
 
-NAMES = ("case_contract_audit", "lopo_true_rank", "lopo_topk", "mahalanobis_flags", "cohort_summary", "per_query_auc", "fixed_config_summary")
+NAMES = ("case_contract_audit", "lopo_true_rank", "lopo_topk", "mahalanobis_flags", "cohort_summary", "per_query_auc", "fixed_config_summary", "crossfit_selection_audit")
 
 
 def main() -> None:
