@@ -35,10 +35,10 @@ def test_case_contract(spark):
 
 def test_attach_rejects_what_does_not_fit(spark):
     cohort = spark.createDataFrame([("a", "p", 0), ("b", "q", 0)], "case_id string, person_id string, pre_0_post_1 int")
-    rows = [("a", "p", 0, "ok", 1.0), ("b", "q", 0, "success", 2.0)]
+    rows = [("a", "p", 0, "Success", 1.0), ("b", "q", 0, "success", 2.0)]  # no other status counts as done
     schema = "case_id string, person_id string, pre_0_post_1 int, status string, x double"
     assert sorted(r["x"] for r in contracts.attach_features(cohort, spark.createDataFrame(rows, schema)).collect()) == [1.0, 2.0]
-    for bad in (rows[:1], [rows[0], ("b", "z", 0, "ok", 2.0)], [rows[0], ("b", "q", 1, "ok", 2.0)], [rows[0], ("b", "q", 0, "failed", 2.0)]):
+    for bad in (rows[:1], [rows[0], ("b", "z", 0, "success", 2.0)], [rows[0], ("b", "q", 1, "success", 2.0)], [rows[0], ("b", "q", 0, "failed", 2.0)], [rows[0], ("b", "q", 0, "ok", 2.0)]):
         with pytest.raises(contracts.ContractError):
             contracts.attach_features(cohort, spark.createDataFrame(bad, schema))
 
