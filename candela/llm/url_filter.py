@@ -74,7 +74,7 @@ def _log_ratio(counts: DataFrame, asked: DataFrame) -> DataFrame:
 def _threshold(ruled: DataFrame) -> DataFrame:
     """One row (threshold): the score in steps of 0.01 with the best balanced accuracy on
     ruled (score, ruled) rows, the smallest in size on ties; 0 without both verdicts."""
-    bins = ruled.groupBy(F.greatest(F.lit(-800), F.least(F.lit(800), F.floor(F.col("score") * 100))).cast("int").alias("bin")).agg(F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b"))
+    bins = ruled.groupBy(F.floor(F.col("score") * 100).cast("int").alias("bin")).agg(F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b"))
     bins = bins.unionByName(bins.sparkSession.createDataFrame([(0, 0, 0)], "bin int, a long, b long")).groupBy("bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sums = bins.select("bin", F.expr("sum(a) over (order by bin desc) * 1D / nullif(sum(a) over (), 0) + (sum(b) over () - sum(b) over (order by bin desc)) * 1D / nullif(sum(b) over (), 0)").alias("gain"))
     best = sums.agg(F.expr("max_by(bin, struct(gain, -abs(bin), bin))").alias("bin"), F.max("gain").alias("gain"))
@@ -152,7 +152,7 @@ model as (select gram, sum(case when side = 'allow' then ln(p) else -ln(p) end)
 scored as (select symbols, any_value(ruled) as ruled, any_value(held) as held, round(avg(llr), 6) as score from grams join model using (gram) group by symbols),
 bins as (
   select bin, sum(a) as a, sum(b) as b from (
-    select greatest(-800, least(800, floor(score * 100)))::int as bin, (ruled = 'allow')::int as a, (ruled = 'block')::int as b from scored where held and ruled is not null
+    select floor(score * 100)::int as bin, (ruled = 'allow')::int as a, (ruled = 'block')::int as b from scored where held and ruled is not null
     union all select 0, 0, 0) group by bin
 ), gains as (
   select bin, sum(a) over (order by bin desc)::double / nullif(sum(a) over (), 0) + (sum(b) over () - sum(b) over (order by bin desc))::double / nullif(sum(b) over (), 0) as gain from bins
