@@ -57,6 +57,10 @@ def artifact_hashes(spark: SparkSession, path: str, max_bytes: int = 1 << 30) ->
 
 
 def verify_artifacts(cases: DataFrame, hashes: DataFrame, path_column: str, hash_column: str) -> DataFrame:
-    """Cases whose recorded hash is not that of the file at their path, or whose file is missing."""
-    joined = cases.join(hashes.select(F.col("path").alias(path_column), F.col("sha256").alias("_found")), path_column, "left")
-    return joined.where(F.col("_found").isNull() | (F.col("_found") != F.col(hash_column))).drop("_found")
+    """Cases whose recorded hash is not that of the file at their path, or whose file is missing.
+    A file that is there but too large to hash in a row is an error, not a mismatch."""
+    found = hashes.select(F.col("path").alias(path_column), F.col("sha256").alias("_found"), F.lit(True).alias("_there"))
+    joined = cases.join(found, path_column, "left")
+    unread = F.raise_error(F.concat(F.col(path_column), F.lit(" is too large to hash"))).cast("boolean")
+    odd = F.when(F.col("_there") & F.col("_found").isNull(), unread).otherwise(F.col("_found").isNull() | ~F.equal_null("_found", hash_column))
+    return joined.where(odd).drop("_found", "_there")
