@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contracts, crossfit, inference, quality, ranking, scoring, stages, summaries
-from .roles import BLOCKS, H_VALUES, LONG_SQL, WIDE_SQL, queries_and_gallery, wide_cases
+from ..operators import clouds, contracts, crossfit, curves, geometry, inference, quality, ranking, scoring, stages, summaries
+from .roles import BLOCKS, H_VALUES, LONG_SQL, WIDE_SQL, customer_curves, queries_and_gallery, supplier_points, wide_cases
 
 DIGITS = 9
 ONE = ("sag", 4)  # the view of the single-view queries
@@ -334,12 +334,73 @@ def mean_auc_interval(spark, sf_dir):
     return inference.percentile_interval(inference.poisson_means(per_query_auc(spark, sf_dir)).withColumn("k", F.lit(0)), by=("k",), value="mean")
 
 
+def affine_axes(spark, sf_dir):
+    """The first nine components of a vector play the axes of a voxel grid."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("size(embedding) >= 9")
+    m = [[F.col("embedding")[3 * i + j].cast("double") for j in range(3)] for i in range(3)]
+    sizes = [F.round(s, 6).alias(f"size_{k}") for s, k in zip(clouds.voxel_sizes(m), "ijk")]
+    angle = clouds.obliquity(m)
+    return v.select("vec_id", clouds.axis_codes(m).alias("codes"), F.round(angle, 6).alias("obliquity"), (angle <= 45).alias("within_45"), *sizes)
+
+
+def foreground_boxes(spark, sf_dir):
+    """Lines of a supplier play its foreground voxels."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    voxels = lines.select(F.col("l_suppkey").alias("case_id"), F.col("l_quantity").cast("int").alias("i"), (F.col("l_discount") * 100).cast("int").alias("j"), (F.col("l_partkey") % 97).cast("int").alias("k"))
+    return clouds.foreground_box(voxels, (51, 11, 97))
+
+
+def cloud_poses(spark, sf_dir):
+    p = clouds.poses(supplier_points(spark, sf_dir))
+    return p.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in p.dtypes])
+
+
+def cloud_extents(spark, sf_dir):
+    """How far each cloud reaches in each view, in its own pose."""
+    points = supplier_points(spark, sf_dir)
+    b = clouds.view_bounds(clouds.to_canonical(points, clouds.poses(points)))
+    return b.select("case_id", "view", "n_points", F.round("umin", 6).alias("umin"), F.round("vmax", 6).alias("vmax"), "width", "height", "error")
+
+
+def cloud_rasters(spark, sf_dir):
+    """Filled pixels of each view, and their sums of places."""
+    points = supplier_points(spark, sf_dir)
+    own = clouds.to_canonical(points, clouds.poses(points))
+    cells = clouds.view_cells(own, clouds.view_bounds(own))
+    return cells.groupBy("case_id", "view").agg(F.count("*").alias("n_cells"), F.sum("col").alias("cols"), F.sum("row").alias("rows"))
+
+
+def cloud_features(spark, sf_dir):
+    """Outlines of the rasters, and their normalised coefficients."""
+    f = geometry.extract(supplier_points(spark, sf_dir), orders=(5, 10))
+    return f.withColumn("f", F.transform("f", lambda v: F.round(v, 6)))
+
+
+def curve_areas(spark, sf_dir):
+    a = curves.areas(customer_curves(spark, sf_dir), ["curve"])
+    return a.select("curve", "n_vertices", F.round("area", 6).alias("area"))
+
+
+def _even(spark, sf_dir):
+    return curves.even_points(curves.counter_clockwise(customer_curves(spark, sf_dir), ["curve"]), ["curve"], 64)
+
+
+def curve_points(spark, sf_dir):
+    return _even(spark, sf_dir).select("curve", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def curve_coefficients(spark, sf_dir):
+    c = curves.fourier(_even(spark, sf_dir), ["curve"], 5)
+    return c.select("curve", "i", *[(F.round(k, 6) + 0.0).alias(k) for k in "abcd"])
+
+
 QUERIES = [
     case_contract_audit, feature_attach, lopo_scaler, lopo_pair_scores, lopo_true_rank, lopo_topk, view_scores, fused_scores, fixed_config_ranks, fixed_config_summary, rank1_matrix,
     hard_failure_flags, mahalanobis_flags, qc_counts, pair_completeness, cohort_audit, cohort_query, cohort_gallery, cohort_summary, paired_cases, first_scan,
     crossfit_selection_audit, crossfit_true_rank, tie_stage_summary, deviating_folds, rank_rates, cmc_curve, rank_distribution, mcnemar_table, bootstrap_intervals, poisson_intervals,
     per_query_auc, pooled_auc, spearman_rho, pca_scores, pose_summary, projection_summary, runtime_quartiles, metric_distribution, review_counts, outlier_crosstab, rank1_crosstab, tail_diagnostics, key_differences,
     broken_case_audit, broken_attach_audit, candidate_order, first_cases, selected_candidate, result_completeness, query_lookup, review_template, analysis_roles, configured_ranks, mean_auc_interval,
+    affine_axes, foreground_boxes, cloud_poses, cloud_extents, cloud_rasters, cloud_features, curve_areas, curve_points, curve_coefficients,
 ]
 
 

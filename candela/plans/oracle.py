@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .roles import LONG_SQL, WIDE_SQL
+from .roles import CLOUD_SQL, CURVE_SQL, LONG_SQL, WIDE_SQL
 
 SCALED = LONG_SQL + """, scaled as (
   select p.person_id, g.view, g.h, g.i, min(g.x) as lo, max(g.x) as hi from (select distinct person_id from q) p join g on g.person_id <> p.person_id group by all
@@ -64,6 +64,25 @@ BROKEN = """broken as (select case when n_events % 11 = 0 then ' ' when n_events
 PEOPLE = "select count(*)::bigint"
 HITS = "unnest(range(1, 11)) as k"
 
+#: Poses by the closed form of a symmetric 3 x 3 matrix's largest root, and the cross products of what remains.
+POSES = CLOUD_SQL + """, mo as (select case_id, count(*) as n, avg(x) as mx, avg(y) as my, avg(z) as mz, var_pop(x) as xx, var_pop(y) as yy, var_pop(z) as zz, covar_pop(x, y) as xy, covar_pop(x, z) as xz, covar_pop(y, z) as yz from points group by case_id),
+  m1 as (select *, (xx + yy + zz) / 3 as q from mo), m2 as (select *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy ** 2 + xz ** 2 + yz ** 2)) / 6) as p from m1),
+  m3 as (select *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p ** 3)))) / 3 as t from m2),
+  m4 as (select *, q + 2 * p * cos(t) as e1, q + 2 * p * cos(t + 2 * pi() / 3) as e3 from m3),
+  m5 as (select *, 3 * q - e1 - e3 as e2, xy * yz - xz * (yy - e1) as c2x, xz * xy - (xx - e1) * yz as c2y, (xx - e1) * (yy - e1) - xy * xy as c2z from m4),
+  m6 as (select *, sqrt(c2x ** 2 + c2y ** 2 + c2z ** 2) as s from m5), m7 as (select *, c2x / s as r20, c2y / s as r21, c2z / s as r22 from m6),
+  m8 as (select *, sqrt((1 - r20 * r20) ** 2 + (r20 * r21) ** 2 + (r20 * r22) ** 2) as w from m7), m9 as (select *, (1 - r20 * r20) / w as r00, -r20 * r21 / w as r01, -r20 * r22 / w as r02 from m8),
+  poses as (select *, r21 * r02 - r22 * r01 as r10, r22 * r00 - r20 * r02 as r11, r20 * r01 - r21 * r00 as r12 from m9),
+  own as (select case_id, r00 * (x - mx) + r01 * (y - my) + r02 * (z - mz) as x, r10 * (x - mx) + r11 * (y - my) + r12 * (z - mz) as y, r20 * (x - mx) + r21 * (y - my) + r22 * (z - mz) as z from points join poses using (case_id) where n >= 50),
+  flat as (select case_id, 'cor' as view, x as u, z as v from own union all select case_id, 'sag', y, z from own union all select case_id, 'axial', x, -y from own),
+  bounds as (select *, ceil(umax - umin)::bigint + 1 as width, ceil(vmax - vmin)::bigint + 1 as height from (select case_id, view, count(*) as n_points, min(u) - 4 as umin, max(u) + 4 as umax, min(v) - 4 as vmin, max(v) + 4 as vmax from flat group by all))"""
+FOLLOWING = CURVE_SQL + """, f0 as (select *, coalesce(lead(x) over w, first(x) over w) as x1, coalesce(lead(y) over w, first(y) over w) as y1, count(*) over (partition by curve) as n from curves window w as (partition by curve order by seq)),
+  ccw as (select curve, case when sum(x * y1 - x1 * y) over (partition by curve) < 0 then n - 1 - seq else seq end as seq, x, y, n from f0),
+  f1 as (select *, coalesce(lead(x) over w, first(x) over w) as x1, coalesce(lead(y) over w, first(y) over w) as y1 from ccw window w as (partition by curve order by seq)),
+  f2 as (select *, sqrt((x1 - x) ** 2 + (y1 - y) ** 2) as d from f1), f3 as (select *, sum(d) over (partition by curve order by seq) as till, sum(d) over (partition by curve) as total from f2 where d > 0),
+  at_ as (select curve, total, k, k * total / 64 as pos from (select distinct curve, total from f3), range(64) t(k)),
+  even as (select a.curve, a.k as seq, f.x + least(1, greatest(0, (a.pos - (f.till - f.d)) / f.d)) * (f.x1 - f.x) as x, f.y + least(1, greatest(0, (a.pos - (f.till - f.d)) / f.d)) * (f.y1 - f.y) as y from at_ a asof join f3 f on a.curve = f.curve and a.pos <= f.till)"""
+
 SQL = {
     "case_contract_audit": f"with {WIDE_SQL} select count(*) as n_rows, sum((coalesce(trim(case_id), '') = '')::int)::bigint as blank_case_id, sum((coalesce(trim(person_id), '') = '')::int)::bigint as blank_person_id, count(case_id) - count(distinct case_id) as repeated_case_id, sum((flag not in (0, 1))::int)::bigint as bad_flag from wide",
     "feature_attach": f"with {WIDE_SQL} select case_id, person_id, dataset, n_events, sag_H4_avg, cor_H4_click from wide where dataset = 'institutional'",
@@ -146,4 +165,23 @@ SQL = {
     "review_template": f"with {WIDE_SQL} select person_id, max(case_id) filter (flag = 0) as pre_case_id, max(case_id) filter (flag = 1) as post_case_id, '' as reviewer_id, '' as review_date, '' as alignment, '' as field_of_view from wide group by person_id having count(*) = 2",
     "analysis_roles": f"with {COHORT} select cohort_policy, sum((role = 'query')::int)::bigint as n_query, n::int as n_configurations, case when cohort_policy = 'primary' and n = 14 then 'primary' else 'sensitivity' end as role from audit cross join (values (14), (13)) t(n) group by cohort_policy, n",
     "configured_ranks": f"with {FIXED} select query_case, query_person, mode as selected_mode, h as selected_harmonic, true_rank from fixed where mode = 'cor_sag' and h = 4",
+    "affine_axes": """with m as (select vec_id, embedding[1:9]::double[] as m from embeddings where len(embedding) >= 9),
+      a as (select vec_id, j, m[1 + j] as x, m[4 + j] as y, m[7 + j] as z, sqrt(m[1 + j] ** 2 + m[4 + j] ** 2 + m[7 + j] ** 2) as s from m, range(3) t(j)),
+      b as (select *, case when abs(x) >= abs(y) and abs(x) >= abs(z) then (case when x > 0 then 'R' else 'L' end) when abs(y) >= abs(z) then (case when y > 0 then 'A' else 'P' end) else (case when z > 0 then 'S' else 'I' end) end as code,
+        degrees(acos(least(1, greatest(abs(x), abs(y), abs(z)) / s))) as angle from a)
+      select vec_id, string_agg(code, '' order by j) as codes, round(max(angle), 6) as obliquity, max(angle) <= 45 as within_45, round(max(s) filter (j = 0), 6) as size_i, round(max(s) filter (j = 1), 6) as size_j, round(max(s) filter (j = 2), 6) as size_k from b group by vec_id""",
+    "foreground_boxes": """select l_suppkey as case_id, count(*) as n_voxels, greatest(min(i) - 1, 0)::bigint as i_lo, least(max(i) + 2, 51)::bigint as i_hi, greatest(min(j) - 1, 0)::bigint as j_lo, least(max(j) + 2, 11)::bigint as j_hi, greatest(min(k) - 1, 0)::bigint as k_lo, least(max(k) + 2, 97)::bigint as k_hi
+      from (select l_suppkey, trunc(l_quantity)::int as i, trunc(l_discount * 100)::int as j, (l_partkey % 97)::int as k from lineitem) group by l_suppkey""",
+    "cloud_poses": f"""with {POSES} select case_id, n, round(mx, 6) as mx, round(my, 6) as my, round(mz, 6) as mz, round(r00, 6) as r00, round(r01, 6) as r01, round(r02, 6) as r02, round(r10, 6) as r10, round(r11, 6) as r11, round(r12, 6) as r12, round(r20, 6) as r20, round(r21, 6) as r21, round(r22, 6) as r22, round(r00, 6) as dot_left, round(r11, 6) as dot_back, round(r22, 6) as dot_up, r00 > 0 as x_ok, r11 > 0 as y_ok, r22 > 0 as z_ok,
+      round(r20, 6) as long_axis_x, round(r21, 6) as long_axis_y, round(r22, 6) as long_axis_z, round(degrees(acos(least(1, r22))), 6) as obliquity_deg, round(sqrt(e1 / e2), 6) as singular_ratio, round(e1 / e2, 6) as eigenvalue_ratio, round(e1 / (3 * q), 6) as explained_variance,
+      case when n < 50 then 'failed' else 'success' end as status, case when n < 50 then 'too_few_points_for_pose' else '' end as error from poses""",
+    "cloud_extents": f"with {POSES} select case_id, view, n_points, round(umin, 6) as umin, round(vmax, 6) as vmax, width, height, case when least(width, height) < 12 then 'raster_too_small' else '' end as error from bounds",
+    "cloud_rasters": f"""with {POSES} select case_id, view, count(*) as n_cells, sum(c)::bigint as cols, sum(r)::bigint as rows from (select distinct case_id, view, greatest(0, least(round_even(u - umin, 0)::int, width - 1)) as c, greatest(0, least(round_even(vmax - v, 0)::int, height - 1)) as r
+      from flat join bounds using (case_id, view) where least(width, height) >= 12) group by all""",
+    "curve_areas": f"with {FOLLOWING} select curve, count(*) as n_vertices, round(sum(x * y1 - x1 * y) / 2, 6) as area from f0 group by curve",
+    "curve_points": f"with {FOLLOWING} select curve, seq, round(x, 6) as x, round(y, 6) as y from even",
+    "curve_coefficients": f"""with {FOLLOWING}, e1 as (select *, coalesce(lead(x) over w, first(x) over w) - x as dx, coalesce(lead(y) over w, first(y) over w) - y as dy from even window w as (partition by curve order by seq)),
+      e2 as (select *, greatest(sqrt(dx ** 2 + dy ** 2), 1e-12) as dt from e1), e3 as (select *, sum(dt) over (partition by curve order by seq) as till, sum(dt) over (partition by curve) as total from e2),
+      e4 as (select *, cos(2 * pi() * i * till / total) - cos(2 * pi() * i * (till - dt) / total) as tc, sin(2 * pi() * i * till / total) - sin(2 * pi() * i * (till - dt) / total) as ts, total / (2 * i * i * pi() ** 2) as scale from e3, range(1, 6) t(i))
+      select curve, i::int as i, round(sum(dx / dt * tc * scale), 6) + 0.0::double as a, round(sum(dx / dt * ts * scale), 6) + 0.0::double as b, round(sum(dy / dt * tc * scale), 6) + 0.0::double as c, round(sum(dy / dt * ts * scale), 6) + 0.0::double as d from e4 group by curve, i""",
 }

@@ -69,3 +69,23 @@ def queries_and_gallery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     f = features(spark, sf_dir)
     keep = ("case_id", "person_id", "view", "h", "f")
     return f.where("pre_0_post_1 = 1 and dataset = 'institutional'").select(*keep), f.where("pre_0_post_1 = 0").select(*keep)
+
+
+def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clouds: a supplier is a case, its lines are points, tilted and longest upwards."""
+    z = (F.col("l_partkey") % 97).cast("double")
+    lines = table(spark, sf_dir, "lineitem").where("l_suppkey is not null")
+    return lines.select(F.concat(F.lit("S"), "l_suppkey").alias("case_id"), (F.col("l_quantity") + 0.25 * z).alias("x"), (300 * F.col("l_discount") + 0.125 * z).alias("y"), z.alias("z"))
+
+
+def customer_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed curves: a customer's orders in order of their keys."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").where("o_custkey is not null and o_orderkey is not null")
+    seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return o.select(F.col("o_custkey").alias("curve"), seq.cast("long").alias("seq"), (F.col("o_totalprice") / 1000).alias("x"), (F.col("o_orderkey") % 101).cast("double").alias("y"))
+
+
+CLOUD_SQL = """points as (select 'S' || l_suppkey as case_id, l_quantity + 0.25::double * (l_partkey % 97) as x, 300::double * l_discount + 0.125::double * (l_partkey % 97) as y, (l_partkey % 97)::double as z from lineitem where l_suppkey is not null)"""
+CURVE_SQL = """curves as (select o_custkey as curve, row_number() over (partition by o_custkey order by o_orderkey) - 1 as seq, o_totalprice / 1000 as x, (o_orderkey % 101)::double as y from orders where o_custkey is not null and o_orderkey is not null)"""
