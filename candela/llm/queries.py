@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, minhash, packing, pq_dedup, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import alignment, bpe, exact_dedup, hnsw, minhash, packing, periodic_runs, pq_dedup, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 from .stage import table
 
 
@@ -53,9 +53,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_bpe_codec, op4_nearest_neighbours, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_best_fit_packing, op8_suffix_dedup, op9_quality_classifier, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_bpe_codec, op4_nearest_neighbours, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_best_fit_packing, op8_suffix_dedup, op9_quality_classifier, op10_toxicity, op11_exact_dedup, op12_tokenizer_alignment, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op11_exact_dedup": exact_dedup.SQL}

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,3 +120,86 @@ def bins_are_sound(placed, cap=4096):
             at += n
         assert at <= cap
     return len(by)
+
+
+def op11(rows):
+    groups = defaultdict(list)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for d, t in rows:
+        groups[(t or "").translate(low)].append(d)
+    out = []
+    for t, ids in groups.items():
+        stays = max(ids)
+        for i, d in enumerate(sorted(ids)):
+            out.append((d, stays, len(ids), d == stays and i == len(ids) - 1, sha(t)))
+    return sorted(out)
+
+
+def op12(rows, byte_tokens, piece_tokens):
+    """byte_tokens and piece_tokens: text to [(id, bytes)]."""
+    docs, held = [], Counter()
+    for d, t in rows:
+        want = (" " + (t or "")).encode()
+        a, b = (byte_tokens(" " + t), piece_tokens(t)) if t else ([], [])
+        if not t or any(b"".join(x for _, x in tokens) != want for tokens in (a, b)):
+            a, b = [], []
+        cuts = [set(), set()]
+        for tokens, cut in zip((a, b), cuts):
+            at = 0
+            for _, x in tokens:
+                at += len(x)
+                cut.add(at)
+        both = sorted(cuts[0] & cuts[1])
+        groups = [([], []) for _ in both]
+        for side, tokens in enumerate((a, b)):
+            at = g = 0
+            for i, x in tokens:
+                at += len(x)
+                groups[g][side].append(i)
+                g += both[g] == at
+        links = Counter((x, y) for p, q in groups for x in p for y in q)
+        held.update(links.keys())
+        docs.append((d, len(a), len(b), groups, links))
+    top = Counter()
+    for (a, _), n in held.items():
+        top[a] = max(top[a], n)
+    out = []
+    for d, na, nb, groups, links in docs:
+        text = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups)
+        best = sum(n for (a, b), n in links.items() if held[a, b] == top[a])
+        out.append((d, na, nb, len(groups), sum(links.values()), best, sum(n * held[k] for k, n in links.items()), sha(text) if groups else ""))
+    return sorted(out)
+
+
+def runs(w, least=24, times=3):
+    """(start, length, least period) of every run of a sequence."""
+    out = []
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            size = j - i + q
+            if size >= max(least, times * q) and not any(all(w[x] == w[x + r] for x in range(i, i + size - r)) for r in range(1, q)):
+                out.append((i, size, q))
+            i = j + 1 if j == i else j
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def op13(rows):
+    out = []
+    for d, t in rows:
+        w = words(t)
+        n, h = len(w), zlib.crc32(str(d).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        found = runs(w)
+        gone = {i for s, size, q in found for i in range(s + q, s + size)}
+        best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None,) * 3)
+        milli = None if best[0] is None else 1000 * best[1] // best[2]
+        out.append((d, len(found), *best, milli, sha("".join(f"{s},{size},{q}\n" for s, size, q in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return sorted(out, key=lambda r: r[0])

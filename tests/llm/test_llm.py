@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on small tables with nulls, empty and long texts,
+"""The operators against brute force, on small tables with nulls, empty and long texts,
 repeated rows, ties and clashing extra columns."""
 
 import random
@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, hnsw, minhash, packing, pq_dedup, quality, substring_dedup, subword, suffix_dedup, toxicity, url_filter
+from candela.llm import alignment, bpe, exact_dedup, hnsw, minhash, packing, periodic_runs, pq_dedup, quality, substring_dedup, subword, suffix_dedup, toxicity, url_filter
 from candela.llm.components import components
 
 
@@ -457,3 +457,134 @@ def test_op7_long_words_and_marks(spark):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(1500)] + ["<|endoftext|> x<|startoftext|>y", "it's we'LL don't", "x" * 3000, "é" * 300, "z" * 32, "z" * 33, "", " "]
     got = packing.ChunkTokens(path).ids(texts)
     assert all(np.frombuffer(g, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids for x, g in zip(texts, got))
+
+
+COPIES = [(i, t) for i, t in enumerate(["Same Text", "same text", "SAME TEXT", "same  text", None, "", "É", "é", "long " * 9000, "LONG " * 9000, "long " * 8999 + "lung ", "\x00", "\x00\x00", "a\nb", "A\nB"])]
+COPIES += [(3, "same text"), (3, "same text"), (2, "SAME TEXT"), (90, "other"), (90, "other")] + [(200 + i, "copy " * 40) for i in range(80)]
+
+
+@pytest.mark.parametrize("options", [{}, {"huge": 1000, "piece": 64}, {"moduli": (5,)}, {"moduli": (2,), "huge": 4000}])
+def test_op11(spark, options, monkeypatch):
+    # with a modulus of 5 or 2 nearly every group holds different texts: comparison decides
+    monkeypatch.setattr(exact_dedup, "SLICE", 1 << 14)
+    rows = COPIES + ROWS if not options.get("moduli") else COPIES
+    rows = [(d + 1000 * (i >= len(COPIES)), t) for i, (d, t) in enumerate(rows)]
+    df = spark.createDataFrame([(*r, 1, "x", True) for r in rows] + [(None, "same text", 1, "x", True)], "doc_id long, text string, members long, print string, first boolean")
+    assert tuples(exact_dedup.duplicates(df.repartition(3), **options)) == brute.op11(rows)
+
+
+def test_op11_empty(spark):
+    assert exact_dedup.duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_op11_fingerprints_compose():
+    data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
+    polynomials = exact_dedup.Polynomials()
+    whole = polynomials.of(data, np.array([0, 5000]))[0]
+    cuts = np.array([0, 7, 7, 1200, 4999, 5000])
+    parts = polynomials.of(data, cuts)
+    added = np.array([polynomials.shifted(row, 5000 - int(end)) for row, end in zip(parts.tolist(), cuts[1:])])
+    for i, p in enumerate(exact_dedup.MODULI):
+        plain = 0
+        for byte in data.tolist():
+            plain = (plain * polynomials.bases[i] + byte + 1) % p
+        assert plain == whole[i] == added[:, i].sum() % p
+
+
+def tokens_of_libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    back = {c: b for b, c in bpe.byte_symbols().items()}
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+    own = [bytes([int(p[3:5], 16)]) if len(p) == 6 and p.startswith("<0x") else p.replace("▁", " ").encode() for p in pieces]
+    return lambda t: [(i, bytes(back[c] for c in a.id_to_token(i))) for i in a.encode(t, add_special_tokens=False).ids], lambda t: [(i, own[i]) for i in b.encode(t)]
+
+
+ALIGNED = ROWS + [(300, " "), (301, "a  b   "), (302, "▁x"), (303, "<|endoftext|> <s> </s>"), (304, "\n\n  foo\t 　 bar\u2028x"), (305, "\x00a"), (306, "é ﬁ ½ 👩‍👩‍👧 don't"), (307, "  lead"), (307, "  lead"), (308, "1234567890" * 300)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_op12(spark, small, monkeypatch):
+    if small:  # many shards, slices, rows of counts and blocks of pairs; nothing is remembered
+        for name, x in (("SHARD_PAIRS", 50), ("SLICE_LINKS", 20), ("ROW_PAIRS", 3), ("BLOCK_PAIRS", 7), ("REMEMBERED_TOKENS", 10)):
+            monkeypatch.setattr(alignment, name, x)
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in ALIGNED] + [(None, "a b", 1, "x", 2)], "doc_id long, text string, row long, pair string, shard int").repartition(3)
+    got = alignment.align_digest(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert tuples(got) == brute.op12(ALIGNED, *tokens_of_libraries())
+
+
+def test_op12_groups_of_many_tokens():
+    # tokens whose ends meet only at the end of each document: repeated ids, all pairs
+    rng = np.random.default_rng(3)
+    ga, gb = np.repeat([0, 1, 2], [40, 1, 7]), np.repeat([0, 1, 2], [30, 5, 1])
+    ia, ib = rng.integers(0, 6, len(ga)), rng.integers(0, 5, len(gb))
+    doc = np.array([0, 0, 1])
+    want = {}
+    for g in range(3):
+        for x in ia[ga == g].tolist():
+            for y in ib[gb == g].tolist():
+                key = int(doc[g]), x * alignment.ID + y
+                want[key] = want.get(key, 0) + 1
+    assert {(d, p): n for d, p, n in zip(*(x.tolist() for x in alignment.linked_pairs(ga, ia, gb, ib, doc)))} == want
+
+
+def test_op12_coalesce():
+    a, b = np.array([2, 5, 6, 9]), np.array([1, 5, 9])
+    ga, gb = alignment.coalesce(a, b)
+    assert ga.tolist() == [0, 0, 1, 1] and gb.tolist() == [0, 0, 1]
+
+
+def test_op12_empty(spark):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    assert tuples(alignment.align_digest(docs, *paths)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+    assert alignment.align_digest(docs.where("false"), *paths).collect() == []
+
+
+def periodic(seed=5):
+    rng = random.Random(seed)
+    rows = [(i, t) for i, t in ROWS]
+    for i in range(120):
+        k = rng.choice([1, 2, 3, 50])
+        w = [f"w{rng.randrange(k)}" for _ in range(rng.choice([0, 1, 23, 24, 60, 150]))]
+        for _ in range(rng.randrange(3)):
+            p, at = rng.randint(1, 20), rng.randint(0, len(w))
+            w[at:at] = (w[:p] * 8)[: rng.randint(0, 90)]
+        rows.append((1000 + i, " ".join(w)))
+    return rows + [(2000, "a\x1cb " * 30), (2001, "x " * 23), (2002, "x " * 24), (2003, "ab " * 24 + "ab"), (2001, "y " * 25)]
+
+
+def test_op13(spark):
+    rows = periodic()
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows] + [(None, "a " * 40, 1, "x")], "doc_id long, text string, start long, runs string").repartition(3)
+    got = sorted((tuple(r) for r in periodic_runs.run_digest(df).collect()), key=str)
+    assert got == sorted(brute.op13(rows), key=str)
+    assert sum(r[1] > 1 for r in got) > 5
+    every = tuples(periodic_runs.runs(df))
+    assert every == sorted((d, *r) for d, t in rows for r in brute.runs(brute.words(t)))
+    kept = {r.doc_id: r.text for r in periodic_runs.collapse(df).collect()}
+    assert kept[2002] == "x" and kept[2000] == "a\x1cb" and kept[2001] in ("x " * 22 + "x", "y")
+
+
+def test_op13_empty(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert periodic_runs.run_digest(empty).collect() == [] and periodic_runs.runs(empty).collect() == []
+
+
+def test_op13_sequences():
+    rng = random.Random(8)
+    for _ in range(400):
+        k = rng.choice([1, 2, 3, 5])
+        w = [rng.randrange(k) for _ in range(rng.randint(0, 70))]
+        for least, times in ((24, 3), (4, 3), (2, 2)):
+            assert sorted(periodic_runs.runs_of(w, least, times), key=lambda r: (r[0], r[2])) == brute.runs(w, least, times)
+
+
+def test_op13_long_text():
+    words = [f"w{i * i % 7919}" for i in range(4000)]
+    w = words[:500] + words[500:800] * 40 + words[800:]
+    assert periodic_runs.runs_of([hash(x) for x in w]) == [(500, 12000, 300)]
