@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clouds, contracts, crossfit, curves, geometry, inference, quality, ranking, scoring, stages, summaries
-from .roles import BLOCKS, H_VALUES, LONG_SQL, WIDE_SQL, customer_curves, queries_and_gallery, supplier_points, wide_cases
+from ..operators import clouds, contracts, crossfit, curves, geometry, inference, quality, ranking, scoring, shapes, stages, summaries, voxels
+from .roles import BLOCKS, H_VALUES, LONG_SQL, WIDE_SQL, customer_curves, queries_and_gallery, supplier_points, supplier_sizes, supplier_voxels, vector_grids, wide_cases
 
 DIGITS = 9
 ONE = ("sag", 4)  # the view of the single-view queries
@@ -376,6 +376,37 @@ def cloud_features(spark, sf_dir):
     return f.withColumn("f", F.transform("f", lambda v: F.round(v, 6)))
 
 
+def reoriented_grids(spark, sf_dir):
+    """Grids of any orientation in left, back and up axes."""
+    g = voxels.with_axes(vector_grids(spark, sf_dir))
+    new = voxels.reoriented_grids(g).select("case_id", *[F.col(f"n{a}") for a in "ijk"], *[F.round(f"m{w}{j}", 6).alias(f"m{w}{j}") for w in range(3) for j in range(3)], *[F.round(f"t{w}", 6).alias(f"t{w}") for w in range(3)])
+    return new.join(g.select("case_id", F.col("codes").alias("input_codes"), F.array_join(F.col("world").cast("array<string>"), "").alias("world")), "case_id")
+
+
+def reoriented_voxels(spark, sf_dir):
+    g = voxels.with_axes(vector_grids(spark, sf_dir))
+    return voxels.reoriented_voxels(supplier_voxels(spark, sf_dir), g)
+
+
+def resampled_voxels(spark, sf_dir):
+    """The boxes around each case's foreground in cubes of one unit."""
+    v = supplier_voxels(spark, sf_dir)
+    grids = v.select("case_id").distinct().select("case_id", *[F.lit(n).alias(f"n{a}") for a, n in zip("ijk", (51, 11, 97))])
+    return voxels.isotropic(v, voxels.boxes(v, grids), supplier_sizes(v))
+
+
+def shape_measures(spark, sf_dir):
+    v = supplier_voxels(spark, sf_dir, coarse=True)
+    m = shapes.measures(v, supplier_sizes(v))
+    return m.select("case_id", "n_voxels", *[F.round(c, 6).alias(c) for c in m.columns[2:]])
+
+
+def shape_diameters(spark, sf_dir):
+    v = supplier_voxels(spark, sf_dir, coarse=True)
+    d = shapes.diameters(v, supplier_sizes(v))
+    return d.select("case_id", *[F.round(c, 6).alias(c) for c in d.columns[1:]])
+
+
 def curve_areas(spark, sf_dir):
     a = curves.areas(customer_curves(spark, sf_dir), ["curve"])
     return a.select("curve", "n_vertices", F.round("area", 6).alias("area"))
@@ -400,7 +431,7 @@ QUERIES = [
     crossfit_selection_audit, crossfit_true_rank, tie_stage_summary, deviating_folds, rank_rates, cmc_curve, rank_distribution, mcnemar_table, bootstrap_intervals, poisson_intervals,
     per_query_auc, pooled_auc, spearman_rho, pca_scores, pose_summary, projection_summary, runtime_quartiles, metric_distribution, review_counts, outlier_crosstab, rank1_crosstab, tail_diagnostics, key_differences,
     broken_case_audit, broken_attach_audit, candidate_order, first_cases, selected_candidate, result_completeness, query_lookup, review_template, analysis_roles, configured_ranks, mean_auc_interval,
-    affine_axes, foreground_boxes, cloud_poses, cloud_extents, cloud_rasters, cloud_features, curve_areas, curve_points, curve_coefficients,
+    affine_axes, foreground_boxes, cloud_poses, cloud_extents, cloud_rasters, cloud_features, reoriented_grids, reoriented_voxels, resampled_voxels, shape_measures, shape_diameters, curve_areas, curve_points, curve_coefficients,
 ]
 
 

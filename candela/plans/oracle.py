@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .roles import CLOUD_SQL, CURVE_SQL, LONG_SQL, WIDE_SQL
+from ..operators.shapes import cube_triangles
+from .roles import CLOUD_SQL, COARSE_SQL, CURVE_SQL, LONG_SQL, SIZES_SQL, VOXEL_SQL, WIDE_SQL
 
 SCALED = LONG_SQL + """, scaled as (
   select p.person_id, g.view, g.h, g.i, min(g.x) as lo, max(g.x) as hi from (select distinct person_id from q) p join g on g.person_id <> p.person_id group by all
@@ -83,6 +84,14 @@ FOLLOWING = CURVE_SQL + """, f0 as (select *, coalesce(lead(x) over w, first(x)
   at_ as (select curve, total, k, k * total / 64 as pos from (select distinct curve, total from f3), range(64) t(k)),
   even as (select a.curve, a.k as seq, f.x + least(1, greatest(0, (a.pos - (f.till - f.d)) / f.d)) * (f.x1 - f.x) as x, f.y + least(1, greatest(0, (a.pos - (f.till - f.d)) / f.d)) * (f.y1 - f.y) as y from at_ a asof join f3 f on a.curve = f.curve and a.pos <= f.till)"""
 
+AXES = """g as (select vec_id as case_id, embedding[1:12]::double[] as e from embeddings where vec_id is not null and len(embedding) >= 12),
+  z as (select *, sqrt(e[1] ** 2 + e[4] ** 2 + e[7] ** 2) as s0, sqrt(e[2] ** 2 + e[5] ** 2 + e[8] ** 2) as s1, sqrt(e[3] ** 2 + e[6] ** 2 + e[9] ** 2) as s2 from g),
+  ways as (select *, row_number() over (partition by case_id order by abs(e[1 + 3 * w0]) / s0 + abs(e[2 + 3 * w1]) / s1 + abs(e[3 + 3 * w2]) / s2 desc, n) as r from z, (values (0, 0, 1, 2), (1, 0, 2, 1), (2, 1, 0, 2), (3, 1, 2, 0), (4, 2, 0, 1), (5, 2, 1, 0)) p(n, w0, w1, w2)),
+  best as (select *, [e[1 + 3 * w0] > 0, e[2 + 3 * w1] > 0, e[3 + 3 * w2] > 0] as up from ways where r = 1),
+  named as (select *, (case when up[1] then 'RAS' else 'LPI' end)[1 + w0] || (case when up[2] then 'RAS' else 'LPI' end)[1 + w1] || (case when up[3] then 'RAS' else 'LPI' end)[1 + w2] as input_codes,
+    list_position([w0, w1, w2], 0) - 1 as f0, list_position([w0, w1, w2], 1) - 1 as f1, list_position([w0, w1, w2], 2) - 1 as f2 from best),
+  axes as (select *, up[1 + f0] as turn0, up[1 + f1] as turn1, not up[1 + f2] as turn2 from named)"""
+
 SQL = {
     "case_contract_audit": f"with {WIDE_SQL} select count(*) as n_rows, sum((coalesce(trim(case_id), '') = '')::int)::bigint as blank_case_id, sum((coalesce(trim(person_id), '') = '')::int)::bigint as blank_person_id, count(case_id) - count(distinct case_id) as repeated_case_id, sum((flag not in (0, 1))::int)::bigint as bad_flag from wide",
     "feature_attach": f"with {WIDE_SQL} select case_id, person_id, dataset, n_events, sag_H4_avg, cor_H4_click from wide where dataset = 'institutional'",
@@ -178,6 +187,31 @@ SQL = {
     "cloud_extents": f"with {POSES} select case_id, view, n_points, round(umin, 6) as umin, round(vmax, 6) as vmax, width, height, case when least(width, height) < 12 then 'raster_too_small' else '' end as error from bounds",
     "cloud_rasters": f"""with {POSES} select case_id, view, count(*) as n_cells, sum(c)::bigint as cols, sum(r)::bigint as rows from (select distinct case_id, view, greatest(0, least(round_even(u - umin, 0)::int, width - 1)) as c, greatest(0, least(round_even(vmax - v, 0)::int, height - 1)) as r
       from flat join bounds using (case_id, view) where least(width, height) >= 12) group by all""",
+    "reoriented_grids": f"""with {AXES} select case_id, [51, 11, 97][1 + f0]::int as ni, [51, 11, 97][1 + f1]::int as nj, [51, 11, 97][1 + f2]::int as nk,
+      {", ".join(f"round(case when turn{a} then -1 else 1 end * e[1 + 3 * {w} + f{a}], 6) as m{w}{a}" for w in range(3) for a in range(3))},
+      {", ".join(f"round(e[10 + {w}] + " + " + ".join(f"case when turn{a} then e[1 + 3 * {w} + f{a}] * ([51, 11, 97][1 + f{a}] - 1) else 0 end" for a in range(3)) + f", 6) as t{w}" for w in range(3))},
+      input_codes, w0 || '' || w1 || '' || w2 as world from axes""",
+    "reoriented_voxels": f"""with {AXES}, {VOXEL_SQL} select case_id, {", ".join(f"case when turn{a} then [51, 11, 97][1 + f{a}] - 1 - [i, j, k][1 + f{a}] else [i, j, k][1 + f{a}] end::int as {x}" for a, x in enumerate("ijk"))} from voxels join axes using (case_id)""",
+    "resampled_voxels": f"""with {VOXEL_SQL}, {SIZES_SQL}, b as (select case_id, {", ".join(f"greatest(min({x}) - 1, 0) as lo_{x}, least(max({x}) + 2, {n}) - greatest(min({x}) - 1, 0) as n_{x}" for x, n in zip("ijk", (51, 11, 97)))} from voxels group by case_id),
+      o as (select *, {", ".join(f"round_even(n_{x} * s{x} / 1.0::double, 0)::int as out_{x}" for x in "ijk")} from b join sizes using (case_id)),
+      s as (select *, {", ".join(f"case when out_{x} > 1 then (n_{x} - 1)::double / (out_{x} - 1) else 1.0::double end as step_{x}" for x in "ijk")} from o),
+      t as (select case_id, {", ".join(f"list_filter(range(0, out_{x}), lambda t: floor(t * step_{x} + 0.5::double) = {x} - lo_{x}) as to_{x}" for x in "ijk")} from voxels join s using (case_id)),
+      ti as (select case_id, unnest(to_i)::int as i, to_j, to_k from t), tj as (select case_id, i, unnest(to_j)::int as j, to_k from ti) select case_id, i, j, unnest(to_k)::int as k from tj""",
+    "shape_measures": f"""with {COARSE_SQL}, {SIZES_SQL}, tri(code, x, y, z, height) as (values {", ".join(str((c, *(repr(v) for v in xs))).replace("'", "") for c, *xs in cube_triangles())}),
+      cubes as (select case_id, i - a as i, j - b as j, k - c as k, bit_or((1 << (a + 2 * b + 4 * c))::int) as code from voxels, range(2) p(a), range(2) q(b), range(2) r(c) group by all),
+      kinds as (select case_id, code, count(*) as n, sum(k) as k_sum from cubes where code < 255 group by all),
+      mesh as (select case_id, sum(z / 2 * si * sj * (n * height + k_sum) * sk) as mv, sum(n * sqrt((x * sj * sk) ** 2 + (y * si * sk) ** 2 + (z * si * sj) ** 2) / 2) as sa from kinds join tri using (code) join sizes using (case_id) group by case_id),
+      m as (select case_id, count(*) as n_voxels, count(*) * any_value(si * sj * sk) as vv, covar_pop(i * si, i * si) as xx, covar_pop(j * sj, j * sj) as yy, covar_pop(k * sk, k * sk) as zz, covar_pop(i * si, j * sj) as xy, covar_pop(i * si, k * sk) as xz, covar_pop(j * sj, k * sk) as yz from voxels join sizes using (case_id) group by case_id),
+      q as (select *, (xx + yy + zz) / 3 as q from m), p as (select *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy ** 2 + xz ** 2 + yz ** 2)) / 6) as p from q),
+      d as (select *, ((xx - q) * ((yy - q) * (zz - q) - yz ** 2) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p ** 3) as det from p),
+      t as (select *, case when p > 0 then acos(greatest(-1, least(1, det))) / 3 else 0 end as t from d),
+      e as (select *, q + 2 * p * cos(t) as e1, greatest(q + 2 * p * cos(t + 2 * pi() / 3), 0) as e3 from t), f as (select *, greatest(3 * q - e1 - (q + 2 * p * cos(t + 2 * pi() / 3)), 0) as e2 from e)
+      select case_id, n_voxels, round(case when e1 > 0 then sqrt(e2 / e1) end, 6) as "Elongation", round(case when e1 > 0 then sqrt(e3 / e1) end, 6) as "Flatness", round(4 * sqrt(e3), 6) as "LeastAxisLength", round(4 * sqrt(e1), 6) as "MajorAxisLength", round(mv, 6) as "MeshVolume",
+        round(4 * sqrt(e2), 6) as "MinorAxisLength", round((36 * pi() * mv ** 2) ** (1.0::double / 3) / sa, 6) as "Sphericity", round(sa, 6) as "SurfaceArea", round(sa / mv, 6) as "SurfaceVolumeRatio", round(vv, 6) as "VoxelVolume" from f join mesh using (case_id)""",
+    "shape_diameters": f"""with {COARSE_SQL}, {SIZES_SQL}, sides as (select case_id, 2 * i + di as i, 2 * j + dj as j, 2 * k + dk as k from voxels, (values (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) d(di, dj, dk)),
+      v as (select case_id, i, j, k, i * si / 2 as x, j * sj / 2 as y, k * sk / 2 as z from (select case_id, i, j, k from sides group by all having count(*) = 1) join sizes using (case_id)),
+      d as (select a.case_id, a.i = b.i as ei, a.j = b.j as ej, a.k = b.k as ek, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 as d from v a join v b on a.case_id = b.case_id)
+      select case_id, round(sqrt(max(d)), 6) as in_space, round(sqrt(max(d) filter (ei)), 6) as across_i, round(sqrt(max(d) filter (ej)), 6) as across_j, round(sqrt(max(d) filter (ek)), 6) as across_k from d group by case_id""",
     "curve_areas": f"with {FOLLOWING} select curve, count(*) as n_vertices, round(sum(x * y1 - x1 * y) / 2, 6) as area from f0 group by curve",
     "curve_points": f"with {FOLLOWING} select curve, seq, round(x, 6) as x, round(y, 6) as y from even",
     "curve_coefficients": f"""with {FOLLOWING}, e1 as (select *, coalesce(lead(x) over w, first(x) over w) - x as dx, coalesce(lead(y) over w, first(y) over w) - y as dy from even window w as (partition by curve order by seq)),

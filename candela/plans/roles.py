@@ -78,6 +78,27 @@ def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.concat(F.lit("S"), "l_suppkey").alias("case_id"), (F.col("l_quantity") + 0.25 * z).alias("x"), (300 * F.col("l_discount") + 0.125 * z).alias("y"), z.alias("z"))
 
 
+def supplier_voxels(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
+    """Foreground voxels: a supplier is a case, its lines are voxels of a grid of 51 x 11 x 97, or
+    coarse of 11 x 11 x 11."""
+    i, k = (F.floor(F.col("l_quantity") / 5), 11) if coarse else (F.col("l_quantity"), 97)
+    lines = table(spark, sf_dir, "lineitem").where("l_suppkey is not null")
+    return lines.select(F.col("l_suppkey").alias("case_id"), i.cast("int").alias("i"), (F.col("l_discount") * 100).cast("int").alias("j"), (F.col("l_partkey") % k).cast("int").alias("k")).distinct()
+
+
+def vector_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids: the first nine components of a vector are the axes, the next three the origin."""
+    v = table(spark, sf_dir, "embeddings").where("vec_id is not null and size(embedding) >= 12")
+    e = lambda n: F.col("embedding")[n].cast("double")
+    return v.select(F.col("vec_id").alias("case_id"), *[F.lit(n).alias(f"n{a}") for a, n in zip("ijk", (51, 11, 97))], *[e(3 * w + j).alias(f"m{w}{j}") for w in range(3) for j in range(3)], *[e(9 + w).alias(f"t{w}") for w in range(3)])
+
+
+def supplier_sizes(voxels: DataFrame) -> DataFrame:
+    """Sizes of voxels that differ by case."""
+    key = F.col("case_id")
+    return voxels.select("case_id").distinct().select("case_id", (0.75 + 0.25 * (key % 4)).alias("si"), (0.5 + 0.5 * (key % 3)).alias("sj"), (0.8 + 0.4 * (key % 5)).alias("sk"))
+
+
 def customer_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed curves: a customer's orders in order of their keys."""
     from pyspark.sql import Window
@@ -89,3 +110,6 @@ def customer_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLOUD_SQL = """points as (select 'S' || l_suppkey as case_id, l_quantity + 0.25::double * (l_partkey % 97) as x, 300::double * l_discount + 0.125::double * (l_partkey % 97) as y, (l_partkey % 97)::double as z from lineitem where l_suppkey is not null)"""
 CURVE_SQL = """curves as (select o_custkey as curve, row_number() over (partition by o_custkey order by o_orderkey) - 1 as seq, o_totalprice / 1000 as x, (o_orderkey % 101)::double as y from orders where o_custkey is not null and o_orderkey is not null)"""
+VOXEL_SQL = """voxels as (select distinct l_suppkey as case_id, trunc(l_quantity)::int as i, trunc(l_discount * 100)::int as j, (l_partkey % 97)::int as k from lineitem where l_suppkey is not null)"""
+COARSE_SQL = """voxels as (select distinct l_suppkey as case_id, floor(l_quantity / 5)::int as i, trunc(l_discount * 100)::int as j, (l_partkey % 11)::int as k from lineitem where l_suppkey is not null)"""
+SIZES_SQL = """sizes as (select distinct case_id, 0.75::double + 0.25::double * (case_id % 4) as si, 0.5::double + 0.5::double * (case_id % 3) as sj, 0.8::double + 0.4::double * (case_id % 5) as sk from voxels)"""
