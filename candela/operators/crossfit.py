@@ -9,14 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scoring import extremes, scaler, sound, weights
+from .scoring import distance, extremes, modes_table, scaler, sound, weights
 
 CONFIG = ("mode", "mode_order", "n_views", "h")
 
 
 def _side_by_side(df: DataFrame, keys, views, value, prefix: str) -> DataFrame:
-    """One row a key with a column for each view."""
-    return df.groupBy(*keys).agg(*[F.first(F.when(F.col("view") == v, value), ignorenulls=True).alias(f"{prefix}_{v}") for v in views])
+    """One row a key with a column for each view; a view that is missing or repeated fails by name."""
+
+    def one(v):
+        here = F.when(F.col("view") == v, value)
+        fail = lambda what: F.raise_error(F.concat(F.lit(f"view {v} {what}: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]))).cast("array<double>")
+        return F.when(F.count(here) > 1, fail("is repeated")).otherwise(F.coalesce(F.first(here, ignorenulls=True), fail("is missing"))).alias(f"{prefix}_{v}")
+
+    return df.groupBy(*keys).agg(*[one(v) for v in views])
 
 
 @dataclass(frozen=True)
@@ -162,6 +168,67 @@ def fixed_configurations(queries: DataFrame, gallery: DataFrame, modes: DataFram
     return _by_mode(_counts(asked, _held(gallery, plan.views), plan, keys, _cases(queries), _cases(gallery)), plan, keys)
 
 
+def true_rank_table(queries: DataFrame, gallery: DataFrame, view: str, digits: int | None = None) -> DataFrame:
+    """One row a query of one view and h: its rank from the blocks' counters, and the case and score
+    of its genuine reference from a join by person. No other score leaves a block."""
+    ranks = fixed_configurations(queries, gallery, modes_table(queries.sparkSession, (view,)), digits)
+    fit = scaler(queries.select("person_id").distinct(), gallery)
+    asked = queries.join(fit, ["person_id", "view", "h"]).select(F.col("case_id").alias("query_case"), F.col("person_id"), F.col("f").alias("q"), weights(F.col("lo"), F.col("hi")).alias("w"))
+    d = distance(F.col("q"), F.col("r"), F.col("w"))
+    own = asked.join(gallery.select("person_id", F.col("case_id").alias("matched_case"), F.col("f").alias("r")), "person_id").withColumn("d", d if digits is None else F.round(d, digits))
+    score = 1.0 / (1.0 + F.col("d"))
+    own = own.select("query_case", "matched_case", (score if digits is None else F.round(score, digits)).alias("matched_score"))
+    out = ranks.join(own, "query_case", "left")
+    return out.select("query_case", "query_person", "true_rank", F.coalesce("n_ties", F.lit(0)).alias("n_ties"), F.coalesce("matched_case", F.lit("")).alias("matched_case"), "matched_score", F.col("true_rank").isNotNull().alias("has_match_in_database"), "n_gallery")
+
+
+def _best(plan: _Plan, k: int):
+    """Of each query the k best of a block, those that tie with the last by db_case, and with the
+    first row of each score how many of the block have it."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("db_case", kind="stable").reset_index(drop=True)
+        row, column, scores, counts = [], [], [], []
+        if len(asked) and len(held):
+            for here, _, s, _ in plan.blocks(asked, held):
+                for i, own in enumerate(s, here.start):
+                    last = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
+                    above, level = np.flatnonzero(own > last), np.flatnonzero(own == last)
+                    at = np.concatenate([above[np.argsort(-own[above], kind="stable")], level[:k]])
+                    new = np.flatnonzero(np.append(True, own[at][1:] != own[at][:-1]))
+                    n = np.zeros(len(at), np.int64)
+                    n[new] = np.diff(np.append(new, len(at)))
+                    if len(level):
+                        n[len(above)] = len(level)
+                    row.append(np.full(len(at), i))
+                    column.append(at)
+                    scores.append(own[at])
+                    counts.append(n)
+        row, column, scores, counts = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((row, int), (column, int), (scores, float), (counts, np.int64)))
+        out = asked[["query_case", "query_person"]].iloc[row].reset_index(drop=True)
+        out[["db_case", "db_person"]] = held[["db_case", "db_person"]].iloc[column].reset_index(drop=True)
+        return out.assign(score=scores, n=counts)
+
+    return run
+
+
+def top_k(queries: DataFrame, gallery: DataFrame, view: str, k: int = 10, digits: int | None = None) -> DataFrame:
+    """ranking.top_k of one view and h, merged from the k best of each block. A score that is listed
+    is counted in full: a block that leaves it out has k better ones."""
+    spark = queries.sparkSession
+    plan = _Plan.of(modes_table(spark, (view,)), digits)
+    fit = _side_by_side(scaler(queries.select("person_id").distinct(), gallery), ("person_id", "h"), plan.views, weights(F.col("lo"), F.col("hi")), "w")
+    asked = _asked(queries, plan.views).join(fit.withColumnRenamed("person_id", "query_person"), ["query_person", "h"])
+    held = _held(gallery, plan.views)
+    schema = "query_case string, query_person string, db_case string, db_person string, score double, n long"
+    rows = _dealt(_with_genuine(asked, held, plan.views), held, _cases(queries), _cases(gallery)).applyInPandas(_best(plan, k), schema)
+    same = rows.groupBy("query_case", "query_person", "score").agg(F.sum("n").alias("same"), F.slice(F.array_sort(F.collect_list(F.struct("db_case", "db_person"))), 1, k).alias("cases"))
+    before = Window.partitionBy("query_case").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    listed = same.withColumn("better", F.coalesce(F.sum("same").over(before), F.lit(0))).where(F.col("better") < k)
+    out = listed.select("query_case", "query_person", "score", "better", "same", F.posexplode("cases").alias("at", "x")).withColumn("display_order", (F.col("better") + F.col("at") + 1).cast("int")).where(F.col("display_order") <= k)
+    return out.select("query_case", "query_person", "display_order", "x.db_case", "x.db_person", "score", (1 + F.col("better") + 0.5 * (F.col("same") - 1)).alias("midrank"), (F.col("same") - 1).alias("n_ties"), (F.col("query_person") == F.col("x.db_person")).alias("correct"))
+
+
 def summarize_configurations(ranks: DataFrame, digits: int = 12) -> DataFrame:
     """By configuration: counts and rates at 1, 5 and 10, median and mean rank, mean log rank."""
     hit = lambda k: F.count_if(F.coalesce(F.col("true_rank") <= k, F.lit(False)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.special import mcnemar_exact, t_two_sided
 from .contracts import require_same_keys
 from .ranking import midranks_within
+from .stages import with_input_order
 
 
 def _hit(k) -> F.Column:
@@ -82,6 +83,75 @@ def bootstrap_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 10_000, s
     return spark.range(0, -(-replicates // block), 1, max(1, min(64, -(-replicates // block)))).mapInPandas(run, "replicate long, method string, k long, rate double")
 
 
+def _accepted(stream: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which 32-bit numbers of a stream give an index below n without bias, and those indices: the
+    high half of number * n, unless its low half falls below 2**32 mod n."""
+    product = stream.astype(np.uint64) * np.uint64(n)
+    fair = (product & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % n)
+    return fair, (product >> np.uint64(32)).astype(np.int64)
+
+
+def _stream(seed: int, lo: int, hi: int) -> np.ndarray:
+    """The 32-bit numbers lo to hi of a seeded generator: each of its 64-bit numbers gives its low
+    half, then its high half. The generator jumps to the place."""
+    bits = np.random.PCG64(seed).advance(lo // 2)
+    halves = bits.random_raw(-(-hi // 2) - lo // 2).astype("<u8").view("<u4")
+    return halves[lo % 2 : lo % 2 + hi - lo]
+
+
+def seeded_draws(spark, n: int, replicates: int, seed: int = 42, block: int = 1 << 18) -> DataFrame:
+    """(replicate, i, times): how often each replicate draws index i of n, equal to rows of
+    numpy.random.default_rng(seed).integers(0, n, (replicates, n)) whatever the blocks.
+
+    Blocks of the stream are tasks. A first pass counts what each rejects, which tells where the
+    next one's draws begin; the second makes them."""
+    if not 1 < n < 1 << 32:
+        raise ValueError("draws are from 2 to 2**32 - 1 things")
+    total = replicates * n
+
+    def rejected(frames):
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "out": [int((~_accepted(_stream(seed, b * block, (b + 1) * block), n)[0]).sum()) for b in frame["id"]]})
+
+    # blocks until all draws are made; rejections are rare, so one more block nearly always does
+    starts, made, b = [], 0, 0
+    while made < total:
+        more = max(1, -(-(total - made) // block))
+        counts = {r["id"]: r["out"] for r in spark.range(b, b + more, 1, min(more, 64)).mapInPandas(rejected, "id long, out long").collect()}
+        for i in range(b, b + more):
+            starts.append((i, made))
+            made += block - counts[i]
+        b += more
+
+    def draws(frames):
+        for frame in frames:
+            for i, start in zip(frame["id"], frame["start"]):
+                fair, index = _accepted(_stream(seed, i * block, (i + 1) * block), n)
+                index = index[fair][: max(0, total - start)]
+                key, times = np.unique((start + np.arange(len(index))) // n * n + index, return_counts=True)
+                yield pd.DataFrame({"replicate": key // n, "i": key % n, "times": times})
+
+    tasks = spark.createDataFrame(starts, "id long, start long").repartition(min(len(starts), 64), "id")
+    return tasks.mapInPandas(draws, "replicate long, i long, times long")
+
+
+def seeded_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 10_000, seed: int = 42, methods=("true_rank",), order: str = "query_person") -> DataFrame:
+    """(replicate, method, k, rate) of the very resamples that a seeded index matrix over the people
+    in `order` gives, the same for every method. Draws meet people by number: people x replicates
+    rows, so bootstrap_rates, of the same distribution, is for large cohorts."""
+    spark, n = ranks.sparkSession, ranks.count()
+    hit = [F.coalesce(F.col(m) <= k, F.lit(False)).cast("int").alias(f"h{i}_{j}") for i, m in enumerate(methods) for j, k in enumerate(ks)]
+    people = with_input_order(ranks, order).select(F.col("ordinal").cast("long").alias("i"), *hit)
+    sums = seeded_draws(spark, n, replicates, seed).join(people, "i").groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(f"h{i}_{j}")).alias(f"h{i}_{j}") for i in range(len(methods)) for j in range(len(ks))])
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("k"), (F.col(f"h{i}_{j}") / n).alias("rate")) for i, m in enumerate(methods) for j, k in enumerate(ks)])
+    return sums.select("replicate", F.explode(rows).alias("x")).select("replicate", "x.*")
+
+
+def cmc_bands(rates: DataFrame, curve: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(k, rate, lo, hi): a curve with the percentile band of its resamples at each k."""
+    return curve.select("k", "rate").join(percentile_interval(rates, by=("k",), alpha=alpha), "k")
+
+
 def poisson_rates_of(people: DataFrame, replicates: int) -> DataFrame:
     """Each person in each replicate with how often it is drawn."""
     edges, total = [], 0.0

@@ -80,11 +80,13 @@ def pair_completeness(df: DataFrame) -> DataFrame:
     return df.groupBy("person_id").pivot("pre_0_post_1", [0, 1]).count().na.fill(0).withColumnsRenamed({"0": "n_pre", "1": "n_post"})
 
 
-def cohort_roles(df: DataFrame, policy: str, institutional: str = "institutional", ordinal: str = "case_id") -> DataFrame:
+def cohort_roles(df: DataFrame, policy: str, institutional: str = "institutional", ordinal: str | None = None) -> DataFrame:
     """All rows with their role under a policy: query and true_reference are the scans of
     eligible people that have both, distractor the eligible scans of the other dataset (the
-    first by `ordinal` a person, where the policy says so), excluded the rest."""
+    first by `ordinal` a person, where the policy says so), excluded the rest. Without `ordinal` the
+    column ordinal gives the order of input (stages.with_input_order), or else case_id."""
     column, one = POLICIES[policy]
+    ordinal = ordinal or _order_of(df)
     eligible, own = F.col(column), F.col("dataset") == institutional
     people = df.where(eligible & own).groupBy("person_id").agg(F.min("pre_0_post_1").alias("a"), F.max("pre_0_post_1").alias("b")).where("a = 0 and b = 1").select("person_id", F.lit(True).alias("paired"))
     out = df.join(people, "person_id", "left")
@@ -98,6 +100,21 @@ def cohort_roles(df: DataFrame, policy: str, institutional: str = "institutional
     return out.withColumns({"role": role, "cohort_policy": F.lit(policy)}).drop("paired", "_first")
 
 
+def genuine_errors(audit: DataFrame) -> DataFrame:
+    """(cohort_policy, person_id, n_query, n_genuine) of the people of a cohort that haven't one query
+    with one genuine reference: none, where the cohort can be locked."""
+    by = audit.where("role in ('query', 'true_reference')").groupBy("cohort_policy", "person_id")
+    return by.agg(F.count_if(F.col("role") == "query").alias("n_query"), F.count_if(F.col("role") == "true_reference").alias("n_genuine")).where("n_query <> 1 or n_genuine <> 1")
+
+
+def locked(audit: DataFrame) -> DataFrame:
+    """The audit, only if every query has one genuine reference."""
+    bad = genuine_errors(audit).limit(3).collect()
+    if bad:
+        raise ValueError(f"queries without one genuine reference: {[r['person_id'] for r in bad]}")
+    return audit
+
+
 def cohort_summary(audit: DataFrame) -> DataFrame:
     """Counts of a cohort, one row a policy."""
     of = lambda r: F.count_if(F.col("role") == r)
@@ -107,8 +124,13 @@ def cohort_summary(audit: DataFrame) -> DataFrame:
     )
 
 
-def first_scan(df: DataFrame, ordinal: str = "case_id") -> DataFrame:
-    """One row a person, the first by ordinal."""
+def _order_of(df: DataFrame) -> str:
+    return "ordinal" if "ordinal" in df.columns else "case_id"
+
+
+def first_scan(df: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """One row a person, the first by ordinal, as in cohort_roles."""
+    ordinal = ordinal or _order_of(df)
     first = df.groupBy("person_id").agg(F.min_by("case_id", ordinal).alias("case_id"))
     return df.join(first, ["person_id", "case_id"], "left_semi")
 

@@ -93,6 +93,13 @@ def meet(left: DataFrame, right: DataFrame, left_rows: int, right_rows: int, on=
     return x.join(y, ["_a", "_b", *on]).drop("_a", "_b")
 
 
+def views_audit(features: DataFrame, views=VIEWS) -> DataFrame:
+    """One row: the cases and h of features, and by view how many lack it or have it more than once;
+    all 0 where modes of these views can be ranked."""
+    by = features.groupBy("case_id", "h").agg(*[F.count_if(F.col("view") == v).alias(v) for v in views])
+    return by.agg(F.count("*").alias("n"), *[F.count_if(F.col(v) == 0).alias(f"n_without_{v}") for v in views], *[F.count_if(F.col(v) > 1).alias(f"n_repeated_{v}") for v in views])
+
+
 def view_scores(queries: DataFrame, gallery: DataFrame, fit: DataFrame | None = None, digits: int | None = None, spread: bool = True) -> DataFrame:
     """(query_case, query_person, db_case, db_person, view, h, distance, score, n_features) of
     every query with the whole gallery; score = 1 / (1 + distance).
@@ -114,11 +121,26 @@ def view_scores(queries: DataFrame, gallery: DataFrame, fit: DataFrame | None =
 
 def fused_scores(scores: DataFrame, modes: DataFrame, keys=("query_case", "query_person", "db_case", "db_person"), digits: int | None = None) -> DataFrame:
     """By mode and h: one view passes through; several average their scores, with the distance
-    that the average stands for and the features of all."""
-    g = scores.join(F.broadcast(modes), "view").groupBy(*keys, "mode", "mode_order", "n_views", "h")
-    out = g.agg(F.avg("score").alias("s"), F.min("score").alias("s1"), F.min("distance").alias("d1"), F.sum("n_features").alias("n_features"))
+    that the average stands for and the features of all. A pair needs every view of the modes,
+    once: a view that is missing or repeated fails by name, as a mean of fewer would rank."""
+    rows = modes.collect()  # a few rows
+    views = sorted({r["view"] for r in rows})
+    parts = sorted({(r["mode_order"], r["mode"], r["n_views"]) for r in rows})
+
+    def one(v, c):
+        here = F.when(F.col("view") == v, F.col(c))
+        fail = lambda what: F.raise_error(F.concat(F.lit(f"view {v} {what}: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]))).cast("double")
+        return F.when(F.count(here) > 1, fail("is repeated")).otherwise(F.coalesce(F.first(here, ignorenulls=True), fail("is missing"))).alias(f"{c}_{v}")
+
+    wide = scores.where(F.col("view").isin(views)).groupBy(*keys, "h").agg(*[one(v, c) for v in views for c in ("score", "distance", "n_features")])
+
+    def fuse(order, mode, n):
+        own = [r["view"] for r in rows if r["mode"] == mode]
+        add = lambda c: sum((F.col(f"{c}_{v}") for v in own[1:]), F.col(f"{c}_{own[0]}"))
+        mean = add("score") / n if digits is None else F.round(add("score") / n, digits + 3)  # three digits more: an average of rounded scores is no rounding tie there
+        return F.struct(F.lit(mode).alias("mode"), F.lit(order).alias("mode_order"), F.lit(n).alias("n_views"), (F.col(f"score_{own[0]}") if n == 1 else mean).alias("score"), F.col(f"distance_{own[0]}").alias("d1"), add("n_features").cast("long").alias("n_features"))
+
+    out = wide.select(*keys, "h", F.explode(F.array(*[fuse(*p) for p in parts])).alias("x")).select(*keys, "h", "x.*")
     single = F.col("n_views") == 1
-    score = F.when(single, F.col("s1")).otherwise(F.col("s") if digits is None else F.round("s", digits + 3))
-    out = out.withColumn("score", score)  # three digits more: an average of rounded scores is no rounding tie there
     equal = 1.0 / F.least(F.greatest(F.col("score"), F.lit(1e-12)), F.lit(1.0)) - 1.0
     return out.select(*keys, "mode", "mode_order", "n_views", "h", F.when(single, F.col("d1")).otherwise(equal if digits is None else F.round(equal, digits)).alias("distance"), F.when(single, "distance").otherwise("equivalent_distance").alias("distance_kind"), "score", "n_features")

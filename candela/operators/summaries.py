@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.parsing import finite, share_text
 
 
-def quartiles(df: DataFrame, value: str, by=(), unit: str = "s") -> DataFrame:
-    """n, q1, median, q3 by linear interpolation. NaN and null are left out."""
-    q = F.percentile(finite(F.col(value)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.count(finite(F.col(value))).alias("n"), q.alias("q")).select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.lit(unit).alias("unit"))
+def quartiles(df: DataFrame, value: str, by=(), unit: str = "s", status: str | None = None, done=("success",)) -> DataFrame:
+    """n, q1, median, q3 by linear interpolation. A value that is missing or not finite fails, and
+    where a status column is named, so does a row that isn't done."""
+    x = F.col(value).cast("double")
+    fail = lambda text: F.raise_error(F.lit(text)).cast("double")
+    sound = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), fail(f"{value} has values that are no numbers")).otherwise(x)
+    if status:
+        sound = F.when(~F.coalesce(F.lower(F.trim(status)).isin(*done), F.lit(False)), fail("some rows have no success")).otherwise(sound)
+    q = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    rows = df.select(*by, sound.alias("_x"))
+    return rows.groupBy(*by).agg(F.count("_x").alias("n"), q.alias("q")).select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.lit(unit).alias("unit"))
 
 
 def distribution(df: DataFrame, metrics: list[str], by=()) -> DataFrame:

@@ -19,9 +19,7 @@ def _modes(spark):
 
 
 def _one_view(spark, sf_dir):
-    q, g = queries_and_gallery(spark, sf_dir)
-    here = (F.col("view") == ONE[0]) & (F.col("h") == ONE[1])
-    return scoring.view_scores(q.where(here), g.where(here), digits=DIGITS)
+    return scoring.view_scores(*_one_view_cases(spark, sf_dir), digits=DIGITS)
 
 
 def case_contract_audit(spark, sf_dir):
@@ -44,12 +42,18 @@ def lopo_pair_scores(spark, sf_dir):
     return ranking.pair_scores(_one_view(spark, sf_dir))
 
 
+def _one_view_cases(spark, sf_dir):
+    q, g = queries_and_gallery(spark, sf_dir)
+    here = (F.col("view") == ONE[0]) & (F.col("h") == ONE[1])
+    return q.where(here), g.where(here)
+
+
 def lopo_true_rank(spark, sf_dir):
-    return ranking.true_rank_table(_one_view(spark, sf_dir))
+    return crossfit.true_rank_table(*_one_view_cases(spark, sf_dir), ONE[0], DIGITS)
 
 
 def lopo_topk(spark, sf_dir):
-    return ranking.top_k(_one_view(spark, sf_dir), 10)
+    return crossfit.top_k(*_one_view_cases(spark, sf_dir), ONE[0], 10, DIGITS)
 
 
 def view_scores(spark, sf_dir):
@@ -160,7 +164,7 @@ def deviating_folds(spark, sf_dir):
 
 
 def _ranks(spark, sf_dir):
-    return ranking.true_midranks(_one_view(spark, sf_dir))
+    return crossfit.fixed_configurations(*_one_view_cases(spark, sf_dir), scoring.modes_table(spark, ONE[:1]), DIGITS)
 
 
 def rank_rates(spark, sf_dir):
@@ -187,6 +191,20 @@ def bootstrap_intervals(spark, sf_dir):
     return inference.percentile_interval(s)
 
 
+def seeded_intervals(spark, sf_dir):
+    """The cumulative curve with the band of a seeded bootstrap."""
+    r, ks = _ranks(spark, sf_dir), tuple(range(1, 11))
+    return inference.cmc_bands(inference.seeded_rates(r, ks, replicates=2000, order="query_case"), inference.cmc_curve(r))
+
+
+def broken_views_audit(spark, sf_dir):
+    """Views that are missing or repeated, told apart."""
+    q, g = queries_and_gallery(spark, sf_dir)
+    f = q.unionByName(g)
+    broken = f.where(~((F.col("view") == "sag") & (F.length("case_id") % 7 == 0))).unionByName(f.where((F.col("view") == "axial") & F.col("case_id").contains("1")))
+    return scoring.views_audit(broken)
+
+
 def poisson_intervals(spark, sf_dir):
     return inference.percentile_interval(inference.poisson_rates(_ranks(spark, sf_dir)), by=("k",))
 
@@ -428,9 +446,9 @@ def curve_coefficients(spark, sf_dir):
 QUERIES = [
     case_contract_audit, feature_attach, lopo_scaler, lopo_pair_scores, lopo_true_rank, lopo_topk, view_scores, fused_scores, fixed_config_ranks, fixed_config_summary, rank1_matrix,
     hard_failure_flags, mahalanobis_flags, qc_counts, pair_completeness, cohort_audit, cohort_query, cohort_gallery, cohort_summary, paired_cases, first_scan,
-    crossfit_selection_audit, crossfit_true_rank, tie_stage_summary, deviating_folds, rank_rates, cmc_curve, rank_distribution, mcnemar_table, bootstrap_intervals, poisson_intervals,
+    crossfit_selection_audit, crossfit_true_rank, tie_stage_summary, deviating_folds, rank_rates, cmc_curve, rank_distribution, mcnemar_table, bootstrap_intervals, poisson_intervals, seeded_intervals,
     per_query_auc, pooled_auc, spearman_rho, pca_scores, pose_summary, projection_summary, runtime_quartiles, metric_distribution, review_counts, outlier_crosstab, rank1_crosstab, tail_diagnostics, key_differences,
-    broken_case_audit, broken_attach_audit, candidate_order, first_cases, selected_candidate, result_completeness, query_lookup, review_template, analysis_roles, configured_ranks, mean_auc_interval,
+    broken_case_audit, broken_attach_audit, broken_views_audit, candidate_order, first_cases, selected_candidate, result_completeness, query_lookup, review_template, analysis_roles, configured_ranks, mean_auc_interval,
     affine_axes, foreground_boxes, cloud_poses, cloud_extents, cloud_rasters, cloud_features, reoriented_grids, reoriented_voxels, resampled_voxels, shape_measures, shape_diameters, curve_areas, curve_points, curve_coefficients,
 ]
 

@@ -157,6 +157,10 @@ SQL = {
     "broken_case_audit": f"with {WIDE_SQL}, {BROKEN} select count(*) as n_rows, sum((coalesce(trim(case_id), '') = '')::int)::bigint as blank_case_id, sum((coalesce(trim(person_id), '') = '')::int)::bigint as blank_person_id, count(case_id) - count(distinct trim(case_id)) as repeated_case_id, sum((f not in (0, 1))::int)::bigint as bad_flag from broken",
     "broken_attach_audit": f"""with {WIDE_SQL} select count(*) as n_rows, sum((n_events % 17 = 0)::int)::bigint as missing, sum((n_events % 17 <> 0 and (n_events % 5 = 0 or n_events % 3 = 0))::int)::bigint as failed,
       sum((n_events % 17 <> 0 and n_events % 7 = 0)::int)::bigint as other_person, sum((n_events % 17 <> 0 and n_events % 11 = 0)::int)::bigint as other_flag, 0::bigint as repeated from wide""",
+    "broken_views_audit": f"""with {LONG_SQL}, f as (select distinct case_id, view, h from (select * from q union all select * from g)),
+      b as (select * from f where not (view = 'sag' and length(case_id) % 7 = 0) union all select * from f where view = 'axial' and contains(case_id, '1')),
+      c as (select case_id, h, {", ".join(f"sum((view = '{v}')::int) as {v}" for v in ("cor", "sag", "axial"))} from b group by all)
+      select count(*) as n, {", ".join(f"sum(({v} = 0)::int)::bigint as n_without_{v}" for v in ("cor", "sag", "axial"))}, {", ".join(f"sum(({v} > 1)::int)::bigint as n_repeated_{v}" for v in ("cor", "sag", "axial"))} from c""",
     "candidate_order": f"with {ONE} select query_case, (row_number() over (partition by query_case order by score desc, db_case))::int as display_order, db_case, score from one",
     "first_cases": f"with {WIDE_SQL} select * from (select row_number() over (order by case_id) - 1 as ordinal, case_id, person_id from wide) where ordinal < 25",
     "selected_candidate": """with c as (select l_orderkey as case_id, 'line' || l_linenumber || case when l_linenumber % 3 = 0 then '_Eq_1' else '' end as name, l_quantity <= 45 as solid, floor(l_quantity / 20)::bigint as v, floor(l_extendedprice / 40000)::double as m from lineitem),
