@@ -6,6 +6,7 @@ a time, so memory follows the longest document and not the batch.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,8 +64,14 @@ class SliceHash:
         self._levels, self._unit, self.step, self._n = {unit: codes}, unit, step, len(codes)
 
     @classmethod
-    def of_bytes(cls, data: np.ndarray) -> "SliceHash":
-        return cls(eights(data)[: max(0, len(data) - 7)], 8, 16)
+    def of_bytes(cls, data: np.ndarray, key: int) -> "SliceHash":
+        """Eight bytes at a time, mixed with a key: without it, nobody can write bytes whose
+        fingerprints meet."""
+        codes = eights(data)[: max(0, len(data) - 7)]
+        codes ^= U(key)
+        codes *= mix(np.array([key], np.uint64))[0] | U(1)
+        codes ^= codes >> U(32)
+        return cls(codes, 8, 16)
 
     def fixed(self, k: int) -> np.ndarray:
         """Fingerprint of every slice of length k; k is at least the unit."""
@@ -107,11 +114,22 @@ class SliceHash:
         return out
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, eight bytes at a time; long words by xxhash."""
+def new_key() -> int:
+    """A key for one run. Fingerprints that decide what is equal are made with one, which no
+    writer of texts knows; all tasks of the run share it, also when they run again."""
+    return secrets.randbits(63) | 1
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time; long words by xxhash. Without a key it is
+    the same in every run, for features and sketches."""
     size = end - start
     eight = eights(data)
-    out = mix(((eight[start] & _LOW[np.minimum(size, 8)]) ^ U(0x5851F42D4C957F2D)) + size.astype(np.uint64) * _ODD)
+    first = eight[start] & _LOW[np.minimum(size, 8)]
+    if key:
+        out = join(mix(first ^ U(key)), size.astype(np.uint64) * _ODD)
+    else:
+        out = mix((first ^ U(0x5851F42D4C957F2D)) + size.astype(np.uint64) * _ODD)
     todo, offset = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
     while len(todo):
         left = np.minimum(size[todo] - offset, 8)
@@ -119,7 +137,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         offset += 8
         todo = todo[size[todo] > offset]
     for i in np.flatnonzero(size > LONG_WORD).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), 0x27D4EB2F)
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), 0x27D4EB2F ^ key)
     return out
 
 
@@ -170,8 +188,8 @@ class Words:
         self.off = np.searchsorted(self.start, off)
         self.count = np.diff(self.off)
 
-    def hashes(self) -> np.ndarray:
-        return word_hashes(self.data, self.start, self.end)
+    def hashes(self, key: int = 0) -> np.ndarray:
+        return word_hashes(self.data, self.start, self.end, key)
 
     def doc_end(self) -> np.ndarray:
         """For each word, where its document's words end."""

@@ -15,7 +15,8 @@ Inside a hot passage a cell stays one distinct cell however many documents hold
 edges cells also span the neighbouring words, so they differ by document: the phrases of an
 anchor with very many cells are made distinct by an aggregate, one row of each goes to the
 automata, and a join on the phrase brings the owners back to the cells. A document's own words
-are fingerprinted again before any is removed.
+are fingerprinted again before any is removed. Fingerprints are made with a key that each run draws
+for itself, so no text can be written whose words pass for others.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SEPARATOR, SliceHash, Words, cells, covered, mix, text_chunks
+from .kernels import SEPARATOR, SliceHash, Words, cells, covered, mix, new_key, text_chunks
 from .stage import discard, id_and_text, stage
 
 GRAM = 7
@@ -63,13 +64,13 @@ def _own(words: Words, slices: SliceHash, parts: pa.StructArray, doc: np.ndarray
     return fits, start[fits], stop[fits]
 
 
-def _emit_cells(length: int):
+def _emit_cells(length: int, key: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in text_chunks(batch.column(1)):
                 words = Words(data, off)
-                slices = SliceHash(words.hashes())
+                slices = SliceHash(words.hashes(key))
                 at, grams, start, stop = _cells(words, slices, length)
                 doc = np.searchsorted(words.off, at, side="right") - 1
                 cell = slices.of(start, stop, _CELL_SEED)
@@ -81,22 +82,26 @@ def _emit_cells(length: int):
     return run
 
 
-def _emit_words(batches):
+def _emit_words(key: int):
     """The words of each document's wanted cells, joined by one space."""
-    for batch in batches:
-        for lo, hi, data, off in text_chunks(batch.column(0)):
-            words = Words(data, off)
-            part = batch.column(1).slice(lo, hi - lo)
-            doc = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
-            flat = part.flatten()
-            keep, start, stop = _own(words, SliceHash(words.hashes()), flat, doc)
-            flat = flat.take(pa.array(keep))
-            joined, w0, w1 = words.joined()
-            text = [joined[a:b] for a, b in zip(w0[start].tolist(), w1[stop - 1].tolist())]
-            yield pa.record_batch([flat.field(c) for c in ("anchor", "cell", "lo", "hi", "n_cells")] + [pa.array(text, pa.binary()).cast(pa.string())], names=["anchor", "cell", "lo", "hi", "n_cells", "words"])
-
-
-def _automaton(length: int):
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, off in text_chunks(batch.column(0)):
+                words = Words(data, off)
+                part = batch.column(1).slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
+                flat = part.flatten()
+                keep, start, stop = _own(words, SliceHash(words.hashes(key)), flat, doc)
+                flat = flat.take(pa.array(keep))
+                joined, w0, w1 = words.joined()
+                text = [joined[a:b] for a, b in zip(w0[start].tolist(), w1[stop - 1].tolist())]
+                yield pa.record_batch([flat.field(c) for c in ("anchor", "cell", "lo", "hi", "n_cells")] + [pa.array(text, pa.binary()).cast(pa.string())], names=["anchor", "cell", "lo", "hi", "n_cells", "words"])
+
+    return run
+
+
+def _automaton(length: int, key: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """One shard: its passages seen in two documents as an automaton, its cells through it.
 
@@ -117,7 +122,7 @@ def _automaton(length: int):
         windows = np.where(many, size - length + 1, 0)
         of = np.repeat(np.arange(len(size)), windows)
         at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        code = SliceHash(mix(flat.astype(np.uint64) + np.uint64(1))).fixed(length)[at]
+        code = SliceHash(mix(flat.astype(np.uint64) ^ np.uint64(key))).fixed(length)[at]
         order = np.argsort(code, kind="stable")
         code, of, at = code[order], of[order], at[order]
         new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
@@ -163,7 +168,7 @@ def _phrases(cells_: DataFrame, length: int) -> DataFrame:
     )
 
 
-def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int, key: int) -> DataFrame:
     """(doc_id, parts array<struct<start,n,cell,offsets,counts,owners>>): stretches of words of
     each document (start, n) that hold phrases; phrases start there at the offsets, as runs of
     counts, and their words start first in the document `owners`. The fingerprint `cell` tells
@@ -172,7 +177,7 @@ def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     docs: doc_id long not null, text string not null. Words are runs of anything but space
     and \\t to \\r."""
     here = docs.select("doc_id", "text")
-    found = here.mapInArrow(_emit_cells(length), "anchor long, cell long, doc_id long, start int, n int")
+    found = here.mapInArrow(_emit_cells(length, key), "anchor long, cell long, doc_id long, start int, n int")
     recurring = stage(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "phrase-anchors")  # staged, so that a hot anchor's rows can be split
     cells_ = stage(found.join(recurring, "anchor"), "phrase-cells")
     discard(recurring)
@@ -183,7 +188,7 @@ def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
         F.struct("anchor", "cell", F.col("least.start").alias("start"), F.col("least.n").alias("n"), F.col("least.doc_id").alias("lo"), "hi", "n_cells").alias("part"),
     )
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
-    live = stage(here.join(wanted, "doc_id").select("text", "parts").mapInArrow(_emit_words, "anchor long, cell long, lo long, hi long, n_cells long, words string"), "phrase-words")
+    live = stage(here.join(wanted, "doc_id").select("text", "parts").mapInArrow(_emit_words(key), "anchor long, cell long, lo long, hi long, n_cells long, words string"), "phrase-words")
     discard(kinds)
     hot = _phrases(live.where(F.col("n_cells") > HOT_ANCHOR_CELLS), length)
     # minima and maxima combine before the shuffle: a phrase of any number of cells is a few rows
@@ -194,7 +199,7 @@ def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     no = F.lit(0).cast("long")  # not null: pandas would make the shard's keys floats
     once = distinct.select(no.alias("anchor"), no.alias("cell"), F.lit(2).cast("long").alias("n_cells"), "lo", "hi", F.lit(0).alias("base"), F.col("phrase").alias("words"), F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard"), "phrase")
     runs = "offsets array<int>, counts array<int>, owners array<long>"
-    matched = stage(cool.unionByName(once).groupBy("shard").applyInPandas(_automaton(length), f"anchor long, cell long, {runs}, phrase string"), "phrase-matched")
+    matched = stage(cool.unionByName(once).groupBy("shard").applyInPandas(_automaton(length, key), f"anchor long, cell long, {runs}, phrase string"), "phrase-matched")
     owners = matched.where("phrase is not null").select("phrase", F.col("owners")[0].alias("owner"))
     hot = hot.join(owners, "phrase").where("owner < hi").select("anchor", "cell", F.array("base").alias("offsets"), F.array(F.lit(1)).alias("counts"), F.array("owner").alias("owners"))
     located = matched.where("phrase is null").drop("phrase").unionByName(stage(hot, "phrase-located"))
@@ -203,11 +208,11 @@ def find_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "cell", "offsets", "counts", "owners")).alias("parts"))
 
 
-def _gone(words: Words, parts: pa.Array, ids: np.ndarray, length: int) -> np.ndarray:
+def _gone(words: Words, parts: pa.Array, ids: np.ndarray, length: int, key: int) -> np.ndarray:
     """Mask of the words of a chunk that are removed; ids: doc_id of each document."""
     sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
     doc, flat = np.repeat(np.arange(len(parts)), sizes), parts.flatten()
-    keep, start, _ = _own(words, SliceHash(words.hashes()), flat, doc)
+    keep, start, _ = _own(words, SliceHash(words.hashes(key)), flat, doc)
     flat, doc = flat.take(pa.array(keep)), doc[keep]
     lists = [flat.field(c) for c in ("offsets", "counts", "owners")]
     each = np.repeat(np.arange(len(keep)), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
@@ -216,13 +221,13 @@ def _gone(words: Words, parts: pa.Array, ids: np.ndarray, length: int) -> np.nda
     return covered((start[each] + offset)[earlier], count[earlier], length, len(words.start))
 
 
-def _finish(length: int, digest: bool):
+def _finish(length: int, digest: bool, key: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in text_chunks(batch.column(1)):
                 words = Words(data, off)
-                keep = ~_gone(words, batch.column(2).slice(lo, hi - lo), ids[lo:hi], length)
+                keep = ~_gone(words, batch.column(2).slice(lo, hi - lo), ids[lo:hi], length, key)
                 size = words.end - words.start
                 # the kept words with one space after each
                 inside = np.repeat(keep, size)
@@ -243,10 +248,10 @@ def _finish(length: int, digest: bool):
     return run
 
 
-def _with_parts(docs: DataFrame, length: int) -> DataFrame:
+def _with_parts(docs: DataFrame, length: int, key: int) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"a phrase has at least {GRAM} words")
-    return docs.join(find_repeats(docs, length), "doc_id", "left").select("doc_id", "text", "parts")
+    return docs.join(find_repeats(docs, length, key), "doc_id", "left").select("doc_id", "text", "parts")
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,9 +261,11 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     Null text counts as empty; rows without an id take no part; rows that share an id each
     give a row of their own words, and none of them counts as earlier than another; other
     columns are ignored."""
-    return _with_parts(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, False), "doc_id long, text string")
+    key = new_key()
+    return _with_parts(id_and_text(docs, id_col, text_col), length, key).mapInArrow(_finish(length, False, key), "doc_id long, text string")
 
 
 def repeat_digest(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of what remove_repeats keeps."""
-    return _with_parts(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    key = new_key()
+    return _with_parts(id_and_text(docs, id_col, text_col), length, key).mapInArrow(_finish(length, True, key), "doc_id long, n_words long, n_removed long, kept_sha256 string")

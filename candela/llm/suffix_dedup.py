@@ -14,7 +14,8 @@ positions are ranked, about one byte in thirty.
    one of each kind gives blocks of strings; where what a block's strings share recurs, they
    are ranked one by one.
 
-Ranks come from sums grouped before the shuffle, so a passage in a third of all
+Fingerprints are made with a key that each run draws for itself, so no bytes can be written that
+pass for others. Ranks come from sums grouped before the shuffle, so a passage in a third of all
 documents is one group of a few partial rows.
 """
 
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SliceHash, cells, covered, mix, text_chunks
+from .kernels import SliceHash, cells, covered, mix, new_key, text_chunks
 from .stage import discard, id_and_text, stage
 
 GRAM = 16
@@ -51,8 +52,8 @@ def _windows(length: int) -> tuple[int, list[int]]:
     return w, sizes
 
 
-def _cells_of(data: np.ndarray, off: np.ndarray, length: int):
-    rolling = SliceHash.of_bytes(data)
+def _cells_of(data: np.ndarray, off: np.ndarray, length: int, key: int):
+    rolling = SliceHash.of_bytes(data, key)
     w, sizes = _windows(length)
     k = min(GRAM, length - w + 1)
     grams = np.zeros(len(data), np.uint64)
@@ -64,12 +65,12 @@ def _cells_of(data: np.ndarray, off: np.ndarray, length: int):
     return rolling, sizes, at, first, last + length
 
 
-def _emit_ranks(length: int):
+def _emit_ranks(length: int, key: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in text_chunks(batch.column(1)):
-                rolling, sizes, at, _, _ = _cells_of(data, off, length)
+                rolling, sizes, at, _, _ = _cells_of(data, off, length, key)
                 doc = np.searchsorted(off, at, side="right") - 1
                 yield pa.record_batch([pa.array(rolling.of(at, at + sizes[0]).view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((at - off[doc]).astype(np.int32))], names=["rank", "doc_id", "pos"])
 
@@ -84,12 +85,12 @@ def _wanted_mask(column: pa.Array, off: np.ndarray, n: int) -> np.ndarray:
     return mask
 
 
-def _emit_cells(length: int):
+def _emit_cells(length: int, key: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in text_chunks(batch.column(1)):
-                rolling, sizes, at, start, stop = _cells_of(data, off, length)
+                rolling, sizes, at, start, stop = _cells_of(data, off, length, key)
                 keep = _wanted_mask(batch.column(2).slice(lo, hi - lo), off, len(data))[at]
                 at, start, stop = at[keep], start[keep], stop[keep]
                 doc = np.searchsorted(off, at, side="right") - 1
@@ -112,7 +113,7 @@ def _same(rolling: SliceHash, off: np.ndarray, doc: np.ndarray, start: np.ndarra
     return fits[rolling.of(begin, begin + count[fits] - 1 + length, _CELL_SEED).view(np.int64) == name[fits]]
 
 
-def _emit_strings(length: int):
+def _emit_strings(length: int, key: int):
     """The strings of cells in blocks counted back from the anchor: the fingerprint of what
     all strings of a whole block share, and those of the strings."""
     block = min(BLOCK, length)
@@ -121,7 +122,7 @@ def _emit_strings(length: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in text_chunks(batch.column(1)):
-                rolling = SliceHash.of_bytes(data)
+                rolling = SliceHash.of_bytes(data, key)
                 part = batch.column(2).slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
                 flat = part.flatten()
@@ -143,7 +144,7 @@ def _emit_strings(length: int):
     return run
 
 
-def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int, key: int) -> DataFrame:
     """(doc_id, runs array<struct<start,count,name,whole>>): where strings of `length` bytes start
     that also start anywhere else, as runs of starts; the fingerprint `name`, of the whole
     run or of the single string, tells whether a row has the bytes meant. Documents without
@@ -152,12 +153,12 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     docs: doc_id long not null, text string not null."""
     here = docs.select("doc_id", "text")
     _, sizes = _windows(length)
-    positions = here.mapInArrow(_emit_ranks(length), "rank long, doc_id long, pos int")
+    positions = here.mapInArrow(_emit_ranks(length, key), "rank long, doc_id long, pos int")
     repeated = stage(positions.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "suffix-prefixes")  # staged, so that a hot rank's rows can be split
     candidates = stage(positions.join(repeated, "rank").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted")), "suffix-positions")
     names = [f"name{i}" for i in range(len(sizes) - 1)]
     schema = "rank long, cell long, " + "".join(f"{x} long, " for x in names) + "doc_id long, start int, n_strings int, lead int"
-    ranked = stage(here.join(candidates, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_cells(length), schema), "suffix-ranks-0")
+    ranked = stage(here.join(candidates, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_cells(length, key), schema), "suffix-ranks-0")
     discard(candidates, repeated)
     for i, name in enumerate(names):
         pairs = ranked.groupBy("rank", name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("least")).where("n > 1")
@@ -171,7 +172,7 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     discard(ranked, again)
     samples = kinds.join(per_rank.where("n_kinds > 1").select("rank"), "rank").select("least.doc_id", F.struct("least.start", "least.n_strings", "least.lead", "rank", "cell").alias("part"))
     sampled = samples.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
-    blocks = stage(here.join(sampled, "doc_id").select("doc_id", "text", "parts").mapInArrow(_emit_strings(length), "rank long, core long, strings array<long>, doc_id long, start int"), "suffix-blocks")
+    blocks = stage(here.join(sampled, "doc_id").select("doc_id", "text", "parts").mapInArrow(_emit_strings(length, key), "rank long, core long, strings array<long>, doc_id long, start int"), "suffix-blocks")
     cores = blocks.groupBy("rank", "core").agg(F.count("*").alias("n")).where("n > 1").select("rank", "core")
     strings = stage(blocks.join(cores, ["rank", "core"]).select("rank", "doc_id", "start", F.posexplode("strings").alias("i", "string")), "suffix-strings")
     discard(blocks, kinds)
@@ -181,7 +182,7 @@ def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     return whole_runs.unionByName(single_runs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "name", "whole")).alias("runs"))
 
 
-def _gone(data: np.ndarray, off: np.ndarray, runs: pa.Array, length: int) -> np.ndarray:
+def _gone(data: np.ndarray, off: np.ndarray, runs: pa.Array, length: int, key: int) -> np.ndarray:
     """Mask of the bytes of a chunk that are removed."""
     sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
     doc, flat = np.repeat(np.arange(len(runs)), sizes), runs.flatten()
@@ -189,7 +190,7 @@ def _gone(data: np.ndarray, off: np.ndarray, runs: pa.Array, length: int) -> np.
         return np.zeros(len(data), bool)
     start, count, name = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "count", "name"))
     whole = flat.field("whole").to_numpy(zero_copy_only=False)
-    rolling = SliceHash.of_bytes(data)
+    rolling = SliceHash.of_bytes(data, key)
     cell = np.flatnonzero(whole)
     cell = cell[_same(rolling, off, doc[cell], start[cell], count[cell], name[cell], length)]
     single = np.flatnonzero(~whole & (off[doc] + start + length <= off[doc + 1]))
@@ -199,11 +200,11 @@ def _gone(data: np.ndarray, off: np.ndarray, runs: pa.Array, length: int) -> np.
     return covered(off[doc[keep]] + start[keep], count[keep], length, len(data))
 
 
-def _finish(length: int, digest: bool):
+def _finish(length: int, digest: bool, key: int):
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in text_chunks(batch.column(1)):
-                gone = _gone(data, off, batch.column(2).slice(lo, hi - lo), length)
+                gone = _gone(data, off, batch.column(2).slice(lo, hi - lo), length, key)
                 rest = data[~gone].tobytes()
                 edge = (off - np.concatenate([[0], np.cumsum(gone)])[off]).tolist()
                 bodies = [rest[a:b] for a, b in zip(edge[:-1], edge[1:])]
@@ -221,10 +222,10 @@ def _finish(length: int, digest: bool):
     return run
 
 
-def _with_runs(docs: DataFrame, length: int) -> DataFrame:
+def _with_runs(docs: DataFrame, length: int, key: int) -> DataFrame:
     if length < LEAST_LENGTH:
         raise ValueError(f"a string has at least {LEAST_LENGTH} bytes")
-    return docs.join(find_repeats(docs, length), "doc_id", "left").select("doc_id", "text", "runs")
+    return docs.join(find_repeats(docs, length, key), "doc_id", "left").select("doc_id", "text", "runs")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,9 +235,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     Null text counts as empty; rows without an id take no part; rows that share an id each
     give a row of their own bytes, and equal ones repeat each other; other columns are
     ignored."""
-    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, False), "doc_id long, text string")
+    key = new_key()
+    return _with_runs(id_and_text(docs, id_col, text_col), length, key).mapInArrow(_finish(length, False, key), "doc_id long, text string")
 
 
 def repeat_digest(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of what remove_repeats keeps, in bytes."""
-    return _with_runs(id_and_text(docs, id_col, text_col), length).mapInArrow(_finish(length, True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    key = new_key()
+    return _with_runs(id_and_text(docs, id_col, text_col), length, key).mapInArrow(_finish(length, True, key), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

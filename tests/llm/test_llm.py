@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from candela.llm import alignment, bpe, exact_dedup, hnsw, minhash, packing, periodic_runs, pq_dedup, quality, substring_dedup, subword, suffix_dedup, toxicity, url_filter
+from candela.llm import alignment, bpe, exact_dedup, hnsw, kernels, minhash, packing, periodic_runs, pq_dedup, quality, substring_dedup, subword, suffix_dedup, toxicity, url_filter
 from candela.llm.components import components
 
 
@@ -57,6 +57,42 @@ def test_op1_hot_anchor(docs, monkeypatch):
     assert tuples(substring_dedup.repeat_digest(docs)) == brute.op1(ROWS)
 
 
+def test_op1_crafted_words(spark):
+    # two words of one fingerprint without a key
+    a, b = "wordwordendsends", "61W!Jvc;0Hy<L@\\G"
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    hashes = lambda key: kernels.word_hashes(data, np.array([0, 16]), np.array([16, 32]), key)
+    assert len(set(hashes(0).tolist())) == 1 and len(set(hashes(kernels.new_key()).tolist())) == 2
+    w = [f"w{i}" for i in range(31)]
+    rows = [(1, " ".join(w[:30] + [a])), (2, " ".join(w[:30] + [b])), (3, " ".join(w[:15] + [a] + w[15:30])), (4, " ".join(w[:15] + [b] + w[15:30]))]
+    got = tuples(substring_dedup.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute.op1(rows) and got[1][2] == 30
+
+
+def crafted_bytes(seed=1):
+    """Two strings of 16 printable bytes that chained sums of their halves can't tell apart."""
+    rng = np.random.default_rng(seed)
+    turn = lambda h: (((h + 16) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) << 27 | ((h + 16) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 37) & (1 << 64) - 1
+    x, z = b"firsthal", b"secondha"
+    while True:
+        other = rng.integers(33, 127, 8).astype(np.uint8).tobytes()
+        rest = (int.from_bytes(z, "little") + turn(int.from_bytes(x, "little")) - turn(int.from_bytes(other, "little"))) % (1 << 64)
+        rest = rest.to_bytes(8, "little")
+        if all(33 <= c < 127 for c in rest):
+            return (x + z).decode(), (other + rest).decode()
+
+
+def test_op8_crafted_bytes(spark):
+    a, b = crafted_bytes()
+    plain = lambda t: kernels.SliceHash(kernels.eights(np.frombuffer(t.encode(), np.uint8))[:9], 8, 16).fixed(16)[0]
+    assert a != b and plain(a) == plain(b)
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(1, text[:160] + a + text[176:200]), (2, text[:160] + b + text[176:200]), (3, text[200:360] + a + text[:300]), (4, text[200:360] + b + text[:300])]
+    got = tuples(suffix_dedup.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute.op8(rows) and got[0][2] == got[1][2] == 0
+
+
 def test_op1_hot_phrase_is_one_row(spark, monkeypatch):
     # a passage between words that differ by document: its edge cells differ, too
     rng = random.Random(3)
@@ -65,8 +101,8 @@ def test_op1_hot_phrase_is_one_row(spark, monkeypatch):
     rows = [(i, f"{near()} {passage} {near()}") for i in range(80)]
     inner = substring_dedup._automaton
 
-    def checked(length):
-        run = inner(length)
+    def checked(length, key):
+        run = inner(length, key)
 
         def once(rows):
             if not rows["words"].is_unique:
