@@ -110,8 +110,8 @@ def test_sign_flips_do_not_depend_on_partitions(spark):
 
 
 def test_summaries(spark):
-    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)] + [(float("nan"),)], "v double")
-    r = summaries.quartiles(df, "v").first()
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "v double")
+    r = summaries.quartiles(df, "v").first()  # values that are no numbers fail: test_blocks_and_draws
     assert (r["n"], r["q1"], r["median"], r["q3"]) == (4, 1.75, 2.5, 3.25)
     tab = summaries.crosstab(spark.createDataFrame([(False, True)], "g boolean, f boolean"), "g", ("in", "out"), ["f"])
     assert {(r["group"], r["n_group"], r["n"], r["percent"]) for r in tab.collect()} == {("in", 0, 0, None), ("out", 1, 1, 100.0)}
