@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scoring import distance, extremes, modes_table, scaler, sound, weights
+from .scoring import extremes, modes_table, scaler, sound, weights
 
 CONFIG = ("mode", "mode_order", "n_views", "h")
 
@@ -88,7 +88,7 @@ def _count(plan: _Plan, keys: list[str], leave_out: str | None):
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         k = len(plan.modes)
         better, equal = np.zeros((len(asked), k), np.int64), np.zeros((len(asked), k), np.int64)
-        n = np.full(len(asked), len(held), np.int64)
+        n, own = np.full(len(asked), len(held), np.int64), np.full((len(asked), k), np.nan)
         if len(asked) and len(held):
             out = None
             if leave_out:
@@ -98,12 +98,13 @@ def _count(plan: _Plan, keys: list[str], leave_out: str | None):
             for here, m, s, g in plan.blocks(asked, held):
                 if out is not None:
                     s = np.where(out[here], -1.0, s)
-                better[here, m], equal[here, m] = (s > g[:, None]).sum(1), (s == g[:, None]).sum(1)
+                better[here, m], equal[here, m], own[here, m] = (s > g[:, None]).sum(1), (s == g[:, None]).sum(1), g
         known = asked["known"].to_numpy(bool)[:, None]
         frame = asked[keys].copy()
         frame["n_gallery"] = n
         for name, x in (("better", better), ("equal", equal)):
             frame[name] = pd.Series(list(x * known), index=frame.index, dtype=object)
+        frame["own"] = pd.Series(list(np.where(known, own, np.nan)), index=frame.index, dtype=object)
         return frame
 
     return run
@@ -131,14 +132,15 @@ def _dealt(asked: DataFrame, held: DataFrame, asked_rows: int, gallery_rows: int
 
 
 def _counts(asked: DataFrame, held: DataFrame, plan: _Plan, keys: list[str], asked_rows: int, gallery_rows: int, leave_out: str | None = None) -> DataFrame:
-    """keys, h, n_gallery and, as arrays over the modes, better and equal. A block compares all
-    views of one h with the query's genuine reference, so no score is shuffled."""
+    """keys, h, n_gallery and, as arrays over the modes, better, equal and the genuine reference's
+    own score (NaN without one). A block compares all views of one h with the query's genuine
+    reference, so no other score is shuffled."""
     every = [*keys, "h"]
     types = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in every) + ", n_gallery long, better array<long>, equal array<long>"
+    schema = ", ".join(f"{c} {types[c]}" for c in every) + ", n_gallery long, better array<long>, equal array<long>, own array<double>"
     parts = _dealt(_with_genuine(asked, held, plan.views), held, asked_rows, gallery_rows).applyInPandas(_count(plan, every, leave_out), schema)
     total = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(len(plan.modes))]).alias(c)
-    return parts.groupBy(*every).agg(F.sum("n_gallery").alias("n_gallery"), total("better"), total("equal"))
+    return parts.groupBy(*every).agg(F.sum("n_gallery").alias("n_gallery"), total("better"), total("equal"), F.array(*[F.min(F.col("own")[i]) for i in range(len(plan.modes))]).alias("own"))
 
 
 def _by_mode(counts: DataFrame, plan: _Plan, keys: list[str]) -> DataFrame:
@@ -158,28 +160,30 @@ def _cases(df: DataFrame) -> int:
     return df.select("case_id").distinct().count()
 
 
+def _fixed_counts(queries: DataFrame, gallery: DataFrame, plan: _Plan) -> DataFrame:
+    fit = _side_by_side(scaler(queries.select("person_id").distinct(), gallery), ("person_id", "h"), plan.views, weights(F.col("lo"), F.col("hi")), "w")
+    asked = _asked(queries, plan.views).join(fit.withColumnRenamed("person_id", "query_person"), ["query_person", "h"])
+    return _counts(asked, _held(gallery, plan.views), plan, ["query_case", "query_person"], _cases(queries), _cases(gallery))
+
+
 def fixed_configurations(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None) -> DataFrame:
     """True mid-rank of every query under every configuration, each scaled without its person.
     Features that are not finite and persons without another reference fail."""
     plan = _Plan.of(modes, digits)
-    fit = _side_by_side(scaler(queries.select("person_id").distinct(), gallery), ("person_id", "h"), plan.views, weights(F.col("lo"), F.col("hi")), "w")
-    asked = _asked(queries, plan.views).join(fit.withColumnRenamed("person_id", "query_person"), ["query_person", "h"])
-    keys = ["query_case", "query_person"]
-    return _by_mode(_counts(asked, _held(gallery, plan.views), plan, keys, _cases(queries), _cases(gallery)), plan, keys)
+    return _by_mode(_fixed_counts(queries, gallery, plan), plan, ["query_case", "query_person"])
 
 
 def true_rank_table(queries: DataFrame, gallery: DataFrame, view: str, digits: int | None = None) -> DataFrame:
     """One row a query of one view and h: its rank from the blocks' counters, and the case and score
-    of its genuine reference from a join by person. No other score leaves a block."""
-    ranks = fixed_configurations(queries, gallery, modes_table(queries.sparkSession, (view,)), digits)
-    fit = scaler(queries.select("person_id").distinct(), gallery)
-    asked = queries.join(fit, ["person_id", "view", "h"]).select(F.col("case_id").alias("query_case"), F.col("person_id"), F.col("f").alias("q"), weights(F.col("lo"), F.col("hi")).alias("w"))
-    d = distance(F.col("q"), F.col("r"), F.col("w"))
-    own = asked.join(gallery.select("person_id", F.col("case_id").alias("matched_case"), F.col("f").alias("r")), "person_id").withColumn("d", d if digits is None else F.round(d, digits))
-    score = 1.0 / (1.0 + F.col("d"))
-    own = own.select("query_case", "matched_case", (score if digits is None else F.round(score, digits)).alias("matched_score"))
-    out = ranks.join(own, "query_case", "left")
-    return out.select("query_case", "query_person", "true_rank", F.coalesce("n_ties", F.lit(0)).alias("n_ties"), F.coalesce("matched_case", F.lit("")).alias("matched_case"), "matched_score", F.col("true_rank").isNotNull().alias("has_match_in_database"), "n_gallery")
+    of its genuine reference. No other score leaves a block."""
+    plan = _Plan.of(modes_table(queries.sparkSession, (view,)), digits)
+    c = _fixed_counts(queries, gallery, plan).select("query_case", "query_person", "n_gallery", *[F.col(x)[0].alias(x) for x in ("better", "equal", "own")])
+    genuine = gallery.select(F.col("person_id").alias("query_person"), F.col("case_id").alias("matched_case"))
+    known, equal = F.col("equal") > 0, F.col("equal")
+    return c.join(genuine, "query_person", "left").select(
+        "query_case", "query_person", F.when(known, 1.0 + F.col("better") + 0.5 * (equal - 1)).alias("true_rank"), F.when(known, equal - 1).otherwise(0).alias("n_ties"),
+        F.coalesce("matched_case", F.lit("")).alias("matched_case"), F.when(known, F.col("own")).alias("matched_score"), known.alias("has_match_in_database"), "n_gallery",
+    )
 
 
 def _best(plan: _Plan, k: int):
