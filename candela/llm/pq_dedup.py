@@ -1,9 +1,9 @@
 """Embedding near-dedup by product quantisation.
 
 Unit vectors are put into coarse inverted lists and their residuals coded in subspaces; the
-error of each reconstruction is kept. A query goes to its nearest lists, as many as find the
-list of a neighbour just at the threshold in all but one of a thousand cases: that number is
-measured on neighbours made from the sample, so it follows the data and not a guess. In a
+error of each reconstruction is kept. A query goes to its nearest lists, as far down as finds
+a neighbour just at the threshold in all but one of two thousand cases, either asking for the other:
+that is measured on neighbours made from the sample, so it follows the data and not a guess. In a
 list, table lookups give the product with each reconstruction, whose error bounds the true
 product; what the bound lets through is decided by the exact cosine. So the codes lose no
 link, and probing loses few, as most links are above the threshold.
@@ -29,8 +29,8 @@ from .vectors import copies, one_each, usable
 
 #: Vectors that training sees, the least by hash of id.
 SAMPLE_ROWS = 65_536
-#: Of neighbours at the threshold, the share whose list is not among those probed.
-MISSED = 1e-3
+#: Of neighbours at the threshold, the share of which neither asks the list of the other.
+MISSED = 5e-4
 BLOCK_ROWS = 4096
 CODES = 256
 SLACK = 1e-5
@@ -99,23 +99,51 @@ def train(sample: np.ndarray, lists: int, subspaces: int = 16, seed: int = 9) ->
     return Codebook(c, books, dim)
 
 
-def probes(sample: np.ndarray, book: Codebook, least: float, missed: float = MISSED, seed: int = 4) -> int:
-    """How many lists a query goes to: vectors of the sample get a neighbour with the cosine
-    `least`, turned towards another vector of the sample, and the number is how far down the
-    neighbour's order of lists the vector's own list is, but for a share `missed` of them."""
+def reach(sample: np.ndarray, book: Codebook, least: float, seen: float = 1.0, missed: float = MISSED, seed: int = 4) -> float:
+    """How far below its best centroid a vector still asks a list, in the product with it. Random
+    vectors of the sample get neighbours with the cosine `least`, turned half the time towards
+    another vector of the sample and half the time in any direction. Both of a pair ask, so
+    the nearer way counts. At most a share `missed` lies beyond, for both kinds of directions and for
+    each quarter of the vectors by closeness to their centroid: tight ones don't outvote loose ones.
+    A vector that training saw has drawn its centroid towards itself, so a share `seen` of the
+    neighbours is held against the centroid that it would have been part of, as is its partner."""
     rng = np.random.default_rng(seed)
-    ranks = []
-    for _ in range(max(1, min(8, 32_768 // len(sample)))):
-        m, x = sample[:4096], sample[rng.permutation(len(sample))[: min(4096, len(sample))]]
-        aside = x - (x * m).sum(1)[:, None] * m
-        size = np.linalg.norm(aside, axis=1)
-        some = size > 1e-6
-        q = least * m[some] + np.sqrt(1 - least * least) * aside[some] / size[some][:, None]
-        own = (m[some] @ book.centroids.T).argmax(1)
-        near = q @ book.centroids.T
-        ranks.append((near > near[np.arange(len(q)), own][:, None]).sum(1))
-    ranks = np.concatenate(ranks)
-    return min(len(book.centroids), 2 + int(np.quantile(ranks, 1 - missed, method="higher"))) if len(ranks) else len(book.centroids)
+    own = np.concatenate([(sample[lo : lo + 1024] @ book.centroids.T).argmax(1) for lo in range(0, len(sample), 1024)])
+    sums = np.zeros_like(book.centroids)
+    np.add.at(sums, own, sample)
+    sums = np.linalg.norm(sums, axis=1)
+    close, gaps = [], ([], [])
+    for _ in range(32):
+        m = sample[rng.integers(0, len(sample), 1024)]
+        at = np.arange(len(m))
+        near_m = m @ book.centroids.T
+        own_m = near_m.argmax(1)
+        close.append(near_m[at, own_m])
+        for kind, aim in enumerate((sample[rng.integers(0, len(sample), len(m))], rng.standard_normal(m.shape))):
+            aside = aim - (aim * m).sum(1)[:, None] * m
+            size = np.linalg.norm(aside, axis=1)
+            q = least * m + np.sqrt(max(0.0, 1 - least * least)) * aside / np.where(size > 1e-6, size, 1)[:, None]
+            near_q = q @ book.centroids.T
+            own_q = near_q.argmax(1)
+            size_q, best, back = sums[own_q], near_q[at, own_q], near_m[at, own_q]
+            part = rng.random(len(m)) < seen
+            length = np.sqrt(np.maximum(size_q**2 + 2 * size_q * best + 1, SLACK))
+            best, back = np.where(part, (size_q * best + 1) / length, best), np.where(part, (size_q * back + least) / length, back)
+            gap = np.minimum(near_m[at, own_m] - back, best - near_q[at, own_m])
+            gap = np.where(own_m == own_q, 0.0, gap)
+            gaps[kind].append(np.where(size > 1e-6, gap, 0.0))
+    order = np.argsort(np.concatenate(close), kind="stable")
+    return SLACK + max(float(np.quantile(np.concatenate(kind)[part], 1 - missed, method="higher")) for kind in gaps for part in np.array_split(order, 4))
+
+
+def _asked(near: np.ndarray, far: float) -> np.ndarray:
+    return near >= near.max(1, keepdims=True) - far
+
+
+def probes(sample: np.ndarray, book: Codebook, least: float) -> float:
+    """Lists that a vector of the sample asks, on average."""
+    far = reach(sample, book, least)
+    return float(np.mean([n for lo in range(0, len(sample), 4096) for n in _asked(sample[lo : lo + 4096] @ book.centroids.T, far).sum(1)]))
 
 
 def _scaled(v: np.ndarray) -> np.ndarray:
@@ -139,30 +167,29 @@ def _slices(batches, rows: int = 2048):
             yield batch.slice(lo, rows)
 
 
-def _encode(shared):
+def _encode(shared, far: float):
+    """Codes, and the lists that a vector asks as bits."""
+
     def run(batches):
         book = shared.value
         for batch in _slices(batches):
             u = _unit(_matrix(batch.column(1)))
             to, codes, error = book.encode(u)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(to.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["rep", "v", "n", "list", "codes", "error"])
+            asks = np.packbits(_asked(u @ book.centroids.T, far), axis=1, bitorder="little")
+            asks[np.arange(len(u)), to >> 3] |= np.left_shift(1, to & 7).astype(np.uint8)
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(to.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([a.tobytes() for a in asks], pa.binary())], names=["rep", "v", "n", "list", "codes", "error", "asks"])
 
     return run
 
 
-def _probe(shared, count: int, blocks: np.ndarray):
-    """Queries to those of their nearest lists that come after their own or are it, so that a
-    pair meets once; one row for each block of the list."""
+def _probe(blocks: np.ndarray):
+    """Queries to the lists that they ask; one row for each block of the list."""
 
     def run(batches):
-        book = shared.value
         for batch in _slices(batches):
-            own = batch.column(3).to_numpy(zero_copy_only=False)
-            near = _unit(_matrix(batch.column(1))) @ book.centroids.T
-            near[np.arange(len(own)), own] = np.inf
-            lists = np.argpartition(-near, min(count, near.shape[1]) - 1, axis=1)[:, :count]
-            row, at = np.nonzero((lists >= own[:, None]) & (blocks[lists] > 0))
-            to = lists[row, at]
+            own = batch.column(3)
+            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(own), -1)
+            row, to = np.nonzero(np.unpackbits(bits, axis=1, count=len(blocks), bitorder="little") & (blocks > 0))
             times = blocks[to]
             row, to = np.repeat(row, times), np.repeat(to, times)
             block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -175,7 +202,8 @@ def _probe(shared, count: int, blocks: np.ndarray):
 
 
 def _meet(shared, least: float):
-    """Links between a block of queries and a block of a list's members."""
+    """Links between a block of queries and a block of a list's members. Where two vectors of
+    different lists ask for each other, the query of the lower list has the pair."""
 
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out = {"rep": [], "links": [], "a": [], "b": []}
@@ -184,7 +212,8 @@ def _meet(shared, least: float):
             mv, qv = _scaled(np.stack(members["v"].to_numpy())), _scaled(np.stack(queries["v"].to_numpy()))
             m_len, q_len = np.linalg.norm(mv, axis=1), np.linalg.norm(qv, axis=1)
             m_id, q_id = members["rep"].to_numpy(), queries["rep"].to_numpy()
-            m_n, q_n, inner = members["n"].to_numpy(), queries["n"].to_numpy(), queries["own"].to_numpy() == here
+            m_n, q_n, own = members["n"].to_numpy(), queries["n"].to_numpy(), queries["own"].to_numpy()
+            inner, asks = own == here, np.frombuffer(b"".join(members["asks"]), np.uint8).reshape(len(members), -1)
             codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1)
             error = members["error"].to_numpy().astype(np.float32)
             m_links, group = np.zeros(len(members), np.int64), np.arange(len(members))
@@ -202,7 +231,8 @@ def _meet(shared, least: float):
                 else:
                     cos = np.einsum("nd,nd->n", qv[part][r], mv[c]) / (q_len[part][r] * m_len[c])
                     r, c = r[cos >= least], c[cos >= least]
-                other = q_id[part][r] != m_id[c]
+                home = own[part][r]
+                other = (q_id[part][r] != m_id[c]) & ((home <= here) | ((asks[c, home >> 3] >> (home & 7)) & 1 == 0))
                 r, c = r[other], c[other]
                 if not len(r):
                     continue
@@ -247,14 +277,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample_rows: int = S
     unit = _unit(_matrix(sample["v"].combine_chunks()))
     book = train(unit, int(min(max(1, 2 * np.sqrt(total)), max(1, len(unit) // 4))))  # at most sample_rows / 4 lists
     shared = spark.sparkContext.broadcast(book)
-    coded = stage(known.mapInArrow(_encode(shared), "rep long, v array<double>, n long, list int, codes binary, error double"), "pq-codes")
+    coded = stage(known.mapInArrow(_encode(shared, reach(unit, book, least, len(unit) / total)), "rep long, v array<double>, n long, list int, codes binary, error double, asks binary"), "pq-codes")
     lists = {r["list"]: r["rows"] for r in coded.groupBy("list").agg(F.count("*").alias("rows")).collect()}  # a row a list
     blocks = np.array([-(-lists.get(i, 0) // BLOCK_ROWS) for i in range(len(book.centroids))])
-    queries = coded.select("rep", "v", "n", "list").mapInArrow(_probe(shared, probes(unit, book, least), blocks), "rep long, v array<double>, n long, own int, list int, block int")
+    queries = coded.select("rep", "v", "n", "list", "asks").mapInArrow(_probe(blocks), "rep long, v array<double>, n long, own int, list int, block int")
     queries = stage(queries.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-total // BLOCK_ROWS)))).cast("int")), "pq-queries")
     parts = stage(queries.select("list", "part").distinct(), "pq-parts")
     sizes = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks) if b], "list int, n_blocks int")  # a row a list
-    held = coded.join(F.broadcast(sizes), "list").select("rep", "v", "n", "list", "codes", "error", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_blocks")).cast("int").alias("block")).join(parts, "list")
+    held = coded.join(F.broadcast(sizes), "list").select("rep", "v", "n", "list", "codes", "error", "asks", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_blocks")).cast("int").alias("block")).join(parts, "list")
     met = stage(queries.groupBy("list", "block", "part").cogroup(held.groupBy("list", "block", "part")).applyInPandas(_meet(shared, least), "rep long, links long, a long, b long, link boolean"), "pq-links")
     counts = met.where("not link").groupBy("rep").agg(F.sum("links").alias("links"))
     found = components(met.where("link").select("a", "b"))

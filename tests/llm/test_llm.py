@@ -369,6 +369,24 @@ def test_op6_probes_find_what_is_linked(spark):
     assert pq_dedup.probes(u, book, 0.9) < 60
 
 
+@pytest.mark.parametrize("tight_first, cosine, directions", [(True, 0.9001, "rows"), (False, 0.9001, "rows"), (True, 0.9001, "any"), (False, 0.96, "any")])
+def test_op6_keeps_links_whatever_the_order_of_kinds(spark, tight_first, cosine, directions):
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    groups = unit(rng.standard_normal((100, 32)))
+    tight, loose = unit(groups[rng.integers(0, 100, 1500)] + 0.04 * rng.standard_normal((1500, 32))), unit(rng.standard_normal((1500, 32)))
+    kinds = np.concatenate([tight, loose] if tight_first else [loose, tight])
+    base = loose[:1000]
+    aim = kinds[(np.flatnonzero(np.isin(kinds[:, 0], base[:, 0])) + rng.integers(1, 3000, 1000)) % 3000] if directions == "rows" else rng.standard_normal(base.shape)
+    near = cosine * base + np.sqrt(1 - cosine**2) * unit(aim - (aim * base).sum(1)[:, None] * base)
+    v = np.concatenate([kinds, near])
+    want = ((v @ v.T) >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in pq_dedup.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    got = np.array([got[i] for i in range(len(v))])
+    assert (got <= want).all()  # no pair is counted from both sides
+    assert got[-1000:].sum() >= 0.997 * want[-1000:].sum() and got.sum() >= 0.999 * want.sum()
+
+
 M = (1 << 64) - 1
 
 
