@@ -60,9 +60,18 @@ class Codebook:
             left += np.maximum(far.min(1), 0)
         return to, codes, np.sqrt(left) + SLACK
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """queries x subspaces x codes: products of each query part with each code."""
-        return np.einsum("qsw,scw->qsc", self._split(q), self.books).astype(np.float32)
+    def used(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By subspace: the codes that some rows have, and which of them each row has."""
+        kinds = [np.unique(c, return_inverse=True) for c in codes.T]
+        return [(book[k].astype(np.float32), at.reshape(-1)) for book, (k, at) in zip(self.books, kinds, strict=True)]
+
+    def lookup(self, q: np.ndarray, used: list[tuple[np.ndarray, np.ndarray]], score: np.ndarray) -> np.ndarray:
+        """score (rows x queries) plus each row's entries of the queries' tables, in place. A table
+        has the product of a query's part with each code in use."""
+        parts = self._split(q).astype(np.float32).transpose(1, 2, 0)
+        for (book, at), part in zip(used, parts, strict=True):
+            score += (book @ part)[at]
+        return score
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, half: np.ndarray) -> np.ndarray:
@@ -215,16 +224,14 @@ def _meet(shared, least: float):
             m_n, q_n, own = members["n"].to_numpy(), queries["n"].to_numpy(), queries["own"].to_numpy()
             inner, asks = own == here, np.frombuffer(b"".join(members["asks"]), np.uint8).reshape(len(members), -1)
             codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1)
-            error = members["error"].to_numpy().astype(np.float32)
+            used, floor = book.used(codes), (least - members["error"].to_numpy()).astype(np.float32)[:, None]
             m_links, group = np.zeros(len(members), np.int64), np.arange(len(members))
             for lo in range(0, len(queries), 256):
                 part = slice(lo, lo + 256)
                 q = qv[part] / q_len[part][:, None]
-                tables = book.tables(q)
-                score = np.broadcast_to((q @ book.centroids[here]).astype(np.float32)[:, None], (len(q), len(members))).copy()
-                for s in range(codes.shape[1]):
-                    score += tables[:, s][:, codes[:, s]]
-                r, c = np.nonzero(score + error[None, :] >= least)
+                start = np.broadcast_to((q @ book.centroids[here]).astype(np.float32), (len(members), len(q))).copy()
+                score = book.lookup(q, used, start)
+                c, r = np.nonzero(score >= floor)
                 if len(r) * 8 > score.size:
                     cos = (qv[part] @ mv.T) / (q_len[part][:, None] * m_len[None, :])
                     r, c = np.nonzero(cos >= least)
