@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import finite, share_text
 
 
+def exact_quantiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 10_000) -> DataFrame:
+    """(by, n, q): the quantiles by linear interpolation as an array in the order of probs; nulls
+    are skipped, a group of nulls alone has nulls, and without groups so has an empty table.
+
+    No task holds a group's values. A mergeable sketch says between which values each rank lies;
+    values below are only counted, and of those between, equal ones one row each, running counts
+    find the rank. A sketch that misses a rank fails by name. The input is read twice."""
+    probs = [float(p) for p in probs]
+    by = list(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("_x")).where("_x is not null")
+    wide = [min(1.0, max(0.0, p + d)) for p in probs for d in (-3.0 / accuracy, 3.0 / accuracy)]
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.percentile_approx("_x", wide, accuracy).alias("_w"))
+    # a small group has all its values between the ends
+    few = F.col("n") <= accuracy
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.when(few, F.col("_min")).otherwise(F.col("_w")[2 * i]).alias("lo"), F.when(few, F.col("_max")).otherwise(F.col("_w")[2 * i + 1]).alias("hi")) for i, p in enumerate(probs)])
+    cells = ends.select(*[F.col(c).alias(f"_by_{c}") for c in by], "n", F.explode(cuts).alias("_c")).select(*[f"_by_{c}" for c in by], "n", "_c.*")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    kept = F.when(F.col("_x") < F.col("lo"), F.lit(None)).otherwise(F.col("_x"))
+    met = rows.join(F.broadcast(cells) if not by else cells, same).where("_x <= hi").withColumn("_v", kept)
+    keys = [f"_by_{c}" for c in by] + ["i", "p", "n"]
+    counted = met.groupBy(*keys, "_v").agg(F.count("*").alias("_k"))
+    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumn("_to", F.sum("_k").over(order))
+    at = F.col("p") * (F.col("n") - 1)
+    first = lambda rank: F.min_by("_v", F.when(F.col("_to") > rank, F.col("_to")))
+    found = run.groupBy(*keys).agg(first(F.floor(at)).alias("_a"), first(F.ceil(at)).alias("_b"))
+    sure = lambda c: F.coalesce(c, F.raise_error(F.lit("a rank lies outside the sketch's bounds")).cast("double"))
+    part = at - F.floor(at)
+    q = F.when(part == 0, sure(F.col("_a"))).otherwise((1 - part) * sure(F.col("_a")) + part * sure(F.col("_b")))
+    each = found.select(*[F.col(f"_by_{c}").alias(c) for c in by], "n", "i", q.alias("q"))
+    out = each.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))  # one entry a probability
+    groups = df.select(*by).distinct() if by else df.agg(F.lit(0).alias("_one")).select()  # without groups one row
+    aside = out.select(*[F.col(c).alias(f"_by_{c}") for c in by], "n", "q")
+    return groups.join(aside, same, "left").select(*by, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("q", F.array(*[F.lit(None).cast("double")] * len(probs))).alias("q"))
+
+
 def quartiles(df: DataFrame, value: str, by=(), unit: str = "s", status: str | None = None, done=("success",)) -> DataFrame:
     """n, q1, median, q3 by linear interpolation. A value that is missing or not finite fails, and
     where a status column is named, so does a row that isn't done."""
@@ -16,9 +54,8 @@ def quartiles(df: DataFrame, value: str, by=(), unit: str = "s", status: str | N
     sound = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), fail(f"{value} has values that are no numbers")).otherwise(x)
     if status:
         sound = F.when(~F.coalesce(F.lower(F.trim(status)).isin(*done), F.lit(False)), fail("some rows have no success")).otherwise(sound)
-    q = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     rows = df.select(*by, sound.alias("_x"))
-    return rows.groupBy(*by).agg(F.count("_x").alias("n"), q.alias("q")).select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.lit(unit).alias("unit"))
+    return exact_quantiles(rows, "_x", (0.25, 0.5, 0.75), by).select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), F.lit(unit).alias("unit"))
 
 
 def distribution(df: DataFrame, metrics: list[str], by=()) -> DataFrame:

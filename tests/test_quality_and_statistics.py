@@ -115,3 +115,22 @@ def test_summaries(spark):
     assert (r["n"], r["q1"], r["median"], r["q3"]) == (4, 1.75, 2.5, 3.25)
     tab = summaries.crosstab(spark.createDataFrame([(False, True)], "g boolean, f boolean"), "g", ("in", "out"), ["f"])
     assert {(r["group"], r["n_group"], r["n"], r["percent"]) for r in tab.collect()} == {("in", 0, 0, None), ("out", 1, 1, 100.0)}
+
+
+def test_exact_quantiles_hold_no_group_in_one_task(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {"wide": rng.standard_normal(4000), "ties": rng.integers(0, 3, 4000).astype(float), "one": np.array([2.5]), None: rng.exponential(size=900)}
+    rows = [(g, float(x)) for g, xs in values.items() for x in xs] + [("wide", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = (0.0, 0.025, 0.25, 0.5, 0.975, 1.0)
+    # a coarse sketch, so that values lie on all sides of its bounds
+    got = {r["g"]: r for r in summaries.exact_quantiles(df, "x", probs, ["g"], accuracy=200).collect()}
+    assert set(got) == {*values, "none"} and got["none"]["n"] == 0 and got["none"]["q"] == [None] * 6
+    for g, xs in values.items():
+        assert got[g]["n"] == len(xs)
+        np.testing.assert_allclose(got[g]["q"], np.quantile(xs, probs), rtol=1e-12, atol=1e-15)
+    every = summaries.exact_quantiles(df, "x", probs, accuracy=200).collect()
+    np.testing.assert_allclose(every[0]["q"], np.quantile(np.concatenate(list(values.values())), probs), rtol=1e-12, atol=1e-15)
+    assert [tuple(r) for r in summaries.exact_quantiles(df.where("false"), "x", (0.5,)).collect()] == [(0, [None])]
