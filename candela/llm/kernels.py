@@ -19,6 +19,8 @@ CHUNK_BYTES = 1 << 19
 _SPREAD, _ODD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 #: The low bytes of a little-endian number that belong to a word of so many bytes.
 _LOW = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+#: The half of a hash by which anchors are chosen.
+_UPPER = U(0xFFFFFFFF00000000)
 #: Words beyond so many bytes are hashed one by one.
 LONG_WORD = 64
 
@@ -207,15 +209,16 @@ class Words:
 
 
 def _leftmost_least(x: np.ndarray, w: int) -> np.ndarray:
-    """Position of the first least value of each x[i : i + w]."""
-    value, at, size = x, np.arange(len(x)), 1
+    """Position of the first least value of each x[i : i + w], by the upper halves of the values.
+
+    A position fills the lower half, so that one minimum carries both."""
+    at = np.arange(len(x), dtype=np.uint64)
+    best, size = (x & _UPPER) | at, 1
     while size < w:
         step = min(size, w - size)
-        left = value[:-step] <= value[step:]
-        at = np.where(left, at[:-step], at[step:])
-        value = np.where(left, value[:-step], value[step:])
+        best = np.minimum(best[:-step], best[step:])
         size += step
-    return at
+    return (best & ~_UPPER).view(np.int64)
 
 
 def cells(grams: np.ndarray, end: np.ndarray, w: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
