@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,19 +35,30 @@ def hard_failures(df: DataFrame, shape: list[str], efa: list[str], status: str |
     return df.withColumn("hard_qc_reason", reason).withColumn("hard_qc_failure", F.col("hard_qc_reason") != "")
 
 
-def mahalanobis(df: DataFrame, features: list[str], dataset: str = "dataset", confidence: float = 0.99) -> DataFrame:
-    """Squared Mahalanobis distance of the rows that are no hard failure, within each dataset,
-    on min-max scaled features that vary there; the threshold is the chi-square quantile with
-    the covariance's rank as degrees of freedom, and outliers lie strictly above.
+class Fit(NamedTuple):
+    """What one dataset's distances are measured by."""
 
-    Spark sums the moments; only matrices of len(features) squared reach the driver."""
+    dataset: str
+    n_fit: int
+    features: list[str]
+    mean: list[float]
+    size: np.ndarray
+    inverse: np.ndarray
+    rank: int
+    condition_number: float
+    threshold: float
+
+
+def _fits(df: DataFrame, features: list[str], dataset: str, confidence: float) -> list[Fit]:
+    """One fit a dataset, of its rows that are no hard failure. Spark sums the moments; only
+    matrices of len(features) squared reach the driver."""
     valid = df.where(~F.col("hard_qc_failure"))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     rows = valid.groupBy(dataset).agg(
         F.count("*").alias("n"), *[F.min(c).alias(f"lo_{c}") for c in features], *[F.max(c).alias(f"hi_{c}") for c in features],
         *[F.avg(c).alias(f"mean_{c}") for c in features], *[F.covar_samp(a, b).alias(f"cov_{a}_{b}") for a, b in pairs],
     ).collect()
-    d2 = threshold = F.lit(None).cast("double")
+    out = []
     for r in sorted(rows, key=lambda r: r[dataset]):
         used = [c for c in features if r[f"hi_{c}"] > r[f"lo_{c}"]]
         if not used:
@@ -57,16 +70,34 @@ def mahalanobis(df: DataFrame, features: list[str], dataset: str = "dataset", co
         rank, inverse = int(np.linalg.matrix_rank(cov)), np.linalg.pinv(cov)
         if rank < 1:
             raise ValueError(f"covariance of {r[dataset]} has rank 0")
-        z = [(F.col(c) - r[f"mean_{c}"]) / float(s) for c, s in zip(used, size)]
+        out.append(Fit(r[dataset], r["n"], used, [r[f"mean_{c}"] for c in used], size, inverse, rank, float(np.linalg.cond(cov)), chi2_quantile(confidence, rank)))
+    return out
+
+
+def mahalanobis(df: DataFrame, features: list[str], dataset: str = "dataset", confidence: float = 0.99) -> DataFrame:
+    """Squared Mahalanobis distance of the rows that are no hard failure, within each dataset,
+    on min-max scaled features that vary there; the threshold is the chi-square quantile with
+    the covariance's rank as degrees of freedom, and outliers lie strictly above."""
+    d2 = threshold = F.lit(None).cast("double")
+    for fit in _fits(df, features, dataset, confidence):
+        z = [(F.col(c) - m) / float(s) for c, m, s in zip(fit.features, fit.mean, fit.size)]
         form = F.lit(0.0)
-        for i in range(len(used)):
-            for j in range(len(used)):
-                form = form + z[i] * z[j] * float(inverse[i, j])
-        here = (F.col(dataset) == r[dataset]) & ~F.col("hard_qc_failure")
-        d2, threshold = F.when(here, form).otherwise(d2), F.when(here, F.lit(chi2_quantile(confidence, rank))).otherwise(threshold)
+        for i in range(len(z)):
+            for j in range(len(z)):
+                form = form + z[i] * z[j] * float(fit.inverse[i, j])
+        here = (F.col(dataset) == fit.dataset) & ~F.col("hard_qc_failure")
+        d2, threshold = F.when(here, form).otherwise(d2), F.when(here, F.lit(fit.threshold)).otherwise(threshold)
     return df.withColumns({"mahalanobis_distance_squared": d2, "mahalanobis_threshold": threshold}).withColumn("mahalanobis_outlier", F.coalesce(F.col("mahalanobis_distance_squared") > F.col("mahalanobis_threshold"), F.lit(False)))
 
 
+def mahalanobis_fits(df: DataFrame, features: list[str], dataset: str = "dataset", confidence: float = 0.99) -> DataFrame:
+    """One row a dataset: how many rows were fitted, how many features vary, the rank and the
+    condition number of their scaled covariance (infinite, if singular) and the threshold."""
+    rows = [(f.dataset, f.n_fit, len(f.features), f.rank, f.condition_number, f.threshold) for f in _fits(df, features, dataset, confidence)]
+    kind = df.schema[dataset].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"{dataset} {kind}, n_fit long, n_features int, covariance_rank int, condition_number double, threshold double")
+
+
 def include_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({"include_technical_only": ~F.col("hard_qc_failure"), "include_mahalanobis": ~(F.col("hard_qc_failure") | F.col("mahalanobis_outlier"))})
 

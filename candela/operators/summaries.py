@@ -93,6 +93,13 @@ def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
     return long.groupBy("field", "value").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("field", "value", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 
+def review_overview(review: DataFrame, reviewer: str, findings: dict[str, dict[str, str]]) -> DataFrame:
+    """One row: n_reviewed, n_reviewers (nulls are none) and, for each finding {column: value},
+    how many reviews have the value in any of its columns. A null is no finding."""
+    any_of = {name: F.greatest(*[F.col(c).eqNullSafe(v) for c, v in columns.items()], F.lit(False)) for name, columns in findings.items()}
+    return review.agg(F.count("*").alias("n_reviewed"), F.count_distinct(reviewer).alias("n_reviewers"), *[F.count_if(x).alias(name) for name, x in any_of.items()])
+
+
 def crosstab(df: DataFrame, group: str, labels: tuple[str, str], findings: list[str]) -> DataFrame:
     """Two fixed groups of a boolean x findings: n_group, n, percent; an empty group stays,
     with null percents."""

@@ -102,6 +102,11 @@ def _qc(spark, sf_dir):
     return quality.include_flags(quality.mahalanobis(_flagged(spark, sf_dir), ["sag_H4_avg", "sag_H4_std"], confidence=0.95))
 
 
+def mahalanobis_fits(spark, sf_dir):
+    f = quality.mahalanobis_fits(_flagged(spark, sf_dir), ["sag_H4_avg", "sag_H4_std"], confidence=0.95)
+    return f.withColumns({"condition_number": F.round("condition_number", 6), "threshold": F.round("threshold", 9)})
+
+
 def mahalanobis_flags(spark, sf_dir):
     return _qc(spark, sf_dir).select("case_id", "dataset", F.round("mahalanobis_distance_squared", 6).alias("d2"), "mahalanobis_outlier", "include_technical_only", "include_mahalanobis")
 
@@ -252,6 +257,11 @@ def review_counts(spark, sf_dir):
     return summaries.value_counts(o, ["o_orderstatus", "o_orderpriority"]).select("field", "value", "n", F.round("percent", 9).alias("percent"))
 
 
+def review_overview(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return summaries.review_overview(o, "o_custkey", {"n_any_urgent_or_pending": {"o_orderstatus": "P", "o_orderpriority": "1-URGENT"}, "n_any_open": {"o_orderstatus": "O"}})
+
+
 def outlier_crosstab(spark, sf_dir):
     qc = _qc(spark, sf_dir).withColumns({"many_clicks": F.col("cor_H4_click") > 0.2, "few_events": F.col("n_events") < 30})
     people = qc.groupBy("person_id").agg(F.bool_or("mahalanobis_outlier").alias("outlier"), F.bool_or("many_clicks").alias("many_clicks"), F.bool_or("few_events").alias("few_events"))
@@ -445,9 +455,9 @@ def curve_coefficients(spark, sf_dir):
 
 QUERIES = [
     case_contract_audit, feature_attach, lopo_scaler, lopo_pair_scores, lopo_true_rank, lopo_topk, view_scores, fused_scores, fixed_config_ranks, fixed_config_summary, rank1_matrix,
-    hard_failure_flags, mahalanobis_flags, qc_counts, pair_completeness, cohort_audit, cohort_query, cohort_gallery, cohort_summary, paired_cases, first_scan,
+    hard_failure_flags, mahalanobis_flags, mahalanobis_fits, qc_counts, pair_completeness, cohort_audit, cohort_query, cohort_gallery, cohort_summary, paired_cases, first_scan,
     crossfit_selection_audit, crossfit_true_rank, tie_stage_summary, deviating_folds, rank_rates, cmc_curve, rank_distribution, mcnemar_table, bootstrap_intervals, poisson_intervals, seeded_intervals,
-    per_query_auc, pooled_auc, spearman_rho, pca_scores, pose_summary, projection_summary, runtime_quartiles, metric_distribution, review_counts, outlier_crosstab, rank1_crosstab, tail_diagnostics, key_differences,
+    per_query_auc, pooled_auc, spearman_rho, pca_scores, pose_summary, projection_summary, runtime_quartiles, metric_distribution, review_counts, review_overview, outlier_crosstab, rank1_crosstab, tail_diagnostics, key_differences,
     broken_case_audit, broken_attach_audit, broken_views_audit, candidate_order, first_cases, selected_candidate, result_completeness, query_lookup, review_template, analysis_roles, configured_ranks, mean_auc_interval,
     affine_axes, foreground_boxes, cloud_poses, cloud_extents, cloud_rasters, cloud_features, reoriented_grids, reoriented_voxels, resampled_voxels, shape_measures, shape_diameters, curve_areas, curve_points, curve_coefficients,
 ]

@@ -107,6 +107,7 @@ SQL = {
     "rank1_matrix": f"""with {SUMMARY}, cells as (select mode, mode_order, h, rank1_count || '/' || n || ' (' || round_even(100.0::double * rank1_count / n, 1)::decimal(5, 1) || '%)' as cell from summary)
       select mode_order, mode, max(cell) filter (h = 2) as h2, max(cell) filter (h = 4) as h4 from cells group by all""",
     "hard_failure_flags": f"with {FLAGS} select case_id, hard_qc_reason <> '' as hard_qc_failure, hard_qc_reason from flagged",
+    "mahalanobis_fits": f"with {QC}, spread as (select dataset, n, v1 / r1 ** 2 + v2 / r2 ** 2 as trace, sqrt((v1 / r1 ** 2 - v2 / r2 ** 2) ** 2 + 4 * (c / (r1 * r2)) ** 2) as gap from moments) select dataset, n as n_fit, 2::int as n_features, 2::int as covariance_rank, round((trace + gap) / (trace - gap), 6) as condition_number, round(-2 * ln(0.05), 9) as threshold from spread",
     "mahalanobis_flags": f"with {QC} select case_id, dataset, round(d2, 6) as d2, outlier as mahalanobis_outlier, not hard as include_technical_only, not (hard or outlier) as include_mahalanobis from qc",
     "qc_counts": f"with {QC} select dataset, count(*) as n_input, sum(hard::int)::bigint as n_hard_failure, sum((not hard)::int)::bigint as n_fit, sum(outlier::int)::bigint as n_outlier from qc group by dataset",
     "pair_completeness": f"with {WIDE_SQL} select person_id, sum((flag = 0)::int)::bigint as n_pre, sum((flag = 1)::int)::bigint as n_post from wide group by person_id",
@@ -135,6 +136,7 @@ SQL = {
     "runtime_quartiles": f"with {WIDE_SQL} select dataset, count(sag_H4_avg) as n, round(quantile_cont(sag_H4_avg, 0.25), 9) as q1, round(quantile_cont(sag_H4_avg, 0.5), 9) as median, round(quantile_cont(sag_H4_avg, 0.75), 9) as q3, 's' as unit from wide group by dataset",
     "metric_distribution": f"""with {WIDE_SQL}, s as (select dataset, 'sag_H4_avg' as metric, sag_H4_avg as x from wide union all select dataset, 'n_events', n_events::double from wide)
       select dataset, metric, count(x) as n, round(median(x), 9) as median, round(quantile_cont(x, 0.25), 9) as q1, round(quantile_cont(x, 0.75), 9) as q3, round(min(x), 9) as min, round(max(x), 9) as max from s group by all""",
+    "review_overview": "select count(*) as n_reviewed, count(distinct o_custkey) as n_reviewers, count(*) filter (o_orderstatus = 'P' or o_orderpriority = '1-URGENT') as n_any_urgent_or_pending, count(*) filter (o_orderstatus = 'O') as n_any_open from orders",
     "review_counts": "select field, value, count(*) as n, round(100.0::double * count(*) / (select count(*) from orders), 9) as percent from (select 'o_orderstatus' as field, o_orderstatus as value from orders union all select 'o_orderpriority', o_orderpriority from orders) group by all",
     "outlier_crosstab": f"""with {QC}, people as (select person_id, bool_or(outlier) as o, bool_or(cor_H4_click > 0.2) as many_clicks, bool_or(n_events < 30) as few_events from qc group by person_id),
       long as (select o, 'many_clicks' as finding, many_clicks as x from people union all select o, 'few_events', few_events from people), fixed(g, o, finding) as (values ('outlier', true, 'many_clicks'), ('outlier', true, 'few_events'), ('other', false, 'many_clicks'), ('other', false, 'few_events'))

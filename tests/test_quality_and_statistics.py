@@ -58,6 +58,27 @@ def test_mahalanobis_against_numpy(spark):
     assert np.allclose(got, want)
 
 
+def test_mahalanobis_fits(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 2)) @ np.array([[3.0, 1.0], [0.0, 0.5]])
+    rows = [("d", float(a), float(b), 1.0, False) for a, b in x] + [("e", float(i), 2.0 * i, 1.0, False) for i in range(9)] + [("d", 1e9, 0.0, 5.0, True)]
+    df = spark.createDataFrame(rows, "dataset string, a double, b double, c double, hard_qc_failure boolean")
+    d, e = sorted(quality.mahalanobis_fits(df, ["a", "b", "c"], confidence=0.95).collect())
+    scaled = (x - x.min(0)) / np.ptp(x, axis=0)
+    assert (d["n_fit"], d["n_features"], d["covariance_rank"]) == (30, 2, 2)
+    assert d["condition_number"] == pytest.approx(np.linalg.cond(np.cov(scaled, rowvar=False)))
+    assert d["threshold"] == pytest.approx(-2 * math.log(0.05))
+    assert (e["n_fit"], e["n_features"], e["covariance_rank"]) == (9, 2, 1) and e["condition_number"] > 1e12
+    assert e["threshold"] == pytest.approx(special.chi2_quantile(0.95, 1))
+
+
+def test_review_overview(spark):
+    df = spark.createDataFrame([("r1", "major", "ok"), ("r1", "major", "major"), ("r2", None, "major"), (None, None, None), ("r2", "ok", "ok")], "who string, pre string, post string")
+    both = {"n_major": {"pre": "major", "post": "major"}, "n_partial": {"pre": "partial"}}
+    assert tuple(summaries.review_overview(df, "who", both).first()) == (5, 2, 3, 0)
+    assert tuple(summaries.review_overview(df.limit(0), "who", both).first()) == (0, 0, 0, 0)
+
+
 def test_cohort_policies(spark):
     rows = [("a0", "a", 0, "institutional", False, False), ("a1", "a", 1, "institutional", False, False), ("b0", "b", 0, "institutional", False, True), ("b1", "b", 1, "institutional", False, False), ("z0", "z", 0, "other", False, False), ("z1", "z", 0, "other", False, False)]
     df = quality.include_flags(spark.createDataFrame(rows, "case_id string, person_id string, pre_0_post_1 int, dataset string, hard_qc_failure boolean, mahalanobis_outlier boolean"))
