@@ -642,3 +642,30 @@ def test_op13_long_text():
     words = [f"w{i * i % 7919}" for i in range(4000)]
     w = words[:500] + words[500:800] * 40 + words[800:]
     assert periodic_runs.runs_of([hash(x) for x in w]) == [(500, 12000, 300)]
+
+
+@pytest.mark.parametrize("w", [1, 2, 7, 71])
+def test_anchors_are_the_first_least(w):
+    rng = np.random.default_rng(w)
+    # few values, so that ties are many; some differ in their lower halves alone
+    x = (rng.integers(0, 4, 500).astype(np.uint64) << np.uint64(62)) | rng.integers(0, 9, 500).astype(np.uint64)
+    upper = (x >> np.uint64(32)).tolist()
+    want = [i + min(range(w), key=lambda j: (upper[i + j], j)) for i in range(len(x) - w + 1)]
+    assert kernels._leftmost_least(x, w).tolist() == want
+
+
+def test_equal_windows_have_their_anchor_at_the_same_place():
+    rng = np.random.default_rng(0)
+    passage = rng.integers(0, 3, 40)
+    text = np.concatenate([rng.integers(0, 3, 30), passage, rng.integers(0, 3, 25), passage, rng.integers(0, 3, 8)])
+    k, w = 4, 9
+    grams = np.zeros(len(text), np.uint64)
+    for i in range(len(text) - k + 1):
+        grams[i] = kernels.mix(np.array([int("".join(map(str, text[i : i + k])), 3) + 1], np.uint64))[0]
+    at, first, last = kernels.cells(grams, np.full(len(text), len(text)), w, k)
+    place = {}
+    for a, lo, hi in zip(at.tolist(), first.tolist(), last.tolist()):
+        for i in range(lo, hi + 1):
+            place.setdefault(tuple(text[i : i + w + k - 1].tolist()), set()).add(a - i)
+    assert sum(hi - lo + 1 for lo, hi in zip(first.tolist(), last.tolist())) == len(text) - (w + k - 1) + 1
+    assert all(len(x) == 1 for x in place.values()) and len(place) < len(text) - (w + k - 1) + 1
