@@ -133,6 +133,38 @@ def test_op3(docs):
     assert all(bpe.coder(path).encode(x) == t.encode(x, add_special_tokens=False).ids for x in odd)
 
 
+def test_op3_new_pieces_in_bulk(monkeypatch):
+    """New pieces of a batch are merged side by side; only few or very long ones one by one."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, code, rng, alone = Tokenizer.from_file(path), bpe.BytePairCoder(path), random.Random(4), []
+    merge = bpe.BytePairCoder.merge
+    monkeypatch.setattr(bpe.BytePairCoder, "merge", lambda self, data: alone.append(data) or merge(self, data))
+    texts = [" ".join("".join(rng.choice("theinga\u00e9") for _ in range(rng.randint(1, 24))) for _ in range(400)) for _ in range(5)]
+    assert all(code.encode(x) == t.encode(x, add_special_tokens=False).ids for x in texts)
+    assert len(alone) < 400
+    monkeypatch.setattr(bpe, "FEW", 1)
+    data = [rng.randbytes(rng.randint(1, 70)) for _ in range(300)] + [b"ab" * 300, b"a" * 1024, b"a" * 1025, b"a", b"", b"\xff" * 9]
+    order, ids, count = code.merge_all(data)
+    assert sorted(order) == list(range(len(data)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [merge(code, data[i]) for i in order]
+
+
+def test_op3_odd_characters(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, code, rng = Tokenizer.from_file(path), bpe.BytePairCoder(path), random.Random(6)
+    kinds = ["".join(map(chr, range(256))), "ab '.,s\x85\xa0\u00e90\u00b2\n\x1c", "a '0\u0130\u017f\u65e5\u0303\U0001f600\u3000", "<|endoftext|> "]
+    texts = ["".join(rng.choice(k) for _ in range(rng.randint(0, 60))) for k in kinds for _ in range(300)] + ["<|endoftext|><|endoftext|> a", "don't we'LL'd", ""]
+    for lo in range(0, len(texts), 50):
+        for x, (n, ids, data) in zip(texts[lo : lo + 50], code.code(texts[lo : lo + 50])):
+            want = t.encode(x, add_special_tokens=False).ids
+            assert (n, ids.decode()) == (len(want), ",".join(map(str, want))) and data.decode(errors="replace") == t.decode(want, skip_special_tokens=False)
+
+
 def test_op5(docs):
     assert tuples(minhash.near_duplicates(docs)) == brute.op5(ROWS)
 
