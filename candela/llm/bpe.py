@@ -38,7 +38,7 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(extra)}
 
 
-def _latin_1(pattern: str) -> re.Pattern:
+def latin_1(pattern: str) -> re.Pattern:
     """The pattern with its classes spelt out for characters below U+0100."""
     chars = list(map(chr, range(256)))
     letter, number, space = ("".join(f"\\x{ord(c):02x}" for c in chars if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s"))
@@ -169,7 +169,7 @@ class BytePairCoder:
         self._decoded = [self.bytes_of.get(i, b"") for i in range(top)]
         self._lengths = np.array([len(b) for b in self._decoded], np.int64)
         self._names = [b"%d," % i for i in range(top)] + [b"%d\n" % i for i in range(top)]
-        self._piece, self._latin = regex.compile(PIECE).findall, _latin_1(PIECE).findall
+        self._piece, self._latin = regex.compile(PIECE).findall, latin_1(PIECE).findall
         self._special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._ids: dict[str, bytes] = {}
         self._bytes: dict[str, bytes] = {}

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import PairRanks, latin_1, slices
 from .stage import id_and_text, stage
 
 REMEMBERED, REMEMBERED_WORDS = 600_000, 500_000
@@ -86,10 +87,12 @@ def _places(plan: list[tuple[Counter, int]]) -> dict[int, list[np.ndarray]]:
 
 
 _STOPS = frozenset(".,;:!?")
-_NONE = np.int32(1 << 30)
+#: Of each Latin-1 byte: a letter, white space, a mark in _STOPS, or # for any other.
+_KINDS = bytes(ord("a" if c.isalpha() else " " if c in " \n\t\r" else "." if c in _STOPS else "#") for c in map(chr, range(256)))
+_NONE = PairRanks.NONE
 
 
-class MergeTable:
+class MergeTable(PairRanks):
     """The merges of a byte-level BPE model with an end-of-word suffix, and words in bulk.
 
     Words of up to WIDTH bytes are rows of a matrix: every round merges the leftmost
@@ -102,35 +105,8 @@ class MergeTable:
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        # open addressing with four slots a pair at least; -1 is an empty slot
-        self.bits = int(len(pairs) * 4).bit_length()
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int32)
-        for rank, key in enumerate((left << 32 | right).tolist()):
-            at = self._slot(key)
-            while self.keys[at] >= 0:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.keys[at], self.ranks[at] = key, rank
-
-    def _slot(self, key):
-        return (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
-
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair of ids, _NONE without a merge or where an id is negative."""
-        key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        found = self.keys[at]
-        out = np.where(found == key, self.ranks[at], _NONE)
-        todo = np.flatnonzero((found != key) & (found >= 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[at[todo]]
-            hit = found == key[todo]
-            out[todo[hit]] = self.ranks[at[todo[hit]]]
-            todo = todo[~hit & (found >= 0)]
-        out[(left < 0) | (right < 0)] = _NONE
-        return out
+        super().__init__(*(np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1)))
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of 1 to WIDTH bytes, as little-endian 32-bit numbers."""
@@ -188,10 +164,11 @@ def _byte_letters() -> list[str]:
 
 
 class ChunkTokens:
-    """Ids of texts by white-space chunks, as little-endian bytes; no token crosses one.
+    """Ids of texts, as little-endian bytes; each new word is merged once.
 
-    A new chunk of plain Latin letters, digits and marks is normalised and cut into words
-    here, so that each new word is merged once; any other goes to the tokenizer whole."""
+    A text of Latin-1 is lower-cased and cut into words as a whole. Any other goes by white-space
+    chunks, which no token crosses: a new chunk of plain Latin letters, digits and marks is
+    normalised and cut into words here; what is left goes to the tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -204,9 +181,9 @@ class ChunkTokens:
         form = json.loads(self.model.to_str())
         steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
         split = ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        self.cut = self.merges = None
+        self.cut = self.latin = self.merges = None
         if steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert"):
-            self.cut = regex.compile(split["pattern"]["Regex"]).findall
+            self.cut, self.latin = regex.compile(split["pattern"]["Regex"]).findall, latin_1(split["pattern"]["Regex"]).findall
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             model = form["model"]
@@ -247,24 +224,54 @@ class ChunkTokens:
                 out[i] = ids[a:b].tobytes()
         return out
 
+    def _word_ids(self, met: set[str]) -> dict[str, bytes]:
+        """Ids of each word met. words holds those of the words met before, within a bound."""
+        words = self.words
+        out = dict(zip(met, map(words.get, met)))
+        fresh = [w for w, ids in out.items() if ids is None]
+        learnt = dict(zip(fresh, self._encode_words(fresh)))
+        out |= learnt
+        if len(words) + len(learnt) > REMEMBERED_WORDS:
+            words.clear()
+            learnt = out
+        words.update((w, ids) for w, ids in learnt.items() if len(w) <= LONGEST_REMEMBERED)
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        """Ids of new chunks into known. words holds those of the words met, within a bound."""
-        known, words = self.known, self.words
+        """Ids of new chunks into known."""
+        known = self.known
         cut = list(map(self._words, new)) if self.cut else [None] * len(new)
         hard = [c for c, ws in zip(new, cut) if ws is None]
         known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(hard, self.model.encode_batch_fast(hard, add_special_tokens=False)))
-        unseen = {w for ws in cut if ws is not None for w in ws}.difference(words)
-        if len(words) + len(unseen) > REMEMBERED_WORDS:
-            words.clear()
-            unseen = {w for ws in cut if ws is not None for w in ws}
-        names = list(unseen)
-        words.update(zip(names, self._encode_words(names)))
+        words = self._word_ids({w for ws in cut if ws is not None for w in ws})
         for c, ws in zip(new, cut):
             if ws is not None:
                 known[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
+    def _latin_words(self, text: str) -> list[str] | None:
+        """The words of a text of Latin-1, which is composed and lower-cases to itself; None for any other."""
+        try:
+            kinds = text.encode("latin-1").translate(_KINDS)
+        except UnicodeEncodeError:
+            return None
+        if self.latin is None or any(t in text for t in self.special):
+            return None
+        low = text.lower()
+        if b"#" in kinds or b".." in kinds:
+            return self.latin(low)
+        for c in _STOPS:
+            if c in low:
+                low = low.replace(c, f" {c} ")
+        return low.split()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. What is remembered is bounded; a batch of texts is learnt at once."""
+        cut = list(map(self._latin_words, texts))
+        words = self._word_ids(set().union(*[ws for ws in cut if ws is not None]))
+        get, others = words.__getitem__, iter(self._chunk_ids([t for t, ws in zip(texts, cut) if ws is None]))
+        return [next(others) if ws is None else b"".join(map(get, ws)) for ws in cut]
+
+    def _chunk_ids(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known, fresh = self.known, set()
         for chunks in split:
@@ -283,20 +290,6 @@ class ChunkTokens:
 _models: dict[str, ChunkTokens] = {}
 
 
-def _slices(column: pa.Array, limit: int):
-    """(first row, texts) for runs of rows of about limit characters."""
-    rows, size, lo = [], 0, 0
-    for i, text in enumerate(column):
-        text = text.as_py() or ""
-        rows.append(text)
-        size += len(text)
-        if size >= limit:
-            yield lo, rows
-            rows, size, lo = [], 0, i + 1
-    if rows:
-        yield lo, rows
-
-
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
         if path not in _models:
@@ -306,7 +299,7 @@ def _cut(path: str, capacity: int, end_id: int):
         end, step = np.array([end_id], "<u4").tobytes(), capacity * 4
         for batch in batches:
             docs = batch.column(0)
-            for first, texts in _slices(batch.column(1), BATCH_CHARS):
+            for first, texts in slices(batch.column(1), BATCH_CHARS):
                 bodies = [ids + end for ids in model.ids(texts)]
                 total = np.array([len(b) // 4 for b in bodies], np.int64)
                 pieces = -(-total // capacity)

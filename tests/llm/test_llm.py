@@ -545,6 +545,27 @@ def test_op7_long_words_and_marks(spark):
     assert all(np.frombuffer(g, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids for x, g in zip(texts, got))
 
 
+def test_op7_latin_texts_as_a_whole(monkeypatch):
+    """Texts of Latin-1 are cut into words as a whole, so white-space chunks are kept for others only."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, tokens, rng = Tokenizer.from_file(path), packing.ChunkTokens(path), random.Random(9)
+    chunks = []
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 100)
+    inner = packing.ChunkTokens._learn
+    monkeypatch.setattr(packing.ChunkTokens, "_learn", lambda self, new: chunks.extend(new) or inner(self, new))
+    kinds = ["abcdth  \n.,;:!?", "abT \u00c9\u00df\u00b5.,", "".join(map(chr, range(256))), "it's we'LL don't'd'RE 12", "<|endoftext|> A."]
+    texts = ["".join(rng.choice(k) for _ in range(rng.randint(0, 90))) for k in kinds for _ in range(300)] + ["", " ", "...", "a..b. .c", "Z" * 300, "Z" * 32 + "."]
+    special = ["<|endoftext|> x<|startoftext|>y", "a<|EndOfText|>", "\u65e5\u672c no Latin-1", "\u0130 a"]
+    for part in (texts, special, texts[::-1]):
+        for lo in range(0, len(part), 70):
+            got = tokens.ids(part[lo : lo + 70])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in part[lo : lo + 70]]
+        assert len(tokens.words) <= 100 + 70 * 90 and max(map(len, tokens.words), default=0) <= packing.LONGEST_REMEMBERED
+    assert 0 < len(chunks) < 20
+
+
 COPIES = [(i, t) for i, t in enumerate(["Same Text", "same text", "SAME TEXT", "same  text", None, "", "É", "é", "long " * 9000, "LONG " * 9000, "long " * 8999 + "lung ", "\x00", "\x00\x00", "a\nb", "A\nB"])]
 COPIES += [(3, "same text"), (3, "same text"), (2, "SAME TEXT"), (90, "other"), (90, "other")] + [(200 + i, "copy " * 40) for i in range(80)]
 
