@@ -82,6 +82,95 @@ def _codes(*columns) -> list[np.ndarray]:
     return np.split(numbers, np.cumsum([len(c) for c in columns])[:-1])
 
 
+#: Pairs that are compared at once, in a core's cache.
+PAIRS = 1 << 18
+#: What three operations in single precision can move a score of at most 1.
+SINGLE = 1e-6
+
+
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Where a mask that is seldom true is, flat, by looking at eight at a time."""
+    flat = mask.reshape(-1)
+    whole = len(flat) // 8 * 8
+    near = (8 * np.flatnonzero(flat[:whole].view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return np.concatenate([near[flat[near]], whole + np.flatnonzero(flat[whole:])])
+
+
+class _Screen:
+    """Which references of a block beat or equal the genuine score of each asked row, as blocks()
+    would tell, mostly without its arithmetic.
+
+    Queries of one scaler get their distances from one matrix product, and scores in single
+    precision. Far more than their error above the genuine score is better, far more below is
+    worse, and what lies between is scored by similarity(), whose word is the only one on ties."""
+
+    def __init__(self, plan: _Plan, asked: pd.DataFrame, held: pd.DataFrame):
+        matrix = lambda df, c: np.stack(df[c].to_numpy()).astype(float)
+        self.plan = plan
+        self.r, self.q, self.w = ({v: matrix(df, f"{c}_{v}") for v in plan.views} for df, c in ((held, "r"), (asked, "q"), (asked, "w")))
+        known = asked["known"].to_numpy(bool)
+        self.own = {v: plan.similarity(q, np.stack([x if k else y for x, y, k in zip(asked[f"g_{v}"], q, known)]).astype(float), self.w[v]) for v, q in self.q.items()}
+        self.genuine = np.stack([plan.fused(self.own, parts) for *_, parts in plan.modes], 1)
+        shape = max(1, PAIRS // len(held)), len(held)
+        self.square, self.total, self.score = np.empty(shape), np.empty(shape, np.float32), {v: np.empty(shape, np.float32) for v in plan.views}
+        self.above, self.level = np.empty((len(plan.modes), *shape), bool), np.empty(shape, bool)
+
+    def _scaled(self, v: str, one: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """The block's references times the weights of an asked row, with what turns a product into
+        squared distances, their centre, and the greatest squared length."""
+        centre = self.r[v].mean(0)
+        y = (self.r[v] - centre) * self.w[v][one]
+        size = (y * y).sum(1)
+        return np.concatenate([y, np.ones((len(y), 1)), size[:, None]], 1).T, centre, float(size.max())
+
+    def runs(self):
+        """(asked rows, mode number, which pairs are better for sure, then row, column and exact
+        score of the pairs in question). Every other pair is worse. The pairs that are better for
+        sure are overwritten by the next run."""
+        every = np.concatenate([self.w[v] for v in self.plan.views], 1)
+        kinds, kind = np.unique(every, axis=0, return_inverse=True)
+        step, kind = len(self.square), kind.reshape(-1)
+        order = np.argsort(kind, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            with np.errstate(all="ignore"):  # what overflows is not finite below
+                scaled = {v: self._scaled(v, own[0]) for v in self.plan.views}
+            for lo in range(0, len(own), step):
+                yield from self._run(own[lo : lo + step], scaled)
+
+    def _run(self, rows: np.ndarray, scaled: dict):
+        score, slack = {}, {}
+        for v, (y, centre, longest) in scaled.items():
+            with np.errstate(all="ignore"):
+                x = (self.q[v][rows] - centre) * self.w[v][rows]
+                size = (x * x).sum(1)
+                error = 4 * (len(y) + 4) * np.finfo(float).eps * (float(size.max()) + longest)
+                s = self.score[v][: len(rows)]
+                s[...] = np.matmul(np.concatenate([-2 * x, size[:, None], np.ones((len(x), 1))], 1), y, out=self.square[: len(rows)])
+                np.sqrt(np.abs(s, out=s), out=s)
+                s += np.float32(1)
+                np.divide(np.float32(1), s, out=s)
+            score[v], slack[v] = s, np.sqrt(error) + SINGLE + (0.0 if self.plan.digits is None else 2 * 10.0**-self.plan.digits)
+        found = []
+        for n, (*_, parts) in enumerate(self.plan.modes):
+            total, better, level = score[parts[0]], self.above[n, : len(rows)], self.level[: len(rows)]
+            for v in parts[1:]:
+                total = np.add(total, score[v], out=self.total[: len(rows)])
+            least, around = self.genuine[rows, n] * len(parts), sum(slack[v] for v in parts) + len(parts) * SINGLE
+            if around < 0.1 * len(parts):
+                np.greater(total, (least + around).astype(np.float32)[:, None], out=better)
+                np.greater_equal(total, (least - around).astype(np.float32)[:, None], out=level)
+                found.append(_places(np.not_equal(better, level, out=level)))
+            else:  # features that are too large, or no numbers: all pairs are scored
+                better[...] = False
+                found.append(np.arange(total.size))
+        row, column = np.divmod(np.concatenate(found), len(next(iter(self.r.values()))))
+        exact = {v: self.plan.similarity(self.q[v][rows[row]], self.r[v][column], self.w[v][rows[row]]) for v in self.plan.views}
+        hi = np.cumsum([len(at) for at in found])
+        for n, (*_, parts) in enumerate(self.plan.modes):
+            own = slice(hi[n] - len(found[n]), hi[n])
+            yield rows, n, self.above[n, : len(rows)], row[own], column[own], self.plan.fused({v: exact[v][own] for v in parts}, parts)
+
+
 def _count(plan: _Plan, keys: list[str], leave_out: str | None):
     """Counts of better and equal references of a block of asked rows in a block of the gallery."""
 
@@ -90,15 +179,20 @@ def _count(plan: _Plan, keys: list[str], leave_out: str | None):
         better, equal = np.zeros((len(asked), k), np.int64), np.zeros((len(asked), k), np.int64)
         n, own = np.full(len(asked), len(held), np.int64), np.full((len(asked), k), np.nan)
         if len(asked) and len(held):
-            out = None
+            screen = _Screen(plan, asked, held)
+            own, gone, out = screen.genuine, None, None
             if leave_out:
                 gone, has = _codes(asked[leave_out], held["db_person"])
-                out = gone[:, None] == has[None, :]
-                n -= out.sum(1)
-            for here, m, s, g in plan.blocks(asked, held):
-                if out is not None:
-                    s = np.where(out[here], -1.0, s)
-                better[here, m], equal[here, m], own[here, m] = (s > g[:, None]).sum(1), (s == g[:, None]).sum(1), g
+            for rows, m, sure, row, column, s in screen.runs():
+                if gone is not None:
+                    if m == 0:
+                        out = gone[rows][:, None] == has[None, :]
+                        n[rows] -= out.sum(1)
+                    sure, stays = sure & ~out, ~out[row, column]
+                    row, s = row[stays], s[stays]
+                g = own[rows[row], m]
+                better[rows, m] = [np.count_nonzero(x) for x in sure] + np.bincount(row, s > g, len(rows)).astype(np.int64)
+                equal[rows, m] = np.bincount(row, s == g, len(rows))
         known = asked["known"].to_numpy(bool)[:, None]
         frame = asked[keys].copy()
         frame["n_gallery"] = n
@@ -120,10 +214,15 @@ def _with_genuine(asked: DataFrame, held: DataFrame, views) -> DataFrame:
     return asked.join(genuine, ["query_person", "h"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def _dealt(asked: DataFrame, held: DataFrame, asked_rows: int, gallery_rows: int, block_rows: int = 4096):
+#: A grid has so many cells at least, as far as blocks of asked rows can be cut.
+CELLS, FEWEST = 64, 256
+
+
+def _dealt(asked: DataFrame, held: DataFrame, asked_rows: int, gallery_rows: int, block_rows: int = 16_384):
     """Both sides dealt to a grid of blocks, cogrouped by cell: neither is broadcast, and a cell
-    holds about a block of each."""
-    a, b = max(1, -(-asked_rows // block_rows)), max(1, -(-gallery_rows // block_rows))
+    holds about a block of each. Where that gives few cells, blocks of asked rows are smaller."""
+    b = max(1, -(-gallery_rows // block_rows))
+    a = max(1, -(-asked_rows // block_rows), min(-(-CELLS // b), asked_rows // FEWEST))
     place = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c.endswith(("case", "person", "fold"))]), F.lit(n)).cast("int")
     x = asked.withColumns({"_a": place(asked, a), "_b": F.explode(F.sequence(F.lit(0), F.lit(b - 1)))})
     y = held.withColumns({"_b": place(held, b), "_a": F.explode(F.sequence(F.lit(0), F.lit(a - 1)))})
@@ -245,11 +344,13 @@ def summarize_configurations(ranks: DataFrame, digits: int = 12) -> DataFrame:
 
 def fold_training_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None, folds: DataFrame | None = None) -> DataFrame:
     """(fold, query_case, query_person, configuration, true_rank): for each held-out query
-    person (or those of folds) all other queries, ranked in the gallery without that person,
-    scaled without it. Folds x queries x references; fold_audit needs it for few folds only."""
+    person (or those of folds, under all h or that which folds names) all other queries, ranked in
+    the gallery without that person, scaled without it. Folds x queries x references; fold_audit
+    needs it for few folds only."""
     plan = _Plan.of(modes, digits)
     people = queries.select("person_id").distinct() if folds is None else folds.select("person_id")
-    fit = scaler(people, gallery).withColumnRenamed("person_id", "fold")
+    fit = scaler(people.distinct(), gallery)
+    fit = (fit if folds is None else fit.join(F.broadcast(folds), folds.columns, "left_semi")).withColumnRenamed("person_id", "fold")
     fit = _side_by_side(fit, ("fold", "h"), plan.views, weights(F.col("lo"), F.col("hi")), "w")
     asked = _asked(queries, plan.views).join(fit, "h").where("fold <> query_person")
     keys = ["fold", "query_case", "query_person"]
@@ -269,21 +370,32 @@ def _corrections(plan: _Plan):
     """What leaving out each reference of a block changes in the sums over a block of queries."""
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((len(held), len(plan.modes), len(_SUMS)))
+        out = np.zeros((len(plan.modes), len(_SUMS), len(held)))
         if len(asked) and len(held):
             rank = np.stack(asked["ranks"].to_numpy()).astype(float)
-            own, has = _codes(asked["query_person"], held["db_person"])
-            other = own[:, None] != has[None, :]
-            for here, m, s, g in plan.blocks(asked, held):
-                full = rank[here, m][:, None]
-                less = np.where(other[here] & ~np.isnan(full), np.where(s > g[:, None], 1.0, np.where(s == g[:, None], 0.5, 0.0)), 0.0)
-                row, column = np.nonzero(less)
-                was = full[row, 0]
-                now = was - less[row, column]
-                for i, change in enumerate([(now <= k).astype(float) - (was <= k) for k in (1, 5, 10)] + [np.log(now) - np.log(was)]):
-                    out[:, m, (1, 2, 3, 5)[i]] += np.bincount(column, change, len(held))
+            person, has = _codes(asked["query_person"], held["db_person"])
+            screen = _Screen(plan, asked, held)
+            more = np.empty(screen.square.shape)
+            for rows, m, sure, row, column, s in screen.runs():
+                was, g = rank[rows, m], screen.genuine[rows[row], m]
+                stays = (s >= g) & (person[rows[row]] != has[column])
+                row, column, above = row[stays], column[stays], (s > g)[stays]
+                whole = more[: len(rows)]
+                whole[...] = sure
+                whole[row[above], column[above]] = 1.0
+                for less in (1.0, 0.5):
+                    # a query without a match, or none better than it, has nothing to lose
+                    loses = was > less
+                    now = np.where(loses, was - less, 1.0)
+                    for i, change in zip((1, 2, 3, 5), [(now <= k).astype(float) - (was <= k) for k in (1, 5, 10)] + [np.log(now) - np.log(was)]):
+                        change = np.where(loses, change, 0.0)
+                        at = np.flatnonzero(change)
+                        if less == 1.0 and len(at):
+                            out[m, i] += change @ whole if len(at) == len(change) else change[at] @ whole[at]
+                        elif len(at):
+                            out[m, i] += np.bincount(column[~above], change[row[~above]], len(held))
         frame = held[["db_person", "h"]].rename(columns={"db_person": "fold"})
-        frame["sums"] = pd.Series(list(out.reshape(len(held), len(plan.modes) * len(_SUMS))), index=frame.index, dtype=object)
+        frame["sums"] = pd.Series(list(out.transpose(2, 0, 1).reshape(len(held), len(plan.modes) * len(_SUMS))), index=frame.index, dtype=object)
         return frame
 
     return run
@@ -292,24 +404,27 @@ def _corrections(plan: _Plan):
 def fold_audit(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits: int | None = None, out_digits: int = 12) -> DataFrame:
     """selection_audit of all folds, without ranking every query anew in every fold.
 
-    Only a person that holds an extreme of a feature changes the scaler when left out: at most
-    two a feature, and those folds are ranked as they are. In any other fold a query's rank is its
-    rank in the whole gallery, less what the person's one reference contributes; so one pass
-    ranks the queries and a second sums the corrections by reference, both within blocks."""
+    Only a person that alone holds an extreme of a feature changes the scaler when left out: at most
+    two a feature, and those folds are ranked as they are, under the h of the feature. In any other
+    fold a query's rank is its rank in the whole gallery, less what the person's one reference
+    contributes; so one pass ranks the queries and a second sums the corrections by reference, both
+    within blocks."""
     plan = _Plan.of(modes, digits)
     views, keys = plan.views, ["query_case", "query_person"]
     people = queries.select("person_id").distinct()
     bounds = extremes(gallery)
-    holders = bounds.select(F.explode(F.array_union("lo1_person", "hi1_person")).alias("person_id")).distinct()  # two a feature at most
-    special = people.join(F.broadcast(holders), "person_id", "left_semi")
+    alone = lambda one, who, two: F.transform(F.filter(F.arrays_zip(F.col(one).alias("a"), F.col(who).alias("p"), F.col(two).alias("b")), lambda x: ~F.equal_null(x["a"], x["b"])), lambda x: x["p"])
+    holders = bounds.select("h", F.explode(F.array_union(alone("lo1", "lo1_person", "lo2"), alone("hi1", "hi1_person", "hi2"))).alias("person_id")).distinct()  # two a feature at most
+    special = people.join(F.broadcast(holders), "person_id").select("person_id", "h").persist()
+    changed_scale = F.broadcast(special.withColumnRenamed("person_id", "fold"))
     full = _side_by_side(bounds, ("h",), views, weights(F.col("lo1"), F.col("hi1")), "w")
     asked, held = _asked(queries, views).join(F.broadcast(full), "h"), _held(gallery, views)
     n_queries, n_gallery = _cases(queries), _cases(gallery)
     counts = _counts(asked, held, plan, keys, n_queries, n_gallery)
     ranks = F.array(*[F.when(F.col("equal")[i] > 0, 1.0 + F.col("better")[i] + 0.5 * (F.col("equal")[i] - 1)).otherwise(float("nan")) for i in range(len(plan.modes))])
     ranked = asked.join(counts.select(*keys, "h", ranks.alias("ranks")), [*keys, "h"]).persist()
-    ordinary = people.join(F.broadcast(special), "person_id", "left_anti").withColumnRenamed("person_id", "fold")
-    left_out = held.join(ordinary.withColumnRenamed("fold", "db_person"), "db_person", "left_semi")
+    ordinary = people.withColumnRenamed("person_id", "fold")
+    left_out = held.join(people.withColumnRenamed("person_id", "db_person"), "db_person", "left_semi").join(F.broadcast(special.withColumnRenamed("person_id", "db_person")), ["db_person", "h"], "left_anti")
     sums = F.array(*[F.sum(F.col("sums")[i]) for i in range(len(plan.modes) * len(_SUMS))]).alias("sums")
     changed = _dealt(_with_genuine(ranked, held, views), left_out, n_queries, n_gallery).applyInPandas(_corrections(plan), "fold string, h int, sums array<double>").groupBy("fold", "h").agg(sums)
 
@@ -322,7 +437,7 @@ def fold_audit(queries: DataFrame, gallery: DataFrame, modes: DataFrame, digits:
     own = ranked.select("query_person", "h", "ranks").mapInPandas(per_query, "fold string, h int, sums array<double>").groupBy("fold", "h").agg(sums)
     total = own.groupBy("h").agg(sums.alias("total"))
     zero = F.array(*[F.lit(0.0)] * (len(plan.modes) * len(_SUMS)))
-    folds = ordinary.crossJoin(F.broadcast(total)).join(own.withColumnRenamed("sums", "own"), ["fold", "h"], "left").join(changed.withColumnRenamed("sums", "change"), ["fold", "h"], "left")
+    folds = ordinary.crossJoin(F.broadcast(total)).join(changed_scale, ["fold", "h"], "left_anti").join(own.withColumnRenamed("sums", "own"), ["fold", "h"], "left").join(changed.withColumnRenamed("sums", "change"), ["fold", "h"], "left")
     at = lambda n, i: F.col("total")[n * len(_SUMS) + i] - F.coalesce("own", zero)[n * len(_SUMS) + i] + F.coalesce("change", zero)[n * len(_SUMS) + i]
 
     def row(n, i, m, k):
@@ -352,11 +467,12 @@ def selection_audit(training: DataFrame, digits: int = 12) -> DataFrame:
     return _selected(_audit_rows(training, digits))
 
 
-def held_out_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, audit: DataFrame, digits: int | None = None) -> DataFrame:
+def held_out_ranks(queries: DataFrame, gallery: DataFrame, modes: DataFrame, audit: DataFrame, digits: int | None = None, fixed: DataFrame | None = None) -> DataFrame:
     """Each query against the whole gallery under its fold's configuration, the scaler still
-    without its person: true mid-rank and the flags at 1, 5 and 10."""
+    without its person: true mid-rank and the flags at 1, 5 and 10. fixed: the rows of
+    fixed_configurations, where they are there."""
     chosen = audit.where("selected").select(F.col("fold").alias("query_person"), "mode", "h")
-    ranks = fixed_configurations(queries, gallery, modes, digits).join(chosen, ["query_person", "mode", "h"])
+    ranks = (fixed_configurations(queries, gallery, modes, digits) if fixed is None else fixed).join(chosen, ["query_person", "mode", "h"])
     return ranks.withColumns({f"rank_{k}": F.coalesce(F.col("true_rank") <= k, F.lit(False)) for k in (1, 5, 10)})
 
 
