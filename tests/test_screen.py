@@ -1,4 +1,5 @@
-"""Blocks that score only what single precision leaves open, folds whose scaler stays."""
+"""Blocks that score only what single precision leaves open, folds whose scaler stays, and queries
+that rank the configurations they need."""
 
 import random
 
@@ -7,8 +8,10 @@ import pandas as pd
 import pytest
 
 from candela.operators import crossfit, scoring
+from candela.plans import catalog
 
 MODES = ((0, "cor", 1, ("cor",)), (1, "sag", 1, ("sag",)), (2, "cor_sag", 2, ("cor", "sag")))
+SF = "/root/testdata/sf0.001"
 
 
 def block(rng, n_asked, n_held, values):
@@ -78,3 +81,10 @@ def test_folds_that_leave_the_scaler_are_not_ranked_anew(spark, monkeypatch):
     rows_of = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
     assert rows_of(got) == rows_of(crossfit.selection_audit(anew(q, g, modes, 9), 9))
     assert set(ranked) <= {("p2", 4)}
+
+
+def test_deviating_folds_rank_once(spark, monkeypatch):
+    calls, fixed = [], crossfit.fixed_configurations
+    monkeypatch.setattr(crossfit, "fixed_configurations", lambda *a: calls.append(1) or fixed(*a))
+    catalog.deviating_folds(spark, SF)
+    assert len(calls) == 1
