@@ -83,6 +83,19 @@ def test_folds_that_leave_the_scaler_are_not_ranked_anew(spark, monkeypatch):
     assert set(ranked) <= {("p2", 4)}
 
 
+@pytest.mark.parametrize("name, modes", [("mcnemar_table", {"sag", "cor_sag_axial"})])
+def test_only_the_configurations_asked_for_are_ranked(spark, monkeypatch, name, modes):
+    seen, fixed = [], crossfit.fixed_configurations
+
+    def spy(queries, gallery, table, digits=None):
+        seen.append(({r["mode"] for r in table.collect()}, {r["h"] for r in queries.select("h").distinct().collect()}))
+        return fixed(queries, gallery, table, digits)
+
+    monkeypatch.setattr(crossfit, "fixed_configurations", spy)
+    catalog.queries()[name](spark, SF).collect()
+    assert seen == [(modes, {4})]
+
+
 def test_deviating_folds_rank_once(spark, monkeypatch):
     calls, fixed = [], crossfit.fixed_configurations
     monkeypatch.setattr(crossfit, "fixed_configurations", lambda *a: calls.append(1) or fixed(*a))
