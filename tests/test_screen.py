@@ -83,7 +83,7 @@ def test_folds_that_leave_the_scaler_are_not_ranked_anew(spark, monkeypatch):
     assert set(ranked) <= {("p2", 4)}
 
 
-@pytest.mark.parametrize("name, modes", [("mcnemar_table", {"sag", "cor_sag_axial"})])
+@pytest.mark.parametrize("name, modes", [("mcnemar_table", {"sag", "cor_sag_axial"}), ("configured_ranks", {"cor_sag"})])
 def test_only_the_configurations_asked_for_are_ranked(spark, monkeypatch, name, modes):
     seen, fixed = [], crossfit.fixed_configurations
 
