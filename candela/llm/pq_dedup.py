@@ -9,7 +9,8 @@ product; what the bound lets through is decided by the exact cosine. So the code
 link, and probing loses few, as most links are above the threshold.
 
 Equal vectors are one from the start. Lists and their queries meet in blocks of bounded
-size; a block gives counts a vector and the links that connect it, never all its pairs.
+size; a block gives counts a vector and the links that connect it, never all its pairs. Lists
+take turns, so that only the queries of some are on disk at a time.
 Centroids and codebooks come from a bounded sample.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .stage import stage
+from .stage import discard, stage
 from .vectors import copies, one_each, usable
 
 #: Vectors that training sees, the least by hash of id.
@@ -32,6 +33,10 @@ SAMPLE_ROWS = 65_536
 #: Of neighbours at the threshold, the share of which neither asks the list of the other.
 MISSED = 5e-4
 BLOCK_ROWS = 4096
+#: Queries of a list that meet a block of its members at once.
+QUERY_ROWS = 16_384
+#: Rows that are dealt in one turn: so many, or so many a vector.
+TURN_ROWS, TURN_SHARE = 1 << 20, 1.5
 CODES = 256
 SLACK = 1e-5
 
@@ -167,7 +172,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(float)
 
 
 def _slices(batches, rows: int = 2048):
@@ -191,14 +196,43 @@ def _encode(shared, far: float):
     return run
 
 
-def _probe(blocks: np.ndarray):
-    """Queries to the lists that they ask; one row for each block of the list."""
+def _asking(column: pa.Array, first: int, end: int) -> np.ndarray:
+    """By row, which of the lists first to end are asked; first is a multiple of 8."""
+    bits = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(bits[:, first // 8 : -(-end // 8)], axis=1, count=end - first, bitorder="little").astype(bool)
+
+
+def _askers(lists: int):
+    """How many queries each list has."""
+
+    def run(batches):
+        n = np.zeros(lists, np.int64)
+        for batch in _slices(batches):
+            n += _asking(batch.column(0), 0, lists).sum(0)
+        yield pa.record_batch([pa.array(np.arange(lists, dtype=np.int32)), pa.array(n)], names=["list", "n"])
+
+    return run
+
+
+def _turns(load: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Ranges of lists whose load is at most `most`, but eight lists at least."""
+    out, first, sum_ = [], 0, 0
+    for at in range(0, len(load), 8):
+        more = int(load[at : at + 8].sum())
+        if at > first and sum_ + more > most:
+            out.append((first, at))
+            first, sum_ = at, 0
+        sum_ += more
+    return [*out, (first, len(load))]
+
+
+def _probe(blocks: np.ndarray, first: int, end: int):
+    """Queries to those of the lists first to end that they ask; one row for each block of the list."""
 
     def run(batches):
         for batch in _slices(batches):
-            own = batch.column(3)
-            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(own), -1)
-            row, to = np.nonzero(np.unpackbits(bits, axis=1, count=len(blocks), bitorder="little") & (blocks > 0))
+            row, to = np.nonzero(_asking(batch.column(4), first, end) & (blocks[first:end] > 0))
+            to += first
             times = blocks[to]
             row, to = np.repeat(row, times), np.repeat(to, times)
             block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -218,7 +252,7 @@ def _meet(shared, least: float):
         out = {"rep": [], "links": [], "a": [], "b": []}
         if len(queries) and len(members):
             book, here = shared.value, int(members["list"].iloc[0])
-            mv, qv = _scaled(np.stack(members["v"].to_numpy())), _scaled(np.stack(queries["v"].to_numpy()))
+            mv, qv = _scaled(np.stack(members["v"].to_numpy()).astype(float)), _scaled(np.stack(queries["v"].to_numpy()).astype(float))
             m_len, q_len = np.linalg.norm(mv, axis=1), np.linalg.norm(qv, axis=1)
             m_id, q_id = members["rep"].to_numpy(), queries["rep"].to_numpy()
             m_n, q_n, own = members["n"].to_numpy(), queries["n"].to_numpy(), queries["own"].to_numpy()
@@ -284,15 +318,25 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample_rows: int = S
     unit = _unit(_matrix(sample["v"].combine_chunks()))
     book = train(unit, int(min(max(1, 2 * np.sqrt(total)), max(1, len(unit) // 4))))  # at most sample_rows / 4 lists
     shared = spark.sparkContext.broadcast(book)
-    coded = stage(known.mapInArrow(_encode(shared, reach(unit, book, least, len(unit) / total)), "rep long, v array<double>, n long, list int, codes binary, error double, asks binary"), "pq-codes")
-    lists = {r["list"]: r["rows"] for r in coded.groupBy("list").agg(F.count("*").alias("rows")).collect()}  # a row a list
-    blocks = np.array([-(-lists.get(i, 0) // BLOCK_ROWS) for i in range(len(book.centroids))])
-    queries = coded.select("rep", "v", "n", "list", "asks").mapInArrow(_probe(blocks), "rep long, v array<double>, n long, own int, list int, block int")
-    queries = stage(queries.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-total // BLOCK_ROWS)))).cast("int")), "pq-queries")
-    parts = stage(queries.select("list", "part").distinct(), "pq-parts")
-    sizes = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks) if b], "list int, n_blocks int")  # a row a list
-    held = coded.join(F.broadcast(sizes), "list").select("rep", "v", "n", "list", "codes", "error", "asks", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_blocks")).cast("int").alias("block")).join(parts, "list")
-    met = stage(queries.groupBy("list", "block", "part").cogroup(held.groupBy("list", "block", "part")).applyInPandas(_meet(shared, least), "rep long, links long, a long, b long, link boolean"), "pq-links")
+    # single precision where the input has it: the same numbers in half the space
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    coded = stage(known.withColumn("v", F.col("v").cast(kind)).mapInArrow(_encode(shared, reach(unit, book, least, len(unit) / total)), f"rep long, v {kind}, n long, list int, codes binary, error double, asks binary"), "pq-codes")
+    discard(known)
+    by_list = {r["list"]: r["rows"] for r in coded.groupBy("list").agg(F.count("*").alias("rows")).collect()}  # a row a list
+    rows = np.array([by_list.get(i, 0) for i in range(len(book.centroids))])
+    by_list = {r["list"]: r["n"] for r in coded.select("asks").mapInArrow(_askers(len(rows)), "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()}  # a row a list
+    asked = np.array([by_list.get(i, 0) for i in range(len(rows))])
+    blocks, parts = -(-rows // BLOCK_ROWS), -(-asked // QUERY_ROWS)
+    sizes = spark.createDataFrame([(i, int(b), int(p)) for i, (b, p) in enumerate(zip(blocks, parts, strict=True)) if b and p], "list int, n_blocks int, n_parts int")  # a row a list
+    place = lambda n, *salt: F.pmod(F.xxhash64("rep", *salt), F.col(n)).cast("int")
+    met = None
+    for first, end in _turns(asked * blocks + rows * parts, max(TURN_ROWS, TURN_SHARE * total)):
+        here = sizes.where((F.col("list") >= first) & (F.col("list") < end))
+        queries = coded.select("rep", "v", "n", "list", "asks").mapInArrow(_probe(blocks, first, end), f"rep long, v {kind}, n long, own int, list int, block int")
+        queries = queries.join(F.broadcast(here), "list").select("rep", "v", "n", "own", "list", "block", place("n_parts").alias("part"))
+        held = coded.join(F.broadcast(here), "list").select("rep", "v", "n", "list", "codes", "error", "asks", place("n_blocks", F.lit(1)).alias("block"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
+        turn = stage(queries.groupBy("list", "block", "part").cogroup(held.groupBy("list", "block", "part")).applyInPandas(_meet(shared, least), "rep long, links long, a long, b long, link boolean"), "pq-links")
+        met = turn if met is None else met.unionByName(turn)
     counts = met.where("not link").groupBy("rep").agg(F.sum("links").alias("links"))
     found = components(met.where("link").select("a", "b"))
     per_rep = members.join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
