@@ -99,12 +99,9 @@ def _stream(seed: int, lo: int, hi: int) -> np.ndarray:
     return halves[lo % 2 : lo % 2 + hi - lo]
 
 
-def seeded_draws(spark, n: int, replicates: int, seed: int = 42, block: int = 1 << 18) -> DataFrame:
-    """(replicate, i, times): how often each replicate draws index i of n, equal to rows of
-    numpy.random.default_rng(seed).integers(0, n, (replicates, n)) whatever the blocks.
-
-    Blocks of the stream are tasks. A first pass counts what each rejects, which tells where the
-    next one's draws begin; the second makes them."""
+def _seeded_blocks(spark, n: int, replicates: int, seed: int, block: int) -> DataFrame:
+    """(id, start): the blocks of the stream, and how many draws are made before each. A first pass
+    counts what each rejects, which tells where the next one's draws begin."""
     if not 1 < n < 1 << 32:
         raise ValueError("draws are from 2 to 2**32 - 1 things")
     total = replicates * n
@@ -122,29 +119,77 @@ def seeded_draws(spark, n: int, replicates: int, seed: int = 42, block: int = 1
             starts.append((i, made))
             made += block - counts[i]
         b += more
+    return spark.createDataFrame(starts, "id long, start long").repartition(min(len(starts), 64), "id")
+
+
+def _drawn(n: int, replicates: int, seed: int, block: int):
+    """The indices that a block of the stream draws, from its number and how many are made before."""
+
+    def draw(i: int, start: int) -> np.ndarray:
+        fair, index = _accepted(_stream(seed, i * block, (i + 1) * block), n)
+        return index[fair][: max(0, replicates * n - start)]
+
+    return draw
+
+
+def seeded_draws(spark, n: int, replicates: int, seed: int = 42, block: int = 1 << 18) -> DataFrame:
+    """(replicate, i, times): how often each replicate draws index i of n, equal to rows of
+    numpy.random.default_rng(seed).integers(0, n, (replicates, n)) whatever the blocks, which are
+    tasks."""
+    drawn = _drawn(n, replicates, seed, block)
 
     def draws(frames):
         for frame in frames:
             for i, start in zip(frame["id"], frame["start"]):
-                fair, index = _accepted(_stream(seed, i * block, (i + 1) * block), n)
-                index = index[fair][: max(0, total - start)]
+                index = drawn(i, start)
                 key, times = np.unique((start + np.arange(len(index))) // n * n + index, return_counts=True)
                 yield pd.DataFrame({"replicate": key // n, "i": key % n, "times": times})
 
-    tasks = spark.createDataFrame(starts, "id long, start long").repartition(min(len(starts), 64), "id")
-    return tasks.mapInPandas(draws, "replicate long, i long, times long")
+    return _seeded_blocks(spark, n, replicates, seed, block).mapInPandas(draws, "replicate long, i long, times long")
 
 
-def seeded_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 10_000, seed: int = 42, methods=("true_rank",), order: str = "query_person") -> DataFrame:
+#: People whose hits are one row, and up to how many people all of these rows are broadcast.
+PACKED, SENT = 1 << 20, 1 << 26
+
+
+def seeded_rates(ranks: DataFrame, ks=(1, 5, 10), replicates: int = 10_000, seed: int = 42, methods=("true_rank",), order: str = "query_person", block: int = 1 << 18, packed: int = PACKED) -> DataFrame:
     """(replicate, method, k, rate) of the very resamples that a seeded index matrix over the people
-    in `order` gives, the same for every method. Draws meet people by number: people x replicates
-    rows, so bootstrap_rates, of the same distribution, is for large cohorts."""
-    spark, n = ranks.sparkSession, ranks.count()
-    hit = [F.coalesce(F.col(m) <= k, F.lit(False)).cast("int").alias(f"h{i}_{j}") for i, m in enumerate(methods) for j, k in enumerate(ks)]
-    people = with_input_order(ranks, order).select(F.col("ordinal").cast("long").alias("i"), *hit)
-    sums = seeded_draws(spark, n, replicates, seed).join(people, "i").groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(f"h{i}_{j}")).alias(f"h{i}_{j}") for i in range(len(methods)) for j in range(len(ks))])
-    rows = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("k"), (F.col(f"h{i}_{j}") / n).alias("rate")) for i, m in enumerate(methods) for j, k in enumerate(ks)])
-    return sums.select("replicate", F.explode(rows).alias("x")).select("replicate", "x.*")
+    in `order` gives, the same for every method.
+
+    People are packed: a row has, for a range of them in order, a byte a method that says at
+    how many of the ks they hit. A block of the stream meets each of these rows and gives its sums
+    by replicate, so no draw leaves a task; it is made again for each row, of a million people."""
+    ks = tuple(ks)
+    spark, kept, steps = ranks.sparkSession, ranks.persist(), sorted(set(ks))
+    if len(steps) > 127:
+        raise ValueError("a byte tells 127 ks at most")
+    n = kept.count()
+    level = [sum(F.coalesce(F.col(m) <= k, F.lit(False)).cast("int") for k in steps).cast("byte").alias(f"h{i}") for i, m in enumerate(methods)]
+    people = with_input_order(kept, order).select((F.col("ordinal") / packed).cast("long").alias("range"), "ordinal", *level)
+    people = people.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("ordinal", *[f"h{i}" for i in range(len(methods))]))).alias("x"))
+    people = people.select("range", F.array(*[F.col(f"x.h{i}") for i in range(len(methods))]).alias("hits"))
+    tasks, drawn = _seeded_blocks(spark, n, replicates, seed, block), _drawn(n, replicates, seed, block)
+
+    def sums(frames):
+        for frame in frames:
+            for i, start, part, hits in zip(frame["id"], frame["start"], frame["range"], frame["hits"]):
+                index = drawn(i, start)
+                if not len(index):
+                    continue
+                row, index = (start + np.arange(len(index))) // n, index - part * packed
+                here = (index >= 0) & (index < len(hits[0]))
+                first = row[0]
+                row, index = row[here] - first, index[here]
+                size, wide = int(row.max(initial=0)) + 1, len(steps) + 1
+                for m, name in enumerate(methods):
+                    # whoever hits at c of the ascending ks hits at the last c of them
+                    c = np.bincount(row * wide + hits[m][index], minlength=size * wide).reshape(size, wide)
+                    reached = c[:, ::-1].cumsum(1)[:, ::-1]
+                    for j, k in enumerate(steps):
+                        yield pd.DataFrame({"replicate": first + np.arange(size), "method": name, "k": k, "c": reached[:, len(steps) - j]})
+
+    parts = tasks.crossJoin(F.broadcast(people) if n <= SENT else people).mapInPandas(sums, "replicate long, method string, k int, c long")
+    return parts.groupBy("replicate", "method", "k").agg((F.sum("c") / n).alias("rate"))
 
 
 def cmc_bands(rates: DataFrame, curve: DataFrame, alpha: float = 0.05) -> DataFrame:
