@@ -332,6 +332,59 @@ def top_k(queries: DataFrame, gallery: DataFrame, view: str, k: int = 10, digits
     return out.select("query_case", "query_person", "display_order", "x.db_case", "x.db_person", "score", (1 + F.col("better") + 0.5 * (F.col("same") - 1)).alias("midrank"), (F.col("same") - 1).alias("n_ties"), (F.col("query_person") == F.col("x.db_person")).alias("correct"))
 
 
+def _below_genuine(plan: _Plan, shared):
+    """Of each block the number of pairs, and twice the number of genuine scores above each pair's
+    score in sum, ties half."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        total = 0
+        if len(asked) and len(held):
+            (view,), matrix = plan.views, lambda df, c: np.stack(df[c].to_numpy()).astype(float)
+            q, w, r = matrix(asked, f"q_{view}"), matrix(asked, f"w_{view}"), matrix(held, f"r_{view}")
+            step = max(1, PAIRS // len(held))
+            for lo in range(0, len(asked), step):
+                here = slice(lo, lo + step)
+                total += _twice_above(plan.similarity(q[here, None], r[None], w[here, None]).ravel(), *shared.value)
+        return pd.DataFrame({"n": [len(asked) * len(held)], "twice": [int(total)]})
+
+    return run
+
+
+def _twice_above(scores: np.ndarray, values: np.ndarray, counts: np.ndarray, above: np.ndarray) -> int:
+    """Twice the genuine scores above each score, and once those equal to it, in sum. values: the
+    distinct ones, ascending; above: how many there are from each value on, then 0."""
+    at = np.searchsorted(values, scores)
+    level = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == scores)
+    return int(2 * above[at].sum() - counts[np.minimum(at[level], len(values) - 1)].sum())
+
+
+def pooled_auc(queries: DataFrame, gallery: DataFrame, view: str, digits: int | None = None) -> DataFrame:
+    """inference.auc of all pairs of one view and h. The distinct genuine scores, one a query at most,
+    go to every block, which counts its pairs against them: no pair's score leaves a block."""
+    spark = queries.sparkSession
+    plan = _Plan.of(modes_table(spark, (view,)), digits)
+    fit = _side_by_side(scaler(queries.select("person_id").distinct(), gallery), ("person_id", "h"), plan.views, weights(F.col("lo"), F.col("hi"), True), "w")
+    asked, held = _asked(queries, plan.views).join(fit.withColumnRenamed("person_id", "query_person"), ["query_person", "h"]), _held(gallery, plan.views)
+    asked = _with_genuine(asked, held, plan.views).persist()
+
+    def own(frames):
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"g": plan.similarity(*[np.stack(f[f"{c}_{view}"].to_numpy()).astype(float) for c in "qgw"])})
+
+    genuine = asked.where("known").mapInPandas(own, "g double").groupBy("g").agg(F.count("*").alias("n")).toPandas().sort_values("g")
+    values, counts = genuine["g"].to_numpy(float), genuine["n"].to_numpy(np.int64)
+    above = np.append(counts[::-1].cumsum()[::-1], 0)
+    n_genuine = int(above[0])
+    if not n_genuine:
+        values, counts, above = np.array([np.inf]), np.zeros(1, np.int64), np.zeros(2, np.int64)
+    own_pairs = int(((2 * above[:-1] - counts) * counts).sum())
+    blocks = _dealt(asked, held, _cases(queries), _cases(gallery)).applyInPandas(_below_genuine(plan, spark.sparkContext.broadcast((values, counts, above))), "n long, twice long")
+    sums = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("twice").cast("decimal(38,0)")).alias("twice"))
+    g, i = F.lit(n_genuine).cast("long"), F.col("n") - n_genuine
+    return sums.select(g.alias("n_genuine"), i.alias("n_impostor"), ((F.col("twice") - own_pairs).cast("double") / 2 / F.nullif(g.cast("double") * i, F.lit(0.0))).alias("auc"))
+
+
 def summarize_configurations(ranks: DataFrame, digits: int = 12) -> DataFrame:
     """By configuration: counts and rates at 1, 5 and 10, median and mean rank, mean log rank."""
     hit = lambda k: F.count_if(F.coalesce(F.col("true_rank") <= k, F.lit(False)))
